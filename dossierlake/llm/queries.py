@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm import mixing, record_files
-from dossierlake.llm.common import tokenizer_path, word_count
+from dossierlake.llm import mixing, quality, record_files, simhash
+from dossierlake.llm.common import held_out, tokenizer_path, word_count
 from dossierlake.workspace import table
 
 
+#: Scores from here on count as label 1.
+QUALITY_FROM = 0.3
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    net = quality.fit(docs, labels, "quality", train_on=~held_out("doc_id", 5))
+    scored = quality.score(docs, net)
+    predicted = (F.col("score") >= QUALITY_FROM).cast("int")
+    return scored.select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), word_count(F.col("text")))
     taken = F.col("size") * F.col("copies")
