@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm import mixing, quality, record_files, simhash
+from dossierlake.llm import mixing, packing, quality, record_files, simhash
 from dossierlake.llm.common import held_out, tokenizer_path, word_count
 from dossierlake.workspace import table
 
@@ -27,6 +27,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces, placed = packing.pack_documents(
+        table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, drops_blanks=True
+    )
+    digests = pieces.select("piece", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return digests.join(placed, "piece").drop("piece")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), word_count(F.col("text")))
     taken = F.col("size") * F.col("copies")

@@ -7,6 +7,7 @@ from dossierlake.llm import queries
 QUERIES = {
     "op2_quality": queries.op2_quality,
     "op3_simhash": queries.op3_simhash,
+    "op4_packing": queries.op4_packing,
     "op5_mix_sources": queries.op5_mix_sources,
     "op10_token_records": queries.op10_token_records,
 }
