@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm import mixing, packing, quality, record_files, simhash
+from dossierlake.llm import kmeans_tree, mixing, mtree, packing, quality, record_files, simhash
 from dossierlake.llm.common import held_out, tokenizer_path, word_count
 from dossierlake.workspace import table
 
@@ -93,6 +93,30 @@ LEFT JOIN bounds e ON z.source IS NOT DISTINCT FROM e.source
 """
 
 
+def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+OP8_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS code
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.code, c.code)::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = record_files.new_folder(spark)
     docs = table(spark, sf_dir, "documents")

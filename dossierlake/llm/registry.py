@@ -9,9 +9,12 @@ QUERIES = {
     "op3_simhash": queries.op3_simhash,
     "op4_packing": queries.op4_packing,
     "op5_mix_sources": queries.op5_mix_sources,
+    "op8_exact_search": queries.op8_exact_search,
+    "op9_nearest": queries.op9_nearest,
     "op10_token_records": queries.op10_token_records,
 }
 
 ORACLE_SQL = {
     "op5_mix_sources": queries.OP5_SQL,
+    "op8_exact_search": queries.OP8_SQL,
 }
