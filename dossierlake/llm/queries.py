@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm import kmeans_tree, mixing, mtree, packing, quality, record_files, simhash
+from dossierlake.llm import kmeans_tree, lm_scoring, mixing, mtree, packing, quality, record_files, simhash
 from dossierlake.llm.common import held_out, tokenizer_path, word_count
 from dossierlake.workspace import table
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm_scoring.score_documents(docs, train_on=~held_out("doc_id", 10))
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 #: Scores from here on count as label 1.
 QUALITY_FROM = 0.3
 

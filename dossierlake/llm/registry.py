@@ -5,6 +5,7 @@ from __future__ import annotations
 from dossierlake.llm import queries
 
 QUERIES = {
+    "op1_lm_scores": queries.op1_lm_scores,
     "op2_quality": queries.op2_quality,
     "op3_simhash": queries.op3_simhash,
     "op4_packing": queries.op4_packing,
