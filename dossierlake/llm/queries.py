@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm import kmeans_tree, lm_scoring, mixing, mtree, packing, quality, record_files, simhash
+from dossierlake.llm import kmeans_tree, license_scan, lm_scoring, mixing, mtree, packing, quality, record_files, simhash
 from dossierlake.llm.common import held_out, tokenizer_path, word_count
 from dossierlake.workspace import table
 
@@ -101,6 +101,65 @@ LEFT JOIN bounds e ON z.source IS NOT DISTINCT FROM e.source
 """
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+        F.coalesce(F.array_max("matches.dice"), F.lit(0.0)).alias("best_dice"),
+    )
+
+
+def _license_sql() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in license_scan.TEMPLATES)
+    return rf"""
+WITH templates AS (
+  SELECT license, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS grams
+  FROM (SELECT license, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM (VALUES {rows}) AS t(license, body))),
+plain AS (
+  SELECT row_number() OVER () AS place, doc_id,
+         regexp_replace(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'),
+                        '[^\p{{L}}\p{{N}}
+]+', ' ', 'g') AS body
+  FROM documents),
+passages AS (
+  SELECT place, unnest(string_split(body, chr(10))) AS passage FROM plain
+  UNION ALL
+  SELECT place, regexp_replace(block, ' ?
+ ?', ' ', 'g') AS passage
+  FROM (SELECT place, unnest(string_split_regex(body, '
+ ?
+[ 
+]*')) AS block FROM plain)
+  WHERE contains(trim(block), chr(10))),
+cut AS (SELECT row_number() OVER () AS passage_id, place, string_split(trim(passage), ' ') AS w FROM passages),
+grams AS (
+  SELECT passage_id, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own
+  FROM cut WHERE len(w) > 1),
+scored AS (
+  SELECT passage_id, place, license, len(list_intersect(own, grams)) AS shared, len(own) + len(grams) AS sizes
+  FROM grams CROSS JOIN templates
+  WHERE len(own) <= 1.5000001 * len(grams) AND 1.5000001 * len(own) >= len(grams)),
+best AS (
+  SELECT place, passage_id, max({{'dice': 2.0::DOUBLE * shared / sizes, 'license': license}}) AS m
+  FROM scored WHERE 2.0::DOUBLE * shared / sizes >= {license_scan.THRESHOLD}::DOUBLE GROUP BY place, passage_id),
+matched AS (
+  SELECT place, count(*) AS n_matches, string_agg(DISTINCT m.license, ',' ORDER BY m.license) AS licenses,
+         max(m.dice) AS best_dice
+  FROM best GROUP BY place)
+SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses,
+       coalesce(best_dice, 0.0::DOUBLE) AS best_dice
+FROM plain LEFT JOIN matched USING (place)
+"""
+
+
+OP6_SQL = _license_sql()
+
+
 def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 

@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": queries.op3_simhash,
     "op4_packing": queries.op4_packing,
     "op5_mix_sources": queries.op5_mix_sources,
+    "op6_license_scan": queries.op6_license_scan,
     "op8_exact_search": queries.op8_exact_search,
     "op9_nearest": queries.op9_nearest,
     "op10_token_records": queries.op10_token_records,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_mix_sources": queries.OP5_SQL,
+    "op6_license_scan": queries.OP6_SQL,
     "op8_exact_search": queries.OP8_SQL,
 }
