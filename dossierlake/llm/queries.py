@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm import kmeans_tree, license_scan, lm_scoring, mixing, mtree, packing, quality, record_files, simhash
+from dossierlake.llm import (
+    kmeans_tree,
+    license_scan,
+    lm_scoring,
+    mixing,
+    mtree,
+    packing,
+    pii,
+    quality,
+    record_files,
+    simhash,
+)
 from dossierlake.llm.common import held_out, tokenizer_path, word_count
 from dossierlake.workspace import table
 
@@ -160,6 +171,15 @@ FROM plain LEFT JOIN matched USING (place)
 OP6_SQL = _license_sql()
 
 
+#: Whoever publishes a corpus keeps a key of their own.
+SURROGATE_KEY = b"dossierlake surrogates"
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, SURROGATE_KEY).select("doc_id", "n_entities", "text")
+
+
 def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": queries.op4_packing,
     "op5_mix_sources": queries.op5_mix_sources,
     "op6_license_scan": queries.op6_license_scan,
+    "op7_surrogates": queries.op7_surrogates,
     "op8_exact_search": queries.op8_exact_search,
     "op9_nearest": queries.op9_nearest,
     "op10_token_records": queries.op10_token_records,
