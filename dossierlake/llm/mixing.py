@@ -61,7 +61,7 @@ def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[i
     )
 
 
-def mix_sources(
+def source_thresholds(
     docs: DataFrame,
     size: Column,
     id_column: str = "doc_id",
@@ -70,20 +70,18 @@ def mix_sources(
     most: float = 2.0,
     weights: tuple[int, ...] = WEIGHTS,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: how often the mix takes each document.
+    """mix_source, source_size, target, whole, threshold: one row a source.
 
-    A source whose target is k times its size and a rest takes every document k times, and those up to its threshold
-    once more. The document at the threshold is in if that brings the source nearer to its target.
+    A source whose target is k times its size and a rest takes every document k (``whole``) times, and those with a
+    hash up to its threshold once more. The document at the threshold is in if that brings the source nearer to its
+    target.
     """
-    sizes = materialize(
-        docs.select(
-            F.col(id_column).alias("doc_id"),
-            F.col(source_column).alias("source"),
-            F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"),
-            id_hash(id_column).alias("hash"),
-        ),
-        "mix-sizes",
+    sizes = docs.select(
+        F.col(source_column).alias("source"),
+        F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"),
+        id_hash(id_column).alias("hash"),
     )
+    sizes = materialize(sizes, "mix-sizes")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = (
         source_targets(sizes, share, most, weights)
@@ -95,21 +93,32 @@ def mix_sources(
     )
     for shift in range(HASH_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
         state = materialize(_refine(sizes, state, shift), "mix-state")
-    # past every document (own is null): all are in
-    over = F.col("below") + F.col("own") - F.col("rest")
-    nearer = over < F.col("rest") - F.col("below")
+    nearer = F.col("below") + F.col("own") - F.col("rest") < F.col("rest") - F.col("below")
+    # own is null where the rest is more than all documents: then all are in
     threshold = F.when(F.col("own").isNull(), F.lit((1 << HASH_BITS) - 1)).otherwise(
         F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1)
     )
-    found = state.select(
-        F.col("source").alias("of"), "source_size", "target", "whole", threshold.cast("long").alias("threshold")
-    )
-    copies = F.col("whole") + (F.col("hash") <= F.col("threshold")).cast("long")
-    return sizes.join(found, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies")
+    return state.select(
+        F.col("source").alias("mix_source"), "source_size", "target", "whole", threshold.cast("long").alias("threshold")
     )
 
 
+def mix_sources(
+    docs: DataFrame, size: Column, id_column: str = "doc_id", source_column: str = "source", copies: str = "copies", **how
+) -> DataFrame:
+    """``docs`` with source_size, target and a column of how often the mix takes each document.
+
+    Documents meet one small row of their source; nothing is joined on ids, so repeated and null ids do no harm.
+    Columns of ``docs`` with a name of the result's are replaced.
+    """
+    found = source_thresholds(docs, size, id_column, source_column, **how)
+    taken = F.col("whole") + (id_hash(id_column) <= F.col("threshold")).cast("long")
+    added = ("mix_source", "source_size", "target", "whole", "threshold", copies)
+    plain = docs.drop(*[c for c in added if c not in (id_column, source_column)])
+    joined = plain.join(found, F.col(source_column).eqNullSafe(F.col("mix_source")))
+    return joined.withColumn(copies, taken).drop("mix_source", "whole", "threshold")
+
+
 def _refine(sizes: DataFrame, state: DataFrame, shift: int) -> DataFrame:
     """One digit more of each source's boundary: the first bucket with which the sum passes the source's rest."""
     bucket = F.expr(f"shiftright(hash, {shift})")

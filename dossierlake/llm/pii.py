@@ -236,12 +236,14 @@ def lay_out(mention: str, kind: str, surrogates: dict[tuple[str, str], str], can
     return new
 
 
-def replace_entities(docs: DataFrame, key: bytes, text_column: str = "text") -> DataFrame:
-    """``docs`` with surrogates in its texts, and a column n_entities (mentions replaced) behind its own columns.
+def replace_entities(
+    docs: DataFrame, key: bytes, text_column: str = "text", counted: str = "n_entities"
+) -> DataFrame:
+    """``docs`` with surrogates in its texts, and a column ``counted`` (mentions replaced) behind its own columns.
 
     A column of that name is replaced. Row order isn't kept.
     """
-    columns = [c for c in docs.columns if c != "n_entities"]
+    columns = [c for c in docs.columns if c != counted]
     docs = docs.select(*columns)
     spans = "array<struct<begin:int,stop:int,kind:string,canonical:string>>"
     row, mentions, known = "__pii_row", "__pii_mentions", "__pii_known"
@@ -281,6 +283,6 @@ def replace_entities(docs: DataFrame, key: bytes, text_column: str = "text") ->
         return pd.Series(out, index=texts.index)
 
     done = hits.join(by_row, row).withColumn(text_column, replaced(text_column, mentions, known))
-    done = done.select(*columns, F.size(mentions).cast("long").alias("n_entities"))
-    clean = docs.where(none_found(F.col(text_column))).withColumn("n_entities", F.lit(0).cast("long"))
+    done = done.select(*columns, F.size(mentions).cast("long").alias(counted))
+    clean = docs.where(none_found(F.col(text_column))).withColumn(counted, F.lit(0).cast("long"))
     return done.unionByName(clean)

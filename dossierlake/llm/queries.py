@@ -55,7 +55,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), word_count(F.col("text")))
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix_sources(docs, word_count(F.col("text"))).withColumn("size", word_count(F.col("text")))
     taken = F.col("size") * F.col("copies")
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
 

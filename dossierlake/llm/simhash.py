@@ -232,3 +232,15 @@ def near_duplicates(
     return marked.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 3, text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the first as the table stands when it is written down.
+
+    Rows get keys of their own, so null and repeated ids do no harm.
+    """
+    key = "__row"
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    groups = near_duplicates(keyed.select(key, text_column), words, radius, key, text_column)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return keyed.join(first, key, "left_semi").drop(key)
