@@ -107,3 +107,9 @@ def safe_path(path: Column) -> Column:
 def shortened(text: Column, limit: int, suffix: str = "...") -> Column:
     """At most ``limit`` characters, then the suffix."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(suffix))).otherwise(text)
+
+
+def normal_markdown(line: Column) -> Column:
+    """Without blanks at its end, and with a blank after a heading's marks."""
+    bare = F.regexp_replace(line, r"[ \t\n\r\f\x0B]+$", "")
+    return F.regexp_replace(bare, "^(#+)([^ #])", "$1 $2")

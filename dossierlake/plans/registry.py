@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossierlake.plans import audit_queries
+from dossierlake.plans import audit_queries, fixture_queries
 
-QUERIES = dict(audit_queries.QUERIES)
-ORACLE_SQL = dict(audit_queries.ORACLE_SQL)
+QUERIES = audit_queries.QUERIES | fixture_queries.QUERIES
+ORACLE_SQL = audit_queries.ORACLE_SQL | fixture_queries.ORACLE_SQL
