@@ -176,7 +176,7 @@ def tokenized_pieces(
 
     schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids binary"
     pieces = rows.mapInArrow(cut, schema).withColumn("piece", F.monotonically_increasing_id())
-    return materialize(pieces, "pieces", compression="zstd")
+    return materialize(pieces, "pieces")
 
 
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:

@@ -24,18 +24,31 @@ SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 SLICE = 4 << 20
 
 
+def fits_latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class TextTokenizer:
     """Encodes whole texts with a ``tokenizers`` file, remembering the ids of up to ``memory`` distinct pieces.
 
     ``encode`` gives exactly ``Tokenizer.encode(text, add_special_tokens=False).ids``, as unsigned 32-bit integers in
-    little-endian bytes. A null or empty text has no ids. ``drops_blanks``: the file's pre-tokeniser drops white space.
+    little-endian bytes. A null or empty text has no ids. ``drops_blanks``: the file's
+    normaliser lowers letters and its pre-tokeniser drops white space.
     """
 
     def __init__(self, path: str, drops_blanks: bool = False, memory: int = 800_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        #: For pieces that the normaliser leaves as they are.
+        self.normal = Tokenizer.from_file(path)
+        if self.normal.normalizer is not None:
+            self.normal.normalizer = normalizers.Sequence([])
         self.drops_blanks = drops_blanks
         self.memory = memory
         self.known: dict[str, bytes] = {}
@@ -45,7 +58,10 @@ class TextTokenizer:
             return []
         if not self.drops_blanks:
             return PIECE.findall(text)
-        return [text] if any(map(text.__contains__, SEPARATORS)) else text.split()
+        if any(map(text.__contains__, SEPARATORS)):
+            return [text]
+        # such a file's normaliser lowers letters itself; in Latin-1 there is but one way to
+        return (text.lower() if fits_latin1(text) else text).split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         collects = gc.isenabled()
@@ -69,7 +85,12 @@ class TextTokenizer:
         found = [list(map(self.known.get, p)) for p in pieces]
         absent = [list(compress(p, map(not_, f))) for p, f in zip(pieces, found, strict=True)]
         fresh = list(set(chain.from_iterable(absent)))
-        batch = dict(zip(fresh, self._ids(fresh), strict=True))
+        # composed small letters without blanks; all of Latin-1 is composed
+        normal = [p for p in fresh if fits_latin1(p) and p == p.lower()] if self.drops_blanks else fresh
+        batch = dict(zip(normal, self._ids(normal, self.normal), strict=True))
+        if len(normal) < len(fresh):
+            rest = [p for p in fresh if p not in batch]
+            batch.update(zip(rest, self._ids(rest), strict=True))
         whole = {p for p in fresh if UNUSUAL.search(p)}
         out = []
         for text, ids, own in zip(texts, found, absent, strict=True):
@@ -85,6 +106,6 @@ class TextTokenizer:
             self.known.update((p, i) for p, i in batch.items() if i and p not in whole)
         return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
