@@ -114,6 +114,10 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         if m[2][0].isupper() and whole_word(text, m):
             found.append((*m.span(1), f"given.{KNOWN[m[1]][0]}", m[1].lower()))
             found.append((*m.span(2), "surname", m[2].lower()))
+    names = {text[a:b]: (kind, name) for a, b, kind, name in found if kind == "surname" or kind.startswith("given")}
+    if names:  # the same names without a form of address
+        for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, names)) + r")\b", text):
+            found.append((*m.span(), *names[m[0]]))
     out, end = [], 0
     for mention in sorted(set(found), key=lambda x: (x[0], -x[1], x[2])):
         if mention[0] >= end:
