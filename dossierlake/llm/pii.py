@@ -2,7 +2,8 @@
 
 Detected: e-mail addresses (with their domains as entities of their own), phone numbers, IPv4 addresses, card numbers
 (Luhn-valid), US social security numbers, secrets (AWS key ids; values of token, secret, password or key settings) and
-person names (after a form of address, or a known given name before a capitalised word).
+person names (after a form of address, a known given name before a capitalised word, and wherever the same document
+has a name so found).
 
 An entity is its canonical form: digits of a phone number, lower case of an address, a name's parts one by one. All
 mentions of an entity, in any layout and any document, get the same surrogate, laid out as the mention is, so
