@@ -27,8 +27,8 @@ from dossierlake.workspace import materialize
 SAMPLE, BRANCHES, LEAF = 60_000, 16, 150
 #: Queries that visits are calibrated on, and the share of their true neighbours to be found.
 CALIBRATION, RECALL = 300, 0.95
-#: Vectors of a leaf that are compared in one group, and queries that meet them.
-BLOCK = 20_000
+#: Neighbouring leaves that are searched in one group, and vectors and queries of a group at most.
+BUNDLE, BLOCK = 16, 20_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -54,9 +54,10 @@ class KMeansTree:
         todo = [(0, np.arange(len(sample)))]
         while todo:
             node, rows = todo.pop()
-            if len(rows) <= leaf:
+            if len(rows) <= 1.5 * leaf:
                 continue
-            centers = self._cluster(sample[rows], rng)
+            # the last split makes no more children than leaves are needed
+            centers = self._cluster(sample[rows], min(BRANCHES, max(2, round(len(rows) / leaf))), rng)
             owner = self._nearest(sample[rows], centers)
             parts = [rows[owner == i] for i in range(len(centers)) if (owner == i).any()]
             if len(parts) < 2:
@@ -77,8 +78,8 @@ class KMeansTree:
         return ((centers * centers).sum(axis=1) - 2 * rows @ centers.T).argmin(axis=1)
 
     @classmethod
-    def _cluster(cls, rows: np.ndarray, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-        centers = rows[rng.choice(len(rows), min(BRANCHES, len(rows)), replace=False)]
+    def _cluster(cls, rows: np.ndarray, parts: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+        centers = rows[rng.choice(len(rows), min(parts, len(rows)), replace=False)]
         for _ in range(rounds):
             owner = cls._nearest(rows, centers)
             sums = np.zeros_like(centers)
@@ -185,29 +186,46 @@ def nearest(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_i
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                paths = [tree.visit(v, visits) for v in unit(matrix(b.column("vector")))]
-                at = pa.array(np.repeat(np.arange(len(paths)), [len(p) for p in paths]))
-                columns = [b.column("query_id").take(at), b.column("vector").take(at), pa.array(np.concatenate(paths), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vector", "leaf"])
-
-    sent = asked.mapInArrow(send, "query_id long, vector array<double>, leaf long")
-    # leaves are dealt to groups, so that a group is neither tiny nor, with its blocks, unbounded
-    sizes = held.groupBy("leaf").agg(F.ceil(F.count("ids") / BLOCK).alias("blocks"))
-    loads = sent.groupBy("leaf").agg(F.ceil(F.count("query_id") / BLOCK).alias("parts"))
-    shape = materialize(sizes.join(loads, "leaf"), "leaf-shapes")
+            at, bundles, leaves = [], [], []
+            for i, v in enumerate(unit(matrix(b.column("vector")))) if b.num_rows else ():
+                own: dict[int, list[int]] = {}
+                for leaf in tree.visit(v, visits):
+                    own.setdefault(leaf // BUNDLE, []).append(leaf)
+                at += [i] * len(own)
+                bundles += own.keys()
+                leaves += own.values()
+            columns = [b.column("query_id").take(pa.array(at, pa.int64())), b.column("vector").take(pa.array(at, pa.int64()))]
+            columns += [pa.array(bundles, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vector", "bundle", "leaves"])
+
+    sent = asked.mapInArrow(send, "query_id long, vector array<double>, bundle long, leaves array<long>")
+    bundled = held.withColumn("bundle", F.expr(f"leaf div {BUNDLE}"))
+    sizes = bundled.groupBy("bundle").agg(F.ceil(F.count("ids") / BLOCK).alias("blocks"))
+    loads = sent.groupBy("bundle").agg(F.ceil(F.count("query_id") / BLOCK).alias("parts"))
+    shape = materialize(sizes.join(loads, "bundle"), "bundle-shapes")
     block, part = (F.expr(f"pmod(xxhash64({c}), {n})") for c, n in (("vector", "blocks"), ("query_id", "parts")))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = held.join(shape, "leaf").withColumn("block", block).withColumn("part", every("parts"))
-    right = sent.join(shape, "leaf").withColumn("part", part).withColumn("block", every("blocks"))
-    keys = ["leaf", "block", "part"]
+    left = bundled.join(shape, "bundle").withColumn("block", block).withColumn("part", every("parts"))
+    right = sent.join(shape, "bundle").withColumn("part", part).withColumn("block", every("blocks"))
+    keys = ["bundle", "block", "part"]
 
     def search(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        best: dict[int, list[tuple[float, int]]] = {}
         if len(c) and len(q):
-            found = compare(q["query_id"].tolist(), np.stack(q["vector"].tolist()), np.stack(c["vector"].tolist()), c["ids"].tolist(), k)
+            asking: dict[int, list[int]] = {}
+            for i, own in enumerate(q["leaves"]):
+                for leaf in own:
+                    asking.setdefault(int(leaf), []).append(i)
+            vectors, ids = np.stack(q["vector"].tolist()), q["query_id"].to_numpy()
+            for leaf, rows in c.groupby("leaf"):
+                at = asking.get(int(leaf), [])
+                if at:
+                    candidates = np.stack(rows["vector"].tolist())
+                    for query_id, vec_id, score in compare(ids[at].tolist(), vectors[at], candidates, rows["ids"].tolist(), k):
+                        best.setdefault(query_id, []).append((-score, vec_id))
+        found = [(i, j, -s) for i, own in best.items() for s, j in heapq.nsmallest(k, own)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    left, right = left.select(*keys, "vector", "ids"), right.select(*keys, "query_id", "vector")
+    left, right = left.select(*keys, "leaf", "vector", "ids"), right.select(*keys, "query_id", "vector", "leaves")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     return best_of(found, k).withColumn("visited", F.lit(visits))
