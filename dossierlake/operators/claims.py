@@ -15,7 +15,11 @@ RISK = "该声明需要内容相关且可独立复核的证据。"
 
 def claim_type(line: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """The first kind that the line fits, or null."""
-    low = lower_ascii(line)
+    return claim_type_of(lower_ascii(line), lexicon)
+
+
+def claim_type_of(low: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """As claim_type, of a line in lower case: a column of its own, since a CASE would lower it for each test anew."""
     digit = low.rlike("[0-9]")
     cases: list[tuple[Column, object]] = [(contains_any(low, lexicon.negations), F.lit(None).cast("string"))]
     for kind in lexicon.claim_types:
@@ -54,7 +58,8 @@ def first_claims(lines: DataFrame, lexicon: Lexicon = DEFAULT, most: int = CLAIM
     stated = (
         lines.withColumn("line", line)
         .where(byte_length(F.col("line")).between(SHORTEST, LONGEST))
-        .withColumn("claim_type", claim_type(F.col("line"), lexicon))
+        .withColumn("low", lower_ascii(F.col("line")))
+        .withColumn("claim_type", claim_type_of(F.col("low"), lexicon))
         .where(F.col("claim_type").isNotNull())
         .withColumn("key", claim_key(F.col("line")))
     )

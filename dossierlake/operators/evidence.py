@@ -48,14 +48,16 @@ def kinds_with(text: Column, lists: dict[str, tuple[str, ...]]) -> Column:
 
 
 def document_features(corpus: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    low = lower_ascii(F.col("text"))
-    return corpus.select(
+    low = F.col("low")
+    shares_words = any(k.name == "TechnicalCapability" for k in lexicon.claim_types)
+    words = latin_words(low, STOP_WORDS) if shares_words else F.array().cast("array<string>")
+    return corpus.withColumn("low", lower_ascii(F.col("text"))).select(
         "project_id",
         "path",
         "status",
         "text",
         telling_numbers(numbers_in(F.col("text"))).alias("doc_numbers"),
-        latin_words(low, STOP_WORDS).alias("doc_words"),
+        words.alias("doc_words"),
         contains_any(low, lexicon.contradictions).alias("doc_denies"),
         kinds_with(low, {k.name: k.markers for k in lexicon.claim_types if k.markers}).alias("doc_markers"),
         kinds_with(low, {k.name: k.proof_words for k in lexicon.claim_types if k.proof_words}).alias("doc_proofs"),

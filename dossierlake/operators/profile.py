@@ -39,7 +39,7 @@ def bounded_texts(documents: DataFrame, each: int = DOCUMENT_BYTES, total: int =
     placed = raw.withColumn("used", F.coalesce(F.sum(F.col("bytes") + 1).over(before), F.lit(0)))
     room = F.least(F.col("bytes"), F.lit(total) - F.col("used"))
     cut = F.substring(F.encode("text", "UTF-8"), F.lit(1), room.cast("int"))
-    return placed.where(F.col("used") < total).select("project_id", "path", room.alias("kept_bytes"), lower_ascii(F.decode(cut, "UTF-8")).alias("kept"))
+    return placed.where(F.col("used") < total).select("project_id", "path", room.alias("kept_bytes"), lower_ascii(F.make_valid_utf8(cut.cast("string"))).alias("kept"))
 
 
 def type_points(assets: DataFrame, texts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:

@@ -1,4 +1,8 @@
-"""The audit as DataFrames, one a stage, built from assets and a corpus; nothing runs until one is read."""
+"""The audit as DataFrames, one a stage, built from assets and a corpus.
+
+Nothing runs until a stage is asked for. What several stages read (profile, claims, evidence, findings) is then
+written once to the shared folder, so that it isn't computed again for each of them and plans stay small.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions.lexicon import DEFAULT, Lexicon
 from dossierlake.operators import claims, consistency, diff, evidence, fixes, inventory, profile, report, rules, scoring
+from dossierlake.workspace import materialize
 
 
 @dataclass(frozen=True)
@@ -33,26 +38,27 @@ class AuditFrames:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return profile.build_profile(self.corpus, self.assets, self.types, self.options.lexicon)
+        return materialize(profile.build_profile(self.corpus, self.assets, self.types, self.options.lexicon), "profile")
 
     @cached_property
     def claims(self) -> DataFrame:
-        return claims.extract_claims(self.corpus, self.assets, self.options.lexicon)
+        return materialize(claims.extract_claims(self.corpus, self.assets, self.options.lexicon), "claims")
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return evidence.match_evidence(self.claims, self.assets, self.corpus, self.options.lexicon)
+        found = evidence.match_evidence(self.claims, self.assets, self.corpus, self.options.lexicon)
+        return materialize(found, "evidence")
 
     @cached_property
     def issues(self) -> DataFrame:
-        return consistency.check_consistency(self.assets, self.profile, self.claims)
+        return materialize(consistency.check_consistency(self.assets, self.profile, self.claims), "issues")
 
     @cached_property
     def findings(self) -> DataFrame:
         packs = list(self.options.rules)
         facts = rules.project_facts(self.assets, self.profile, self.claims, self.evidence, self.issues)
         by_text = rules.text_findings(self.corpus, self.assets, len(packs))
-        return rules.evaluate(facts, packs).unionByName(by_text)
+        return materialize(rules.evaluate(facts, packs).unionByName(by_text), "findings")
 
     @cached_property
     def penalties(self) -> DataFrame:
@@ -65,7 +71,7 @@ class AuditFrames:
 
     @cached_property
     def tasks(self) -> DataFrame:
-        return fixes.group_tasks(fixes.candidate_tasks(self.findings, self.evidence, self.claims))
+        return materialize(fixes.group_tasks(fixes.candidate_tasks(self.findings, self.evidence, self.claims)), "tasks")
 
     @cached_property
     def plan(self) -> DataFrame:

@@ -10,7 +10,7 @@ from dossierlake.functions.lexicon import SECRET_MARKERS
 from dossierlake.operators import claims, evidence, fixes, histories, inventory, scoring, search, trust
 from dossierlake.plans.driver import BASE, CLAIMS, EVIDENCE, KEY, LOW, NUMBERS, PROSE, TELLING, TRIM, driver_assets, driver_corpus, sql_any
 from dossierlake.sources import formats
-from dossierlake.workspace import table
+from dossierlake.workspace import materialize, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -30,7 +30,8 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.match_evidence(_claims(spark, sf_dir), driver_assets(spark, sf_dir), driver_corpus(spark, sf_dir), PROSE)
+    stated = materialize(_claims(spark, sf_dir), "claims")  # 120 a project at most, and read twice
+    return evidence.match_evidence(stated, driver_assets(spark, sf_dir), driver_corpus(spark, sf_dir), PROSE)
 
 
 @query(f"WITH {BASE}, {CLAIMS} SELECT project_id, claim_id, claim_text, claim_type, path, line_no::INT AS line_no, confidence FROM claims")

@@ -156,7 +156,7 @@ def extract_texts(files: DataFrame) -> DataFrame:
     kind = F.when(extension == ".json", "json").when(extension.isin(".yaml", ".yml"), "yaml").otherwise(F.col("kind"))
     routed = files.where("auditable").withColumn("route", kind)
     size = F.octet_length(content)
-    head = F.decode(F.substring(content, 1, PLAIN_BYTES), "UTF-8")
+    head = F.make_valid_utf8(F.substring(content, 1, PLAIN_BYTES).cast("string"))
     columns = ["project_id", "path", F.col("file_name").alias("title")]
 
     plain = routed.where(F.col("route").isin("code", "text", "unknown")).select(

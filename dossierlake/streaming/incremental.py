@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from dossierlake.functions.lexicon import DEFAULT, Lexicon
-from dossierlake.functions.text import byte_length, claim_key, lines_of, trimmed
-from dossierlake.operators.claims import LONGEST, SHORTEST, claim_type
+from dossierlake.functions.text import byte_length, claim_key, lines_of, lower_ascii, trimmed
+from dossierlake.operators.claims import LONGEST, SHORTEST, claim_type_of
 
 CORPUS = T.StructType(
     [
@@ -41,11 +41,12 @@ def new_claims(corpus: DataFrame, lexicon: Lexicon = DEFAULT, delay: str = "1 ho
     stated = (
         lines.withColumn("claim_text", trimmed(F.col("raw")))
         .where(byte_length(F.col("claim_text")).between(SHORTEST, LONGEST))
-        .withColumn("claim_type", claim_type(F.col("claim_text"), lexicon))
+        .withColumn("low", lower_ascii(F.col("claim_text")))
+        .withColumn("claim_type", claim_type_of(F.col("low"), lexicon))
         .where(F.col("claim_type").isNotNull())
         .withColumn("key", claim_key(F.col("claim_text")))
     )
-    return stated.dropDuplicatesWithinWatermark(["project_id", "claim_type", "key"]).drop("raw", "key")
+    return stated.dropDuplicatesWithinWatermark(["project_id", "claim_type", "key"]).drop("raw", "low", "key")
 
 
 def windowed_counts(events: DataFrame, time: str, by: str, window: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
