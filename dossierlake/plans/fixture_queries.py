@@ -474,7 +474,10 @@ def observation_tool_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.groupBy(F.col("event_type").alias("tool")).agg(F.count("event_id").alias("calls"), F.count_if(F.coalesce("granted", F.lit(False))).alias("allowed"))
 
 
-@query(None)
+@query(
+    """SELECT event_id || '.json' AS path, string_agg('key: ' || k || chr(10) || k || ': ' || json_extract_string(props, '$.' || k) || chr(10), '' ORDER BY k) AS text,
+'EXTRACTED_STRUCTURED_JSON' AS status FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) GROUP BY event_id"""
+)
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties as JSON files, flattened to lines."""
     events = table(spark, sf_dir, "events").select(
