@@ -10,7 +10,7 @@ from dossierlake.functions.lexicon import SECRET_MARKERS
 from dossierlake.operators import claims, evidence, fixes, histories, inventory, scoring, search, trust
 from dossierlake.plans.driver import BASE, CLAIMS, EVIDENCE, KEY, LOW, NUMBERS, PROSE, TELLING, TRIM, driver_assets, driver_corpus, sql_any
 from dossierlake.sources import formats
-from dossierlake.workspace import materialize, table
+from dossierlake.workspace import materialize, spread_table, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -210,7 +210,7 @@ def line_search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, array_to_string({TELLING.format('n')}, ',') AS numbers FROM (SELECT doc_id, {NUMBERS.format('text')} AS n FROM documents)")
 def number_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.array_join(text.telling_numbers(text.numbers_in(F.col("text"))), ",").alias("numbers"))
 
 
@@ -221,7 +221,7 @@ SELECT doc_id, list_filter(list_sort(list_distinct(list_transform(regexp_extract
 )
 def latin_word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = text.latin_words(F.col("text"), evidence.STOP_WORDS)
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
     return docs.select("doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ").cast("binary")).alias("words"))
 
 
@@ -251,7 +251,7 @@ for _pattern, _stays in redaction.PATTERNS:
 @query(f"SELECT doc_id, md5({REDACT_SQL}) AS digest, contains({REDACT_SQL}, '[REDACTED]') AS hidden FROM documents")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = redaction.redact(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", clean.alias("clean"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", clean.alias("clean"))
     return docs.select("doc_id", F.md5(F.col("clean").cast("binary")).alias("digest"), F.col("clean").contains("[REDACTED]").alias("hidden"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions.lexicon import ClaimType, Lexicon
 from dossierlake.functions.text import first_match
-from dossierlake.workspace import table
+from dossierlake.workspace import spread_table, table
 
 #: Words that the invented prose has, in place of the default lexicon's.
 PROSE = Lexicon(
@@ -39,7 +39,7 @@ def driver_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def driver_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project_id"), "text")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project_id"), "text")
     marks = table(spark, sf_dir, "labels").select("doc_id", "quality")
     bad = F.coalesce("quality", F.lit(1)) == 0
     return docs.join(marks, "doc_id", "left").select(

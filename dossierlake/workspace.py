@@ -48,3 +48,12 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with much work a row: dealt to all cores where its files give fewer splits than there are cores.
+
+    Such a table is small, so the shuffle is; one with enough splits is read as it lies.
+    """
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
