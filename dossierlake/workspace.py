@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of applications without a shared one.
+_OWN: dict[str, str] = {}
+
+
 def build_session(app: str = "dossierlake", master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with the settings this library is tested with; a cluster's own settings win elsewhere."""
     builder = SparkSession.builder.master(master).appName(app)
@@ -25,12 +29,14 @@ def build_session(app: str = "dossierlake", master: str = "local[*]", **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (as in tests on one machine) a temporary folder is made and set.
+    Only where the session has none (as in tests on one machine) a temporary folder is made, one an application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="dossierlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = "file://" + tempfile.mkdtemp(prefix="dossierlake-")
+        found = _OWN[application]
     return found.rstrip("/")
 
 
