@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from dossierlake.llm import mixing, packing, pii, quality, simhash
 from dossierlake.llm.common import held_out, tokenizer_path, word_count
 from dossierlake.llm.queries import QUALITY_FROM, SURROGATE_KEY
-from dossierlake.workspace import materialize, table
+from dossierlake.workspace import materialize, spread_table, table
 
 #: The byte-level tokenizer's end of text.
 END_OF_TEXT = 50256
+#: Pieces that a worker remembers here, where it has held other stages' data before.
+PIECES = 20_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +49,9 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, length, doc_tokens, ids (little-endian u32), sequence_id, offset of each packed piece."""
-    pieces, placed = packing.pack_documents(
-        docs, tokenizer_path("byte_bpe_50k.json"), end_id=END_OF_TEXT, drops_blanks=False
-    )
+    """doc_id, start, length, doc_tokens, ids (little-endian u16), sequence_id, offset of each packed piece."""
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
+    pieces, placed = packing.pack_documents(docs, tokenizer, END_OF_TEXT, drops_blanks=False, memory=PIECES, id_bytes=2)
     return pieces.join(placed, "piece").drop("piece")
 
 
@@ -67,7 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossierlake.llm.common import slices, text_batches
 from dossierlake.workspace import materialize
 
 MU = 1.0
@@ -201,6 +202,7 @@ def score_documents(
     docs: DataFrame, train_on: Column, order: int = 2, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities), train."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("doc_id"), train_on.alias("train"), F.col(text_column).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
@@ -216,7 +218,7 @@ def score_documents(
             columns |= {k: pa.array([v], types.get(k, pa.binary())) for k, v in row.items()}
             return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-        for b in batches:
+        for b in slices(batches):
             for i, t, x in zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), b.column("text").to_pylist()):
                 x = x or b""
                 if ids and size + len(x) > CHUNK:

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossierlake.llm.record_files import shared_tokenizer
+from dossierlake.llm.common import slices, text_batches
+from dossierlake.llm.tokenizing import MEMORY, shared_tokenizer
 from dossierlake.workspace import materialize
 
 CAPACITY, UNIT = 2048, 8
@@ -148,28 +149,38 @@ class Layout:
 
 
 def tokenized_pieces(
-    docs: DataFrame, tokenizer: str, drops_blanks: bool, end_id: int, id_column: str, text_column: str, capacity: int
+    docs: DataFrame,
+    tokenizer: str,
+    drops_blanks: bool,
+    end_id: int,
+    id_column: str,
+    text_column: str,
+    capacity: int,
+    memory: int = MEMORY,
+    id_bytes: int = 4,
 ) -> DataFrame:
-    """piece, doc_id, start, length, doc_tokens, ids (little-endian u32 bytes), written once.
+    """piece, doc_id, start, length, doc_tokens, ids (little-endian, ``id_bytes`` each), written once.
 
     Every row of ``docs`` is a document of its own, also where an id repeats or is null; a null text has the end id.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            encoder = shared_tokenizer(tokenizer, drops_blanks)
+        for batch in slices(batches):
+            encoder = shared_tokenizer(tokenizer, drops_blanks, memory)
             ending = np.uint32(end_id).tobytes()
             encoded = [ids + ending for ids in encoder.encode(batch.column("text").to_pylist())]
-            counts = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
+            if id_bytes == 2:
+                encoded = [np.frombuffer(ids, "<u4").astype("<u2").tobytes() for ids in encoded]
+            counts = np.array([len(e) // id_bytes for e in encoded], dtype=np.int64)
             parts = -(-counts // capacity)
             owner = np.repeat(np.arange(len(encoded)), parts)
             start = (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * capacity
             length = np.minimum(capacity, counts[owner] - start)
-            ids = [
-                encoded[o][4 * s : 4 * (s + n)] for o, s, n in zip(owner.tolist(), start.tolist(), length.tolist())
-            ]
+            spans = zip(owner.tolist(), (start * id_bytes).tolist(), (length * id_bytes).tolist())
+            ids = [encoded[o][s : s + n] for o, s, n in spans]
             arrays = [batch.column("doc_id").take(pa.array(owner)), *map(pa.array, (start, length, counts[owner]))]
             names = ["doc_id", "start", "length", "doc_tokens", "ids"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.binary())], names=names)
@@ -227,7 +238,12 @@ def pack_documents(
     id_column: str = "doc_id",
     text_column: str = "text",
     capacity: int = CAPACITY,
+    memory: int = MEMORY,
+    id_bytes: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
-    """The pieces with their ids, and where each lies. Join them on ``piece`` for the packed sequences."""
-    pieces = tokenized_pieces(docs, tokenizer, drops_blanks, end_id, id_column, text_column, capacity)
+    """The pieces with their ids, and where each lies. Join them on ``piece`` for the packed sequences.
+
+    ``id_bytes`` is 2 or 4; two do for tokenizers of up to 65,536 ids and halve what is written and shuffled.
+    """
+    pieces = tokenized_pieces(docs, tokenizer, drops_blanks, end_id, id_column, text_column, capacity, memory, id_bytes)
     return pieces, place_pieces(pieces.select("piece", "length"), capacity)

@@ -25,11 +25,11 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import count
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossierlake.llm.common import parts_of, text_batches
 from dossierlake.workspace import materialize
 
 # Common given names by gender and script, forms of address by gender, and syllables of made-up surnames.
@@ -56,6 +56,7 @@ ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])")
 #: Without a word boundary in front, which would slow the search down; whole_word() looks.
 TITLED = re.compile(r"(" + "|".join(TITLES) + r")\.? ([^\W\d_]+)(?: ([^\W\d_]+))?")
 NAMED = re.compile(r"(" + "|".join(KNOWN) + r") ([^\W\d_]+)")
+SPANS = "array<struct<begin:int,stop:int,kind:string,canonical:string>>"
 #: A draw whose kind has no longer forms gives up after so many attempts; the others grow from LONGER on.
 ATTEMPTS, LONGER = 200, 6
 
@@ -248,19 +249,20 @@ def replace_entities(
 
     A column of that name is replaced. Row order isn't kept.
     """
+    text_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c != counted]
     docs = docs.select(*columns)
-    spans = "array<struct<begin:int,stop:int,kind:string,canonical:string>>"
     row, mentions, known = "__pii_row", "__pii_mentions", "__pii_known"
 
-    @F.pandas_udf(spans)
-    def found(texts):
+    @F.arrow_udf(SPANS)
+    def found(texts: pa.Array) -> pa.Array:
         names = ("begin", "stop", "kind", "canonical")
-        return pd.Series([[dict(zip(names, m)) for m in detect(t)] for t in texts], index=texts.index)
+        rows = [[dict(zip(names, m)) for m in detect(t)] for part in parts_of(texts) for t in part]
+        return pa.array(rows, pa.list_(pa.struct(list(zip(names, (pa.int32(), pa.int32(), pa.string(), pa.string()))))))
 
-    @F.pandas_udf("boolean")
-    def none_found(texts):
-        return pd.Series([not detect(t) for t in texts], index=texts.index)
+    @F.arrow_udf("boolean")
+    def none_found(texts: pa.Array) -> pa.Array:
+        return pa.array([not detect(t) for part in parts_of(texts) for t in part], pa.bool_())
 
     hits = docs.withColumn(mentions, found(F.col(text_column))).where(F.size(mentions) > 0)
     hits = materialize(hits.withColumn(row, F.monotonically_increasing_id()), "pii-hits")
@@ -275,17 +277,19 @@ def replace_entities(
         .agg(F.collect_list(F.struct("kind", "canonical", "surrogate")).alias(known))
     )
 
-    @F.pandas_udf("string")
-    def replaced(texts: pd.Series, spans: pd.Series, pairs: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def replaced(texts: pa.Array, spans: pa.Array, pairs: pa.Array) -> pa.Array:
         out = []
-        for text, own, given in zip(texts, spans, pairs, strict=True):
-            mapping = {(g["kind"], g["canonical"]): g["surrogate"] for g in given}
-            parts, at = [], 0
-            for m in own:
-                parts += [text[at : m["begin"]], lay_out(text[m["begin"] : m["stop"]], m["kind"], mapping, m["canonical"])]
-                at = m["stop"]
-            out.append("".join(parts) + text[at:])
-        return pd.Series(out, index=texts.index)
+        for part in zip(parts_of(texts), parts_of(spans), parts_of(pairs), strict=True):
+            for text, own, given in zip(*part, strict=True):
+                mapping = {(g["kind"], g["canonical"]): g["surrogate"] for g in given}
+                pieces, at = [], 0
+                for m in own:
+                    new = lay_out(text[m["begin"] : m["stop"]], m["kind"], mapping, m["canonical"])
+                    pieces += [text[at : m["begin"]], new]
+                    at = m["stop"]
+                out.append("".join(pieces) + text[at:])
+        return pa.array(out, pa.string())
 
     done = hits.join(by_row, row).withColumn(text_column, replaced(text_column, mentions, known))
     done = done.select(*columns, F.size(mentions).cast("long").alias(counted))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossierlake.llm.common import parts_of, slices, text_batches
+
 CHUNK, STRIDE = 512, 448
 TRAIN_ROWS, TRAIN_CHUNKS = 4000, 32
 #: Chunks that go through the filters at once, so that memory doesn't follow a text's length.
@@ -161,6 +163,7 @@ def fit(
     text_column: str = "text",
 ) -> ByteConvNet:
     """Train on the labelled documents for which ``train_on`` (a condition on the id) holds."""
+    text_batches(docs.sparkSession)
     known = labels.where(train_on & F.col(label_column).isin(0, 1)).select(
         F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")
     )
@@ -168,7 +171,7 @@ def fit(
     bounded = known.dropna().orderBy(*order).limit(TRAIN_ROWS)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cut = []
             for text in b.column("text").to_pylist():
                 own = cut_chunks(text)
@@ -188,10 +191,10 @@ def fit(
 def score(docs: DataFrame, net: ByteConvNet, text_column: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column of scores. The network is a few ten kilobytes."""
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
+    text_batches(docs.sparkSession)
 
-        return pd.Series(net.score(texts.tolist()), index=texts.index)
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *map(net.score, parts_of(texts))]))
 
     return docs.withColumn(name, scored(F.col(text_column)))

@@ -18,11 +18,11 @@ from dossierlake.llm import (
     simhash,
 )
 from dossierlake.llm.common import held_out, tokenizer_path, word_count
-from dossierlake.workspace import table
+from dossierlake.workspace import spread_table, table
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     scored = lm_scoring.score_documents(docs, train_on=~held_out("doc_id", 10))
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
@@ -34,7 +34,7 @@ QUALITY_FROM = 0.3
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
     net = quality.fit(docs, labels, "quality", train_on=~held_out("doc_id", 5))
     scored = quality.score(docs, net)
@@ -43,19 +43,19 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+    return simhash.near_duplicates(spread_table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, placed = packing.pack_documents(
-        table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, drops_blanks=True
+        spread_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, drops_blanks=True
     )
     digests = pieces.select("piece", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return digests.join(placed, "piece").drop("piece")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     mixed = mixing.mix_sources(docs, word_count(F.col("text"))).withColumn("size", word_count(F.col("text")))
     taken = F.col("size") * F.col("copies")
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
@@ -114,7 +114,7 @@ LEFT JOIN bounds e ON z.source IS NOT DISTINCT FROM e.source
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scanned = license_scan.scan(spread_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scanned.select(
         "doc_id",
         F.size("matches").cast("long").alias("n_matches"),
@@ -177,7 +177,7 @@ SURROGATE_KEY = b"dossierlake surrogates"
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace_entities(docs, SURROGATE_KEY).select("doc_id", "n_entities", "text")
 
 
@@ -207,7 +207,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = record_files.new_folder(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     files = record_files.write_token_files(docs, folder, tokenizer_path("byte_bpe_50k.json"), end_id=0)
     read = record_files.read_token_files(spark, folder, files)
     return read.select(

@@ -15,7 +15,7 @@ a small table that Spark commits as a whole: files of lost attempts are in no li
 
 from __future__ import annotations
 
-import functools
+import re
 import struct
 import uuid
 import zlib
@@ -28,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossierlake.llm.tokenizing import TextTokenizer
+from dossierlake.llm.common import slices, text_batches
+from dossierlake.llm.tokenizing import shared_tokenizer
 from dossierlake.workspace import materialize, shared_dir
 
 MAGIC = b"DLTREC01"
@@ -50,12 +51,6 @@ def frame(doc_id: int | None, ids: bytes) -> bytes:
     return size + struct.pack("<I", masked(size)) + payload + struct.pack("<I", masked(payload))
 
 
-@functools.lru_cache(maxsize=2)
-def shared_tokenizer(path: str, drops_blanks: bool = False) -> TextTokenizer:
-    """One a Python worker, kept from task to task."""
-    return TextTokenizer(path, drops_blanks)
-
-
 class RecordWriter:
     """Writes one data file and its index."""
 
@@ -151,6 +146,7 @@ def write_token_files(
     Returns the file list: part, path (its name in ``folder``), records, tokens. Rows with one id are ordered by a
     hash of the text, then the text, so reruns write the same records. A null text is written as the end id alone.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_column).cast("long").alias("id"),
         F.col(text_column).alias("text"),
@@ -162,7 +158,7 @@ def write_token_files(
         from tokenizers import Tokenizer
 
         part, writer = TaskContext.get().partitionId(), None
-        for batch in batches:
+        for batch in slices(batches):
             if writer is None and batch.num_rows:
                 encoder = shared_tokenizer(tokenizer)
                 largest = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
@@ -213,5 +209,7 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A folder of its own in the shared storage."""
-    return f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    """A folder of its own in the shared storage, with its scheme: without one, Spark and Arrow could differ on it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/records-{uuid.uuid4().hex}")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub("^file:/+", "file:///", store.makeQualified(path).toString())

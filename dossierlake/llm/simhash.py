@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossierlake.llm.common import slices, text_batches
 from dossierlake.llm.components import connected_components
 from dossierlake.workspace import materialize
 
@@ -65,11 +66,12 @@ def fingerprint(text: str | None, words: int) -> int:
 
 def fingerprints(docs: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
     """doc_id, fingerprint as a long with the same 64 bits."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fingerprint"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import os
 import re
@@ -20,8 +21,10 @@ PIECE = re.compile(
 UNUSUAL = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|")
 #: What str.split() takes for white space and the tokenizers don't.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Distinct pieces whose ids a worker remembers, about 150 bytes each.
+MEMORY = 800_000
 #: Characters that are cut into pieces at once, whatever the size of a batch.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def fits_latin1(text: str) -> bool:
@@ -40,14 +43,15 @@ class TextTokenizer:
     normaliser lowers letters and its pre-tokeniser drops white space.
     """
 
-    def __init__(self, path: str, drops_blanks: bool = False, memory: int = 800_000):
+    def __init__(self, path: str, drops_blanks: bool = False, memory: int = MEMORY):
         from tokenizers import Tokenizer, normalizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         #: For pieces that the normaliser leaves as they are.
-        self.normal = Tokenizer.from_file(path)
-        if self.normal.normalizer is not None:
+        self.normal = self.tokenizer
+        if drops_blanks:
+            self.normal = Tokenizer.from_file(path)
             self.normal.normalizer = normalizers.Sequence([])
         self.drops_blanks = drops_blanks
         self.memory = memory
@@ -109,3 +113,9 @@ class TextTokenizer:
     def _ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
         found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
+
+
+@functools.lru_cache(maxsize=2)
+def shared_tokenizer(path: str, drops_blanks: bool = False, memory: int = MEMORY) -> TextTokenizer:
+    """One a Python worker, kept from task to task."""
+    return TextTokenizer(path, drops_blanks, memory)

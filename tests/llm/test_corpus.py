@@ -300,4 +300,4 @@ def test_pipeline_stages_on_small_tables(spark, tmp_path):
     mixed = corpus_pipeline.mix_to_weights(spark, docs, sf_dir)
     assert mixed.columns == docs.columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 2
     packed = corpus_pipeline.run(spark, sf_dir).collect()
-    assert packed and all(len(r.ids) == 4 * r.length for r in packed)
+    assert packed and all(len(r.ids) == 2 * r.length for r in packed)
