@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm import mixing, packing, pii, quality, simhash
+from dossierlake.llm import mixing, packing, pii, quality, resemblance
 from dossierlake.llm.common import held_out, tokenizer_path, word_count
 from dossierlake.llm.queries import QUALITY_FROM, SURROGATE_KEY
 from dossierlake.workspace import materialize, spread_table, table
@@ -29,8 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints over five-word shingles link."""
-    return simhash.one_of_each(docs, words=5, radius=3).select(*docs.columns)
+    """One document of each group that links of a Jaccard similarity of 0.8 or more over five-word shingles join."""
+    return resemblance.one_of_each(docs, words=5).select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

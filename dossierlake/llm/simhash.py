@@ -41,22 +41,27 @@ TREE_SAMPLE, SHARD = 100_000, 1500
 BLOCK = 6000
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """SimHash of the text's word shingles, repeats included.
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """XXH64 values of the text's word shingles, repeats included.
 
     A-Z in lower case; words are runs of anything but space and 09 to 0D. A text with fewer words is one shingle; one
-    without words has fingerprint zero. A bit is 1 if it is set in over half the shingles' XXH64 values.
+    without words has none.
     """
     found = (text or "").encode().lower().split()
-    if not found:
-        return 0
     joined = b" ".join(found)
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return [xxhash.xxh64_intdigest(joined, SEED)] if found else []
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = [0, *(ends[: len(found) - words] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """SimHash of the text's word shingles: a bit is 1 if it is set in over half of their hashes; zero without words."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     raw = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(raw), 1 << 16):
@@ -234,15 +239,3 @@ def near_duplicates(
     return marked.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 3, text_column: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the first as the table stands when it is written down.
-
-    Rows get keys of their own, so null and repeated ids do no harm.
-    """
-    key = "__row"
-    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
-    groups = near_duplicates(keyed.select(key, text_column), words, radius, key, text_column)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key))
-    return keyed.join(first, key, "left_semi").drop(key)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from dossierlake.llm import simhash
+from dossierlake.llm import resemblance, simhash
 from dossierlake.llm.components import connected_components
 
 
@@ -134,3 +134,43 @@ def test_near_duplicates_against_brute_force(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
+
+
+@pytest.mark.parametrize("block", [4_000_000, 40_000])
+def test_one_of_each_joins_what_reaches_the_bar(spark, monkeypatch, block):
+    monkeypatch.setattr(resemblance, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    rows = [(None, None), (1, " \n"), (2, "one two"), (3, "ONE  two")]
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 200))]
+        rows.append((100 * i + 10, " ".join(words)))
+        for k in range(1 + i % 3 * 3):  # a word changed changes five shingles, so these lie on both sides of the bar
+            changed = list(words)
+            for at in rng.choice(len(words), rng.integers(0, 7), replace=False):
+                changed[at] = f"new{rng.integers(10**9)}"
+            rows.append((100 * i + 11 + k, " ".join(changed)))
+    hot = [f"h{x}" for x in range(100)]
+    for k in range(60):  # a dense group where many pairs miss the bar but a third joins them
+        rows.append((90_000 + k, " ".join(hot[:k] + [f"own{k}"] + hot[k + 1 :])))
+    sets = []
+    for _, t in rows:
+        found = (t or "").lower().split()
+        sets.append({tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set())
+    pairs = [
+        (a, b)
+        for a in range(len(rows))
+        for b in range(a)
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ]
+    assert sum(sets[a] != sets[b] for a, b in pairs) > 100
+    root = plain_components(range(len(rows)), pairs)
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int").coalesce(1)
+    got = resemblance.one_of_each(docs).collect()
+    assert sorted(r.n for r in got) == sorted(k for k in root if root[k] == k)
+
+
+def test_links_below_the_bar_are_not_made(spark):
+    words = [f"w{i}" for i in range(60)]
+    far = words[:20] + ["x"] + words[21:40] + ["y"] + words[41:58] + ["z", "z"]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(far))], "doc_id long, text string")
+    assert resemblance.one_of_each(docs).count() == 2
