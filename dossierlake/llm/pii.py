@@ -1,9 +1,10 @@
 """Surrogates for personal data: each detected entity is replaced by a keyed one of its own type and format.
 
-Detected: e-mail addresses (with their domains as entities of their own), phone numbers, IPv4 addresses, card numbers
-(Luhn-valid), US social security numbers, secrets (AWS key ids; values of token, secret, password or key settings) and
-person names (after a form of address, a known given name before a capitalised word, and wherever the same document
-has a name so found).
+Detected: e-mail addresses (with their domains as entities of their own), phone numbers (in groups, international ones in
+any groups of 8 to 15 digits behind a plus, ten bare digits), IPv4 and IPv6 addresses, card numbers (Luhn-valid), IBANs
+(of a country's length, with valid check digits), US social security numbers, secrets (AWS key ids; values of token,
+secret, password or key settings) and person names (after a form of address or a degree, a known given name before a
+capitalised word, and wherever the same document has a name so found).
 
 An entity is its canonical form: digits of a phone number, lower case of an address, a name's parts one by one. All
 mentions of an entity, in any layout and any document, get the same surrogate, laid out as the mention is, so
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -34,12 +36,12 @@ from dossierlake.workspace import materialize
 
 # Common given names by gender and script, forms of address by gender, and syllables of made-up surnames.
 GIVEN = {
-    ("m", "latin"): "James John Robert Michael David William Thomas Daniel Paul Peter Mark George Frank Hans Karl Klaus Pierre Jean Luis Carlos Miguel Antonio".split(),
-    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Susan Jessica Sarah Karen Anna Laura Emma Julia Sophie Claire Ingrid Petra Maria Carmen Lucia Isabel Elena".split(),
-    ("m", "cyrillic"): "Иван Пётр Алексей Дмитрий Сергей Андрей Николай Михаил Павел Олег".split(),
-    ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Юлия Вера".split(),
+    ("m", "latin"): "James John Robert Michael David William Thomas Daniel Paul Peter Mark George Frank Hans Karl Klaus Pierre Jean Luis Carlos Miguel Antonio Adam Alexander Andrew Anthony Benjamin Brian Charles Christopher Edward Eric Gary Henry Jacob Jason Jeffrey Jonathan Joseph Joshua Kenneth Kevin Matthew Nicholas Patrick Philip Richard Ronald Ryan Samuel Stephen Steven Timothy Andreas Christian Dieter Fritz Günter Heinz Helmut Jens Johannes Jürgen Lukas Manfred Markus Matthias Rainer Sebastian Stefan Tobias Uwe Werner Wolfgang Alain Bernard Étienne François Gérard Guillaume Henri Jacques Julien Laurent Louis Marcel Mathieu Michel Nicolas Olivier Philippe Thierry Alejandro Álvaro Diego Fernando Francisco Javier Jorge José Juan Manuel Pablo Pedro Rafael Ricardo Sergio Giovanni Giuseppe Marco Mohammed Ahmed Omar Ali".split(),
+    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Susan Jessica Sarah Karen Anna Laura Emma Julia Sophie Claire Ingrid Petra Maria Carmen Lucia Isabel Elena Alice Amanda Amy Andrea Angela Ashley Barbara Betty Carol Caroline Catherine Christine Cynthia Deborah Diana Dorothy Emily Hannah Helen Jane Janet Judith Julie Katherine Kathleen Kelly Kimberly Lisa Margaret Martha Megan Melissa Michelle Nancy Nicole Olivia Pamela Rachel Rebecca Sandra Sharon Stephanie Teresa Angelika Birgit Brigitte Charlotte Christina Gisela Hannelore Heike Helga Katharina Lena Monika Renate Sabine Silke Susanne Ursula Amélie Camille Cécile Chantal Élodie Florence Françoise Hélène Isabelle Jeanne Léa Manon Marie Nathalie Simone Sylvie Valérie Véronique Adriana Ana Beatriz Cristina Dolores Inés Josefa Lucía María Pilar Raquel Rocío Fatima Aisha".split(),
+    ("m", "cyrillic"): "Иван Пётр Алексей Дмитрий Сергей Андрей Николай Михаил Павел Олег Александр Антон Артём Борис Василий Виктор Владимир Григорий Денис Евгений Игорь Кирилл Максим Никита Роман Степан Юрий".split(),
+    ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Юлия Вера Александра Алина Анастасия Валентина Виктория Галина Дарья Евгения Екатерина Ксения Людмила Марина Надежда Оксана Полина София Тамара".split(),
 }
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Mme": "f", "Madame": "f", "Sr": "m", "Sra": "f", "Señor": "m", "Señora": "f", "Господин": "m", "Госпожа": "f"}
+TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Mme": "f", "Madame": "f", "Sr": "m", "Sra": "f", "Señor": "m", "Señora": "f", "Господин": "m", "Госпожа": "f", "Miss": "f", "Sir": "m", "Don": "m", "Doña": "f", "Profesora": "f", "Доктор": "n", "Профессор": "n"} | dict.fromkeys("Dr Prof Doctor Professor Docteur Professeur Doktor Profesor".split(), "n")
 SYLLABLES = {
     "latin": "bar bel cor dan del fen gar hol jan kel lan mar nor pel ros sen tal vin wes zan".split(),
     "cyrillic": "бар вел гор дан лен мар нов рос сан тол".split(),
@@ -48,13 +50,19 @@ SYLLABLES = {
 KNOWN = {name: (gender, script) for (gender, script), names in GIVEN.items() for name in names}
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@((?:[A-Za-z0-9-]{1,63}\.){1,8})([A-Za-z]{2,24})(?![A-Za-z0-9-])")
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)")
+INTERNATIONAL = re.compile(r"(?<![\w+])\+[1-9](?:[ .()/-]{0,2}\d){7,14}(?!\w)")
+#: Ten bare digits, pairs as in France, and an area code before a longer number.
+NATIONAL = re.compile(r"(?<![\w+.,/-])(?:[2-9]\d{9}|0[1-9](?:[ .-]\d\d){4}|0\d{2,4}[ /-]\d{6,8})(?![\w/]|[.,-]\d)")
 IPV4 = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?= ?[A-Z0-9])")
+IBAN_SIZES = {"AD": 24, "AE": 23, "AL": 28, "AT": 20, "BA": 20, "BE": 16, "BG": 22, "BR": 29, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "KZ": 20, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MT": 31, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29}
 CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{8,})", re.IGNORECASE)
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])")
 #: Without a word boundary in front, which would slow the search down; whole_word() looks.
-TITLED = re.compile(r"(" + "|".join(TITLES) + r")\.? ([^\W\d_]+)(?: ([^\W\d_]+))?")
+TITLED = re.compile(r"({0})(?:\.? (?:{0}))*\.? ([^\W\d_]+)(?: ([^\W\d_]+))?".format("|".join(TITLES)))
 NAMED = re.compile(r"(" + "|".join(KNOWN) + r") ([^\W\d_]+)")
 SPANS = "array<struct<begin:int,stop:int,kind:string,canonical:string>>"
 #: A draw whose kind has no longer forms gives up after so many attempts; the others grow from LONGER on.
@@ -70,6 +78,34 @@ def script_of(word: str) -> str:
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "latin"
 
 
+def checked(iban: str) -> int:
+    """What an account number without spaces leaves by 97: 1 if its check digits are right."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def account(text: str, start: int) -> tuple[int, str] | None:
+    """(end, canonical) of the IBAN that starts there, if one does."""
+    size, at, found = IBAN_SIZES.get(text[start : start + 2]), start, ""
+    while size and len(found) < size and at < len(text):
+        if text[at] != " ":
+            found += text[at]
+        elif text[at - 1] == " ":
+            return None
+        at += 1
+    if not size or not re.fullmatch(rf"[A-Z0-9]{{{size}}}", found) or text[at : at + 1].isalnum() or checked(found) != 1:
+        return None
+    return at, found
+
+
+def address6(mention: str) -> str | None:
+    """The full form of an IPv6 address that has a digit and isn't a machine's own."""
+    try:
+        found = ipaddress.IPv6Address(mention)
+    except ValueError:
+        return None
+    return None if found.is_loopback or found.is_unspecified or not re.search(r"\d", mention) else found.exploded
+
+
 def whole_word(text: str, m: re.Match) -> bool:
     return m.start() == 0 or not text[m.start() - 1].isalnum()
 
@@ -87,9 +123,20 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             digits = re.sub(r"\D", "", m[0])
             if 9 <= len(digits) <= 15:
                 found.append((*m.span(), "phone", ("+" if m[0][0] == "+" else "") + digits))
+        starts = {x[0] for x in found if x[2] == "phone"}
+        for m in [*(INTERNATIONAL.finditer(text) if "+" in text else ()), *NATIONAL.finditer(text)]:
+            if m.start() not in starts:
+                found.append((*m.span(), "phone", ("+" if m[0][0] == "+" else "") + re.sub(r"\D", "", m[0])))
         for m in IPV4.finditer(text):
             if all(int(x) < 256 for x in m[0].split(".")):
                 found.append((*m.span(), "ip", ".".join(str(int(x)) for x in m[0].split("."))))
+        if text.count(":") > 1:
+            for m in IPV6.finditer(text):
+                if full := address6(m[0]):
+                    found.append((*m.span(), "ipv6", full))
+        for m in IBAN.finditer(text):
+            if own := account(text, m.start()):
+                found.append((m.start(), own[0], "iban", own[1]))
         for m in CARD.finditer(text):
             digits = re.sub(r"\D", "", m[0])
             if luhn(digits) and int(digits):
@@ -104,9 +151,11 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             found.append((*m.span(), "secret", m[0]))
     for m in TITLED.finditer(text):
         first, last = m[2], m[3]
-        if not first[0].isupper() or not whole_word(text, m):
+        if not first[0].isupper() or first in TITLES or not whole_word(text, m):
             continue
         gender = TITLES[m[1]]
+        if gender == "n" and first in KNOWN:
+            gender = KNOWN[first][0]
         if last and last[0].isupper():
             found.append((*m.span(2), f"given.{gender}", first.lower()))
             found.append((*m.span(3), "surname", last.lower()))
@@ -181,6 +230,12 @@ def draw(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         return "+" * international + number(digits, keep, pick)
     if kind == "ip":
         return ".".join(str(1 + pick(223 if i == 0 else 254)) for i in range(4))
+    if kind == "ipv6":
+        groups = [f"{1 + pick(0xFFFF):04x}" if extra or g != "0000" else g for g in canonical.split(":")]
+        return ":".join([canonical[:2] + groups[0][2:], *groups[1:]]) if canonical[:2] != "00" else ":".join(groups)
+    if kind == "iban":
+        body = canonical[:2] + "00" + alike(canonical[4:], pick)
+        return body[:2] + f"{98 - checked(body):02d}" + body[4:]
     if kind == "card":
         body = number(canonical[:-1], 1, pick)
         return body + next(c for c in "0123456789" if luhn(body + c))
@@ -195,7 +250,8 @@ def draw(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         if script == "cyrillic":
             word += "ова" if canonical.endswith("а") else "ов"
         return word
-    names = GIVEN[kind.partition(".")[2], script]
+    gender = kind.partition(".")[2]
+    names = [x for g in ("m", "f") if gender in (g, "n") for x in GIVEN[g, script]]
     return "-".join(names[pick(len(names))].lower() for _ in range(1 + extra))
 
 
@@ -237,6 +293,12 @@ def lay_out(mention: str, kind: str, surrogates: dict[tuple[str, str], str], can
     if kind in ("phone", "card", "ssn"):
         digits = iter(new.lstrip("+"))
         return "".join(next(digits) if c.isdigit() else c for c in mention)
+    if kind == "iban":
+        signs = iter(new)
+        return "".join(next(signs) if c != " " else c for c in mention)
+    if kind == "ipv6":
+        new = str(ipaddress.IPv6Address(new)) if "::" in mention else new
+        return new.upper() if re.search("[A-F]", mention) else new
     if kind == "surname" or kind.startswith("given"):
         return new.upper() if len(mention) > 1 and mention.isupper() else "-".join(p.capitalize() for p in new.split("-"))
     return new

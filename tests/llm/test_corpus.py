@@ -301,3 +301,59 @@ def test_pipeline_stages_on_small_tables(spark, tmp_path):
     assert mixed.columns == docs.columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 2
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert packed and all(len(r.ids) == 2 * r.length for r in packed)
+
+
+@pytest.mark.parametrize(
+    ("mention", "kind"),
+    [
+        ("+44 20 7946 0958", "phone"),
+        ("+33 1 23 45 67 89", "phone"),
+        ("+49 30 1234567", "phone"),
+        ("+49 (0)30 1234567", "phone"),
+        ("+442079460958", "phone"),
+        ("5551234567", "phone"),
+        ("01 23 45 67 89", "phone"),
+        ("030 12345678", "phone"),
+        ("2001:db8:85a3::8a2e:370:7334", "ipv6"),
+        ("2001:DB8:0:0:0:0:0:1", "ipv6"),
+        ("fe80::1", "ipv6"),
+        ("DE89 3704 0044 0532 0130 00", "iban"),
+        ("GB82WEST12345698765432", "iban"),
+        ("NL91 ABNA 0417 1643 00", "iban"),
+    ],
+)
+def test_more_forms_of_personal_data(mention, kind):
+    for text in (mention, f"Write to {mention}, please.", f"({mention})", f"x {mention} BUY it"):
+        assert [(text[a:b], k) for a, b, k, _ in pii.detect(text)] == [(mention, kind)]
+    canonical = pii.detect(mention)[0][3]
+    new = pii.lay_out(mention, kind, {(kind, canonical): pii.draw(b"k", kind, canonical, 0)}, canonical)
+    assert new != mention
+    if kind != "phone":
+        assert [(k, c != canonical) for _, _, k, c in pii.detect(new)] == [(kind, True)]
+        assert "::" in mention or [c.isalpha() for c in new if kind == "iban"] == [c.isalpha() for c in mention if kind == "iban"]
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Ask Alice Johnson today.", ["Alice", "Johnson"]),
+        ("Dr. Weber came.", ["Weber"]),
+        ("Prof. Dr. Weber came", ["Weber"]),
+        ("Herr Dr. Weber kam", ["Weber"]),
+        ("Professor Robin Keller spoke", ["Robin", "Keller"]),
+        ("Доктор Волков пришёл", ["Волков"]),
+    ],
+)
+def test_more_names(text, names):
+    found = pii.detect(text)
+    assert [text[a:b] for a, b, *_ in found] == names
+    for *_, kind, canonical in found:
+        assert pii.draw(b"k", kind, canonical, 0)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["at 12:30:45", "std::vector", "::1", "1700000000", "DE89 3704 0044 0532 0130 01", "v 1.2345678901", "+12 345", "01.02.2024 10:20", "Prof. Dr. 5", "a::b"],
+)
+def test_what_isnt_personal_data(text):
+    assert pii.detect(text) == []
