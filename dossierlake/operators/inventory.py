@@ -64,8 +64,8 @@ def is_pruned(path: Column) -> Column:
     return F.exists(folders(lower_ascii(path)), lambda p: p.isin(*names) | p.startswith("cmake-build-"))
 
 
-def is_sensitive(path: Column, content: Column | None = None) -> Column:
-    """By a part of the path, or by a marker in the first 32 KiB of the text."""
+def is_sensitive(path: Column, content: Column | None = None, sample: int | None = CONTENT_SAMPLE) -> Column:
+    """By a part of the path, or by a marker in the first ``sample`` characters of the text; in all of it for None."""
     parts = path_parts(lower_ascii(path))
     by_name = F.exists(
         parts,
@@ -76,7 +76,8 @@ def is_sensitive(path: Column, content: Column | None = None) -> Column:
     )
     if content is None:
         return by_name
-    return by_name | F.coalesce(contains_any(lower_ascii(F.substring(content, 1, CONTENT_SAMPLE)), SECRET_MARKERS), F.lit(False))
+    seen = content if sample is None else F.substring(content, 1, sample)
+    return by_name | F.coalesce(contains_any(lower_ascii(seen), SECRET_MARKERS), F.lit(False))
 
 
 def role_of() -> Column:

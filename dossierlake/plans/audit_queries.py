@@ -176,6 +176,13 @@ def sensitive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", inventory.is_sensitive(F.format_string("%010d.md", "doc_id"), F.col("text")).alias("sensitive"))
 
 
+@query(f"SELECT doc_id, {sql_any(LOW.format('text'), SECRET_MARKERS)} AS sensitive FROM documents WHERE text IS NOT NULL")
+def sensitive_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    name = F.format_string("%010d.md", "doc_id")
+    return docs.select("doc_id", inventory.is_sensitive(name, F.col("text"), sample=None).alias("sensitive"))
+
+
 @query(f"WITH {BASE} SELECT project_id, count(*) FILTER (status <> 'EXTRACTED_TEXT') AS review, count(*) FILTER (status = 'EXTRACTED_TEXT') AS reliable FROM corpus GROUP BY 1")
 def text_status_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.col("status")

@@ -228,3 +228,12 @@ def test_messages_and_workspace(spark, tmp_path):
     workspace.store(new, f"{tmp_path}/t")
     assert spark.read.parquet(f"{tmp_path}/t").count() == 1
     assert one(spark, bytearray(b"\0a"), workspace.looks_binary, "binary") and not one(spark, bytearray(b"abc"), workspace.looks_binary, "binary")
+
+
+def test_secrets_behind_the_sample_are_found_in_whole_texts(spark, tmp_path):
+    from dossierlake.plans.registry import QUERIES
+
+    rows = [(1, "x" * 40_000 + " PASSWORD=hunter2"), (2, "x" * 40_000), (3, "password=hunter2"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {n: {r.doc_id for r in QUERIES[n](spark, str(tmp_path)).where("sensitive").collect()} for n in ("sensitive_files", "sensitive_whole_texts")}
+    assert found == {"sensitive_files": {3}, "sensitive_whole_texts": {1, 3}}
