@@ -6,7 +6,8 @@ queue of nodes by distance to their centroids, and visits so many leaves as cali
 queries true neighbours are computed over all rows, and visits widen until ``RECALL`` of them lie in visited leaves.
 Scores are exact cosines of the original vectors.
 
-See ``vectors.usable`` for rows that take no part; zero vectors take none either. Equal vectors are one class.
+See ``vectors.usable`` for rows that take no part and for different lengths; zero vectors take no part either. Equal
+vectors are one class. A query asks once however often its row is repeated; repeated candidates count each.
 """
 
 from __future__ import annotations
@@ -113,45 +114,55 @@ class KMeansTree:
         return found
 
 
-def compare(query_ids: list[int], queries: np.ndarray, candidates: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[int, int, float]]:
+def compare(
+    query_ids: list[int], queries: np.ndarray, candidates: np.ndarray, ids: list[list[int]], counts: list[list[int]], k: int
+) -> list[tuple[int, int, float]]:
     """(query, candidate, cosine) of the k best candidates of each query."""
     out: list[tuple[int, int, float]] = []
     ready = unit(candidates)
+    sole = np.array([own[0] if len(own) == 1 else 0 for own in ids])
+    single = np.array([len(own) == 1 for own in ids])
     for i in range(0, len(queries), 256):
         rough = unit(queries[i : i + 256]) @ ready.T
         for query_id, query, scores in zip(query_ids[i : i + 256], queries[i : i + 256], rough, strict=True):
-            # one class may be the query's own row alone; rough scores are right to far less than the margin
-            floor = np.partition(scores, -(k + 1))[-(k + 1)] - 1e-9 if len(scores) > k + 1 else -np.inf
-            near = np.flatnonzero(scores >= floor)
+            scores[single & (sole == query_id)] = -np.inf  # the query's own rows alone
+            # rough scores are right to far less than the margin
+            floor = np.partition(scores, -k)[-k] - 1e-9 if len(scores) > k else -np.inf
+            near = np.flatnonzero((scores >= floor) & (scores > -np.inf))
             exact = cosines(query, candidates[near])
-            own = [(-s, j) for r, s in zip(near.tolist(), exact.tolist(), strict=True) for j in ids[r] if j != query_id]
+            own = [
+                (-s, j)
+                for r, s in zip(near.tolist(), exact.tolist(), strict=True)
+                for j, c in zip(ids[r], counts[r])
+                if j != query_id
+                for _ in range(min(c, k))
+            ]
             out += [(query_id, j, -s) for s, j in heapq.nsmallest(k, own)]
     return out
 
 
-def _calibrated(known: DataFrame, queries: DataFrame, tree: KMeansTree, k: int) -> int:
-    """Leaves to visit so that at least RECALL of the sample's true neighbours are found."""
+def _calibrated(held: DataFrame, queries: DataFrame, tree: KMeansTree, k: int, width: int) -> int:
+    """Leaves to visit so that at least RECALL of the sample's true neighbours are found among ``held``, all rows."""
     rows = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION).collect()
     if not rows:
         return 1
-    ids, vectors = [r["query_id"] for r in rows], np.array([r["vector"] for r in rows])
+    ids, vectors = [r["query_id"] for r in rows], np.array([[*r["vector"], *[0.0] * (width - len(r["vector"]))] for r in rows])
 
     def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                candidates = matrix(b.column("vector"))
-                leaf_of = {i: leaf for own, leaf in zip(b.column("ids").to_pylist(), tree.assign(unit(candidates)).tolist()) for i in own}
-                found = compare(ids, vectors, candidates, b.column("ids").to_pylist(), k)
+                own = b.column("ids").to_pylist()
+                leaf_of = {i: leaf for each, leaf in zip(own, b.column("leaf").to_pylist()) for i in each}
+                found = compare(ids, vectors, matrix(b.column("vector"), width), own, b.column("counts").to_pylist(), k)
                 columns = [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [leaf_of[f[1]] for f in found]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))],
                     names=["query_id", "vec_id", "score", "leaf"],
                 )
 
-    found = known.select("vector", "ids").mapInArrow(true, "query_id long, vec_id long, score double, leaf long")
-    nearest = best_of(found.drop("leaf"), k).join(found.select("query_id", "vec_id", "leaf"), ["query_id", "vec_id"])
+    found = held.select("vector", "ids", "counts", "leaf").mapInArrow(true, "query_id long, vec_id long, score double, leaf long")
     leaves: dict[int, list[int]] = {}
-    for r in nearest.collect():  # CALIBRATION * k rows
+    for r in best_of(found, k).collect():  # CALIBRATION * k rows
         leaves.setdefault(r["query_id"], []).append(r["leaf"])
     places = []
     for query_id, vector in zip(ids, unit(vectors), strict=True):
@@ -168,26 +179,27 @@ def nearest(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_i
     visited: the leaves that each query's search went to. One with the query's id is never a candidate.
     """
     rows = usable(vectors, id_column, vector_column).where(F.exists("vector", lambda x: x != 0))
-    known = materialize(classes(rows, k + 2), "vector-classes")
+    width = rows.agg(F.max(F.size("vector"))).first()[0] or 1
+    known = materialize(classes(rows, k + 1), "vector-classes")
     total = known.count()
     sample = known.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).select("vector").toArrow()
-    fitted = unit(matrix(sample["vector"])) if sample.num_rows else np.zeros((0, 1))
+    fitted = unit(matrix(sample["vector"], width)) if sample.num_rows else np.zeros((0, 1))
     tree = KMeansTree(fitted, max(4.0, LEAF * len(fitted) / max(total, 1)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = tree.assign(unit(matrix(b.column("vector")))) if b.num_rows else np.zeros(0, dtype=np.int64)
+            leaf = tree.assign(unit(matrix(b.column("vector"), width))) if b.num_rows else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], names=[*b.schema.names, "leaf"])
 
-    held = materialize(known.mapInArrow(index, "vector array<double>, ids array<long>, leaf long"), "vector-leaves")
-    asked = rows.where(queries).dropDuplicates(["id", "vector"]).select(F.col("id").alias("query_id"), "vector")
+    held = materialize(known.mapInArrow(index, "vector array<double>, ids array<long>, counts array<long>, leaf long"), "vector-leaves")
+    asked = rows.where(queries).groupBy("id", "vector").count().select(F.col("id").alias("query_id"), "vector")
     asked = materialize(asked, "vector-queries")
-    visits = _calibrated(known, asked, tree, k)
+    visits = _calibrated(held, asked, tree, k, width)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, bundles, leaves = [], [], []
-            for i, v in enumerate(unit(matrix(b.column("vector")))) if b.num_rows else ():
+            for i, v in enumerate(unit(matrix(b.column("vector"), width))) if b.num_rows else ():
                 own: dict[int, list[int]] = {}
                 for leaf in tree.visit(v, visits):
                     own.setdefault(leaf // BUNDLE, []).append(leaf)
@@ -209,6 +221,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_i
     right = sent.join(shape, "bundle").withColumn("part", part).withColumn("block", every("blocks"))
     keys = ["bundle", "block", "part"]
 
+    def stacked(column: pd.Series) -> np.ndarray:
+        return matrix(pa.array(column, pa.list_(pa.float64())), width)
+
     def search(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         best: dict[int, list[tuple[float, int]]] = {}
         if len(c) and len(q):
@@ -216,16 +231,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_i
             for i, own in enumerate(q["leaves"]):
                 for leaf in own:
                     asking.setdefault(int(leaf), []).append(i)
-            vectors, ids = np.stack(q["vector"].tolist()), q["query_id"].to_numpy()
+            vectors, ids = stacked(q["vector"]), q["query_id"].to_numpy()
             for leaf, rows in c.groupby("leaf"):
                 at = asking.get(int(leaf), [])
                 if at:
-                    candidates = np.stack(rows["vector"].tolist())
-                    for query_id, vec_id, score in compare(ids[at].tolist(), vectors[at], candidates, rows["ids"].tolist(), k):
+                    own = rows["ids"].tolist(), rows["counts"].tolist()
+                    for query_id, vec_id, score in compare(ids[at].tolist(), vectors[at], stacked(rows["vector"]), *own, k):
                         best.setdefault(query_id, []).append((-score, vec_id))
         found = [(i, j, -s) for i, own in best.items() for s, j in heapq.nsmallest(k, own)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    left, right = left.select(*keys, "leaf", "vector", "ids"), right.select(*keys, "query_id", "vector", "leaves")
+    left, right = left.select(*keys, "leaf", "vector", "ids", "counts"), right.select(*keys, "query_id", "vector", "leaves")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     return best_of(found, k).withColumn("visited", F.lit(visits))

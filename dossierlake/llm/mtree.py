@@ -1,17 +1,23 @@
 """Exact top-k by inner product through M-trees.
 
-Components are turned into the integers floor(64 x), so that scores are exact. Largest inner product is nearest in a
-metric space: with M the largest norm, a candidate x gets one more coordinate, sqrt(M^2 - |x|^2), and a query zero;
-then the squared distance is |q|^2 + M^2 - 2 q.x.
-
-Candidates are dealt to shards by their nearest of a few pivots, and a shard's blocks are M-trees: pages with a pivot,
-a covering radius and each entry's stored distance to the pivot. A query first searches its home shard, which bounds
-its k-th score, then those shards whose covering ball can hold as good a candidate. Within a tree the most promising
-page comes first; an entry whose stored distance differs too much from the query's distance to the page's pivot is
-passed over without computing its own.
-
-Queries meet a shard in blocks too, so no group grows with the number of queries or candidates. See ``vectors.usable``
-for rows that take no part. Components have to be below 2**22 in absolute value; larger ones raise an error.
+Components are turned into the integers floor(64 x). Largest inner product is nearest in a metric space: with M the
+largest norm of a band of candidates, a candidate c gets one more coordinate, sqrt(M^2 - |c|^2), and a query zero; then
+the squared distance is |q|^2 + M^2 - 2 q.c.
+
+Candidates are dealt to bands by their norm (a power of 2 each, so that one huge vector spoils only its own band) and in
+a band to shards by the nearest of a few pivots. A shard, or a block of a large one, is an M-tree written once as a
+table of pages: a page has a pivot, a covering radius, its distance to the shard's pivot, and entries sorted by their
+stored distance to the page's pivot. A query first searches the shard with the best bound, which bounds its k-th score,
+then those shards whose covering ball can hold as good a candidate. In a tree every query takes its most promising page
+first; pages and entries whose stored distances differ too much from the query's are passed over unseen.
+
+Queries meet a shard in blocks of their own, as many as were sent there, so no group grows with the number of queries or
+candidates. Geometry is in doubles, scaled by powers of 2, with slack above their rounding; scores are exact: as doubles
+where all products and sums stay below 2**53, else in Python's integers. A score beyond 64 bits counts as the largest or
+smallest long.
+
+A query asks once however often its row is repeated; repeated candidates count each. Rows with the query's id are never
+its candidates. See ``vectors.usable`` for rows that take no part and for vectors of different lengths.
 """
 
 from __future__ import annotations
@@ -30,11 +36,29 @@ from dossierlake.llm.vectors import best_of, classes, matrix, usable
 from dossierlake.workspace import materialize
 
 SCALE = 64
-#: Candidates in a tree, queries that meet it at once, entries of a page, and pivots at most.
-TREE, QUERIES, PAGE, PIVOTS = 16_000, 16_000, 192, 2048
+#: Candidates in a tree, queries that meet it at once, entries of a page, and pivots at most (and one a band).
+TREE, QUERIES, PAGE, PIVOTS = 16_000, 8_000, 256, 2048
 FAN_OUT = 12
 #: Relative slack of distances, far above their rounding errors.
 SLACK = 1e-9
+LONG = 1 << 63
+
+
+def bands_of(vectors: np.ndarray) -> np.ndarray:
+    """The power of 2 next to each code's norm; that of a zero code is 0."""
+    most = np.maximum(np.abs(vectors).max(axis=1, initial=0), 1 / SCALE)
+    own = _scaled(vectors, np.frexp(most)[1] + 6)
+    norm = np.sqrt((own * own).sum(axis=1))
+    with np.errstate(divide="ignore"):
+        band = np.rint(np.log2(norm)) + np.frexp(most)[1] + 6
+    return np.where(norm > 0, band, 0).astype(np.int64)
+
+
+def _scaled(vectors: np.ndarray, bands: np.ndarray | int) -> np.ndarray:
+    """The codes of vectors over 2 ** bands, exactly."""
+    bands = np.broadcast_to(bands, len(vectors))[:, None]
+    large = np.abs(vectors) >= 2.0**50  # these are integers already
+    return np.where(large, np.ldexp(vectors, 6 - bands), np.ldexp(np.floor(np.where(large, 0, vectors) * SCALE), -bands))
 
 
 def lift(codes: np.ndarray, top: float) -> np.ndarray:
@@ -47,94 +71,140 @@ def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - to) ** 2).sum(axis=1))
 
 
-class Page:
-    """pivot, radius; entries (rows of the tree's table) or child pages, and their distances to the pivot."""
+def exact_score(query: np.ndarray, candidate: np.ndarray) -> int:
+    """The inner product of two vectors' codes, cut to a long."""
+    codes = [[int(x) * SCALE if abs(x) >= 2.0**50 else math.floor(x * SCALE) for x in v.tolist()] for v in (query, candidate)]
+    return max(-LONG, min(LONG - 1, sum(a * b for a, b in zip(*codes))))
 
-    __slots__ = ("children", "pivot", "radius", "rows", "stored")
 
-    def __init__(self, tree: MTree, rows: np.ndarray, pivot: np.ndarray):
-        self.pivot = pivot
-        away = distances(tree.points[rows], pivot)
-        self.radius = float(away.max())
-        self.children: list[Page] = []
-        self.rows, self.stored = rows, away
+def split(points: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """Rows of points in pages of at most PAGE, each divided by the nearest of a few picks."""
+    pages, todo = [], [np.arange(len(points))]
+    squares = (points * points).sum(axis=1)
+    while todo:
+        rows = todo.pop()
         if len(rows) <= PAGE:
-            return
-        picks = rows[tree.rng.choice(len(rows), FAN_OUT, replace=False)]
-        near = np.stack([distances(tree.points[rows], tree.points[p]) for p in picks]).argmin(axis=0)
-        parts = [(rows[near == i], tree.points[p]) for i, p in enumerate(picks) if (near == i).any()]
-        if max(len(r) for r, _ in parts) == len(rows):
-            parts = [(r, tree.points[r[0]]) for r in np.array_split(rows, FAN_OUT)]
-        self.children = [Page(tree, r, p) for r, p in parts]
-        self.stored = distances(np.stack([c.pivot for c in self.children]), pivot)
-        self.rows = rows[:0]
+            pages.append(rows)
+            continue
+        picks = rng.choice(rows, min(FAN_OUT, -(-2 * len(rows) // PAGE)), replace=False)
+        near = (squares[picks] - 2 * points[rows] @ points[picks].T).argmin(axis=1)
+        parts = [rows[near == i] for i in range(len(picks)) if (near == i).any()]
+        todo += parts if len(parts) > 1 else np.array_split(rows, FAN_OUT)
+    return pages
+
+
+def build(group: pd.DataFrame, width: int, band: int, top: float, pivot: np.ndarray) -> pd.DataFrame:
+    """The pages of one tree: pivot, radius, parent (its distance to the shard's pivot), and entries by stored distance."""
+    vectors = np.zeros((len(group), width))
+    for i, v in enumerate(group["vector"]):
+        vectors[i, : len(v)] = v
+    points = lift(_scaled(vectors, band), top)
+    ids, counts = group["ids"].tolist(), group["counts"].tolist()
+    out = []
+    for page, rows in enumerate(split(points, np.random.default_rng(len(group)))):
+        center = points[rows].mean(axis=0)
+        away = distances(points[rows], center)
+        order = np.argsort(away)
+        rows, away = rows[order], away[order]
+        out.append(
+            {
+                "page": page,
+                "pivot": center.tobytes(),
+                "radius": float(away[-1]),
+                "parent": float(np.sqrt(((center - pivot) ** 2).sum())),
+                "stored": away.tobytes(),
+                "vectors": vectors[rows].tobytes(),
+                "ids": [ids[r] for r in rows],
+                "counts": [counts[r] for r in rows],
+            }
+        )
+    return pd.DataFrame(out)
+
+
+PAGES = "page long, pivot binary, radius double, parent double, stored binary, vectors binary, ids array<array<long>>, counts array<array<long>>"
 
 
 class MTree:
-    """An M-tree over integer codes; ``top`` is the largest squared norm of all candidates everywhere."""
-
-    def __init__(self, codes: np.ndarray, top: float, seed: int = 0):
-        self.codes, self.top = codes.astype(np.float64), top
-        self.points = lift(self.codes, top)
-        self.rng = np.random.default_rng(seed)
-        self.root = Page(self, np.arange(len(codes)), self.points.mean(axis=0))
-        self.computed = 0
-
-    def search(self, query: np.ndarray, k: int, floor: float = -math.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of all candidates that are among the k best and score ``floor`` or more; ties all come."""
-        q = np.append(query, 0.0)
-        norm = float(query @ query)
-        rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        reach = self._reach(norm, floor)
-        first = float(np.sqrt(((q - self.root.pivot) ** 2).sum()))
-        heap = [(max(0.0, first - self.root.radius), 0, first, self.root)]
-        count = 1
-        while heap and heap[0][0] <= reach:
-            _, _, away, page = heapq.heappop(heap)
-            if page.children:
-                for child, stored in zip(page.children, page.stored.tolist(), strict=True):
-                    if abs(away - stored) - child.radius > reach:
-                        continue
-                    own = float(np.sqrt(((q - child.pivot) ** 2).sum()))
-                    self.computed += 1
-                    if own - child.radius <= reach:
-                        heapq.heappush(heap, (max(0.0, own - child.radius), count, own, child))
-                        count += 1
-                continue
-            open_rows = page.rows[np.abs(page.stored - away) <= reach]
-            if not len(open_rows):
-                continue
-            self.computed += len(open_rows)
-            found = self.codes[open_rows] @ query
-            good = found >= floor
-            rows, scores = np.concatenate([rows, open_rows[good]]), np.concatenate([scores, found[good]])
-            if len(rows) > k:
-                floor = max(floor, float(np.partition(scores, -k)[-k]))
-                keep = scores >= floor
-                rows, scores = rows[keep], scores[keep]
-                reach = self._reach(norm, floor)
-        return rows, scores
-
-    def _reach(self, norm: float, floor: float) -> float:
-        """The distance beyond which no candidate scores ``floor``."""
-        if floor == -math.inf:
-            return math.inf
-        return math.sqrt(max(0.0, norm + self.top - 2 * floor)) + SLACK * math.sqrt(norm + self.top + 1)
-
-
-def search_group(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, top: float) -> pd.DataFrame:
-    """The k best candidates of each query in one tree."""
-    out: list[tuple[int, int, int]] = []
-    if len(candidates) and len(queries):
-        ids = candidates["ids"].tolist()
-        tree = MTree(np.stack(candidates["vector"].tolist()), top)
-        for query_id, vector, floor in zip(queries["query_id"], queries["vector"], queries["floor"], strict=True):
-            # one class may be the query's own row alone, so one class more than k
-            rows, scores = tree.search(np.asarray(vector, dtype=np.float64), k + 1, floor)
-            own = [(-int(s), int(i)) for r, s in zip(rows, scores, strict=True) for i in ids[r] if i != query_id]
-            out += [(query_id, i, -s) for s, i in heapq.nsmallest(k, own)]
-    frame = pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-    return frame.astype("int64")
+    """The pages of one tree, read back. ``seen`` counts the candidates whose own scores were computed."""
+
+    def __init__(self, pages: pd.DataFrame, width: int, band: int, top: float, pivot: np.ndarray):
+        self.width, self.band, self.top, self.pivot = width, band, top, pivot
+        self.pivots = np.stack([np.frombuffer(x) for x in pages["pivot"]])
+        self.radius, self.parent = pages["radius"].to_numpy(), pages["parent"].to_numpy()
+        self.stored = [np.frombuffer(x) for x in pages["stored"]]
+        self.first = np.cumsum([0, *map(len, self.stored)])
+        self.vectors = np.concatenate([np.frombuffer(x).reshape(-1, width) for x in pages["vectors"]])
+        self.codes = _scaled(self.vectors, band)
+        self.ids = [own for page in pages["ids"] for own in page]
+        self.counts = [own for page in pages["counts"] for own in page]
+        self.sole = np.array([own[0] if len(own) == 1 else 0 for own in self.ids])
+        self.single = np.array([len(own) == 1 for own in self.ids])
+        self.seen = 0
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query, id, score) of each query's k best candidates; at least all of those that score its floor or more."""
+        n, bands = len(queries), bands_of(queries)
+        own = _scaled(queries, bands)
+        norms = (own * own).sum(axis=1)
+        both = bands + self.band
+        exact = both <= 51
+        error = np.where(exact, 0.0, self.width * 2.0**-50)
+        kind = np.float32 if (both <= 22).all() else np.float64
+        asked, held = own.astype(kind), self.codes.astype(kind)
+        cap = np.ldexp(1.0, np.clip(63 - both, -1000, 1000))
+        floors = np.minimum(cap, np.ldexp(floors, -both))
+
+        def reach_of(floor: np.ndarray) -> np.ndarray:
+            room = np.maximum(0, norms + self.top - 2 * (np.where(np.isfinite(floor), floor, 0) - error))
+            return np.where(np.isfinite(floor), np.sqrt(room) + SLACK * np.sqrt(norms + self.top), np.inf)
+
+        reach = reach_of(floors)
+        points = np.concatenate([own, np.zeros((n, 1))], axis=1)
+        home = distances(points, self.pivot)
+        # a page's own distance is computed only where the stored one to its parent doesn't rule it out
+        away = np.full((n, len(self.radius)), np.inf)
+        for p in range(len(self.radius)):
+            rows = np.flatnonzero(np.abs(home - self.parent[p]) - self.radius[p] <= reach)
+            away[rows, p] = distances(points[rows], self.pivots[p])
+        lower = away - self.radius
+        order = np.argsort(lower, axis=1)
+        row, at, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for turn in range(order.shape[1]):
+            page = order[:, turn]
+            going = np.flatnonzero(lower[np.arange(n), page] <= reach)
+            if not len(going):
+                break
+            new = [(row, at, score)]
+            for p in np.unique(page[going]):
+                rows = going[page[going] == p]
+                low = np.searchsorted(self.stored[p], (away[rows, p] - reach[rows]).min(), "left")
+                high = np.searchsorted(self.stored[p], (away[rows, p] + reach[rows]).max(), "right")
+                first = self.first[p] + low
+                scores = asked[rows] @ held[first : self.first[p] + high].T
+                self.seen += scores.size
+                x, y = np.nonzero(scores >= (floors[rows] - error[rows]).astype(kind)[:, None])
+                value, x, y = scores[x, y], rows[x], first + y
+                mine = ~(self.single[y] & (self.sole[y] == query_ids[x]))
+                new.append((x[mine], y[mine], value[mine].astype(np.float64)))
+            row, at, score = (np.concatenate(c) for c in zip(*new))
+            by = np.lexsort((-score, row))
+            row, at, score = row[by], at[by], score[by]
+            begin = np.searchsorted(row, np.arange(n))
+            full = np.flatnonzero(np.append(begin[1:], len(row)) - begin >= k)
+            kth = score[begin[full] + k - 1]
+            floors[full] = np.minimum(cap[full], np.maximum(floors[full], kth - error[full]))
+            reach = reach_of(floors)
+            keep = score >= floors[row] - error[row]
+            row, at, score = row[keep], at[keep], score[keep]
+        out: list[tuple[int, int, int]] = []
+        bounds = np.searchsorted(row, np.arange(n + 1))
+        for i in np.flatnonzero(np.diff(bounds)):
+            mine, best = int(query_ids[i]), []
+            for r, s in zip(at[bounds[i] : bounds[i + 1]].tolist(), score[bounds[i] : bounds[i + 1]].tolist()):
+                value = int(math.ldexp(s, int(both[i]))) if exact[i] else exact_score(queries[i], self.vectors[r])
+                best += [(-value, j) for j, c in zip(self.ids[r], self.counts[r]) if j != mine for _ in range(min(c, k))]
+            out += [(mine, j, -s) for s, j in heapq.nsmallest(k, best)]
+        return out
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -142,73 +212,115 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_id"
 
     Every other row is a candidate; one with the query's id never is. Ties go to the smaller id.
     """
-    code = F.transform("vector", lambda x: F.floor(x * SCALE))
-    largest = F.array_max(F.transform("vector", F.abs))
     rows = usable(vectors, id_column, vector_column)
-    rows = rows.withColumn(
-        "vector", F.when(largest < 2.0**22, code).otherwise(F.raise_error(F.lit("component out of range")))
-    )
-    known = materialize(classes(rows, k + 2), "vector-classes")
-    square = F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + x * x)
-    total, top = known.agg(F.count("ids"), F.max(square)).first()
-    top = float(top or 0)
-    wanted = min(PIVOTS, max(1, round(total / TREE)))
-    # equal in number to shards: at most PIVOTS rows
-    pivots = [r[0] for r in known.orderBy(F.xxhash64("vector"), "vector").limit(wanted).select("vector").collect()]
-    points = lift(np.array(pivots, dtype=np.float64), top) if pivots else np.zeros((1, 1))
+    known = classes(rows, k + 1)
+    width = max(1, rows.agg(F.max(F.size("vector"))).first()[0] or 0)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = matrix(b.column("vector"), width)
+            bands = bands_of(own)
+            square = (_scaled(own, bands) ** 2).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bands), pa.array(square)], names=[*b.schema.names, "band", "square"])
+
+    schema = "vector array<double>, ids array<long>, counts array<long>"
+    known = materialize(known.mapInArrow(measured, f"{schema}, band long, square double"), "vector-classes")
+    by_hash = F.struct(F.xxhash64("vector").alias("h"), "vector")
+    # one row a band: there are as many as powers of 2 among the norms
+    of_band = {r["band"]: r for r in known.groupBy("band").agg(F.max("square").alias("top"), F.min(by_hash).alias("first"), F.count("ids").alias("n")).collect()}
+    total = sum(r["n"] for r in of_band.values())
+    picked = {(b, tuple(r["first"]["vector"])) for b, r in of_band.items()}
+    picked |= {(r["band"], tuple(r["vector"])) for r in known.orderBy(*(by_hash[c] for c in ("h", "vector"))).limit(min(PIVOTS, total // TREE)).select("band", "vector").collect()}
+    picked = sorted(picked)
+    tops = {b: float(r["top"]) for b, r in of_band.items()}
+    owner = np.array([b for b, _ in picked], dtype=np.int64)
+    points = np.zeros((len(picked), width + 1))
+    for i, (b, v) in enumerate(picked):
+        points[i] = lift(_scaled(np.array([[*v, *[0.0] * (width - len(v))]]), b), tops[b])[0]
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = lift(matrix(b.column("vector")).astype(np.float64), top)
-            away = np.stack([distances(own, p) for p in points]) if len(own) else np.zeros((1, 0))
-            columns = [*b.columns, pa.array(away.argmin(axis=0), pa.int64()), pa.array(away.min(axis=0), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "shard", "away"])
-
-    held = known.mapInArrow(nearest, "vector array<long>, ids array<long>, shard long, away double")
-    held = materialize(held, "vector-shards")
-    shards = {
-        r["shard"]: (r["radius"], -(-r["n"] // TREE))
-        for r in held.groupBy("shard").agg(F.max("away").alias("radius"), F.count("ids").alias("n")).collect()
-    }
-    blocks = F.element_at(F.create_map(*[F.lit(x) for s, (_, n) in shards.items() for x in (s, n)]), F.col("shard")) if shards else F.lit(1)
-    held = held.withColumn("block", F.pmod(F.xxhash64("vector"), blocks))
-    asked = rows.where(queries).dropDuplicates(["id", "vector"]).select(F.col("id").alias("query_id"), "vector")
-    groups = asked.count() // QUERIES + 1
-    asked = materialize(asked.withColumn("part", F.expr(f"pmod(xxhash64(query_id), {groups})")), "vector-queries")
-    spread = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-
-    def route(home: bool):
+            own, bands = matrix(b.column("vector"), width), b.column("band").to_numpy()
+            shard, away = np.zeros(len(own), dtype=np.int64), np.zeros(len(own))
+            for band in np.unique(bands):
+                at, mine = np.flatnonzero(bands == band), np.flatnonzero(owner == band)
+                lifted = lift(_scaled(own[at], int(band)), tops[band])
+                apart = np.stack([distances(lifted, points[s]) for s in mine], axis=1)
+                shard[at], away[at] = mine[apart.argmin(axis=1)], apart.min(axis=1)
+            columns = [b.column(c) for c in ("vector", "ids", "counts")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shard), pa.array(away)], names=["vector", "ids", "counts", "shard", "away"])
+
+    held = materialize(known.mapInArrow(nearest, f"{schema}, shard long, away double"), "vector-shards")
+    # one row a shard, at most PIVOTS and one a band
+    sizes = materialize(held.groupBy("shard").agg(F.max("away").alias("radius"), F.ceil(F.count("ids") / TREE).alias("blocks")), "shard-sizes")
+    radius = {r["shard"]: r["radius"] for r in sizes.collect()}
+    blocked = held.join(sizes.select("shard", "blocks"), "shard").withColumn("block", F.expr("pmod(xxhash64(vector), blocks)"))
+
+    def pages(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        shard, block = int(key[0]), int(key[1])
+        band = int(owner[shard])
+        return build(group, width, band, tops[band], points[shard]).assign(shard=shard, block=block)
+
+    trees = blocked.select("shard", "block", "vector", "ids", "counts").groupBy("shard", "block")
+    trees = materialize(trees.applyInPandas(pages, f"{PAGES}, shard long, block long"), "vector-pages")
+    asked = rows.where(queries).groupBy("id", "vector").agg(F.lit(float("-inf")).alias("floor"))
+    asked = materialize(asked.select(F.col("id").alias("query_id"), "vector", "floor"), "vector-queries")
+
+    def route(first: bool):
         def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                codes = matrix(b.column("vector")).astype(np.float64)
-                if not len(codes) or not shards:
+                own = matrix(b.column("vector"), width)
+                if not len(own) or not radius:
                     continue
-                floors = b.column("floor").to_numpy(zero_copy_only=False)
-                norms = (codes * codes).sum(axis=1)
-                # a query's own row is a candidate somewhere: its home is where that row is
-                near = np.stack([distances(lift(codes, top), p) for p in points]).argmin(axis=0)
-                zero = np.concatenate([codes, np.zeros((len(codes), 1))], axis=1)
-                reach = np.sqrt(np.maximum(norms + top - 2 * floors, 0)) + SLACK * np.sqrt(norms + top + 1)
-                for s, (radius, n) in shards.items():
-                    go = near == s if home else (near != s) & (distances(zero, points[s]) - radius <= reach)
-                    at = pa.array(np.repeat(np.flatnonzero(go), n))
-                    columns = [b.column(c).take(at) for c in ("query_id", "vector", "floor", "part")]
-                    where = [pa.array(np.full(len(at), s)), pa.array(np.tile(np.arange(n), int(go.sum())))]
-                    yield pa.RecordBatch.from_arrays([*columns, *where], names=["query_id", "vector", "floor", "part", "shard", "block"])
+                floors, bands = b.column("floor").to_numpy(zero_copy_only=False), bands_of(own)
+                scaled = _scaled(own, bands)
+                zero, norms = np.concatenate([scaled, np.zeros((len(own), 1))], axis=1), (scaled * scaled).sum(axis=1)
+                bound, reach = np.full((len(own), len(points)), np.inf), np.zeros((len(own), len(points)))
+                for s, r in radius.items():
+                    top, both = tops[owner[s]], bands + owner[s]
+                    bound[:, s] = np.maximum(0, distances(zero, points[s]) - r)
+                    low = np.minimum(np.ldexp(1.0, np.clip(63 - both, -1000, 1000)), np.ldexp(floors, -both)) - np.where(both <= 51, 0.0, width * 2.0**-50)
+                    room = np.maximum(0, norms + top - 2 * np.where(np.isfinite(low), low, 0))
+                    reach[:, s] = np.where(np.isfinite(low), np.sqrt(room) + SLACK * np.sqrt(norms + top), np.inf)
+                # the best score that a shard can hold, in the query's own scale
+                best = norms[:, None] + np.array([tops[b] for b in owner]) - bound**2
+                best = np.where(np.isfinite(bound), np.sign(best) * (np.log2(np.abs(best) + 1e-300) + owner + 1100), -np.inf)
+                home = best.argmax(axis=1)
+                go = np.zeros_like(bound, dtype=bool)
+                go[np.arange(len(own)), home] = True
+                x, y = np.nonzero(go if first else ~go & (bound <= reach))
+                columns = [b.column(c).take(pa.array(x)) for c in ("query_id", "vector", "floor")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(y)], names=["query_id", "vector", "floor", "shard"])
 
         return routed
 
-    def searched(questions: DataFrame, home: bool, name: str) -> DataFrame:
-        schema = "query_id long, vector array<long>, floor double, part long, shard long, block long"
-        sent = questions.select("query_id", "vector", "floor", "part").mapInArrow(route(home), schema)
+    def searched(questions: DataFrame, first: bool, name: str) -> DataFrame:
+        schema = "query_id long, vector array<double>, floor double, shard long"
+        sent = materialize(questions.select("query_id", "vector", "floor").mapInArrow(route(first), schema), f"{name}-sent")
+        loads = sent.groupBy("shard").agg(F.ceil(F.count("query_id") / QUERIES).alias("parts"))
+        shape = materialize(sizes.select("shard", "blocks").join(loads, "shard"), f"{name}-shape")
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = trees.join(shape.select("shard", "parts"), "shard").withColumn("part", every("parts"))
+        right = sent.join(shape, "shard").withColumn("part", F.expr("pmod(xxhash64(query_id), parts)"))
+        right = right.withColumn("block", every("blocks"))
         keys = ["shard", "block", "part"]
-        pairs = spread.groupBy(*keys).cogroup(sent.groupBy(*keys))
-        found = pairs.applyInPandas(lambda c, q: search_group(c, q, k, top), "query_id long, vec_id long, score long")
-        return materialize(found, name)
-
-    first = searched(asked.withColumn("floor", F.lit(float("-inf"))), True, "vector-home")
-    bound = best_of(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("of"), "score")
-    informed = asked.join(bound, F.col("query_id") == F.col("of"), "left").withColumn(
-        "floor", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))
-    )
-    return best_of(first.unionByName(searched(informed, False, "vector-others")), k)
+
+        def search(key: tuple, c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            found: list[tuple[int, int, int]] = []
+            if len(c) and len(q):
+                shard, band = int(key[0]), int(owner[int(key[0])])
+                tree = MTree(c.sort_values("page"), width, band, tops[band], points[shard])
+                own = np.zeros((len(q), width))
+                for i, v in enumerate(q["vector"]):
+                    own[i, : len(v)] = v
+                found = tree.search(q["query_id"].to_numpy(), own, q["floor"].to_numpy(dtype=np.float64), k)
+            return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+        pairs = left.drop("parts").groupBy(*keys).cogroup(right.drop("parts", "blocks").groupBy(*keys))
+        return materialize(pairs.applyInPandas(search, "query_id long, vec_id long, score long"), name)
+
+    home = searched(asked, True, "vector-home")
+    bound = best_of(home, k).where(F.col("rank") == k).select(F.col("query_id").alias("of"), "score")
+    informed = asked.drop("floor").join(bound, F.col("query_id") == F.col("of"), "left")
+    informed = informed.withColumn("floor", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))))
+    return best_of(home.unionByName(searched(informed, False, "vector-others")), k)

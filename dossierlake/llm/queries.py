@@ -191,9 +191,10 @@ WITH usable AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+asked AS (SELECT DISTINCT vec_id, code FROM usable WHERE vec_id % 20 = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.code, c.code)::BIGINT AS score
-  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+  FROM asked q JOIN usable c ON q.vec_id <> c.vec_id),
 ranked AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
   FROM scored)

@@ -11,43 +11,49 @@ from pyspark.sql import functions as F
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """id, vector (array of doubles) of the rows that take part.
 
-    Left out: null ids and vectors, empty ones, those that hold null or non-finite components, and those whose length
-    isn't the table's most frequent one (the smaller of two). Rows that repeat an id and its vector count once.
+    Left out: null ids and vectors, and vectors that hold null or non-finite components. Where lengths differ, a
+    shorter vector counts as having zeros behind it, an empty one as all zeros.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    rows = (
+    return (
         vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
-        .where("id is not null and vector is not null and size(vector) > 0")
+        .where("id is not null and vector is not null")
         .where(F.forall("vector", finite))
     )
-    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vector") == (lengths["n"] if lengths else 0))
 
 
 def classes(rows: DataFrame, keep: int) -> DataFrame:
-    """vector, ids: each distinct vector with the ``keep`` smallest of its ids, in order.
+    """vector, ids, counts: each distinct vector with the ``keep`` smallest of its ids, and how many rows each has.
 
     No search for ``keep - 1`` neighbours needs more of them, so a vector that a third of all rows share stays one
     small row. The limit on the rank goes before the shuffle as well as after it.
     """
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    few = rows.dropDuplicates(["id", "vector"]).withColumn("rank", rank).where(F.col("rank") <= keep)
-    return few.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    few = rows.groupBy("vector", "id").count().withColumn("rank", rank).where(F.col("rank") <= keep)
+    own = few.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("id", "count"))).alias("own"))
+    return own.select("vector", F.col("own.id").alias("ids"), F.col("own.count").alias("counts"))
 
 
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """[rows, n] of a column of equally long arrays without nulls."""
+def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """[rows, width] of a column of arrays without nulls, with zeros behind shorter ones."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if len(flat) == len(column) * width and (column.value_lengths().to_numpy() == width).all():
+        return flat.reshape(len(column), width)
+    sizes = column.value_lengths().to_numpy().astype(np.int64)
+    out = np.zeros((len(column), width))
+    row = np.repeat(np.arange(len(column)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of each query, ties to the smaller id."""
+    """query_id, rank, vec_id, score and any further columns: the k best of each query, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    more = [c for c in found.columns if c not in ("query_id", "vec_id", "score")]
     return (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", "score", *more)
     )
