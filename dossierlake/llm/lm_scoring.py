@@ -10,12 +10,20 @@ asks for the counts of just the n-grams it holds: its distinct n-grams, as sorte
 training counts, go to buckets by hash, where they are summed over all chunks and sent back. From its counts a chunk
 builds the part of the automaton that its documents can reach, which gives the same scores as the whole one.
 
+Chunks and buckets both grow with the corpus, so messages from each to each would grow as its square. They meet in
+steps instead: in each, ``FAN`` groups of chunks at most send their keys of one range to one task, which sums them and
+passes the sums on in ``FAN`` smaller ranges at most; totals come back the same way. A task holds about ``BUCKET`` keys at
+every step, a frequent word ``FAN`` entries, and messages are as many as ``FAN`` times the buckets. Up to ``FAN`` chunks and
+buckets one step does.
+
 States are the seen histories. A seen n-gram is an arc with its smoothed log-probability; where a state has no arc for
 the next word, its failure arc leads to the history one word shorter, at the weight log(MU / (c(h) + MU)). All
 documents of a chunk are traversed side by side, once from left to right, each carrying its state and its sum.
 
 A null or empty text is its end token alone. Every row is a document, also where ids repeat; a null id counts as ''
-where the fold is drawn. With no training documents all counts are 0 and p(w) is 1 for the one unknown class.
+where the fold is drawn. With no training documents all counts are 0 and p(w) is 1 for the one unknown class. A very
+long text is a chunk of its own, in memory at about 100 bytes a word, and is traversed in segments side by side. Ids may
+be of any type. Other columns of the input, whatever their names, don't come along.
 """
 
 from __future__ import annotations
@@ -31,6 +39,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from dossierlake.llm.common import slices, text_batches
 from dossierlake.workspace import materialize
@@ -38,6 +47,8 @@ from dossierlake.workspace import materialize
 MU = 1.0
 #: Bytes of text in a chunk (a longer document is a chunk of its own), and n-grams that meet in a bucket about.
 CHUNK, BUCKET = 16 << 20, 1_500_000
+#: Messages that meet in a task, and words of a long text that one state is carried over.
+FAN, SEGMENT = 256, 4000
 #: Hashes of what no word can be: the end of a text, and the place before its first word.
 END, START = (xxhash.xxh64_intdigest(x) for x in (b"", b" "))
 
@@ -54,10 +65,85 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted keys; buckets are equal ranges of the hash."""
-    own = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(own, np.arange(buckets + 1, dtype=np.uint64))
+def cut_by_range(keys: np.ndarray, buckets: int, width: int) -> list[tuple[int, slice]]:
+    """(range, its part of sorted keys) for the ranges that have keys; buckets are equal parts of the hash, and a range
+    is so many buckets."""
+    own = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64) // width
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    return [(int(own[i]), slice(i, j)) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(own)])]
+
+
+MESSAGE = "level int, place long, of long, source long, keys binary, counts binary"
+
+
+def message_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    columns = zip(*rows) if rows else [[]] * 6
+    names = ["level", "place", "of", "source", "keys", "counts"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def messages_of(level: int, keys: np.ndarray, counts: np.ndarray, buckets: int, width: int, of: int, source: int) -> list[tuple]:
+    """One message a range, of keys as differences."""
+    cut = cut_by_range(keys, buckets, width)
+    return [(level, r, of, source, pack(np.diff(keys[x], prepend=np.uint64(0))), pack(counts[x])) for r, x in cut]
+
+
+def summed(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys and their sums over the messages of a group; where each message's keys are, and where each begins."""
+    keys = [np.cumsum(unpack(x, "<u8")) for x in group["keys"]]
+    counts = np.concatenate([unpack(x, "<u8") for x in group["counts"]])
+    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(inverse, weights=counts, minlength=len(found)).astype(np.uint64)
+    return found, sums, inverse, np.cumsum([len(x) for x in keys])[:-1]
+
+
+def answers_to(group: pd.DataFrame, totals: np.ndarray, inverse: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
+    """Each message's totals, for whoever sent it."""
+    back = [pack(x) for x in np.split(totals[inverse], bounds)]
+    return pd.DataFrame({"source": group["source"], "level": group["level"], "place": group["place"], "totals": back})
+
+
+def counted(asked: DataFrame, buckets: list[int], steps: int) -> tuple[DataFrame, int, int]:
+    """source, level, place, totals for every message; and the number of tokens and of distinct ones."""
+    keys = ["level", "place", "of"]
+
+    def combine(step: int):
+        def combined(group: pd.DataFrame) -> pd.DataFrame:
+            level, of = int(group["level"].iat[0]), int(group["of"].iat[0])
+            found, sums, _, _ = summed(group)
+            rows = messages_of(level, found, sums, buckets[level], FAN ** (steps - step - 1), of // FAN, of)
+            return pd.DataFrame(rows, columns=["level", "place", "of", "source", "keys", "counts"])
+
+        return combined
+
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        found, sums, inverse, bounds = summed(group)
+        out = answers_to(group, sums, inverse, bounds).assign(tokens=0, types=0)
+        if group["level"].iat[0] == 0:
+            real = found != np.uint64(START)
+            out.iloc[0, out.columns.get_loc("tokens")] = int(sums[real].sum())
+            out.iloc[0, out.columns.get_loc("types")] = int((sums[real] > 0).sum())
+        return out
+
+    def passed_on(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        _, _, inverse, bounds = summed(group)
+        parts = answers.sort_values("part")["totals"]
+        return answers_to(group, np.concatenate([unpack(x, "<u8") for x in parts]), inverse, bounds)
+
+    levels = [asked]
+    for step in range(1, steps):
+        levels[-1] = materialize(levels[-1], "lm-messages", compression="uncompressed")
+        levels.append(levels[-1].groupBy(*keys).applyInPandas(combine(step), MESSAGE))
+    schema = "source long, level int, place long, totals binary"
+    answers = levels.pop().groupBy(*keys).applyInPandas(total, f"{schema}, tokens long, types long")
+    answers = materialize(answers, "lm-counts", compression="uncompressed")
+    known = answers.agg(F.sum("tokens"), F.sum("types")).first()
+    while levels:
+        given = answers.select("level", F.expr(f"place div {FAN}").alias("place"), F.col("source").alias("of"), F.col("place").alias("part"), "totals")
+        pairs = levels.pop().groupBy(*keys).cogroup(given.groupBy(*keys))
+        answers = materialize(pairs.applyInPandas(passed_on, schema), "lm-counts", compression="uncompressed")
+    return answers, known[0] or 0, known[1] or 0
 
 
 @dataclass
@@ -150,19 +236,28 @@ class BackoffAutomaton:
         return gain, after
 
     def traverse(self, stream: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log-probability of each document after its START."""
-        by_length = np.argsort(-lengths, kind="stable")
-        begin, size = starts[by_length], lengths[by_length]
+        """Log-probability of each document after its START.
+
+        Documents are traversed side by side, long ones in segments. A state is the longest seen history of at most
+        ``order - 1`` words, so a later segment's first state comes from the words just before it.
+        """
+        pieces = np.maximum(1, -(-(lengths - 1) // SEGMENT))
+        owner = np.repeat(np.arange(len(starts)), pieces)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = starts[owner] + 1 + place * SEGMENT
+        size = np.minimum(SEGMENT, starts[owner] + lengths[owner] - begin)
+        by_size = np.argsort(-size, kind="stable")
+        begin, size, later = begin[by_size], size[by_size], np.flatnonzero(place[by_size] > 0)
+        state = self.unigram_next[stream[begin - 1]]
+        state[later] = 0
+        for back in range(self.order - 1, 0, -1):
+            state[later] = self.step(state[later], stream[begin[later] - back])[1]
         total = np.zeros(len(begin))
-        state = self.unigram_next[stream[begin]]
-        going = np.searchsorted(-size, -np.arange(int(size.max()) if len(size) else 0), side="left")
-        for t in range(1, len(going)):
-            n = int(going[t])
+        going = np.searchsorted(-size, -np.arange(1, int(size.max(initial=0)) + 1), side="right")
+        for t, n in enumerate(going.tolist()):
             gain, state = self.step(state[:n], stream[begin[:n] + t])
             total[:n] += gain
-        out = np.zeros(len(begin))
-        out[by_length] = total
-        return out
+        return np.bincount(owner[by_size], weights=total, minlength=len(starts))
 
 
 def _encode(ids: list, train: list[bool], texts: list[bytes]) -> dict:
@@ -204,8 +299,7 @@ def score_documents(
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities), train."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("doc_id"), train_on.alias("train"), F.col(text_column).cast("binary").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    kind, arrow_kind = rows.schema["doc_id"].dataType.simpleString(), to_arrow_type(rows.schema["doc_id"].dataType)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -233,56 +327,26 @@ def score_documents(
 
     columns = f"chunk long, ids array<{kind}>, train binary, lengths binary, words binary, stream binary, tokens long"
     chunks = materialize(rows.mapInArrow(encode, columns), "lm-chunks", compression="uncompressed")
-    positions = chunks.agg(F.sum("tokens")).first()[0] or 0
-    buckets = [max(1, -(-positions // (BUCKET * (8 if k == 0 else 1)))) for k in range(order)]
+    positions, n_chunks = chunks.agg(F.sum("tokens"), F.count("chunk")).first()
+    buckets = [max(1, -(-(positions or 0) // (BUCKET * (8 if k == 0 else 1)))) for k in range(order)]
+    steps = 1
+    while FAN**steps < max(n_chunks, *buckets):
+        steps += 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 stream, starts, lengths, train, words = _decoded(row)
                 learned = np.repeat(train, lengths)
+                of = (xxhash.xxh32_intdigest(str(row["chunk"])) * FAN ** (steps - 1)) >> 32
                 for k, level in enumerate(levels_of(stream, starts, words, order)):
                     here = level.at[learned & (level.at >= 0)]
-                    counts = np.bincount(here, minlength=len(level.hashes)).astype(np.uint32)
+                    counts = np.bincount(here, minlength=len(level.hashes)).astype(np.uint64)
                     by_hash = np.argsort(level.hashes)
                     keys, counts = level.hashes[by_hash], counts[by_hash]
-                    bounds = bucket_bounds(keys, buckets[k])
-                    spans = [(i, x, y) for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])) if x < y]
-                    first = [np.diff(keys[x:y], prepend=np.uint64(0)) for _, x, y in spans]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([k] * len(spans), pa.int32()),
-                            pa.array([i for i, _, _ in spans], pa.int32()),
-                            pa.array([row["chunk"]] * len(spans), pa.int64()),
-                            pa.array(map(pack, first), pa.binary()),
-                            pa.array([pack(counts[x:y]) for _, x, y in spans], pa.binary()),
-                        ],
-                        names=["level", "bucket", "chunk", "keys", "counts"],
-                    )
+                    yield message_batch(messages_of(k, keys, counts, buckets[k], FAN ** (steps - 1), of, row["chunk"]))
 
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        level, bucket = int(group["level"].iloc[0]), int(group["bucket"].iloc[0])
-        keys = [np.cumsum(unpack(x, "<u8")) for x in group["keys"]]
-        counts = np.concatenate([unpack(x, "<u4") for x in group["counts"]])
-        sizes = np.array([len(x) for x in keys])
-        found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, weights=counts, minlength=len(found)).astype(np.uint64)
-        real = found != np.uint64(START)
-        back = np.split(sums[inverse], np.cumsum(sizes)[:-1])
-        out = pd.DataFrame({"chunk": group["chunk"], "level": level, "bucket": bucket, "totals": [pack(x) for x in back]})
-        out["tokens"], out["types"] = 0, 0
-        if level == 0:
-            out.iloc[0, out.columns.get_loc("tokens")] = int(sums[real].sum())
-            out.iloc[0, out.columns.get_loc("types")] = int((sums[real] > 0).sum())
-        return out
-
-    asked = chunks.mapInArrow(ask, "level int, bucket int, chunk long, keys binary, counts binary")
-    answers = asked.groupBy("level", "bucket").applyInPandas(
-        total, "chunk long, level int, bucket int, totals binary, tokens long, types long"
-    )
-    answers = materialize(answers, "lm-counts", compression="uncompressed")
-    known = answers.agg(F.sum("tokens"), F.sum("types")).first()
-    tokens, types = known[0] or 0, known[1] or 0
+    answers, tokens, types = counted(chunks.mapInArrow(ask, MESSAGE), buckets, steps)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -291,7 +355,7 @@ def score_documents(
             levels = levels_of(stream, starts, words, order)
             counts = []
             for k, level in enumerate(levels):
-                own = sorted((r["bucket"], r["totals"]) for r in right.to_pylist() if r["level"] == k)
+                own = sorted((r["place"], r["totals"]) for r in right.to_pylist() if r["level"] == k)
                 totals = np.empty(len(level.hashes), dtype=np.float64)
                 totals[np.argsort(level.hashes)] = np.concatenate([unpack(x, "<u8") for _, x in own])
                 counts.append(totals)
@@ -317,5 +381,5 @@ def score_documents(
         return pa.concat_tables(out)
 
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, train boolean"
-    parts = answers.select("chunk", "level", "bucket", "totals").groupBy("chunk")
+    parts = answers.select(F.col("source").alias("chunk"), "level", "place", "totals").groupBy("chunk")
     return chunks.groupBy("chunk").cogroup(parts).applyInArrow(scored, schema)
