@@ -8,12 +8,16 @@ search radius is that small (over all 64 bits the distances of unrelated texts l
 A tree's nodes hold a vantage point and the median distance to it. A fingerprint's home shard is where its own
 distances lead. The triangle bound tells which other shards can hold a partner: at a node at distance d, partners lie
 between d - r and d + r, so a query goes on to the inner side if d - r <= median and to the outer side if
-d + r > median. A pair whose homes part at some node is found by the query from the inner side. Trees are laid out on
-a bounded sample, which decides only how even shards are; every distinct fingerprint is placed, and in a shard every
-query is compared with every member over all 64 bits.
+d + r > median. A pair whose homes part at some node is found by the query from the inner side. The upper levels are
+laid out on a bounded sample, which decides only how even shards are; every distinct fingerprint is placed. Shards that
+are still crowded are divided again, each by a tree over a sample of its own, until none is or none can be: so shards
+multiply with the data. In a shard every query is compared with every member over all 64 bits.
 
-A shard passes on a spanning forest of its links and not all pairs. Crowded shards (a dense cluster that no vantage
-point divides) are cut into blocks and every pair of blocks is a group of its own, so no group is unbounded.
+A shard passes on a spanning forest of its links and not all pairs. What no vantage point divides (a dense cluster) is
+cut into blocks and every pair of blocks is a group of its own, so no group is unbounded.
+
+A very long text is hashed as a whole, in memory at about 100 bytes a word. Equal fingerprints are one node however many
+rows have them, so copies and ties cost nothing more. Other columns, whatever their names, don't come along.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierlake.llm.common import slices, text_batches
@@ -35,8 +39,9 @@ from dossierlake.workspace import materialize
 SEED = 42
 PARTS = 2
 PART_BITS = 64 // PARTS
-#: Fingerprints that trees are laid out on, and fingerprints a shard should have.
-TREE_SAMPLE, SHARD = 100_000, 1500
+#: Fingerprints that the upper levels are laid out on, fingerprints a shard should have, levels that a crowded shard is
+#: divided by at once, and fingerprints of it that they are laid out on.
+TREE_SAMPLE, SHARD, LEVELS, OWN_SAMPLE = 100_000, 1500, 4, 512
 #: Members or queries of a shard that are compared in one group at most.
 BLOCK = 6000
 
@@ -59,7 +64,10 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
 
 def fingerprint(text: str | None, words: int) -> int:
     """SimHash of the text's word shingles: a bit is 1 if it is set in over half of their hashes; zero without words."""
-    hashes = shingle_hashes(text, words)
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(hashes: list[int]) -> int:
     if not hashes:
         return 0
     raw = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -108,11 +116,20 @@ class VantagePointTree:
             inner = away <= self.medians[node]
             held[2 * node + 1], held[2 * node + 2] = own[inner], own[~inner]
 
-    def shards(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, shard, home) for each home shard and each shard to query, without those that their partners query."""
+    @classmethod
+    def of(cls, points: np.ndarray, medians: np.ndarray) -> VantagePointTree:
+        tree = cls.__new__(cls)
+        tree.points, tree.medians, tree.depth = points, medians, int(math.log2(len(points) + 1))
+        return tree
+
+    def shards(self, codes: np.ndarray, radius: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard, home) for each home shard and each shard to query, without those that their partners query.
+
+        Rows for which ``home`` is false come as queries only.
+        """
         row = np.arange(len(codes))
         node = np.zeros(len(codes), dtype=np.int64)
-        home = np.ones(len(codes), dtype=bool)
+        home = np.ones(len(codes), dtype=bool) if home is None else home
         for _ in range(self.depth):
             away = np.bitwise_count(codes[row] ^ self.points[node]).astype(np.int16)
             middle = self.medians[node]
@@ -128,6 +145,56 @@ class VantagePointTree:
         return row, node - len(self.points), home
 
 
+PLACED = "shard long, member boolean, fingerprint long, part int"
+
+
+def divided(placed: DataFrame, radius: int) -> DataFrame:
+    """``placed`` with crowded shards divided by trees of their own, again and again while that makes them smaller."""
+    rounds, whole = [], F.lit(1 << 62)
+    while True:
+        sizes = placed.groupBy("shard").agg(F.count_if("member").alias("m"))
+        sizes = sizes if not rounds else sizes.join(rounds[-1], "shard")
+        before = F.col("before") if rounds else whole
+        crowded = materialize(sizes.where((F.col("m") > BLOCK) & (F.col("m") < 0.9 * before)).select("shard", "m"), "vp-crowded")
+        if crowded.isEmpty():
+            return placed
+        in_order = Window.partitionBy("shard").orderBy(F.xxhash64("fingerprint"))
+        sample = placed.where("member").join(crowded, "shard", "left_semi").withColumn("rank", F.row_number().over(in_order))
+
+        def laid_out(group: pd.DataFrame) -> pd.DataFrame:
+            codes, part = group["fingerprint"].to_numpy().view(np.uint64), int(group["part"].iat[0])
+            tree = VantagePointTree(part_of(codes, part), LEVELS, seed=part)
+            points, medians = tree.points.view(np.int64).tolist(), tree.medians.tolist()
+            return pd.DataFrame({"shard": group["shard"].iloc[:1], "points": [points], "medians": [medians]})
+
+        trees = sample.where(F.col("rank") <= OWN_SAMPLE).select("shard", "fingerprint", "part").groupBy("shard")
+        trees = trees.applyInPandas(laid_out, "shard long, points array<long>, medians array<int>")
+        trees = materialize(trees.join(crowded, "shard"), "vp-trees")
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                shard, member, part = (b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "member", "part"))
+                codes = b.column("fingerprint").to_numpy(zero_copy_only=False)
+                for own in np.unique(shard):
+                    at = np.flatnonzero(shard == own)
+                    points, medians = (np.array(b.column(c)[at[0]].as_py()) for c in ("points", "medians"))
+                    tree = VantagePointTree.of(points.view(np.uint64), medians.astype(np.int16))
+                    mine = part_of(codes[at].view(np.uint64), int(part[at[0]]))
+                    row, child, home = tree.shards(mine, radius, member[at])
+                    # equal names of different shards would only make needless comparisons
+                    names = [xxhash.xxh64_intdigest(f"{own}/{c}") >> 1 for c in range(1 << LEVELS)]
+                    arrays = [pa.array(np.array(names, dtype=np.int64)[child]), pa.array(home), pa.array(codes[at][row])]
+                    arrays += [pa.array(part[at][row]), b.column("m").take(pa.array(at[row]))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["shard", "member", "fingerprint", "part", "before"])
+
+        again = placed.join(trees, "shard").mapInArrow(place, f"{PLACED}, before long")
+        again = materialize(again, "vp-divided")
+        left = placed.join(crowded, "shard", "left_anti").withColumn("before", F.lit(0).cast("long"))
+        both = left.unionByName(again)
+        rounds.append(both.groupBy("shard").agg(F.max("before").alias("before")))
+        placed = both.drop("before")
+
+
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """a, b: links that join all fingerprints within ``radius`` bits, directly or through others of their shard."""
     near = radius // PARTS
@@ -144,9 +211,11 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
             for part, tree in enumerate(trees):
                 row, shard, home = tree.shards(part_of(codes.view(np.uint64), part), near)
                 arrays = [pa.array(shard * PARTS + part), pa.array(home), pa.array(codes[row])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "member", "fingerprint"])
+                arrays.append(pa.array(np.full(len(row), part, dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "member", "fingerprint", "part"])
 
-    placed = materialize(distinct.mapInArrow(place, "shard long, member boolean, fingerprint long"), "vp-shards")
+    placed = materialize(distinct.mapInArrow(place, PLACED), "vp-shards")
+    placed = divided(placed, near).drop("part")
     # a shard's members and queries are cut into blocks; a group is a block of members and a block of either
     sizes = placed.groupBy("shard").agg(
         F.ceil(F.count_if("member") / BLOCK).alias("m"), F.ceil(F.count_if(~F.col("member")) / BLOCK).alias("q")
@@ -193,29 +262,28 @@ def forest(members: np.ndarray, asking: np.ndarray | None, radius: int) -> pd.Da
     among = asking is None
     other = members if among else asking
     m, q = members.view(np.uint64), other.view(np.uint64)
-    parent = np.arange(len(m) + (0 if among else len(q)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    nodes = members if among else np.concatenate([members, asking])
     base = 0 if among else len(m)
-    out: list[tuple[int, int]] = []
+    label, out = np.arange(len(nodes)), [np.zeros((0, 2), dtype=np.int64)]
     step = max(1, 2_000_000 // max(1, len(m)))
     for i in range(0, len(q), step):
         x, y = np.nonzero(np.bitwise_count(q[i : i + step, None] ^ m[None]) <= radius)
-        x = x + i
-        if among:
-            x, y = x[x < y], y[x < y]
-        for a, b in zip((x + base).tolist(), y.tolist()):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[ra] = rb
-                out.append((other[a - base], members[b]))
-    a, b = zip(*out) if out else ((), ())
-    return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+        x = x + i + base
+        while True:
+            low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            apart = low < high
+            if not apart.any():
+                break
+            x, y, low, high = x[apart], y[apart], low[apart], high[apart]
+            # each label hangs itself once under a smaller one, so these links make no circle
+            _, first = np.unique(high, return_index=True)
+            out.append(np.stack([nodes[x[first]], nodes[y[first]]], axis=1))
+            under = np.arange(len(nodes))
+            under[high[first]] = low[first]
+            while (under[under] != under).any():
+                under = under[under]
+            label = under[label]
+    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
 
 def near_duplicates(
