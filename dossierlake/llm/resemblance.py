@@ -1,10 +1,12 @@
 """Near-duplicates whose sets of word shingles have a Jaccard similarity of at least ``SHARE``, each link confirmed exactly.
 
-Texts with equal sets are one. Of each distinct set ``BANDS`` keys are made, each from the least values of ``ROWS`` hash
+Texts with equal sets are one. Links are proposed by two means. The first are SimHash fingerprints found near through
+vantage-point trees (``simhash.links``). Those alone can't give right results here: sets of similarity 0.8 differ in some
+10 of 64 bits, far beyond any radius at which trees prune. So of each distinct set ``BANDS`` keys are made besides, each from the least values of ``ROWS`` hash
 functions (MinHash). Two sets of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS: at 0.8 all but
 one pair in a million do. Keys only propose: a link is made where the sets themselves, compared as wholes, reach the bar.
 
-Sets that share a key are first compared with the first one that has it, which settles a dense group in as many
+Sets that share a key or a fingerprint are first compared with the first one that has it, which settles a dense group in as many
 comparisons as it has members. Where the members of a key then still lie in different components, all pairs of the sets
 that keys connect are compared, apart from those that are joined already. Large groups are cut into blocks by size of
 text and every pair of blocks is a group of its own.
@@ -24,12 +26,15 @@ from pyspark.sql import functions as F
 
 from dossierlake.llm.common import slices, text_batches
 from dossierlake.llm.components import connected_components
-from dossierlake.llm.simhash import SEED, shingle_hashes
+from dossierlake.llm.simhash import SEED, fingerprint_of, shingle_hashes
+from dossierlake.llm.simhash import links as fingerprint_links
 from dossierlake.workspace import materialize
 
 #: The least similarity of a link, as a fraction.
 SHARE = (4, 5)
 BANDS, ROWS = 60, 7
+#: Bits in which near fingerprints differ at most.
+RADIUS = 3
 #: Characters of text in a block, and what a text counts besides its own.
 BLOCK, TEXT = 4_000_000, 8000
 #: Shingles that are hashed at once.
@@ -60,20 +65,33 @@ def reaches(overlap: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int)
 
 
 def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """row, same (equal for equal sets), keys."""
+    """row, same (equal for equal sets), keys, fingerprint."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = (shingle_set(t, words) for t in b.column("text").to_pylist())
-            found = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(s)) for s in sets]
-            arrays = [
-                b.column("row"),
-                pa.array([x for x, _ in found], pa.binary()),
-                pa.array([x for _, x in found], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "same", "keys"])
-
-    return rows.mapInArrow(sketched, "row long, same binary, keys array<long>")
+            same, keys, prints = [], [], []
+            for text in b.column("text").to_pylist():
+                hashes = shingle_hashes(text, words)
+                own = np.unique(np.array(hashes, dtype=np.uint64))
+                same.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                keys.append(band_keys(own))
+                prints.append(fingerprint_of(hashes))
+            arrays = [b.column("row"), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            arrays.append(pa.array(np.array(prints, dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "same", "keys", "fingerprint"])
+
+    return rows.mapInArrow(sketched, "row long, same binary, keys array<long>, fingerprint long")
+
+
+def near_fingerprints(reps: DataFrame) -> DataFrame:
+    """a, b: rows whose fingerprints are equal or near, as a forest of first rows and a star below each."""
+    first = materialize(reps.groupBy("fingerprint").agg(F.min("row").alias("first")), "first-fingerprints")
+    stars = reps.join(first, "fingerprint").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    near = fingerprint_links(first.select("fingerprint"), RADIUS)
+    for end in ("a", "b"):
+        named = first.select(F.col("fingerprint").alias(end), F.col("first").alias(f"row_{end}"))
+        near = near.join(named, end).drop(end)
+    return stars.unionByName(near.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")))
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
@@ -125,11 +143,12 @@ def compare_all(group: pd.DataFrame, words: int) -> pd.DataFrame:
 
 
 def links(reps: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """a, b: links that join all rows of ``reps`` (row, keys; distinct sets) that are similar enough and share a key."""
+    """a, b: links that join all rows of ``reps`` (distinct sets) that are similar enough and share a key or fingerprint."""
     buckets = reps.select("row", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("row").alias("n"), F.min("row").alias("first")).where("n > 1")
     members = materialize(buckets.join(shared, "key"), "band-members")
-    stars = members.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
+    stars = members.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    stars = stars.unionByName(near_fingerprints(reps)).distinct()
     direct = materialize(confirmed(stars, rows, words), "direct-links")
 
     joined = connected_components(direct).withColumnRenamed("node", "row")
@@ -178,7 +197,7 @@ def one_of_each(docs: DataFrame, words: int = 5, text_column: str = "text") -> D
     rows = keyed.select(F.col(key).alias("row"), F.col(text_column).alias("text"))
     marked = materialize(sketches(rows, words), "sketches")
     firsts = materialize(marked.groupBy("same").agg(F.min("row").alias("row")).select("row"), "distinct-sets")
-    reps = marked.select("row", "keys").join(firsts, "row", "left_semi")
+    reps = marked.select("row", "keys", "fingerprint").join(firsts, "row", "left_semi")
     later = connected_components(links(reps, rows, words)).where("node <> root").select(F.col("node").alias("row"))
     kept = firsts.join(later, "row", "left_anti").withColumnRenamed("row", key)
     return keyed.join(kept, key, "left_semi").drop(key)
