@@ -6,19 +6,26 @@ by digit: sizes are summed by source and hash bucket, the bucket in which the bu
 bucket is looked at again in finer buckets.
 
 Nulls: a null source is a source of its own, last in order; a null id hashes as the empty text; a null size counts 0.
-Rows with one id (repeats) share a hash and are taken together. An empty table gives an empty result.
+Rows with one id (repeats) share a hash and are taken together, so where one id holds much of a source, its target is
+missed by as much. No document is taken more than ``most`` times, empty ones included. An empty table gives an empty
+result. A very long text is one size.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierlake.workspace import materialize
 
-HASH_BITS, DIGIT_BITS = 60, 15
+#: A digit's bits bound what a source's histogram has: 1024 rows at every step.
+HASH_BITS, DIGIT_BITS = 60, 10
 #: Weights by the source's place in order, repeating.
 WEIGHTS = (3, 1, 2)
+#: How often a mix takes a document at most.
+MOST = 2.0
 
 
 def id_hash(column: str) -> Column:
@@ -67,7 +74,7 @@ def source_thresholds(
     id_column: str = "doc_id",
     source_column: str = "source",
     share: float = 1.5,
-    most: float = 2.0,
+    most: float = MOST,
     weights: tuple[int, ...] = WEIGHTS,
 ) -> DataFrame:
     """mix_source, source_size, target, whole, threshold: one row a source.
@@ -113,6 +120,7 @@ def mix_sources(
     """
     found = source_thresholds(docs, size, id_column, source_column, **how)
     taken = F.col("whole") + (id_hash(id_column) <= F.col("threshold")).cast("long")
+    taken = F.least(taken, F.lit(math.floor(how.get("most", MOST))).cast("long"))
     added = ("mix_source", "source_size", "target", "whole", "threshold", copies)
     plain = docs.drop(*[c for c in added if c not in (id_column, source_column)])
     joined = plain.join(found, F.col(source_column).eqNullSafe(F.col("mix_source")))

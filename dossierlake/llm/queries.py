@@ -101,12 +101,12 @@ bounds AS (
   FROM budgets b JOIN summed s ON s.source IS NOT DISTINCT FROM b.source AND s.upto > b.rest
   GROUP BY b.source)
 SELECT z.doc_id, z.size, b.source_size, b.target,
-       z.size * (b.whole + CASE WHEN e.h IS NULL OR z.h < e.h
-                                  OR (z.h = e.h AND e.below + e.own - b.rest < b.rest - e.below)
-                                THEN 1 ELSE 0 END) AS taken,
-       b.whole + CASE WHEN e.h IS NULL OR z.h < e.h
-                        OR (z.h = e.h AND e.below + e.own - b.rest < b.rest - e.below)
-                      THEN 1 ELSE 0 END AS copies
+       z.size * least(2, b.whole + CASE WHEN e.h IS NULL OR z.h < e.h
+                                          OR (z.h = e.h AND e.below + e.own - b.rest < b.rest - e.below)
+                                        THEN 1 ELSE 0 END) AS taken,
+       least(2, b.whole + CASE WHEN e.h IS NULL OR z.h < e.h
+                                 OR (z.h = e.h AND e.below + e.own - b.rest < b.rest - e.below)
+                               THEN 1 ELSE 0 END) AS copies
 FROM sizes z
 JOIN budgets b ON z.source IS NOT DISTINCT FROM b.source
 LEFT JOIN bounds e ON z.source IS NOT DISTINCT FROM e.source
