@@ -1,12 +1,21 @@
-"""Licence scans: normalised passages against licence templates by the Dice coefficient over word bigrams.
+"""Licence scans: windows of normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Passages of a text are its lines and its blocks of several lines between blank ones, so a notice is found wherever it
-stands. Normalised: A-Z in lower case, every run of anything but letters and digits one space. A and B being the sets
-of word bigrams of a passage and a template, Dice is 2 |A and B| / (|A| + |B|). It can't reach a threshold t unless
-|A| lies between |B| t / (2 - t) and |B| (2 - t) / t: templates outside these bounds are passed over unseen.
+Normalised: A-Z in lower case, every run of anything but letters and digits one space. A and B being the sets of word
+bigrams of a window and a template, Dice is 2 |A and B| / (|A| + |B|). A window of a template's own length is laid over
+the whole text wherever an anchor word of the template stands, so that the word is where the template has it: a notice is
+found in the middle of a line, over line ends and within a longer licence text alike.
 
-All of it is one projection of built-in functions: no shuffle, no join, no Python, and every row for itself. A null or
-empty text has no passages; nulls and repeats of other columns change nothing.
+What can't reach the threshold t isn't compared. A window needs |A| between |B| t / (2 - t) and |B| (2 - t) / t, and must
+share so many of the template's bigrams that it can't miss all of a few: anchor words are the longest ones that cover
+these few, function words last. Texts without any anchor word are passed over as a whole.
+
+Each template counts once a text, by its best window (of equal ones the first). Of templates whose best windows overlap
+only the better one counts, so a notice isn't taken for a sibling's; of equally good ones the one whose licence comes
+last in order.
+
+All of it is projections of built-in functions: no shuffle, no join, no Python, and every row for itself. A null or
+empty text has no matches; nulls, repeats and ties of other columns change nothing; work and memory follow a text's
+length. A column of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -45,10 +54,16 @@ TEMPLATES = [
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Function words, which are anchors only where a template has nothing else.
+COMMON = set("a all an and any as at be by for from in is it its may not of on or other that the this to under was were with you your".split())
+
+
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
 
 
 def template_bigrams(text: str) -> list[str]:
-    words = re.findall(r"[^\W_]+", text.lower())
+    words = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -58,56 +73,98 @@ def size_bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return low, round(size * (2 - threshold) * 1e9) // round(threshold * 1e9)
 
 
-def passages(text: Column) -> Column:
-    """Normalised lines, and blocks of more than one line, each with single spaces."""
-    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), r"[^\p{L}\p{N}\n]+", " ")
-    blocks = F.filter(F.split(plain, r"\n ?\n[ \n]*"), lambda b: F.trim(b).contains("\n"))
-    joined = F.transform(blocks, lambda b: F.regexp_replace(b, r" ?\n ?", " "))
-    return F.transform(F.concat(F.split(plain, "\n"), joined), lambda p: F.trim(p))
+def anchor_words(text: str, threshold: float = THRESHOLD) -> list[str]:
+    """Words one of which is in every window that reaches the threshold."""
+    grams = template_bigrams(text)
+    low, _ = size_bounds(len(grams), threshold)
+    shared = -(-round(threshold * (low + len(grams)) * 1e9) // round(2e9))
+    open_grams, chosen = set(grams), []
+    while len(grams) - len(open_grams) < len(grams) - shared + 1:
+        gains = {w: sum(w in g.split() for g in open_grams) for w in template_words(text)}
+        best = min((w for w in gains if gains[w]), key=lambda w: (w in COMMON, -len(w), w))
+        chosen.append(best)
+        open_grams = {g for g in open_grams if best not in g.split()}
+    return chosen
 
 
-def scan(docs: DataFrame, text_column: str = "text", threshold: float = THRESHOLD, name: str = "matches") -> DataFrame:
-    """``docs`` with an array of (license, dice): the best template of each passage that reaches the threshold.
+def anchors(threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
+    """(word, template, place of the word in it) of all templates."""
+    return [
+        (w, k, place)
+        for k, (_, text) in enumerate(TEMPLATES)
+        for w in sorted(anchor_words(text, threshold))
+        for place, own in enumerate(template_words(text))
+        if own == w
+    ]
+
 
-    Of equally good templates the one whose licence comes last in order counts.
-    """
+def scan(docs: DataFrame, text_column: str = "text", threshold: float = THRESHOLD, name: str = "matches") -> DataFrame:
+    """``docs`` with an array of (dice, license, first, last): first and last word, from 1, of each match's window."""
+    found = anchors(threshold)
+    by_word: dict[str, list[Column]] = {}
+    for word, template, place in found:
+        by_word.setdefault(word, []).append(F.struct(F.lit(template).alias("template"), F.lit(place).alias("place")))
+    places = F.create_map(*(x for w, own in by_word.items() for x in (F.lit(w), F.array(*own))))
     rows = []
     for license_id, text in TEMPLATES:
         grams = template_bigrams(text)
         low, high = size_bounds(len(grams), threshold)
-        rows.append(
-            F.struct(
-                F.lit(license_id).alias("license"),
-                F.array(*map(F.lit, grams)).alias("grams"),
-                F.lit(low).alias("low"),
-                F.lit(high).alias("high"),
-            )
-        )
+        columns = {"license": F.lit(license_id), "grams": F.array(*map(F.lit, grams)), "words": F.lit(len(template_words(text))), "low": F.lit(low), "high": F.lit(high)}
+        rows.append(F.struct(*(c.alias(n) for n, c in columns.items())))
     templates = F.array(*rows)
-    least = min(size_bounds(len(template_bigrams(t)), threshold)[0] for _, t in TEMPLATES)
-    most = max(size_bounds(len(template_bigrams(t)), threshold)[1] for _, t in TEMPLATES)
-
-    words = F.transform(passages(F.col(text_column)), lambda p: F.split(p, " "))
-    bigrams = F.transform(
-        F.filter(words, lambda w: F.size(w) > least),
-        lambda w: F.array_distinct(
-            F.zip_with(
-                F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)
-            )
-        ),
-    )
-    sized = F.filter(bigrams, lambda b: F.size(b).between(least, most))
-
-    def best(b: Column) -> Column:
-        open_templates = F.filter(templates, lambda t: F.size(b).between(t.low, t.high))
-        scored = F.transform(
-            open_templates,
-            lambda t: F.struct(
-                (F.lit(2.0) * F.size(F.array_intersect(b, t.grams)) / (F.size(b) + F.size(t.grams))).alias("dice"),
-                t.license.alias("license"),
+    words, best = "__license_words", "__license_best"
+    while words in docs.columns or best in docs.columns:
+        words, best = words + "_", best + "_"
+
+    def word(i: Column) -> Column:
+        return F.get(words, i - 1)
+
+    def window(s: Column) -> Column:
+        size = F.get(templates, s.template).words
+        first, last = F.greatest(s.start, F.lit(1)), F.least(s.start + size - 1, F.size(words))
+        return F.struct(s.template.alias("template"), first.alias("first"), last.alias("last"))
+
+    def with_grams(s: Column) -> Column:
+        count = F.greatest(s.last - s.first, F.lit(0))
+        pairs = F.zip_with(F.slice(words, s.first, count), F.slice(words, s.first + 1, count), lambda a, b: F.concat_ws(" ", a, b))
+        return F.struct(s.template.alias("template"), s["first"].alias("first"), s["last"].alias("last"), F.array_distinct(pairs).alias("own"))
+
+    def scored(s: Column) -> Column:
+        t = F.get(templates, s.template)
+        dice = F.lit(2.0) * F.size(F.array_intersect(s.own, t.grams)) / (F.size(s.own) + F.size(t.grams))
+        return F.struct(dice.alias("dice"), t.license.alias("license"), (-s["first"]).alias("back"), s["last"].alias("last"), s.template.alias("template"))
+
+    at = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: word(i).isin(*by_word))
+    starts = F.flatten(
+        F.transform(
+            at,
+            lambda i: F.transform(
+                F.try_element_at(places, word(i)),
+                lambda p: F.struct(p.template.alias("template"), (i - p.place).alias("start")),
             ),
         )
-        return F.array_max(F.filter(scored, lambda s: s.dice >= threshold))
-
-    found = F.filter(F.transform(sized, best), lambda m: m.isNotNull())
-    return docs.withColumn(name, F.coalesce(found, F.array().cast("array<struct<dice:double,license:string>>")))
+    )
+    windows = F.transform(F.transform(F.array_distinct(starts), window), with_grams)
+    sized = F.filter(
+        windows, lambda s: F.size(s.own).between(F.get(templates, s.template).low, F.get(templates, s.template).high)
+    )
+    good = F.filter(F.transform(sized, scored), lambda s: s.dice >= threshold)
+    none = F.array().cast("array<struct<dice:double,license:string,back:int,last:int,template:int>>")
+    plain = F.trim(F.regexp_replace(F.translate(F.coalesce(text_column, F.lit("")), UPPER, LOWER), r"[^\p{L}\p{N}]+", " "))
+    any_anchor = F.exists(words, lambda w: w.isin(*by_word))
+    marked = docs.withColumn(words, F.split(plain, " ")).withColumn(best, F.when(any_anchor, good).otherwise(none))
+
+    each = F.transform(
+        F.array_distinct(F.col(best).template), lambda k: F.array_max(F.filter(best, lambda s: s.template == k))
+    )
+    marked = marked.withColumn(best, F.when(F.size(best) > 0, each).otherwise(none))
+    apart = F.filter(
+        best,
+        lambda s: ~F.exists(best, lambda o: (o > s) & (-o.back <= s.last) & (-s.back <= o.last)),
+    )
+    kept = F.transform(
+        F.when(F.size(best) > 0, apart).otherwise(none),
+        lambda s: F.struct(s.dice.alias("dice"), s.license.alias("license"), (-s.back).alias("first"), s["last"].alias("last")),
+    )
+    columns = [c for c in docs.columns if c != name]
+    return marked.select(*columns, kept.alias(name))

@@ -127,45 +127,47 @@ def _license_sql() -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
-    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in license_scan.TEMPLATES)
+    rows = ", ".join(f"({k}, {quoted(i)}, {quoted(t)})" for k, (i, t) in enumerate(license_scan.TEMPLATES))
+    anchors = ", ".join(f"({quoted(w)}, {t}, {p})" for w, t, p in license_scan.anchors())
     return rf"""
-WITH templates AS (
-  SELECT license, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS grams
-  FROM (SELECT license, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM (VALUES {rows}) AS t(license, body))),
+WITH anchors(word, template, place) AS (VALUES {anchors}),
+templates AS (
+  SELECT template, license, len(w) AS words,
+         list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS grams
+  FROM (SELECT template, license, regexp_extract_all(lower(body), '[a-z0-9]+') AS w
+        FROM (VALUES {rows}) AS t(template, license, body))),
 plain AS (
-  SELECT row_number() OVER () AS place, doc_id,
-         regexp_replace(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'),
-                        '[^\p{{L}}\p{{N}}
-]+', ' ', 'g') AS body
+  SELECT row_number() OVER () AS id, doc_id,
+         string_split(trim(regexp_replace(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'),
+                                          '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w
   FROM documents),
-passages AS (
-  SELECT place, unnest(string_split(body, chr(10))) AS passage FROM plain
-  UNION ALL
-  SELECT place, regexp_replace(block, ' ?
- ?', ' ', 'g') AS passage
-  FROM (SELECT place, unnest(string_split_regex(body, '
- ?
-[ 
-]*')) AS block FROM plain)
-  WHERE contains(trim(block), chr(10))),
-cut AS (SELECT row_number() OVER () AS passage_id, place, string_split(trim(passage), ' ') AS w FROM passages),
+each AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM plain),
+starts AS (SELECT DISTINCT id, template, i - place AS start FROM each JOIN anchors USING (word)),
+windows AS (
+  SELECT id, template, license, grams, w, greatest(start, 1) AS first, least(start + words - 1, len(w)) AS last
+  FROM starts JOIN templates USING (template) JOIN plain USING (id)),
 grams AS (
-  SELECT passage_id, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own
-  FROM cut WHERE len(w) > 1),
+  SELECT id, template, license, grams, first, last,
+         list_distinct(list_transform(range(first, last), lambda i: w[i] || ' ' || w[i + 1])) AS own
+  FROM windows WHERE last > first),
 scored AS (
-  SELECT passage_id, place, license, len(list_intersect(own, grams)) AS shared, len(own) + len(grams) AS sizes
-  FROM grams CROSS JOIN templates
-  WHERE len(own) <= 1.5000001 * len(grams) AND 1.5000001 * len(own) >= len(grams)),
+  SELECT id, template, license, first, last,
+         2.0::DOUBLE * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice
+  FROM grams),
 best AS (
-  SELECT place, passage_id, max({{'dice': 2.0::DOUBLE * shared / sizes, 'license': license}}) AS m
-  FROM scored WHERE 2.0::DOUBLE * shared / sizes >= {license_scan.THRESHOLD}::DOUBLE GROUP BY place, passage_id),
-matched AS (
-  SELECT place, count(*) AS n_matches, string_agg(DISTINCT m.license, ',' ORDER BY m.license) AS licenses,
-         max(m.dice) AS best_dice
-  FROM best GROUP BY place)
+  SELECT * FROM scored WHERE dice >= {license_scan.THRESHOLD}::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY id, template ORDER BY dice DESC, first) = 1),
+kept AS (
+  SELECT * FROM best s WHERE NOT EXISTS (
+    SELECT 1 FROM best o WHERE o.id = s.id AND o.first <= s.last AND s.first <= o.last
+      AND (o.dice > s.dice OR (o.dice = s.dice AND (o.license > s.license
+           OR (o.license = s.license AND (-o.first > -s.first
+               OR (o.first = s.first AND (o.last > s.last OR (o.last = s.last AND o.template > s.template))))))))))
 SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses,
        coalesce(best_dice, 0.0::DOUBLE) AS best_dice
-FROM plain LEFT JOIN matched USING (place)
+FROM plain LEFT JOIN (
+  SELECT id, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice
+  FROM kept GROUP BY id) USING (id)
 """
 
 
