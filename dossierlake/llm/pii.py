@@ -9,13 +9,18 @@ capitalised word, and wherever the same document has a name so found).
 An entity is its canonical form: digits of a phone number, lower case of an address, a name's parts one by one. All
 mentions of an entity, in any layout and any document, get the same surrogate, laid out as the mention is, so
 coreference stays ("John Smith", "Mr Smith"). A surrogate has the type's form: letters for letters, digits for digits,
-a valid check digit, a given name of the same gender and script, a surname of the same script.
+a valid check digit, for a name a made-up one of the same gender and script with as many hyphenated parts. Made-up names
+are as many as the corpus needs, and apart from the names by which detection goes.
 
 Surrogates come from HMAC-SHA256 over the kind, the entity and an attempt. They are checked on Spark against all
-surrogates and all entities of the corpus; an entity whose surrogate is taken draws again, so different entities stay
-different and no surrogate is a real entity. Only documents with mentions are shuffled, with spans and not texts.
-
-Null and empty texts have no mentions and stay as they are; so do all other columns and repeated rows.
+surrogates and all entities of the corpus; an entity makes several draws a round and keeps its first one that is free,
+so different entities stay different and no surrogate is a real entity. Texts are searched once; documents with mentions
+are shuffled by row.
+
+Null and empty texts have no mentions and stay as they are; so do all other columns and repeated rows. Columns whose
+names begin with "__pii_" are for the operator's own use; others may have any name. An empty table stays empty. A very
+long text is searched as a whole in time that follows its length; a form of numbers of which 97 in 100 are taken is an
+error.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -45,7 +51,16 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Frau": "f", "Monsieur"
 SYLLABLES = {
     "latin": "bar bel cor dan del fen gar hol jan kel lan mar nor pel ros sen tal vin wes zan".split(),
     "cyrillic": "бар вел гор дан лен мар нов рос сан тол".split(),
+    "greek": "βαρ γελ δαν θεο καλ λαμ μαρ νικ παν ρεν σολ ταν φιλ χαρ".split(),
+}
+#: Endings of made-up given names by gender.
+ENDINGS = {
+    "latin": {"m": "o an en us or ik as in".split(), "f": "a ia ina elle ette isa ora".split()},
+    "cyrillic": {"m": "ан ей ий ор ил ин".split(), "f": "а ия ина ана ела".split()},
+    "greek": {"m": "ος ης ας".split(), "f": "α η ία ούλα".split()},
 }
+#: Prefixes of secrets that stay.
+PREFIXES = "AKIA ASIA ghp_ gho_ ghu_ ghs_ ghr_ sk- xoxa- xoxb- xoxp- xoxr- xoxs- AIza eyJ".split()
 
 KNOWN = {name: (gender, script) for (gender, script), names in GIVEN.items() for name in names}
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@((?:[A-Za-z0-9-]{1,63}\.){1,8})([A-Za-z]{2,24})(?![A-Za-z0-9-])")
@@ -61,12 +76,16 @@ CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{8,})", re.IGNORECASE)
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,})")
+#: A word of a name, with hyphens and apostrophes inside but no possessive s.
+NAME = r"[^\W\d_]+(?:[-'’](?!s(?!\w))[^\W\d_]+)*"
 #: Without a word boundary in front, which would slow the search down; whole_word() looks.
-TITLED = re.compile(r"({0})(?:\.? (?:{0}))*\.? ([^\W\d_]+)(?: ([^\W\d_]+))?".format("|".join(TITLES)))
-NAMED = re.compile(r"(" + "|".join(KNOWN) + r") ([^\W\d_]+)")
+TITLED = re.compile(r"({0})(?:\.? (?:{0}))*\.? ({1})(?: ({1}))?".format("|".join(TITLES), NAME))
+NAMED = re.compile(r"(" + "|".join(KNOWN) + r") (" + NAME + ")")
+WHOLE_NAME, NAME_PART = re.compile(r"(?<!\w)" + NAME + r"(?!\w)"), re.compile(r"[^\W\d_]+")
 SPANS = "array<struct<begin:int,stop:int,kind:string,canonical:string>>"
-#: A draw whose kind has no longer forms gives up after so many attempts; the others grow from LONGER on.
-ATTEMPTS, LONGER = 200, 6
+#: Draws of an entity in a round, rounds at most, and the attempt from which surrogates of free length grow.
+DRAWS, ROUNDS, LONGER = 8, 30, 6
 
 
 def luhn(digits: str) -> bool:
@@ -75,7 +94,19 @@ def luhn(digits: str) -> bool:
 
 
 def script_of(word: str) -> str:
-    return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "latin"
+    first = word[0]
+    if "Ѐ" <= first <= "ӿ":
+        return "cyrillic"
+    if "Ͱ" <= first <= "Ͽ" or "ἀ" <= first <= "῿":
+        return "greek"
+    return "latin" if first < "ʰ" or "Ḁ" <= first <= "ỿ" else "other"
+
+
+def kindred(letter: str, pick: Callable[[int], int]) -> str:
+    """Another letter of the same kind from the same part of the character table."""
+    start, kind = ord(letter) & ~63, unicodedata.category(letter)
+    others = [c for c in map(chr, range(start, start + 64)) if unicodedata.category(c) == kind and c != letter]
+    return others[pick(len(others))] if others else letter
 
 
 def checked(iban: str) -> int:
@@ -149,6 +180,9 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     if "IA" in text:
         for m in ACCESS_KEY.finditer(text):
             found.append((*m.span(), "secret", m[0]))
+    if "_" in text or "-" in text or "eyJ" in text:
+        for m in TOKEN.finditer(text):
+            found.append((*m.span(), "secret", m[0]))
     for m in TITLED.finditer(text):
         first, last = m[2], m[3]
         if not first[0].isupper() or first in TITLES or not whole_word(text, m):
@@ -166,9 +200,14 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             found.append((*m.span(1), f"given.{KNOWN[m[1]][0]}", m[1].lower()))
             found.append((*m.span(2), "surname", m[2].lower()))
     names = {text[a:b]: (kind, name) for a, b, kind, name in found if kind == "surname" or kind.startswith("given")}
-    if names:  # the same names without a form of address
-        for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, names)) + r")\b", text):
-            found.append((*m.span(), *names[m[0]]))
+    if names:  # the same names without a form of address, also in capitals or as a part of a longer one
+        names = {n.upper(): v for n, v in names.items() if len(n) > 1} | names
+        for m in WHOLE_NAME.finditer(text):
+            if m[0] in names:
+                found.append((*m.span(), *names[m[0]]))
+            elif len(m[0]) > 2:
+                parts = [p for p in NAME_PART.finditer(text, *m.span()) if p[0] in names and p[0] != m[0]]
+                found += [(*p.span(), *names[p[0]]) for p in parts]
     out, end = [], 0
     for mention in sorted(set(found), key=lambda x: (x[0], -x[1], x[2])):
         if mention[0] >= end:
@@ -242,43 +281,56 @@ def draw(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     if kind == "ssn":
         return number(canonical, 0, pick)
     if kind == "secret":
-        fixed = 4 if ACCESS_KEY.fullmatch(canonical) else 0
+        fixed = next((len(p) for p in PREFIXES if canonical.startswith(p)), 0)
         return canonical[:fixed] + alike(canonical[fixed:] + "x" * extra, pick)
-    script = script_of(canonical)
+    parts = re.split(r"([-'’])", canonical)
+    parts[::2] = [made_up(kind, part, extra, pick) for part in parts[::2]]
+    return "".join(parts)
+
+
+def made_up(kind: str, part: str, extra: int, pick: Callable[[int], int]) -> str:
+    """A name in place of one part of a name, with ``extra`` syllables or letters more."""
+    script = script_of(part)
+    if script == "other":
+        return "".join(kindred(c, pick) for c in part + part[-1] * extra)
+    own = SYLLABLES[script]
     if kind == "surname":
-        word = "".join(SYLLABLES[script][pick(len(SYLLABLES[script]))] for _ in range(3 + extra))
+        word = "".join(own[pick(len(own))] for _ in range(3 + extra))
         if script == "cyrillic":
-            word += "ова" if canonical.endswith("а") else "ов"
+            word += "ова" if part.endswith("а") else "ов"
+        if script == "greek":
+            word += "οπούλου" if part.endswith("ου") else "όπουλος"
         return word
-    gender = kind.partition(".")[2]
-    names = [x for g in ("m", "f") if gender in (g, "n") for x in GIVEN[g, script]]
-    return "-".join(names[pick(len(names))].lower() for _ in range(1 + extra))
+    endings = [x for g, own in ENDINGS[script].items() if kind.partition(".")[2] in (g, "n") for x in own]
+    return "".join(own[pick(len(own))] for _ in range(2 + extra)) + endings[pick(len(endings))]
 
 
 def assign(found: DataFrame, key: bytes) -> DataFrame:
     """kind, canonical, surrogate for distinct entities (kind, canonical), with no two alike and none an entity."""
-    pending = found.withColumn("attempt", F.lit(0))
-    done: DataFrame | None = None
+    pending, done = found.select("kind", "canonical"), None
 
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("kind", "canonical", "attempt")))
-            new = pa.array([draw(key, *r) for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, new], names=[*b.schema.names, "surrogate"])
+    def draws(first: int):
+        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = list(zip(b.column("kind").to_pylist(), b.column("canonical").to_pylist()))
+                each = [(k, c, n, draw(key, k, c, n)) for k, c in rows for n in range(first, first + DRAWS)]
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+                arrays = [pa.array([x[i] for x in each], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["kind", "canonical", "attempt", "surrogate"])
+
+        return drawn
 
     real = found.select("kind", F.col("canonical").alias("surrogate"))
-    for attempt in range(ATTEMPTS):
-        new = pending.mapInArrow(drawn, "kind string, canonical string, attempt int, surrogate string")
-        first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canonical")) == 1
+    for turn in range(ROUNDS):
+        new = pending.mapInArrow(draws(turn * DRAWS), "kind string, canonical string, attempt int, surrogate string")
         taken = real if done is None else real.unionByName(done.select("kind", "surrogate"))
-        marked = new.withColumn("first", first).join(
-            taken.withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left"
-        )
-        settled = F.col("first") & F.col("taken").isNull()
-        marked = materialize(marked.withColumn("settled", settled), "pii-draws")
-        won = marked.where("settled").select("kind", "canonical", "surrogate")
+        # each free surrogate goes to who drew it first, and each entity keeps the first one that it gets
+        claims = new.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("by"))
+        claims = claims.join(taken, ["kind", "surrogate"], "left_anti")
+        won = claims.groupBy("kind", "by.canonical").agg(F.min(F.struct("by.attempt", "surrogate")).alias("own"))
+        won = materialize(won.select("kind", "canonical", "own.surrogate"), "pii-draws")
         done = won if done is None else done.unionByName(won)
-        pending = marked.where("not settled").select("kind", "canonical", F.lit(attempt + 1).alias("attempt"))
+        pending = materialize(pending.join(won, ["kind", "canonical"], "left_anti"), "pii-pending")
         if pending.isEmpty():
             return done
     raise RuntimeError("some entities have no free surrogate of their form")
@@ -300,7 +352,7 @@ def lay_out(mention: str, kind: str, surrogates: dict[tuple[str, str], str], can
         new = str(ipaddress.IPv6Address(new)) if "::" in mention else new
         return new.upper() if re.search("[A-F]", mention) else new
     if kind == "surname" or kind.startswith("given"):
-        return new.upper() if len(mention) > 1 and mention.isupper() else "-".join(p.capitalize() for p in new.split("-"))
+        return new.upper() if len(mention) > 1 and mention.isupper() else re.sub(r"[^\W\d_]+", lambda p: p[0].capitalize(), new)
     return new
 
 
@@ -322,12 +374,9 @@ def replace_entities(
         rows = [[dict(zip(names, m)) for m in detect(t)] for part in parts_of(texts) for t in part]
         return pa.array(rows, pa.list_(pa.struct(list(zip(names, (pa.int32(), pa.int32(), pa.string(), pa.string()))))))
 
-    @F.arrow_udf("boolean")
-    def none_found(texts: pa.Array) -> pa.Array:
-        return pa.array([not detect(t) for part in parts_of(texts) for t in part], pa.bool_())
-
-    hits = docs.withColumn(mentions, found(F.col(text_column))).where(F.size(mentions) > 0)
-    hits = materialize(hits.withColumn(row, F.monotonically_increasing_id()), "pii-hits")
+    searched = docs.withColumn(mentions, found(F.col(text_column))).withColumn(row, F.monotonically_increasing_id())
+    searched = materialize(searched, "pii-searched", compression="zstd")
+    hits = searched.where(F.size(mentions) > 0)
     each = hits.select(row, F.explode(mentions).alias("m")).select(row, "m.kind", "m.canonical")
     domain = F.substring_index("canonical", "@", -1)
     own = each.unionByName(each.where("kind = 'email'").select(row, F.lit("domain").alias("kind"), domain.alias("canonical")))
@@ -355,5 +404,5 @@ def replace_entities(
 
     done = hits.join(by_row, row).withColumn(text_column, replaced(text_column, mentions, known))
     done = done.select(*columns, F.size(mentions).cast("long").alias(counted))
-    clean = docs.where(none_found(F.col(text_column))).withColumn(counted, F.lit(0).cast("long"))
+    clean = searched.where(F.size(mentions) == 0).select(*columns, F.lit(0).cast("long").alias(counted))
     return done.unionByName(clean)
