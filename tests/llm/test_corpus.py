@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -50,10 +51,10 @@ def plain_scores(rows, order, mu):
     return out
 
 
-@pytest.mark.parametrize(("order", "chunk"), [(2, 16 << 20), (2, 200), (3, 300), (1, 500)])
-def test_scores_are_the_formulas(spark, monkeypatch, order, chunk):
-    monkeypatch.setattr(lm_scoring, "CHUNK", chunk)
-    monkeypatch.setattr(lm_scoring, "BUCKET", 50)
+@pytest.mark.parametrize(("order", "chunk", "fan"), [(2, 16 << 20, 256), (2, 200, 256), (3, 300, 4), (1, 500, 2), (3, 150, 3)])
+def test_scores_are_the_formulas(spark, monkeypatch, order, chunk, fan):
+    for name, value in (("CHUNK", chunk), ("BUCKET", 50), ("FAN", fan), ("SEGMENT", 40)):
+        monkeypatch.setattr(lm_scoring, name, value)
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(rng.choice(["The", "a", "ban", "é", "x,y", "Zzz"], rng.integers(0, 25)))) for i in range(60)]
     rows += [(100, None), (101, ""), (None, "the null id"), (5, "repeated  row\n"), (5, "repeated  row\n"), (7, "w " * 3000)]
@@ -80,6 +81,28 @@ def test_probabilities_after_a_history_sum_to_one():
         assert (10**gain).sum() + unseen == pytest.approx(1)
 
 
+@pytest.mark.parametrize("times", [4, 16])
+def test_messages_follow_the_input(spark, monkeypatch, times):
+    for name, value in (("CHUNK", 200), ("BUCKET", 60), ("FAN", 4)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    rows_written = []
+    keep = lm_scoring.materialize
+
+    def counting(df, name, **how):
+        out = keep(df, name, **how)
+        if name in ("lm-messages", "lm-counts"):
+            rows_written.append(out.count())
+        return out
+
+    monkeypatch.setattr(lm_scoring, "materialize", counting)
+    rng = np.random.default_rng(3)
+    rows = [(i, "the " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 20))) for i in range(10 * times)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert lm_scoring.score_documents(docs, ~held_out("doc_id", 10)).count() == len(rows)
+    # a message to each bucket from each chunk would be some 7 * 14 * times ** 2
+    assert max(rows_written) < 150 * times
+
+
 def test_no_documents_to_score(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scoring.score_documents(docs, ~held_out("doc_id", 10)).count() == 0
@@ -110,31 +133,74 @@ def test_quality_is_learned_and_held_out(spark, monkeypatch):
     assert np.allclose(again.out, net.out)
 
 
-def test_gradients_are_the_differences():
-    rng = np.random.default_rng(1)
-    chunks = [quality.cut_chunks("some text " * 30), quality.cut_chunks("OTHER!! " * 90)]
-    labels = np.array([1, 0])
-    before = quality.ByteConvNet.fresh(np.random.default_rng(7))
-    net = quality.train(chunks, labels, epochs=30, batch=2)
-    feats = [n.combine(n.pool(np.concatenate(chunks))[0], np.array([0, len(chunks[0])])) @ n.out + n.shift for n in (before, net)]
-    assert feats[1][0] > feats[0][0] and feats[1][1] < feats[0][1]
-    assert rng is not None
-
-
-@pytest.mark.parametrize("text", [None, "", "a", "b" * 511, "c" * 512, "d" * 513, "e" * 960, "é" * 5000])
-def test_chunks_cover_the_text(text):
+def plain_quality(net, text):
+    """The score straight from the definition, one place after the other."""
     raw = (text or "").encode()
-    chunks = quality.cut_chunks(text)
-    back = b"".join(bytes(c[: quality.STRIDE].astype(np.uint8)[: max(0, len(raw) - i * quality.STRIDE)]) for i, c in enumerate(chunks[:-1]))
-    last = chunks[-1]
-    back += bytes(last[last != quality.PAD].astype(np.uint8))
-    assert back == raw
-    assert quality.ByteConvNet.fresh(np.random.default_rng(0)).maxima(chunks) == pytest.approx(quality.ByteConvNet.fresh(np.random.default_rng(0)).pool(chunks)[0], abs=1e-5)
-
-
-def test_one_label_alone_or_none():
-    assert quality.train([], np.zeros(0)).score(["x"])[0] == pytest.approx(0.5)
-    assert quality.train([quality.cut_chunks("x")], np.array([1])).score(["x", None]).min() > 0.9
+    pooled = []
+    for at in range(0, max(1, len(raw) - (quality.CHUNK - quality.STRIDE)), quality.STRIDE):
+        codes = [*raw[at : at + quality.CHUNK]]
+        codes += [quality.PAD] * (quality.CHUNK - len(codes))
+        seen = [net.embed[codes[i : i + net.WIDTH]].ravel() for i in range(0, quality.CHUNK - net.WIDTH + 1, net.STEP)]
+        windows = [tuple(codes[i : i + 8]) for i in range(quality.CHUNK - 7)]
+        whole = [w for w in windows if quality.PAD not in w]
+        responses = np.maximum((np.array(seen, dtype=np.float64) @ net.filters).max(axis=0) + net.bias, 0)
+        pooled.append([*responses, 10 * (len(whole) - len(set(whole))) / len(windows)])
+    features = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)])
+    return 1 / (1 + np.exp(-(features @ net.out + net.shift[0])))
+
+
+def random_net(seed=3):
+    net, rng = quality.ByteConvNet.fresh(0.1, seed), np.random.default_rng(seed)
+    net.out = rng.normal(0, 0.3, net.out.shape).astype(np.float32)
+    net.bias = rng.normal(0, 0.3, net.bias.shape).astype(np.float32)
+    return net
+
+
+def test_scores_of_whole_texts(spark):
+    net = random_net()
+    texts = [None, "", "a", "b" * 511, "c" * 512, "d" * 513, "e" * 960, "f" * 961, "é" * 5000, "long and varied text %d " * 5000 % (*range(5000),), "a"]
+    docs = spark.createDataFrame([(f"id{i}", t, 1.0) for i, t in enumerate(texts)], "doc_id string, text string, score double")
+    got = {r.doc_id: r.score for r in quality.score(docs, net).collect()}
+    assert [got[f"id{i}"] for i in range(len(texts))] == pytest.approx([plain_quality(net, t) for t in texts], abs=1e-4)
+    assert quality.score(docs.limit(0), net).count() == 0
+
+
+@pytest.mark.parametrize("part", range(5))
+def test_gradients_are_the_differences(part):
+    net = random_net()
+    raws = [quality.raw_bytes(t) for t in ("some text " * 30, "OTHER!! " * 9000, None)]
+    labels, weigh = np.array([1, 0, 1]), np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        p = net.score([bytes(r).decode() for r in raws])
+        return float((-(labels * np.log(p) + (1 - labels) * np.log(1 - p)) * weigh).mean())
+
+    found = net.gradients(raws, labels, weigh)[part]
+    values = net.parts()[part]
+    place = np.unravel_index(np.abs(found).argmax(), found.shape)
+    keep, apart = values[place], 1e-3
+    values[place] = keep + apart
+    high = loss()
+    values[place] = keep - apart
+    low = loss()
+    values[place] = keep
+    assert found[place] == pytest.approx((high - low) / (2 * apart), rel=0.05)
+
+
+@pytest.mark.parametrize("size", [0, 1, 511, 512, 513, 960, 10_000, 200_000])
+def test_chunks_cover_the_text(size):
+    raw = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8)
+    found = np.concatenate([c for c, _ in quality.blocks([raw])])
+    back = np.concatenate([*(c[: quality.STRIDE] for c in found[:-1]), found[-1]])
+    assert (back[back != quality.PAD] == raw).all() and (back != quality.PAD).sum() == size
+
+
+def test_one_label_alone_or_none(spark):
+    docs = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "doc_id long, text string")
+    for marks, low, high in (([], 0.5, 0.5), ([(None, 1)], 0.5, 0.5), ([(1, 1)], 0.9, 1), ([(1, 0)], 0, 0.1)):
+        labels = spark.createDataFrame(marks, "doc_id long, quality int")
+        net = quality.fit(docs, labels, "quality", ~held_out("doc_id", 5))
+        assert all(low <= s <= high for s in net.score(["x", None]))
 
 
 LICENSES = [
@@ -150,12 +216,61 @@ LICENSES = [
 ]
 
 
+MORE_LICENSES = [
+    (20, "Copyright 2020 Foo Corp. All rights reserved. Made in Norway."),
+    (21, "word " * 3000 + " ".join(license_scan.TEMPLATES[18][1].split()) + " and more words on the same line " * 40),
+    (22, "A, B; this work is licensed under the\nGNU General Public License,\n\nversion 3, says the page"),
+    (23, license_scan.TEMPLATES[0][1] + " " + "x " * 50 + license_scan.TEMPLATES[15][1]),
+    (24, license_scan.TEMPLATES[0][1]),
+    (25, "all rights all rights reserved reserved"),
+    (26, "license " * 500),
+]
+
+
+def plain_matches(text, threshold=license_scan.THRESHOLD):
+    """Every window of every template, one after the other, at all anchors."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\W_]+", low)
+    best = []
+    for k, (name, template) in enumerate(license_scan.TEMPLATES):
+        own = license_scan.template_words(template)
+        grams, found = set(zip(own, own[1:])), []
+        for w in license_scan.anchor_words(template, threshold):
+            for i in range(len(words)):
+                for p in range(len(own)):
+                    if words[i] == own[p] == w:
+                        first, last = max(0, i - p), min(len(words), i - p + len(own))
+                        mine = set(zip(words[first:last], words[first + 1 : last]))
+                        dice = 2 * len(mine & grams) / (len(mine) + len(grams))
+                        if dice >= threshold:
+                            found.append((dice, name, -first - 1, last, k))
+        if found:
+            best.append(max(found))
+    return sorted((s[0], s[1], -s[2], s[3]) for s in best if not any(o > s and -o[2] <= s[3] and -s[2] <= o[3] for o in best))
+
+
 def test_licenses_against_every_template(spark):
-    docs = spark.createDataFrame([(*r, "x") for r in LICENSES], "doc_id long, text string, license string")
-    got = {r.doc_id: sorted({m.license for m in r.matches}) for r in license_scan.scan(docs).collect()}
-    assert got[1] == ["MIT"] and got[4] == ["MIT"] and got[2] == ["GPL-3.0"] and got[9] == ["CC-BY-SA-4.0"]
-    assert got[3] == ["Apache-2.0", "Proprietary"]
-    assert got[5] == got[6] == got[7] == got[8] == []
+    rows = LICENSES + MORE_LICENSES
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, license string, __license_words int")
+    scanned = license_scan.scan(docs)
+    assert scanned.columns == [*docs.columns, "matches"]
+    matches = {r.doc_id: sorted(tuple(m) for m in r.matches) for r in scanned.collect()}
+    assert matches == {i: plain_matches(t) for i, t in rows}
+    got = {i: sorted({m[1] for m in own}) for i, own in matches.items()}
+    assert got[1] == got[4] == got[5] == got[21] == ["MIT"] and got[2] == got[22] == ["GPL-3.0"] and got[9] == ["CC-BY-SA-4.0"]
+    assert got[3] == ["Apache-2.0", "Proprietary"] and got[20] == ["Proprietary"]
+    assert got[23] == ["AGPL-3.0", "GPL-3.0"] and got[24] == ["AGPL-3.0"]
+    assert got[6] == got[7] == got[8] == got[26] == []
+    assert license_scan.scan(scanned.limit(0)).columns == scanned.columns and license_scan.scan(scanned.limit(0)).count() == 0
+
+
+def test_no_window_without_an_anchor_reaches_the_threshold():
+    for _, text in license_scan.TEMPLATES:
+        grams, words = license_scan.template_bigrams(text), license_scan.anchor_words(text)
+        missed = [g for g in grams if not set(g.split()) & set(words)]
+        low, high = license_scan.size_bounds(len(grams))
+        best = max(2 * min(len(missed), size) / (size + len(grams)) for size in range(max(1, low), high + 1))
+        assert best < license_scan.THRESHOLD
 
 
 def test_size_bounds_lose_nothing():
@@ -194,7 +309,8 @@ def test_surrogates_keep_type_and_coreference(spark):
         assert [k.partition(".")[0] for k in shapes(got[i])] == [k.partition(".")[0] for k in shapes(plain[i])]
     surname = re.search(r"Mr\. \w+(?:-\w+)* (\w+)", got[1])[1]
     assert f"Mr {surname}," in got[2]
-    assert re.search(r"Mr\. (\w+)", got[1])[1] in pii.GIVEN["m", "latin"]
+    given = re.search(r"Mr\. (\w+)", got[1])[1].lower()
+    assert given.endswith(tuple(pii.ENDINGS["latin"]["m"])) and given[:3] in pii.SYLLABLES["latin"]
     cards = re.findall(r"card ([\d ]+) and (\d+)", got[2])[0]
     assert cards[0].replace(" ", "") == cards[1] and pii.luhn(cards[1])
     assert re.search(r"\d{3}-\d{3}-\d{4};", got[2])
@@ -219,6 +335,68 @@ def test_crowded_forms_stay_distinct(spark):
         assert not set(new) & {r.canonical for r in own}, kind
 
 
+def check_replaced(rows, got, key):
+    """``got`` (text by place) is ``rows`` with one surrogate an entity, all different, none an entity, the rest kept."""
+    surrogates = {}
+    real = {e for text in rows for _, _, k, c in pii.detect(text) for e in pii.entities(k, c)}
+    for text, new in zip(rows, got, strict=True):
+        at = back = 0
+        for begin, stop, kind, canonical in pii.detect(text):
+            kept = text[at:begin]
+            assert new[back : back + len(kept)] == kept
+            back += len(kept)
+            following = text[stop : stop + 1]
+            mention = text[begin:stop]
+            known = surrogates.get((kind, canonical))
+            options = [known] if known else [pii.draw(key, kind, canonical, n) for n in range(24)]
+            if kind == "email":
+                local, _, domain = canonical.rpartition("@")
+                domains = [surrogates["domain", domain]] if ("domain", domain) in surrogates else [pii.draw(key, "domain", domain, n) for n in range(24)]
+                pairs = [{(kind, canonical): o, ("domain", domain): d} for o in options for d in domains]
+            else:
+                pairs = [{(kind, canonical): o} for o in options]
+            fits = [p for p in pairs if new.startswith(pii.lay_out(mention, kind, p, canonical) + following, back)]
+            assert fits, (kind, canonical, new[back : back + 60])
+            surrogates |= fits[0]
+            back += len(pii.lay_out(mention, kind, fits[0], canonical))
+            at = stop
+        assert new is None if text is None else new[back:] == text[at:]
+    assert not {(k, s) for (k, _), s in surrogates.items()} & real
+    for kind in {k for k, _ in surrogates}:
+        own = [s for (k, _), s in surrogates.items() if k == kind]
+        assert len(set(own)) == len(own)
+    return surrogates
+
+
+def test_surrogates_against_brute_force(spark):
+    texts = [
+        "Mr Παπαδόπουλος and Mrs Χριστίνα Παπαδοπούλου met Herr Jean-Pierre O'Neill-Weiß. MR O'NEILL-WEISS left.",
+        "Mr Smith's dog, Smith-Jones, SMITH and Smith2; token=ghp_abcdefghijklmnopqrstuv12 sk-abcdefghijklmnopqrstuvwx",
+        "xoxb-123456789012-abcdef AIzaabcdefghijklmnopqrstuvwxyz123456789 eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM",
+        *(f"Mr {n} Ross" for n in pii.GIVEN["m", "latin"]),
+        None,
+        "",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    rows = {r.doc_id: r for r in pii.replace_entities(docs, b"key").collect()}
+    found = check_replaced(texts, [rows[i].text for i in range(len(texts))], b"key")
+    assert all(rows[i].n_entities == len(pii.detect(t)) for i, t in enumerate(texts))
+    assert not any("-" in s for (k, c), s in found.items() if k == "given.m" and "-" not in c)
+    for (kind, canonical), new in found.items():
+        if kind == "surname" or kind.startswith("given"):
+            assert pii.script_of(new) == pii.script_of(canonical)
+            assert len(re.split("['-]", new)) == len(re.split("['-]", canonical))
+    assert "Smith2" in rows[1].text and "SMITH" not in rows[1].text and "Smith-" not in rows[1].text
+    assert "ghp_" in rows[1].text and "abcdefghij" not in rows[1].text
+
+
+def test_names_of_a_long_text_take_linear_time():
+    text = ", ".join(f"Mr {''.join(chr(97 + int(c)) for c in str(i)).title()}" for i in range(30_000))
+    start = time.process_time()
+    assert len(pii.detect(text)) == 30_000
+    assert time.process_time() - start < 10
+
+
 def test_no_texts_to_clean(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.replace_entities(docs, b"key").count() == 0

@@ -60,10 +60,10 @@ def planted(rng, clusters=60, size=12):
     return sorted(set(codes))
 
 
-@pytest.mark.parametrize(("shard", "block"), [(20, 6000), (40, 7), (10_000, 50)])
-def test_links_give_all_components(spark, monkeypatch, shard, block):
-    monkeypatch.setattr(simhash, "SHARD", shard)
-    monkeypatch.setattr(simhash, "BLOCK", block)
+@pytest.mark.parametrize(("shard", "block", "sample"), [(20, 6000, 100_000), (40, 7, 100_000), (10_000, 50, 100_000), (20, 60, 16)])
+def test_links_give_all_components(spark, monkeypatch, shard, block, sample):
+    for name, value in (("SHARD", shard), ("BLOCK", block), ("TREE_SAMPLE", sample), ("OWN_SAMPLE", 40)):
+        monkeypatch.setattr(simhash, name, value)
     codes = np.array(planted(np.random.default_rng(shard)), dtype=np.uint64)
     signed = codes.view(np.int64).tolist()
     links = simhash.links(spark.createDataFrame([(c,) for c in signed], "fingerprint long"), 3)
@@ -79,6 +79,45 @@ def test_links_give_all_components(spark, monkeypatch, shard, block):
     assert roots == {n: plain[n] for n in linked}
 
 
+def test_shards_multiply_with_the_data(spark, monkeypatch):
+    for name, value in (("SHARD", 20), ("BLOCK", 60), ("TREE_SAMPLE", 16), ("OWN_SAMPLE", 64)):
+        monkeypatch.setattr(simhash, name, value)
+    largest, placed = [], []
+    keep = simhash.divided
+
+    def divided(rows, radius):
+        out = keep(rows, radius)
+        largest.append(out.where("member").groupBy("shard").count().agg({"count": "max"}).first()[0])
+        placed.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "divided", divided)
+    rng = np.random.default_rng(6)
+    for times in (1, 4):
+        codes = np.unique(rng.integers(0, 1 << 63, 500 * times, dtype=np.uint64)).astype(np.int64).tolist()
+        assert simhash.links(spark.createDataFrame([(c,) for c in codes], "fingerprint long"), 3).count() < len(codes)
+    assert max(largest) <= 70
+    assert placed[1] < 12 * placed[0]
+
+
+@pytest.mark.parametrize("size", [1, 700])
+def test_a_forest_joins_what_all_links_join(monkeypatch, size):
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    codes = np.unique(base[rng.integers(0, 3, size)] ^ (np.uint64(1) << rng.integers(0, 6, size, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 40, size, dtype=np.uint64)))
+    signed = codes.view(np.int64)
+    near = np.bitwise_count(codes[:, None] ^ codes[None]) <= 3
+    for asking in (None, signed[::2]):
+        members = signed if asking is None else signed[1::2]
+        found = simhash.forest(members, asking, 3)
+        pairs = list(zip(found["a"].tolist(), found["b"].tolist()))
+        rows, columns = np.nonzero(near)
+        own = [(int(signed[i]), int(signed[j])) for i, j in zip(rows, columns) if i < j and (asking is None or i % 2 != j % 2)]
+        whole = plain_components(signed.tolist(), own)
+        assert plain_components(signed.tolist(), pairs) == whole
+        assert len(pairs) == len(signed) - len(set(whole.values()))
+
+
 def test_tree_queries_meet_every_near_member():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 1 << 32, 4000, dtype=np.uint64)
