@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 
 import pandas as pd
@@ -25,17 +26,17 @@ COMMANDS = {
 DEPTH, ITEMS, FIELDS, TEXT_BYTES = 8, 48, 64, 4096
 
 
+def _one_mark(error: UnicodeDecodeError) -> tuple[str, int]:
+    return "?", error.start + 1
+
+
+codecs.register_error("dossierlake.one_mark", _one_mark)
+
+
 def sanitized(raw: bytes) -> str:
-    """Each byte that isn't part of valid UTF-8 becomes a question mark."""
-    out, at = [], 0
-    while at < len(raw):
-        try:
-            out.append(raw[at:].decode())
-            break
-        except UnicodeDecodeError as error:
-            out.append(raw[at : at + error.start].decode() + "?")
-            at += error.start + 1
-    return "".join(out)
+    """Each byte that isn't part of valid UTF-8 becomes a question mark, in one pass."""
+    codecs.register_error("dossierlake.one_mark", _one_mark)  # a worker may have this function without its module
+    return raw.decode(errors="dossierlake.one_mark")
 
 
 @F.pandas_udf(StringType())

@@ -113,3 +113,11 @@ def normal_markdown(line: Column) -> Column:
     """Without blanks at its end, and with a blank after a heading's marks."""
     bare = F.regexp_replace(line, r"[ \t\n\r\f\x0B]+$", "")
     return F.regexp_replace(bare, "^(#+)([^ #])", "$1 $2")
+
+
+def normal_lines(text: Column) -> Column:
+    """Normal lines of a text, without those blank ones that follow a blank one."""
+    lines = F.transform(F.split(text, "\n"), normal_markdown)
+    blank = F.transform(lines, lambda x: trimmed(x) == "")
+    after = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (F.get(blank, i) & (i > 0) & F.coalesce(F.get(blank, i - 1), F.lit(False))).alias("out")))
+    return F.transform(F.filter(after, lambda x: ~x.out), lambda x: x.line)

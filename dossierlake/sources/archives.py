@@ -19,38 +19,97 @@ from dossierlake.functions.text import lower_ascii, path_parts, safe_path
 from dossierlake.operators.histories import greedy_budget
 from dossierlake.sources.files import ImportLimits
 from dossierlake.sources.formats import is_archive_path
+from dossierlake.workspace import materialize
 
 ENTRIES = "project_id string, archive string, entry_seq int, path string, directory boolean, symlink boolean, size_bytes long, compressed_bytes long, method int, encrypted boolean, error string"
 #: ZIP's methods for stored and deflated data.
 KNOWN_METHODS = (0, 8)
 
 
-def entries_of(content: bytes, name: str, most: int = 100_000) -> Iterator[tuple]:
-    """(path, directory, symlink, size, compressed size, method, encrypted) of the first entries."""
-    buffer = io.BytesIO(content)
-    if zipfile.is_zipfile(buffer):
-        with zipfile.ZipFile(buffer) as archive:
+class Budget(io.RawIOBase):
+    """A decompressed stream that may give so many bytes at most: a bomb ends here and not in memory."""
+
+    def __init__(self, stream: io.BufferedIOBase, most: int):
+        self.stream, self.left = stream, most
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, size: int = -1) -> bytes:
+        data = self.stream.read(min(self.left + 1, size if size >= 0 else 1 << 20))
+        self.left -= len(data)
+        if self.left < 0:
+            raise ExpandedTooFar("more bytes than allowed")
+        return data
+
+
+class ExpandedTooFar(Exception):
+    """An archive gives more bytes than its limit."""
+
+
+#: First bytes of single compressed streams and what opens them.
+STREAMS = (
+    (b"\x1f\x8b", lambda b: gzip.GzipFile(fileobj=b)),
+    (b"BZh", bz2.BZ2File),
+    (b"\xfd7zXZ\x00", lzma.LZMAFile),
+    (b"\x5d\x00\x00", lzma.LZMAFile),
+)
+
+
+def stream_of(content: bytes, most: int) -> io.RawIOBase | None:
+    """The decompressed bytes of a single stream, or None if it isn't one."""
+    for magic, opener in STREAMS:
+        if content.startswith(magic):
+            return Budget(opener(io.BytesIO(content)), most)
+    return None
+
+
+def tar_of(content: bytes, most: int) -> tarfile.TarFile | None:
+    """A tar archive, compressed or not, read from front to back; None if it is none."""
+    stream = stream_of(content, most)
+    try:
+        archive = tarfile.open(fileobj=stream or io.BytesIO(content), mode="r|")
+    except (tarfile.ReadError, EOFError, OSError, lzma.LZMAError):
+        if stream is None:
+            raise
+        return None
+    # a stream of zeros would be an empty tar
+    return None if stream is not None and archive.firstmember is None else archive
+
+
+def entries_of(content: bytes, name: str, most: int = 100_000, expanded: int = ImportLimits.expanded_bytes) -> Iterator[tuple]:
+    """(path, directory, symlink, size, compressed size, method, encrypted) of the first entries.
+
+    Streams are decompressed piece by piece and counted. A tar's entries share the archive's bytes by size.
+    """
+    if zipfile.is_zipfile(io.BytesIO(content)):
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
             for info in archive.infolist()[:most]:
                 link = stat.S_ISLNK(info.external_attr >> 16)
                 yield info.filename, info.is_dir(), link, info.file_size, info.compress_size, info.compress_type, bool(info.flag_bits & 1)
         return
-    for opener in (gzip.decompress, bz2.decompress, lzma.decompress):
-        try:
-            inner = opener(content)
-        except (OSError, EOFError, ValueError, lzma.LZMAError):
-            continue
-        try:
-            yield from _tar(inner, len(content), most)
-        except tarfile.TarError:
-            yield name.rpartition(".")[0] or name, False, False, len(inner), len(content), 8, False
+    archive = tar_of(content, expanded)
+    if archive is None:
+        stream, size = stream_of(content, expanded), 0
+        while data := stream.read(1 << 20):
+            size += len(data)
+        yield inner_name(name), False, False, size, len(content), 8, False
         return
-    yield from _tar(content, len(content), most)
+    with archive:
+        found = []
+        for info in archive:
+            found.append((info.name, info.isdir(), info.issym() or info.islnk(), info.size))
+            if len(found) == most:
+                break
+    total = sum(size for *_, size in found)
+    for path, folder, link, size in found:
+        yield path, folder, link, size, -(-size * len(content) // total) if total else 0, 0, False
 
 
-def _tar(content: bytes, size: int, most: int) -> Iterator[tuple]:
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r:") as archive:
-        for info in list(archive)[:most]:
-            yield info.name, info.isdir(), info.issym() or info.islnk(), info.size, max(info.size, 1) if size else 0, 0, False
+def inner_name(name: str) -> str:
+    """What a single compressed stream holds, by the name of its file."""
+    last = name.rpartition("/")[2]
+    return last.rpartition(".")[0] or last
 
 
 def list_entries(files: DataFrame, limits: ImportLimits | None = None) -> DataFrame:
@@ -69,7 +128,7 @@ def list_entries(files: DataFrame, limits: ImportLimits | None = None) -> DataFr
                     rows.append((project, path, 0, "", False, False, len(content), len(content), 0, False, "ARCHIVE_TOO_LARGE_FOR_INDEXING"))
                     continue
                 try:
-                    for n, entry in enumerate(entries_of(bytes(content), path)):
+                    for n, entry in enumerate(entries_of(bytes(content), path, limits.files, limits.expanded_bytes)):
                         rows.append((project, path, n, *entry, None))
                 except Exception as error:  # noqa: BLE001  whatever a damaged archive raises is its row's error
                     rows.append((project, path, 0, "", False, False, 0, 0, 0, False, type(error).__name__))
@@ -111,6 +170,12 @@ def archive_faults(entries: DataFrame, limits: ImportLimits | None = None) -> Da
     return unsafe.unionByName(twice).unionByName(dense).unionByName(whole).unionByName(clash.distinct())
 
 
+def archive_verdicts(entries: DataFrame) -> DataFrame:
+    """project_id, archive, entries, safe: whether no entry has an unsafe path, is a link or is itself an archive."""
+    sound = safe_path(F.col("path")) & ~F.col("symlink") & ~is_archive_path(F.col("path")) & F.col("error").isNull()
+    return entries.groupBy("project_id", "archive").agg(F.count("path").alias("entries"), F.bool_and(sound).alias("safe"))
+
+
 def extraction_plan(entries: DataFrame, limits: ImportLimits | None = None) -> DataFrame:
     """project_id, archive, path, size_bytes, reason (null: unpacked) of the first files of each archive."""
     limits = limits or ImportLimits()
@@ -135,20 +200,65 @@ def extraction_plan(entries: DataFrame, limits: ImportLimits | None = None) -> D
 
 
 def unpack(files: DataFrame, plan: DataFrame, limits: ImportLimits | None = None) -> DataFrame:
-    """project_id, path (archive and entry), content of the planned entries of ZIP archives."""
+    """project_id, path (archive and entry), content, error of the planned entries of ZIP, tar and single compressed files.
+
+    Actual bytes count against the limits, whatever an archive declares: an entry above the limit of a file has the error
+    RUNTIME_SINGLE_FILE_LIMIT_DEFERRED, those behind the limit of an archive RUNTIME_COPY_BUDGET_DEFERRED, and an archive that
+    breaks one row with its own. Rows with an error have no content.
+    """
     limits = limits or ImportLimits()
     wanted = plan.where("reason is null").groupBy("project_id", F.col("archive").alias("path")).agg(F.collect_list(F.col("path")).alias("entries"))
+    names = ["project_id", "path", "content", "error"]
 
     def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                with zipfile.ZipFile(io.BytesIO(bytes(row.content))) as archive:
-                    for name in row.entries:
-                        with archive.open(name) as stream:
-                            data = stream.read(limits.file_bytes + 1)
-                        if len(data) <= limits.file_bytes:
-                            yield pd.DataFrame([(row.project_id, f"{row.path}/{name}", data)], columns=["project_id", "path", "content"])
+                left = limits.expanded_bytes
+                try:
+                    for name, data in contents_of(bytes(row.content), row.path, set(row.entries), limits):
+                        left -= len(data)
+                        error = "RUNTIME_COPY_BUDGET_DEFERRED" if left < 0 else "RUNTIME_SINGLE_FILE_LIMIT_DEFERRED" if len(data) > limits.file_bytes else None
+                        yield pd.DataFrame([(row.project_id, f"{row.path}/{name}", None if error else data, error)], columns=names)
+                        if left < 0:
+                            break
+                except Exception as error:  # noqa: BLE001  whatever a damaged archive raises is its row's error
+                    yield pd.DataFrame([(row.project_id, row.path, None, type(error).__name__)], columns=names)
 
     return files.join(wanted, ["project_id", "path"]).select("project_id", "path", "content", "entries").mapInPandas(
-        opened, "project_id string, path string, content binary"
+        opened, "project_id string, path string, content binary, error string"
     )
+
+
+def contents_of(content: bytes, name: str, wanted: set[str], limits: ImportLimits) -> Iterator[tuple[str, bytes]]:
+    """(entry, bytes) of the wanted entries; one byte more than a file's limit where an entry has more."""
+    if zipfile.is_zipfile(io.BytesIO(content)):
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for entry in archive.namelist():
+                if entry in wanted:
+                    with archive.open(entry) as stream:
+                        yield entry, stream.read(limits.file_bytes + 1)
+        return
+    archive = tar_of(content, limits.expanded_bytes)
+    if archive is None:
+        yield inner_name(name), stream_of(content, limits.expanded_bytes).read(limits.file_bytes + 1)
+        return
+    with archive:
+        for info in archive:
+            if info.name in wanted and info.isfile():
+                yield info.name, archive.extractfile(info).read(limits.file_bytes + 1)
+
+
+def open_archive(files: DataFrame, limits: ImportLimits | None = None) -> tuple[DataFrame, DataFrame]:
+    """(unpacked, deferred) of archives that are sound: see ``unpack``, and project_id, path, size_bytes, reason.
+
+    Archives with faults are deferred as wholes, with the fault as their reason.
+    """
+    limits = limits or ImportLimits()
+    entries = materialize(list_entries(files, limits), "archive-entries")
+    faults = archive_faults(entries, limits).groupBy("project_id", "archive").agg(F.min("fault").alias("reason"))
+    broken = entries.where("error is not null").select("project_id", "archive", F.col("error").alias("reason"))
+    refused = materialize(faults.unionByName(broken), "archive-faults")
+    plan = materialize(extraction_plan(entries.join(refused, ["project_id", "archive"], "left_anti"), limits), "archive-plan")
+    late = plan.where("reason is not null").select("project_id", F.concat_ws("/", "archive", "path").alias("path"), "size_bytes", "reason")
+    whole = refused.select("project_id", F.col("archive").alias("path"), F.lit(None).cast("long").alias("size_bytes"), "reason")
+    return unpack(files, plan, limits), late.unionByName(whole)

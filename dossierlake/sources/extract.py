@@ -8,6 +8,7 @@ import re
 import xml.etree.ElementTree as ElementTree
 import zipfile
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,10 +27,13 @@ def number_text(value: float) -> str:
 
 
 def flatten_json(text: str) -> str | None:
-    """A line for each key and each scalar, keys in order of their names, nulls left out; None if it isn't JSON."""
+    """A line for each key and each scalar, keys in order of their names, nulls left out.
+
+    None if it isn't JSON, or is nested deeper than a parser can follow.
+    """
     try:
         root = json.loads(text, parse_int=float)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     out: list[str] = []
 
@@ -49,7 +53,10 @@ def flatten_json(text: str) -> str | None:
         elif isinstance(value, str):
             out.append(f"{path}: {value}")
 
-    walk(root, "")
+    try:
+        walk(root, "")
+    except RecursionError:
+        return None
     return "".join(line + "\n" for line in out)
 
 
@@ -105,8 +112,10 @@ def openxml_text(content: bytes, extension: str) -> tuple[str, str]:
     return text, "NEED_REVIEW_OPENXML_TEXT_EXTRACTION_LIMITED" if review or not text else "EXTRACTED_OPENXML"
 
 
-STREAM = re.compile(rb"<<((?:(?!<<|>>).|<<.*?>>)*?)>>\s*stream\r?\n?(.*?)endstream", re.DOTALL)
 SHOWN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>", re.DOTALL)
+#: How far before a stream its dictionary is looked for.
+HEAD_BYTES = 64 * 1024
+MARK = re.compile(rb"\b(?:BT|ET)\b")
 ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.DOTALL)
 ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
 
@@ -122,29 +131,66 @@ def _shown(raw: bytes) -> str:
     return data.decode("utf-8", errors="replace")
 
 
+def pdf_streams(content: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(what stands before it since the last one, body) of each stream, in one pass."""
+    at = 0
+    while (start := content.find(b"stream", at)) >= 0:
+        if content[start - 3 : start] == b"end":
+            at = start + 6
+            continue
+        end = content.find(b"endstream", start + 6)
+        if end < 0:
+            return
+        body = start + 6
+        if content[body : body + 2] == b"\r\n":
+            body += 2
+        elif content[body : body + 1] in (b"\r", b"\n"):
+            body += 1
+        yield content[max(at, start - HEAD_BYTES) : start], content[body:end]
+        at = end + 9
+
+
+def text_blocks(body: bytes) -> Iterator[bytes]:
+    """What stands between each BT and the next ET."""
+    begin = -1
+    for mark in MARK.finditer(body):
+        if mark[0] == b"ET" and begin >= 0:
+            yield body[begin : mark.start()]
+            begin = -1
+        elif mark[0] == b"BT" and begin < 0:
+            begin = mark.end()
+
+
 def pdf_text(content: bytes) -> tuple[str, str]:
-    """Text and status: the strings shown between BT and ET in plain and deflated streams."""
+    """Text and status: the strings shown between BT and ET in plain and deflated streams.
+
+    A stream that can't be inflated within its limit, or text beyond its own, makes the whole need a review.
+    """
     limited = "NEED_REVIEW_PDF_TEXT_EXTRACTION_LIMITED"
     if len(content) > PDF_BYTES:
         return "", "NEED_REVIEW_PDF_TRUNCATED"
     if b"%PDF" not in content[:1024]:
         return "", limited
     out: list[str] = []
-    for head, body in STREAM.findall(content):
+    left_out = False
+    for head, body in pdf_streams(content):
         if b"/FlateDecode" in head:
             try:
                 reader = zlib.decompressobj()
                 body = reader.decompress(body, PDF_STREAM_BYTES)
-                if not reader.eof:
-                    continue
             except zlib.error:
+                left_out = True
+                continue
+            if not reader.eof:
+                left_out = True
                 continue
-        for block in re.findall(rb"\bBT\b(.*?)\bET\b", body, re.DOTALL):
+        for block in text_blocks(body):
             words = [_shown(m) for m in SHOWN.findall(block)]
             if words:
                 out.append(" ".join(words))
-    text = "\n".join(out).encode()[:PDF_TEXT_BYTES].decode(errors="ignore")
-    return text, "EXTRACTED_PDF" if text.strip() else limited
+    whole = "\n".join(out).encode()
+    text = whole[:PDF_TEXT_BYTES].decode(errors="ignore")
+    return text, "EXTRACTED_PDF" if text.strip() and not left_out and len(whole) <= PDF_TEXT_BYTES else limited
 
 
 def extract_texts(files: DataFrame) -> DataFrame:

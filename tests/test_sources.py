@@ -1,14 +1,17 @@
 """Formats, archives, texts, imports and streams."""
 
+import bz2
 import datetime
 import io
 import tarfile
+import time
 import zipfile
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from dossierlake.functions import messages
 from dossierlake.functions.lexicon import DEFAULT
 from dossierlake.operators import inventory
 from dossierlake.sources import archives, extract, files, formats
@@ -71,6 +74,33 @@ def test_scan_prunes_and_defers(spark, tmp_path):
         files.ImportLimits(ratio=0.5)
 
 
+def test_names_below_a_root(spark, tmp_path):
+    root = tmp_path / "in"
+    names = [f"p1{root}/b.txt", "p1/a b%20c+d.txt", "p1/ü/x.txt", "lone.txt"]
+    for name in names:
+        target = root / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(b"x")
+    want = {("p1", f"{root}/b.txt".lstrip("/")), ("p1", "a b%20c+d.txt"), ("p1", "ü/x.txt"), ("lone.txt", "lone.txt")}
+    for given in (str(root), f"{root}/", f"file://{root}"):
+        assert {(r.project_id, r.path) for r in files.scan_projects(spark, given).select("project_id", "path").collect()} == want
+    alone = files.open_project(spark, f"{root}/lone.txt").first()
+    assert (alone.project_id, alone.path, bytes(alone.content)) == ("lone.txt", "lone.txt", b"x")
+    assert {r.path for r in files.open_project(spark, f"{root}/p1", "mine").collect()} == {p for k, p in want if k == "p1"}
+
+
+def test_hostile_files_end_in_time():
+    start = time.process_time()
+    assert extract.pdf_text(b"%PDF-1.4" + b"<<" * 2_000_000)[1].startswith("NEED_REVIEW")
+    assert extract.pdf_text(b"%PDF-1.4 stream " + b"BT " * 1_000_000 + b"endstream")[1].startswith("NEED_REVIEW")
+    assert extract.flatten_json("[" * 200_000) is None and extract.flatten_json('{"a":' * 100_000 + "1" + "}" * 100_000) is None
+    assert messages.sanitized(b"\xff" * 1_000_000) == "?" * 1_000_000
+    bomb = bz2.compress(bytes(50_000_000))
+    with pytest.raises(archives.ExpandedTooFar):
+        list(archives.entries_of(bomb, "x.bz2", expanded=1_000_000))
+    assert time.process_time() - start < 30
+
+
 def test_archives_are_listed_checked_and_unpacked(spark):
     rows = [
         ("ok.zip", zipped([("readme.txt", "7 bytes"), ("payload.bin", bytes(range(128))), ("in.zip", "z")], zipfile.ZIP_STORED)),
