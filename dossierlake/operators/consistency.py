@@ -15,9 +15,8 @@ CHECKS = (
 
 
 def project_facts(assets: DataFrame, profile: DataFrame, claims: DataFrame) -> DataFrame:
-    """roles, files (by role), revenue, market_analysis, target_user of each project."""
-    role_files = assets.groupBy("project_id", "role").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    by_role = role_files.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "paths"))).alias("files"))
+    """roles, revenue, market_analysis, target_user of each project."""
+    by_role = assets.groupBy("project_id").agg(F.collect_set("role").alias("roles"))
     revenue = claims.groupBy("project_id").agg(F.bool_or(F.col("claim_type") == "Revenue").alias("revenue"))
     return (
         by_role.join(profile.select("project_id", "market_analysis", "target_user"), "project_id", "left")
@@ -28,15 +27,17 @@ def project_facts(assets: DataFrame, profile: DataFrame, claims: DataFrame) -> D
 
 
 def check_consistency(assets: DataFrame, profile: DataFrame, claims: DataFrame) -> DataFrame:
-    """project_id, seq, issue_id, severity, description, affected_files, fix_suggestion."""
+    """project_id, seq, issue_id, severity, description, affected_files, fix_suggestion.
+
+    Checks look at one small row a project; only issues that speak of files meet the assets, to list them.
+    """
     facts = project_facts(assets, profile, claims)
-    has = lambda role: F.map_contains_key("files", F.lit(role))
-    files = lambda role: F.coalesce(F.try_element_at("files", F.lit(role)), F.array().cast("array<string>"))
+    has = lambda role: F.array_contains("roles", role)
     tests = (
-        (has("SOURCE_CODE") & ~has("BUILD_SYSTEM") & ~has("DEPENDENCY_MANIFEST"), files("SOURCE_CODE")),
-        (has("FINANCIAL_PLAN") & ~has("BUSINESS_PLAN"), files("FINANCIAL_PLAN")),
-        ((F.col("market_analysis") != "") & (F.col("target_user") == ""), files("MARKET_RESEARCH")),
-        (F.col("revenue") & ~has("FINANCIAL_PLAN") & ~has("PROOF_MATERIAL"), F.array().cast("array<string>")),
+        (has("SOURCE_CODE") & ~has("BUILD_SYSTEM") & ~has("DEPENDENCY_MANIFEST"), "SOURCE_CODE"),
+        (has("FINANCIAL_PLAN") & ~has("BUSINESS_PLAN"), "FINANCIAL_PLAN"),
+        ((F.col("market_analysis") != "") & (F.col("target_user") == ""), "MARKET_RESEARCH"),
+        (F.col("revenue") & ~has("FINANCIAL_PLAN") & ~has("PROOF_MATERIAL"), None),
     )
     issues = [
         F.when(
@@ -46,10 +47,19 @@ def check_consistency(assets: DataFrame, profile: DataFrame, claims: DataFrame)
                 F.lit(name).alias("issue_id"),
                 F.lit("WARNING").alias("severity"),
                 F.lit(text).alias("description"),
-                paths.alias("affected_files"),
+                F.lit(role).alias("role"),
                 F.lit(fix).alias("fix_suggestion"),
             ),
         )
-        for seq, ((name, text, fix), (test, paths)) in enumerate(zip(CHECKS, tests, strict=True))
+        for seq, ((name, text, fix), (test, role)) in enumerate(zip(CHECKS, tests, strict=True))
     ]
-    return facts.select("project_id", F.explode(F.array_compact(F.array(*issues))).alias("i")).select("project_id", "i.*")
+    found = facts.select("project_id", F.explode(F.array_compact(F.array(*issues))).alias("i")).select("project_id", "i.*")
+    listed = (
+        found.select("project_id", "seq", "role")
+        .join(assets.select("project_id", "role", "path"), ["project_id", "role"])
+        .groupBy("project_id", "seq")
+        .agg(F.array_sort(F.collect_list("path")).alias("affected_files"))
+    )
+    files = F.coalesce("affected_files", F.array().cast("array<string>")).alias("affected_files")
+    joined = found.join(listed, ["project_id", "seq"], "left")
+    return joined.select("project_id", "seq", "issue_id", "severity", "description", files, "fix_suggestion")

@@ -1,12 +1,13 @@
 """Evidence: each claim against the files whose role could prove it.
 
-A document's numbers, words, markers and contradictions are found once, whatever the number of claims. Claims then
-meet files by project and role, and a pair is judged on arrays; only names of partners are looked for in texts.
+A document's numbers, words, markers, contradictions and partners are found once, whatever the number of claims. Claims
+then meet files by project and role, and a pair is judged on arrays: no text goes into a pair. Of a claim's files at most
+``FILES`` a kind are gathered; that limit is on the rank, before the shuffle as well as after it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierlake.functions.lexicon import DEFAULT, Lexicon
@@ -47,15 +48,17 @@ def kinds_with(text: Column, lists: dict[str, tuple[str, ...]]) -> Column:
     return F.array_compact(F.array(*[F.when(contains_any(text, words), F.lit(k)) for k, words in lists.items()]).cast("array<string>"))
 
 
-def document_features(corpus: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+def document_features(corpus: DataFrame, partners: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """``partners``: project_id and the names that its claims give, an array no longer than claims are."""
     low = F.col("low")
     shares_words = any(k.name == "TechnicalCapability" for k in lexicon.claim_types)
     words = latin_words(low, STOP_WORDS) if shares_words else F.array().cast("array<string>")
+    corpus = corpus.join(partners, "project_id", "left")
     return corpus.withColumn("low", lower_ascii(F.col("text"))).select(
         "project_id",
         "path",
         "status",
-        "text",
+        F.coalesce(F.filter("partners", lambda p: F.col("text").contains(p)), F.array().cast("array<string>")).alias("doc_partners"),
         telling_numbers(numbers_in(F.col("text"))).alias("doc_numbers"),
         words.alias("doc_words"),
         contains_any(low, lexicon.contradictions).alias("doc_denies"),
@@ -72,23 +75,24 @@ def candidate_roles(claims: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
 
 def judged_pairs(claims: DataFrame, assets: DataFrame, corpus: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """project_id, claim_id, path, outcome (review, conflict, relevant, null), strong for each claim and candidate file."""
-    files = (
-        assets.where(own_file())
-        .select("project_id", "path", "role", "auditable")
-        .join(document_features(corpus, lexicon), ["project_id", "path"], "left")
-    )
     numbered = claims.withColumn("numbers", telling_numbers(numbers_in(F.col("claim_text")))).withColumn(
         "partner", partner_name(F.col("claim_text"))
     )
     numbered = numbered.withColumn("words", latin_words(lower_ascii(F.col("claim_text")), STOP_WORDS))
     asking = numbered.select("project_id", "claim_id", "claim_type", F.col("path").alias("source"), "numbers", "partner", "words")
+    partners = asking.where("partner is not null").groupBy("project_id").agg(F.collect_set("partner").alias("partners"))
+    files = (
+        assets.where(own_file())
+        .select("project_id", "path", "role", "auditable")
+        .join(document_features(corpus, partners, lexicon), ["project_id", "path"], "left")
+    )
     roles = F.broadcast(candidate_roles(claims, lexicon))  # a literal table
     pairs = asking.join(roles, "claim_type").join(files, ["project_id", "role"])
 
     unread = F.col("status").isNull() | ~F.col("auditable") | needs_review(F.col("status"))
     shared = F.arrays_overlap("numbers", "doc_numbers")
     fits = (F.size("numbers") == 0) | shared
-    named = F.col("partner").isNull() | F.col("text").contains(F.col("partner"))
+    named = F.col("partner").isNull() | F.array_contains("doc_partners", F.col("partner"))
     marked = F.array_contains("doc_markers", F.col("claim_type"))
     conflict = marked & F.col("doc_denies") & fits & named
     topical = marked | ((F.col("claim_type") == "TechnicalCapability") & F.arrays_overlap("words", "doc_words"))
@@ -113,6 +117,9 @@ def match_evidence(claims: DataFrame, assets: DataFrame, corpus: DataFrame, lexi
     The lists are cut at 24 files; the verdict looks at all of them.
     """
     pairs = judged_pairs(claims, assets, corpus, lexicon).where("outcome is not null")
+    # by strength as well, so that a strong file stays whatever its place
+    rank = F.row_number().over(Window.partitionBy("project_id", "claim_id", "outcome", "strong").orderBy("path"))
+    pairs = pairs.withColumn("rank", rank).where(F.col("rank") <= FILES)
     files = lambda kind: F.slice(F.array_sort(F.collect_list(F.when(F.col("outcome") == kind, F.col("path")))), 1, FILES)
     found = pairs.groupBy("project_id", "claim_id").agg(
         files("conflict").alias("conflicts"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierlake.functions.text import byte_length, trimmed
+from dossierlake.workspace import materialize
 
 
 def message_budget(messages: DataFrame, key: str, order: str, text: Column, most: int = 32, each: int = 4096, total: int = 65536) -> DataFrame:
@@ -64,26 +66,66 @@ def without_double_blanks(lines: DataFrame, key: list[str], order: str, line: st
     return lines.withColumn("__after", F.coalesce(before, F.lit(False))).where(~(blank & F.col("__after"))).drop("__after")
 
 
-def greedy_budget(files: DataFrame, key: str, order: str, size: str, total: int) -> DataFrame:
-    """key, order, kept: a file is in if it still fits; a larger one is passed over and later, smaller ones may fit.
+def running_total(rows: DataFrame, key: str, order: str, size: str, name: str = "before") -> DataFrame:
+    """``rows`` with the sum of ``size`` over what comes before each row of its key.
 
-    A fold over each project's sorted sizes, since no running sum can say this; a project's list is bounded by its
-    number of files.
+    Rows are dealt to ranges of (key, order), so a key that holds a third of all rows is spread over many tasks: sums
+    within a range come from a window, those of whole ranges from a table of one row a key and range.
     """
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
-    row = F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
-
-    def take(state: Column, x: Column) -> Column:
-        fits = state.used + x.s <= total
-        return F.struct(
-            (state.used + F.when(fits, x.s).otherwise(0)).alias("used"),
-            F.when(fits, F.concat(state.kept, F.array(x.o.cast("string")))).otherwise(state.kept).alias("kept"),
-        )
-
-    folded = files.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kept = folded.select(key, "rows", F.aggregate("rows", start, take).kept.alias("kept"))
-    each = kept.select(key, "kept", F.explode("rows").alias("r"))
-    return each.select(key, F.col("r.o").alias(order), F.col("r.s").alias(size), F.array_contains("kept", F.col("r.o").cast("string")).alias("kept"))
+    place = f"__{name}_range"
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(tasks, key, order).withColumn(place, F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    sums = ranged.groupBy(key, place).agg(F.sum(size).alias("__sum"))
+    ahead = Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(key).alias("__key"), F.col(place).alias("__place"), F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"))
+    joined = ranged.join(sums, F.col(key).eqNullSafe(F.col("__key")) & (F.col(place) == F.col("__place")))
+    inner = Window.partitionBy(key, place).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("__ahead") + F.coalesce(F.sum(size).over(inner), F.lit(0))
+    return joined.withColumn(name, total.cast("long")).drop(place, "__key", "__place", "__ahead")
+
+
+def greedy_budget(files: DataFrame, key: str, order: str, size: str, total: int, small: int = 50_000) -> DataFrame:
+    """key, order, size, kept: a file is in if it still fits; a larger one is passed over and later, smaller ones may fit.
+
+    No running sum alone can say this. Where no key has more than ``small`` files open, each key is a fold in a task.
+    Where one has, all keys take a round: what is larger than its key's room is out; of the rest all is in up to the first
+    file that doesn't fit, which is out; what comes behind goes on with the room that is left. Within a key ``order`` is
+    unique. A null size counts as 0.
+    """
+    pick = [F.col(c) for c in (key, order, size)]
+    need = F.coalesce(F.col(size), F.lit(0))
+    open_files = files.select(*pick, F.lit(total).cast("long").alias("room"))
+    done: list[DataFrame] = []
+    while (open_files.groupBy(key).count().agg(F.max("count")).first()[0] or 0) > small:
+        done.append(open_files.where(need > F.col("room")).select(*pick, F.lit(False).alias("kept")))
+        placed = materialize(running_total(open_files.where(need <= F.col("room")), key, order, size), "budget")
+        over = F.col("before") + need > F.col("room")
+        first = placed.where(over).groupBy(key).agg(F.min(F.struct("before", F.col(order).alias("o"))).alias("first"))
+        first = first.select(F.col(key).alias("__key"), F.col("first.o").alias("stop"), F.col("first.before").alias("used"))
+        marked = placed.join(first, F.col(key).eqNullSafe(F.col("__key")), "left")
+        state = F.when(F.col("stop").isNull() | (F.col(order) < F.col("stop")), "in").when(F.col(order) == F.col("stop"), "out").otherwise("open")
+        marked = materialize(marked.withColumn("state", state), "budget-states")
+        done.append(marked.where("state <> 'open'").select(*pick, (F.col("state") == "in").alias("kept")))
+        open_files = marked.where("state = 'open'").select(*pick, (F.col("room") - F.col("used")).alias("room"))
+    kinds = dict(files.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, order, size)) + ", kept boolean"
+    out = open_files.groupBy(key).applyInPandas(_folded(order, size), schema)
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def _folded(order: str, size: str):
+    def folded(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        room, kept = int(group["room"].iat[0]), []
+        for own in group[size].fillna(0).tolist():
+            kept.append(own <= room)
+            room -= own if own <= room else 0
+        return group.drop(columns="room").assign(kept=kept)
+
+    return folded
 
 
 def smallest_entries(files: DataFrame, key: list[str], order: str, most: int) -> DataFrame:

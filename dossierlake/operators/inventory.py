@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions.lexicon import SECRET_MARKERS
 from dossierlake.functions.text import contains_any, extension_of, first_match, lower_ascii, path_parts
+from dossierlake.operators.histories import running_total
 from dossierlake.sources.formats import CODE, is_archive_path, with_format
 
 # Folders of generated and of third-party files.
@@ -171,3 +172,67 @@ def generated_ratio(assets: DataFrame, most: float = 0.4) -> DataFrame:
 
 def extension_language(path: Column) -> Column:
     return F.when(extension_of(path).isin(*["." + e for e in CODE]), F.substring(extension_of(path), 2, 100)).otherwise("")
+
+
+def inventory_warnings(assets: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """project_id, warnings: what an inventory says of itself, in a fixed order. skipped: project_id, folders left out."""
+    flag = lambda f: F.array_contains("risk_flags", f)
+    counts = assets.groupBy("project_id").agg(
+        F.count_if(flag("EXTENSION_CONTENT_MISMATCH")).alias("mismatches"),
+        F.count_if(flag("CONTENT_DEFERRED")).alias("deferred"),
+        F.bool_or(F.col("role") == "PROJECT_DECLARATION").alias("declared"),
+        F.bool_or(F.col("role") == "SECRET_RISK").alias("secret"),
+    )
+    counts = counts.join(skipped, "project_id", "left") if skipped is not None else counts.withColumn("folders", F.lit(0))
+    counts = counts.fillna(0, ["folders"])
+    says = lambda n, before, after: F.when(F.col(n) > 0, F.concat(F.lit(before), F.col(n).cast("string"), F.lit(after)))
+    lines = [
+        says("folders", "已跳过 ", " 个生成物或第三方依赖目录。"),
+        says("mismatches", "发现 ", " 个扩展名与文件内容不一致的材料，已停止自动抽取。"),
+        says("deferred", "已在文件树中保留 ", " 个未复制的大型或受限文件；可查看元数据，但不会自动读取全部内容"),
+        F.when(~F.col("declared"), F.lit("未发现项目申报材料。")),
+        F.when(F.col("secret"), F.lit("发现敏感文件风险。")),
+    ]
+    return counts.select("project_id", F.array_compact(F.array(*lines)).alias("warnings"))
+
+
+def skipped_folders(files: DataFrame) -> DataFrame:
+    """project_id, folders: how many folders a scan doesn't enter, each counted where it begins."""
+    names = F.array(*map(F.lit, [*PRUNED, *GENERATED, *VENDORED]))
+    parts = path_parts(F.col("path"))
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    pruned = lambda p: F.array_contains(names, lower_ascii(p)) | lower_ascii(p).startswith("cmake-build-")
+    first = F.array_min(F.filter(F.transform(folders, lambda p, i: F.when(pruned(p), i)), lambda i: i.isNotNull()))
+    begun = files.withColumn("__at", first).where("__at is not null")
+    folder = F.array_join(F.slice(path_parts(F.col("path")), F.lit(1), F.col("__at") + 1), "/")
+    return begun.groupBy("project_id").agg(F.countDistinct(folder).alias("folders"))
+
+
+def asset_view(assets: DataFrame) -> DataFrame:
+    """project_id, path, json: an asset as tools see it."""
+    deferred = F.array_contains("risk_flags", "CONTENT_DEFERRED")
+    readable = F.col("auditable") & ~F.col("sensitive") & F.col("kind").isin("text", "code", "office", "pdf")
+    body = F.struct(
+        "path",
+        F.col("file_name").alias("name"),
+        *[F.col(c) for c in ("extension", "size_bytes", "format", "mime", "language", "role")],
+        readable.alias("text_readable"),
+        "auditable",
+        deferred.alias("content_deferred"),
+        F.lit(False).alias("on_demand_text_candidate"),
+        "risk_flags",
+    )
+    return assets.select("project_id", "path", F.to_json(body).alias("json"))
+
+
+def files_with_role(assets: DataFrame, role: str) -> DataFrame:
+    """project_id, has, n, files (sorted) of one role, for every project."""
+    own = F.col("role") == role
+    found = assets.groupBy("project_id").agg(F.count_if(own).alias("n"), F.array_sort(F.collect_list(F.when(own, F.col("path")))).alias("files"))
+    return found.select("project_id", (F.col("n") > 0).alias("has"), "n", "files")
+
+
+def ordered_assets(assets: DataFrame) -> DataFrame:
+    """Assets with their place by path, from 1; counted in ranges, so a project of any size is spread over tasks."""
+    placed = running_total(assets.withColumn("__one", F.lit(1)), "project_id", "path", "__one", "__place")
+    return placed.withColumn("place", (F.col("__place") + 1).cast("int")).drop("__one", "__place")

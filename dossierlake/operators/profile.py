@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierlake.functions.lexicon import DEFAULT, PROJECT_TYPES, Lexicon
@@ -18,6 +18,7 @@ from dossierlake.functions.text import (
     trimmed,
     without_markdown,
 )
+from dossierlake.operators.histories import running_total
 from dossierlake.operators.trust import narrative, needs_review, excluded_path, reliable
 
 DOCUMENT_BYTES, TOTAL_BYTES = 64 * 1024, 512 * 1024
@@ -35,8 +36,7 @@ def trusted_documents(corpus: DataFrame, assets: DataFrame, lexicon: Lexicon = D
 def bounded_texts(documents: DataFrame, each: int = DOCUMENT_BYTES, total: int = TOTAL_BYTES) -> DataFrame:
     """project_id, path, kept (lower case): texts in order, cut to bytes a document and, by a running sum, a project."""
     raw = documents.withColumn("bytes", F.least(byte_length(F.col("text")), F.lit(each)).cast("long"))
-    before = Window.partitionBy("project_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = raw.withColumn("used", F.coalesce(F.sum(F.col("bytes") + 1).over(before), F.lit(0)))
+    placed = running_total(raw.withColumn("taken", F.col("bytes") + 1), "project_id", "path", "taken", "used")
     room = F.least(F.col("bytes"), F.lit(total) - F.col("used"))
     cut = F.substring(F.encode("text", "UTF-8"), F.lit(1), room.cast("int"))
     return placed.where(F.col("used") < total).select("project_id", "path", room.alias("kept_bytes"), lower_ascii(F.make_valid_utf8(cut.cast("string"))).alias("kept"))
@@ -83,32 +83,41 @@ def detect_type(assets: DataFrame, corpus: DataFrame, lexicon: Lexicon = DEFAULT
     return best_type(type_points(assets, bounded_texts(trusted_documents(corpus, assets, lexicon)), lexicon))
 
 
-def label_found(line: Column, labels: tuple[str, ...]) -> Column:
-    """One of the labels stands in the first 12 bytes and a value after it, marked as one unless the label begins the line."""
+def labels_found(line: Column, labels: dict[str, tuple[str, ...]]) -> Column:
+    """Fields one of whose labels stands in the first 12 bytes and a value after it, marked as one unless the label begins
+    the line. One walk over a literal list, whatever the number of labels."""
     low = lower_ascii(line)
-    tests = []
-    for label in labels:
-        at = F.instr(low, label)
+    rows = [F.struct(F.lit(field).alias("field"), F.lit(label).alias("label")) for field, own in labels.items() for label in own]
+
+    def found(x: Column) -> Column:
+        at = F.position(x.label, low)
         ahead = byte_length(F.substring(low, F.lit(1), at - 1))
-        rest = trimmed(F.substring(line, at + len(label), F.length(line)))
+        rest = trimmed(F.substring(line, at + F.length(x.label), F.length(line)))
         marked = reduce(lambda a, b: a | b, [rest.startswith(m) for m in AFTER_LABEL])
-        tests.append((at > 0) & (ahead <= 12) & (rest != "") & (marked | (ahead == 0)))
-    return reduce(lambda a, b: a | b, tests)
+        return (at > 0) & (ahead <= 12) & (rest != "") & (marked | (ahead == 0))
+
+    return F.array_distinct(F.transform(F.filter(F.array(*rows), found), lambda x: x.field))
 
 
 def profile_fields(corpus: DataFrame, assets: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """project_id, title and the fields: of each the first fitting line by path and place, '' if none."""
     documents = trusted_documents(corpus, assets, lexicon)
     lines = documents.select("project_id", "path", F.posexplode(lines_of(F.col("text"))).alias("line_no", "raw"))
-    lines = lines.withColumn("line", without_markdown(trimmed(F.col("raw"))))
+    lines = lines.withColumn("head", trimmed(F.col("raw"))).withColumn("line", without_markdown(F.col("head")))
     usable = byte_length(F.col("line")).between(4, 300) & ~contains_any(lower_ascii(F.col("line")), EMPTY_WORDS)
-    place = F.struct("path", "line_no")
-    first = lambda value, condition: F.coalesce(F.min_by(value, F.when(condition, place)), F.lit(""))
-    head = trimmed(F.col("raw"))
-    title = head.startswith("# ") & (byte_length(head) > 2) & (byte_length(head) <= 120)
-    heads = first(trimmed(F.substring(head, 3, 1_000_000)), title).alias("title")
-    fields = [first(F.col("line"), usable & label_found(F.col("line"), labels)).alias(name) for name, labels in lexicon.profile_labels.items()]
-    return lines.groupBy("project_id").agg(heads, *fields)
+    title = F.col("head").startswith("# ") & (byte_length(F.col("head")) > 2) & (byte_length(F.col("head")) <= 120)
+    nothing = F.array().cast("array<string>")
+    names = F.concat(
+        F.when(title, F.array(F.lit("title"))).otherwise(nothing),
+        F.when(usable, labels_found(F.col("line"), lexicon.profile_labels)).otherwise(nothing),
+    )
+    each = lines.select("project_id", "path", "line_no", "head", "line", F.explode(names).alias("field"))
+    value = F.when(F.col("field") == "title", trimmed(F.substring("head", 3, 1_000_000))).otherwise(F.col("line"))
+    firsts = each.groupBy("project_id", "field").agg(F.min(F.struct("path", "line_no", value.alias("value"))).alias("first"))
+    found = firsts.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "first.value"))).alias("found"))
+    wide = documents.select("project_id").distinct().join(found, "project_id", "left")
+    value_of = lambda name: F.coalesce(F.try_element_at("found", F.lit(name)), F.lit("")).alias(name)
+    return wide.select("project_id", value_of("title"), *map(value_of, lexicon.profile_labels))
 
 
 def fallback_name(assets: DataFrame) -> DataFrame:
@@ -143,4 +152,4 @@ def build_profile(corpus: DataFrame, assets: DataFrame, types: DataFrame, lexico
         ),
     )
     name = F.when(F.col("title") != "", F.col("title")).otherwise(F.coalesce("name", F.lit("未命名项目")))
-    return wide.select("project_id", name.alias("project_name"), "type", "confidence", *fields, missing.alias("missing_fields"), risks.alias("risk_items"))
+    return wide.select("project_id", name.alias("project_name"), "type", "confidence", "reason", *fields, missing.alias("missing_fields"), risks.alias("risk_items"))

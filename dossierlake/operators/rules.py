@@ -30,6 +30,7 @@ TRACKS = {
     "Unknown": (),
 }
 ROLE_LISTS = ("required_asset", "required_assets", "missing_asset", "missing_assets", "required_any_assets", "forbidden_roles")
+SINGLE = ("required_asset", "missing_asset")
 FLAGS = ("forbidden_sensitive_file", "consistency_check", "doc_code_support", "business_model_completeness", "technical_route_completeness", "research_reproducibility", "social_impact_evidence", "vendor_generated_ratio")
 OTHER = ("minimum_asset_count", "max_ratio", "required_claim_evidence", "required_cpir_fields")
 RULE_FIELDS = ("rule_id", "name", "track", "severity", "target", "description", "condition", "fail_reason", "fix_task")
@@ -74,6 +75,8 @@ def parse_pack(raw: str) -> list[Rule]:
         texts = {k: row.get(k, "") for k in RULE_FIELDS if k != "condition"}
         if not all(isinstance(v, str) for v in texts.values()):
             raise RulePackError("a field isn't text")
+        if texts["severity"].upper() not in SEVERITIES:
+            raise RulePackError(f"unknown severity {texts['severity']!r}")
         out.append(Rule(**texts | {"severity": severity_of(texts["severity"])}, condition=row.get("condition", {})))
     return validate(out)
 
@@ -85,9 +88,12 @@ def load_packs(spark: SparkSession, paths: list[str]) -> list[Rule]:
     return validate(rules)
 
 
-def _texts(value: object) -> list[str]:
-    found = [value] if isinstance(value, str) else value
-    if not isinstance(found, list) or not found or not all(isinstance(x, str) and x for x in found):
+def _texts(key: str, value: object) -> list[str]:
+    """The texts of a condition: one for a key in the singular, a list for the others."""
+    found = [value] if key in SINGLE and isinstance(value, str) else value
+    if not isinstance(found, list) or (key in SINGLE) is isinstance(value, list):
+        raise RulePackError(f"{key} isn't of its kind")
+    if not found or not all(isinstance(x, str) and x for x in found):
         raise RulePackError("a condition lists no texts")
     return found
 
@@ -96,7 +102,7 @@ def validate(rules: list[Rule]) -> list[Rule]:
     if len(rules) > RULES:
         raise RulePackError("too many rules")
     tracks = {"common", *(t for own in TRACKS.values() for t in own)}
-    kinds = {k.name for k in CLAIM_TYPES}
+    kinds = {k.name.lower() for k in CLAIM_TYPES}
     seen = set()
     for r in rules:
         if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_.-]{0,127}", r.rule_id) or r.rule_id in seen:
@@ -113,7 +119,7 @@ def validate(rules: list[Rule]) -> list[Rule]:
         actionable = False
         for key, value in r.condition.items():
             if key in ROLE_LISTS:
-                if set(_texts(value)) - set(ROLES):
+                if set(_texts(key, value)) - set(ROLES):
                     raise RulePackError(f"{r.rule_id}: unknown role")
                 actionable = True
             elif key in FLAGS:
@@ -128,11 +134,11 @@ def validate(rules: list[Rule]) -> list[Rule]:
                 if isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 <= value <= 1:
                     raise RulePackError(f"{r.rule_id}: bad ratio")
             elif key == "required_claim_evidence":
-                if set(_texts(value)) - kinds:
+                if {t.lower() for t in _texts(key, value)} - kinds:
                     raise RulePackError(f"{r.rule_id}: unknown claim type")
                 actionable = True
             elif key == "required_cpir_fields":
-                if set(_texts(value)) - {"project_name", *PROFILE_LABELS}:
+                if set(_texts(key, value)) - {"project_name", *PROFILE_LABELS}:
                     raise RulePackError(f"{r.rule_id}: unknown profile field")
                 actionable = True
             else:
@@ -162,12 +168,11 @@ DEFAULT_PACKS = """[
 
 
 def project_facts(assets: DataFrame, profile: DataFrame, claims: DataFrame, evidence: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row a project with all that conditions look at: arrays and maps bounded by roles, types and claims."""
-    by_role = assets.groupBy("project_id", "role").agg(F.array_sort(F.collect_list("path")).alias("paths"), F.count("path").alias("n"))
-    roles = by_role.groupBy("project_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("role", "paths"))).alias("files"),
-        F.sum("n").alias("assets"),
-        F.sum(F.when(F.col("role").isin("GENERATED", "VENDORED"), F.col("n")).otherwise(0)).alias("foreign"),
+    """One row a project with all that conditions look at: counts, and arrays bounded by roles, types and fields."""
+    roles = assets.groupBy("project_id").agg(
+        F.array_sort(F.collect_set("role")).alias("roles"),
+        F.count("path").alias("assets"),
+        F.count_if(F.col("role").isin("GENERATED", "VENDORED")).alias("foreign"),
     )
     judged = claims.join(evidence.select("project_id", "claim_id", "status"), ["project_id", "claim_id"], "left")
     types = judged.groupBy("project_id").agg(
@@ -186,42 +191,41 @@ def project_facts(assets: DataFrame, profile: DataFrame, claims: DataFrame, evid
         .fillna(0, ["assets", "foreign", "issues"])
     )
     nothing = F.array().cast("array<string>")
-    files = F.coalesce(F.col("files"), F.create_map().cast("map<string,array<string>>"))
-    facts = facts.withColumns({c: F.coalesce(c, nothing) for c in ("claimed", "proved", "unproved")})
-    return facts.withColumn("files", files).withColumn("roles", F.map_keys("files"))
+    return facts.withColumns({c: F.coalesce(c, nothing) for c in ("roles", "claimed", "proved", "unproved")})
 
 
 def compile_condition(condition: dict) -> tuple[Column, Column]:
-    """(missing, evidence): what the project lacks and the files that stand against it; a rule fails if there is a fault.
+    """(missing, roles): what the project lacks and the roles whose files stand against it; a rule fails if there is a fault.
 
     A condition's faults add up: one array of texts, empty where the condition holds.
     """
     has = lambda role: F.array_contains("roles", role)
     field = lambda name: F.array_contains("filled", name)
     fault = lambda test, text: F.when(test, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
-    files = lambda role: F.coalesce(F.try_element_at("files", F.lit(role)), F.array().cast("array<string>"))
+    types = {k.name.lower(): k.name for k in CLAIM_TYPES}
     missing: list[Column] = [F.array().cast("array<string>")]
     evidence: list[Column] = [F.array().cast("array<string>")]
     for key, value in condition.items():
         if key in ("required_asset", "required_assets", "missing_asset", "missing_assets"):
-            missing += [fault(~has(r), r) for r in _texts(value)]
+            missing += [fault(~has(r), r) for r in _texts(key, value)]
         elif key == "required_any_assets":
-            wanted = _texts(value)
+            wanted = _texts(key, value)
             none = ~F.arrays_overlap("roles", F.array(*map(F.lit, wanted)))
             missing += [fault(none, r) for r in wanted]
         elif key == "minimum_asset_count":
             missing.append(fault(F.col("assets") < int(value), f"at least {int(value)} assets"))
         elif key == "forbidden_roles":
-            for r in _texts(value):
+            for r in _texts(key, value):
                 missing.append(fault(has(r), f"no {r}"))
-                evidence.append(files(r))
+                evidence.append(fault(has(r), r))
         elif key == "forbidden_sensitive_file" and value:
             missing.append(fault(has("SECRET_RISK"), "no SECRET_RISK"))
-            evidence.append(files("SECRET_RISK"))
+            evidence.append(fault(has("SECRET_RISK"), "SECRET_RISK"))
         elif key == "required_claim_evidence":
-            missing += [fault(~F.array_contains("claimed", t) | F.array_contains("unproved", t), t) for t in _texts(value)]
+            for t in (types[t.lower()] for t in _texts(key, value)):
+                missing.append(fault(~F.array_contains("claimed", t) | F.array_contains("unproved", t), t))
         elif key == "required_cpir_fields":
-            missing += [fault(~field(f), f) for f in _texts(value)]
+            missing += [fault(~field(f), f) for f in _texts(key, value)]
         elif key == "consistency_check" and value:
             missing.append(fault(F.col("issues") > 0, "consistent materials"))
         elif key == "doc_code_support" and value:
@@ -242,7 +246,7 @@ def compile_condition(condition: dict) -> tuple[Column, Column]:
             most = float(condition.get("max_ratio", 0.4))
             over = F.when(F.col("assets") > 0, F.col("foreign") / F.col("assets")) > most
             missing.append(fault(F.coalesce(over, F.lit(False)), "own files"))
-            evidence.append(F.when(F.coalesce(over, F.lit(False)), F.concat(files("GENERATED"), files("VENDORED"))).otherwise(F.array().cast("array<string>")))
+            evidence += [fault(F.coalesce(over, F.lit(False)), r) for r in ("GENERATED", "VENDORED")]
     unique = lambda parts: F.array_sort(F.array_distinct(F.concat(*parts)))
     return unique(missing), unique(evidence)
 
@@ -252,10 +256,11 @@ def applies(rule: Rule) -> Column:
     return F.lit(True) if rule.track == "common" else F.col("type").isin(*types)
 
 
-def evaluate(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+def evaluate(facts: DataFrame, rules: list[Rule], assets: DataFrame) -> DataFrame:
     """project_id, seq, rule_id, severity, title, reason, evidence, missing_evidence, fix_suggestion of failed rules.
 
-    All rules are one projection over a project's row: no join, whatever the number of rules.
+    All rules are one projection over a project's row, whatever the number of rules. Only the failed ones that speak of
+    files meet the assets (project_id, path, role), to list them.
     """
     found = []
     for seq, rule in enumerate(rules):
@@ -267,14 +272,23 @@ def evaluate(facts: DataFrame, rules: list[Rule]) -> DataFrame:
                 F.lit(rule.severity).alias("severity"),
                 F.lit(rule.name).alias("title"),
                 F.lit(rule.fail_reason or rule.description).alias("reason"),
-                evidence.alias("evidence"),
+                evidence.alias("against"),
                 missing.alias("missing_evidence"),
                 F.lit(rule.fix_task).alias("fix_suggestion"),
                 applies(rule).alias("applies"),
             )
         )
     every = facts.select("project_id", F.explode(F.array(*found)).alias("r")).where("r.applies and size(r.missing_evidence) > 0")
-    return every.select("project_id", "r.*").drop("applies")
+    failed = every.select("project_id", "r.*").drop("applies")
+    listed = (
+        failed.select("project_id", "seq", F.explode("against").alias("role"))
+        .join(assets.select("project_id", "role", "path"), ["project_id", "role"])
+        .groupBy("project_id", "seq")
+        .agg(F.array_sort(F.collect_set("path")).alias("evidence"))
+    )
+    found = failed.join(listed, ["project_id", "seq"], "left")
+    evidence = F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence")
+    return found.select("project_id", "seq", "rule_id", "severity", "title", "reason", evidence, "missing_evidence", "fix_suggestion")
 
 
 def applicable(types: DataFrame, rules: list[Rule]) -> DataFrame:

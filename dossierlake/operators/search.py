@@ -58,3 +58,9 @@ def uncovered_tasks(tasks: DataFrame, shown: DataFrame, most: int = 3) -> DataFr
     rest = tasks.join(covered, "project_id", "left").where(F.col("covered").isNull() | ~F.arrays_overlap("affected_rules", "covered"))
     rank = F.row_number().over(Window.partitionBy("project_id").orderBy("task_id"))
     return rest.drop("covered").withColumn("place", rank).where(F.col("place") <= most)
+
+
+def first_issues(issues: DataFrame, most: int = 3) -> DataFrame:
+    """The first consistency issues of each project, in the order of the checks."""
+    rank = F.row_number().over(Window.partitionBy("project_id").orderBy("seq"))
+    return issues.withColumn("place", rank).where(F.col("place") <= most)

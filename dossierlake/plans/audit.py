@@ -58,12 +58,12 @@ class AuditFrames:
         packs = list(self.options.rules)
         facts = rules.project_facts(self.assets, self.profile, self.claims, self.evidence, self.issues)
         by_text = rules.text_findings(self.corpus, self.assets, len(packs))
-        return materialize(rules.evaluate(facts, packs).unionByName(by_text), "findings")
+        return materialize(rules.evaluate(facts, packs, self.assets).unionByName(by_text), "findings")
 
     @cached_property
     def penalties(self) -> DataFrame:
         ratios = inventory.generated_ratio(self.assets, self.options.max_ratio)
-        return scoring.saturate(scoring.ledger(self.findings, self.evidence, self.issues, ratios))
+        return materialize(scoring.saturate(scoring.ledger(self.findings, self.evidence, self.issues, ratios)), "penalties")
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -85,19 +85,21 @@ class AuditFrames:
     def markdown(self) -> DataFrame:
         return report.report_markdown(self.profile, self.scores, self.claims, self.evidence, self.findings, self.tasks)
 
+    @cached_property
+    def summary(self) -> DataFrame:
+        return report.summary_rows(self.profile, self.assets, self.corpus, self.scores, self.findings, self.evidence, self.tasks)
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        """The package by sections, an item a row; the way to write projects of any size."""
+        return report.package_parts(
+            self.summary, self.assets, self.corpus, self.profile, self.claims, self.evidence, self.issues,
+            self.findings, self.scores, self.penalties, self.tasks, self.plan,
+        )
+
     @cached_property
     def json(self) -> DataFrame:
-        rows = report.report_rows(
-            self.profile,
-            self.scores,
-            inventory=(self.assets, "path"),
-            claims=(self.claims, "claim_id"),
-            evidence=(self.evidence, "claim_id"),
-            consistency=(self.issues, "seq"),
-            findings=(self.findings, "seq"),
-            fix_tasks=(self.tasks, "task_id"),
-        )
-        return report.report_json(rows)
+        return report.package_documents(self.parts)
 
     def stages(self) -> Iterator[tuple[str, DataFrame]]:
         """Each stage's name and DataFrame in order, for step by step runs."""

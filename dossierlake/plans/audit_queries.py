@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import redaction, text
 from dossierlake.functions.lexicon import SECRET_MARKERS
-from dossierlake.operators import claims, evidence, fixes, histories, inventory, scoring, search, trust
+from dossierlake.operators import claims, evidence, histories, inventory, profile, search, trust
 from dossierlake.plans.driver import BASE, CLAIMS, EVIDENCE, KEY, LOW, NUMBERS, PROSE, TELLING, TRIM, driver_assets, driver_corpus, sql_any
 from dossierlake.sources import formats
 from dossierlake.workspace import materialize, spread_table, table
@@ -56,74 +56,6 @@ def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.coverage(_evidence(spark, sf_dir))
 
 
-def _penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _evidence(spark, sf_dir)
-    assets = driver_assets(spark, sf_dir)
-    findings = spark.createDataFrame([], "project_id string, seq long, rule_id string, severity string, reason string")
-    issues = spark.createDataFrame([], "project_id string, seq long, issue_id string, severity string, description string")
-    foreign = F.when(F.col("generated"), "GENERATED").when(F.col("vendored"), "VENDORED").otherwise(F.col("role"))
-    ratios = inventory.generated_ratio(assets.withColumn("role", foreign), 0.05).withColumn("ratio", F.col("ratio") + 0.3)
-    return scoring.saturate(scoring.ledger(findings, found, issues, ratios))
-
-
-LEDGER_SQL = """ratios AS (
-  SELECT project_id, avg(CASE WHEN "generated" OR vendored THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + 0.3::DOUBLE AS ratio FROM assets GROUP BY project_id),
-entries AS (
-  SELECT project_id, 1 AS part, CAST(regexp_extract(claim_id, '([0-9]+)$', 1) AS BIGINT) AS seq, 'EVIDENCE_' || claim_id AS rule_id,
-         CASE status WHEN 'SUPPORTED' THEN 0 WHEN 'PARTIAL' THEN 2 WHEN 'NEED_REVIEW' THEN 2 WHEN 'UNSUPPORTED' THEN 4 ELSE 5 END AS points,
-         '声明-证据匹配度' AS dimension FROM evidence
-  UNION ALL
-  SELECT project_id, 3, 0, 'COMMON_GENERATED_RATIO_001', 5, '技术/商业/科研可行性' FROM ratios WHERE ratio > 0.4),
-running AS (
-  SELECT *, sum(points) OVER (PARTITION BY project_id, dimension ORDER BY part, seq, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-  FROM entries WHERE points > 0),
-penalties AS (
-  SELECT project_id, part, seq, rule_id, points, dimension,
-         least(points, greatest(CASE dimension WHEN '声明-证据匹配度' THEN 20 ELSE 15 END - coalesce(before, 0), 0))::BIGINT AS actual
-  FROM running)"""
-
-
-@query(f"WITH {BASE}, {CLAIMS}, {EVIDENCE}, {LEDGER_SQL} SELECT project_id, rule_id, points::BIGINT AS points, dimension, actual FROM penalties")
-def audit_penalty_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _penalties(spark, sf_dir).select("project_id", "rule_id", "points", "dimension", "actual")
-
-
-@query(
-    f"WITH {BASE}, {CLAIMS}, {EVIDENCE}, {LEDGER_SQL} "
-    "SELECT p.project_id, (100 - coalesce(sum(actual), 0))::BIGINT AS total_score, coalesce(sum(actual), 0)::BIGINT AS trust_debt, "
-    "(20 - coalesce(sum(actual) FILTER (dimension = '声明-证据匹配度'), 0))::BIGINT AS evidence_left "
-    "FROM (SELECT DISTINCT project_id FROM assets) p LEFT JOIN penalties USING (project_id) GROUP BY p.project_id"
-)
-def audit_trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = scoring.trust_scores(driver_assets(spark, sf_dir), _penalties(spark, sf_dir))
-    return scores.select("project_id", "total_score", "trust_debt", F.col("dimensions")[scoring.CLAIMS].alias("evidence_left"))
-
-
-@query(
-    f"""WITH {BASE}, {CLAIMS}, {EVIDENCE},
-open AS (
-  SELECT e.project_id, e.claim_id, CAST(regexp_extract(e.claim_id, '([0-9]+)$', 1) AS BIGINT) AS seq, e.status, c.claim_type
-  FROM evidence e JOIN claims c USING (project_id, claim_id) WHERE e.status <> 'SUPPORTED'),
-keyed AS (
-  SELECT *, CASE claim_type WHEN 'Revenue' THEN 'ledger|orders' WHEN 'MarketScale' THEN 'report' ELSE 'list' END AS key,
-         CASE WHEN status IN ('UNSUPPORTED', 'CONFLICTED') THEN 'P0' ELSE 'P1' END AS priority FROM open),
-grouped AS (
-  SELECT project_id, key, min(seq) AS place, min(priority) AS priority, count(*) AS n,
-         string_agg('EVIDENCE_' || claim_id, ',' ORDER BY seq) AS rules, arg_min(claim_id, seq) AS first
-  FROM keyed GROUP BY project_id, key)
-SELECT project_id, 'FIX-' || lpad(CAST(row_number() OVER (PARTITION BY project_id ORDER BY priority, place) AS VARCHAR), 3, '0') AS task_id,
-       CASE WHEN n > 1 THEN '为 ' || n || ' 条声明补充同类独立证据' ELSE '为声明 ' || first || ' 补充独立证据' END AS title, priority, rules
-FROM grouped"""
-)
-def audit_fix_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings = spark.createDataFrame(
-        [],
-        "project_id string, seq long, rule_id string, severity string, title string, reason string, evidence array<string>, missing_evidence array<string>, fix_suggestion string",
-    )
-    tasks = fixes.group_tasks(fixes.candidate_tasks(findings, _evidence(spark, sf_dir), _claims(spark, sf_dir)))
-    return tasks.select("project_id", "task_id", "title", "priority", F.array_join("affected_rules", ",").alias("rules"))
-
-
 @query(f"""WITH {BASE} SELECT project_id, CASE WHEN sensitive THEN 'SECRET_RISK' WHEN "generated" THEN 'GENERATED' WHEN vendored THEN 'VENDORED' ELSE role END AS role, count(*) AS n FROM assets GROUP BY 1, 2""")
 def asset_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("sensitive"), "SECRET_RISK").when(F.col("generated"), "GENERATED").when(F.col("vendored"), "VENDORED").otherwise(F.col("role"))
@@ -268,17 +200,15 @@ def occurrence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH b AS (SELECT source, doc_id, least(n_chars, 2000) AS bytes FROM documents),
+    """WITH b AS (SELECT source, doc_id, least(strlen(text), 2000) AS bytes FROM documents WHERE text IS NOT NULL),
 p AS (SELECT *, coalesce(sum(bytes + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM b)
 SELECT source AS project_id, doc_id, least(bytes, 20000 - used)::BIGINT AS kept FROM p WHERE used < 20000"""
 )
 def text_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    docs = table(spark, sf_dir, "documents").withColumn("bytes", F.least("n_chars", F.lit(2000)))
-    docs = docs.withColumn("used", F.coalesce(F.sum(F.col("bytes") + 1).over(before), F.lit(0))).where("used < 20000")
-    return docs.select(F.col("source").alias("project_id"), "doc_id", F.least("bytes", F.lit(20000) - F.col("used")).alias("kept"))
+    path = F.format_string("%012d", "doc_id").alias("path")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("project_id"), path, "text")
+    kept = profile.bounded_texts(docs, each=2000, total=20000)
+    return kept.select("project_id", F.col("path").cast("long").alias("doc_id"), F.col("kept_bytes").cast("long").alias("kept"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.functions.lexicon import ClaimType, Lexicon
+from dossierlake.functions.lexicon import PROFILE_LABELS, ClaimType, Lexicon
 from dossierlake.functions.text import first_match
 from dossierlake.workspace import spread_table, table
 
@@ -19,6 +19,7 @@ PROSE = Lexicon(
     ),
     negations=("rights reserved",),
     contradictions=("worthless", "scum", "trash", "pathetic"),
+    profile_labels=dict.fromkeys(PROFILE_LABELS, ("zzqq",)) | {"target_user": ("und ", "le "), "solution": ("the ",), "business_model": ("la ",), "market_analysis": ("der ", "los "), "financial_projection": ("en ",), "technical_route": ("de ",)},
 )
 ROLES = ("PROJECT_DECLARATION", "BUSINESS_PLAN", "MARKET_RESEARCH", "FINANCIAL_PLAN", "PROOF_MATERIAL", "SOCIAL_PRACTICE_PROOF", "RESEARCH_PAPER")
 

@@ -162,9 +162,19 @@ def magic_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", formats.signature(F.unhex("h"))["format"].alias("magic"))
 
 
-@query(None)
+OFFICE_MIME = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+MISMATCH = "EXTENSION_CONTENT_MISMATCH"
+#: What name and content together say of each of MAGIC, written out.
+RECONCILED = [
+    (1, "pdf", "application/pdf", True, ""), (2, "docx", OFFICE_MIME, True, ""), (3, "zip", "application/zip", False, ""), (4, "png", "image/png", False, ""),
+    (8, "txt", "text/plain", True, ""), (11, "binary", "application/octet-stream", False, "UNRECOGNIZED_BINARY_FORMAT"), (10, "text", "text/plain", True, "UNKNOWN_TEXT_EXTENSION"),
+    (16, "text", "text/plain", False, MISMATCH), (17, "jpg", "image/jpeg", False, ""), (18, "binary", "application/octet-stream", False, MISMATCH),
+]
+
+
+@query(f"SELECT * FROM (VALUES {sql_rows(RECONCILED)}) AS t(id, format, mime, auditable, risk_flags)")
 def content_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("p", *r) for r in MAGIC], "project_id string, id int, path string, h string")
+    rows = spark.createDataFrame([("p", *r) for r in MAGIC if r[0] in {x[0] for x in RECONCILED}], "project_id string, id int, path string, h string")
     found = formats.detect_formats(rows.withColumn("content", F.unhex("h")).withColumn("size_bytes", F.octet_length(F.unhex("h")).cast("long")))
     return found.select("id", "format", "mime", "auditable", F.array_join("risk_flags", ",").alias("risk_flags"))
 
@@ -249,35 +259,55 @@ def _has(role: str) -> str:
     return f"list_contains(roles, '{role}')"
 
 
+def _lacks(*roles: str) -> str:
+    return "[" + ", ".join(f"CASE WHEN NOT {_has(r)} THEN '{r}' END" for r in roles) + "]"
+
+
+def _empty(*fields: str) -> str:
+    return "[" + ", ".join(f"CASE WHEN NOT list_contains(filled, '{f}') THEN '{f}' END" for f in fields) + "]"
+
+
+#: What each rule finds missing, and the roles whose files it lists; a rule fails where something is missing.
 _RULE_TESTS = {
-    "COMMON_DECL_001": f"NOT {_has('PROJECT_DECLARATION')}",
-    "COMMON_SECRET_001": _has("SECRET_RISK"),
-    "COMMON_CONSISTENCY_001": "issues > 0",
-    "COMMON_GENERATED_RATIO_001": "assets > 0 AND foreign_files / assets > 0.4",
-    "BIZ_MODEL_001": f"NOT (list_contains(filled, 'target_user') AND list_contains(filled, 'business_model') AND list_contains(filled, 'financial_projection') AND {_has('BUSINESS_PLAN')} AND {_has('FINANCIAL_PLAN')})",
-    "BIZ_MARKET_001": f"NOT {_has('MARKET_RESEARCH')} OR NOT list_contains(claimed, 'MarketScale') OR list_contains(unproved, 'MarketScale')",
-    "BIZ_COMPETITOR_001": f"NOT {_has('COMPETITOR_ANALYSIS')}",
-    "SOFT_SOURCE_001": f"NOT {_has('SOURCE_CODE')}",
-    "SOFT_BUILD_001": f"{_has('SOURCE_CODE')} AND NOT {_has('BUILD_SYSTEM')} AND NOT {_has('DEPENDENCY_MANIFEST')}",
-    "SOFT_DEPLOY_001": f"NOT (list_contains(filled, 'technical_route') AND {_has('SOURCE_CODE')} AND {_has('DEPLOYMENT_DOC')})",
-    "RES_EVAL_001": f"NOT {_has('EXPERIMENT_DATA')} OR NOT list_contains(proved, 'ResearchResult')",
-    "RES_PAPER_001": f"NOT {_has('RESEARCH_PAPER')}",
-    "SOC_IMPACT_001": f"NOT {_has('SOCIAL_PRACTICE_PROOF')} OR NOT list_contains(proved, 'SocialImpact')",
-    "ECOM_MODEL_001": f"NOT ({_has('BUSINESS_PLAN')} AND {_has('MARKET_RESEARCH')} AND {_has('FINANCIAL_PLAN')} AND list_contains(filled, 'target_user') AND list_contains(filled, 'business_model') AND list_contains(filled, 'financial_projection'))",
+    "COMMON_DECL_001": (_lacks("PROJECT_DECLARATION"), "[]"),
+    "COMMON_SECRET_001": (f"[CASE WHEN {_has('SECRET_RISK')} THEN 'no SECRET_RISK' END]", "['SECRET_RISK']"),
+    "COMMON_CONSISTENCY_001": ("[CASE WHEN issues > 0 THEN 'consistent materials' END]", "[]"),
+    "COMMON_GENERATED_RATIO_001": ("[CASE WHEN assets > 0 AND foreign_files / assets > 0.4 THEN 'own files' END]", "['GENERATED', 'VENDORED']"),
+    "BIZ_MODEL_001": (f"list_concat({_empty('target_user', 'business_model', 'financial_projection')}, {_lacks('BUSINESS_PLAN', 'FINANCIAL_PLAN')})", "[]"),
+    "BIZ_MARKET_001": (f"list_concat({_lacks('MARKET_RESEARCH')}, [CASE WHEN NOT list_contains(claimed, 'MarketScale') OR list_contains(unproved, 'MarketScale') THEN 'MarketScale' END])", "[]"),
+    "BIZ_COMPETITOR_001": (_lacks("COMPETITOR_ANALYSIS"), "[]"),
+    "SOFT_SOURCE_001": (_lacks("SOURCE_CODE"), "[]"),
+    "SOFT_BUILD_001": (f"[CASE WHEN {_has('SOURCE_CODE')} AND NOT {_has('BUILD_SYSTEM')} AND NOT {_has('DEPENDENCY_MANIFEST')} THEN 'BUILD_SYSTEM' END]", "[]"),
+    "SOFT_DEPLOY_001": (f"list_concat({_empty('technical_route')}, {_lacks('SOURCE_CODE', 'DEPLOYMENT_DOC')})", "[]"),
+    "RES_EVAL_001": (f"list_concat({_lacks('EXPERIMENT_DATA')}, [CASE WHEN NOT list_contains(proved, 'ResearchResult') THEN 'ResearchResult' END])", "[]"),
+    "RES_PAPER_001": (_lacks("RESEARCH_PAPER"), "[]"),
+    "SOC_IMPACT_001": (f"list_concat({_lacks('SOCIAL_PRACTICE_PROOF')}, [CASE WHEN NOT list_contains(proved, 'SocialImpact') THEN 'SocialImpact' END])", "[]"),
+    "ECOM_MODEL_001": (f"list_concat({_lacks('BUSINESS_PLAN', 'MARKET_RESEARCH', 'FINANCIAL_PLAN')}, {_empty('target_user', 'business_model', 'financial_projection')})", "[]"),
 }
 
 
+def findings_sql(facts: str = "facts", assets: str = "listed_assets") -> str:
+    """CTEs up to ``rule_findings``: project_id, rule_id, severity, missing, files from a table of facts and one of files."""
+    failed = " UNION ALL ".join(f"SELECT project_id, type, '{k}' AS rule_id, list_filter({m}, lambda x: x IS NOT NULL) AS missing, {r}::VARCHAR[] AS against FROM {facts}" for k, (m, r) in _RULE_TESTS.items())
+    return f"""tracks(type, track) AS (VALUES {sql_rows(TRACKED)}), listed(seq, rule_id, track, severity) AS (VALUES {sql_rows([(i, r.rule_id, r.track, r.severity) for i, r in enumerate(PACK)])}),
+failed AS ({failed}),
+rule_findings AS (
+  SELECT f.project_id, l.seq, f.rule_id, l.severity, array_to_string(list_sort(list_distinct(f.missing)), ',') AS missing,
+         coalesce((SELECT string_agg(DISTINCT a.path, ',' ORDER BY a.path) FROM {assets} a WHERE a.project_id = f.project_id AND list_contains(f.against, a.role)), '') AS files
+  FROM failed f JOIN listed l USING (rule_id) JOIN tracks t ON t.type = f.type AND t.track = l.track WHERE len(f.missing) > 0)"""
+
+
 @query(
     f"""WITH facts(project_id, type, roles, assets, foreign_files, issues, filled, claimed, proved, unproved) AS (VALUES {sql_rows(FACTS)}),
-tracks(type, track) AS (VALUES {sql_rows(TRACKED)}), listed(rule_id, track, severity) AS (VALUES {sql_rows([(r.rule_id, r.track, r.severity) for r in PACK])}),
-failed AS ({" UNION ALL ".join(f"SELECT project_id, type, '{k}' AS rule_id FROM facts WHERE {v}" for k, v in _RULE_TESTS.items())})
-SELECT f.project_id, f.rule_id, l.severity FROM failed f JOIN listed l USING (rule_id) JOIN tracks t ON t.type = f.type AND t.track = l.track"""
+listed_assets AS (SELECT project_id, role, lower(role) || '.md' AS path FROM (SELECT project_id, unnest(roles) AS role FROM facts)),
+{findings_sql()} SELECT project_id, rule_id, severity, missing, files FROM rule_findings"""
 )
 def rule_findings_all_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "project_id string, type string, roles array<string>, assets long, foreign long, issues long, filled array<string>, claimed array<string>, proved array<string>, unproved array<string>"
     facts = spark.createDataFrame(FACTS, schema)
-    files_of = F.map_from_arrays("roles", F.transform("roles", lambda r: F.array(F.concat(F.lower(r), F.lit(".md")))))
-    return rules.evaluate(facts.withColumn("files", files_of), PACK).select("project_id", "rule_id", "severity")
+    assets = facts.select("project_id", F.explode("roles").alias("role")).withColumn("path", F.concat(F.lower("role"), F.lit(".md")))
+    found = rules.evaluate(facts, PACK, assets)
+    return found.select("project_id", "rule_id", "severity", F.array_join("missing_evidence", ",").alias("missing"), F.array_join("evidence", ",").alias("files"))
 
 
 CHECKED = [
@@ -288,16 +318,17 @@ CHECKED = [
 
 @query(
     f"""WITH p(project_id, roles, market, target, revenue) AS (VALUES {sql_rows(CHECKED)})
-SELECT project_id, 'CONSISTENCY_SOFT_001' AS issue_id FROM p WHERE {_has('SOURCE_CODE')} AND NOT {_has('BUILD_SYSTEM')} AND NOT {_has('DEPENDENCY_MANIFEST')}
-UNION ALL SELECT project_id, 'CONSISTENCY_BIZ_001' FROM p WHERE {_has('FINANCIAL_PLAN')} AND NOT {_has('BUSINESS_PLAN')}
-UNION ALL SELECT project_id, 'CONSISTENCY_MARKET_001' FROM p WHERE market <> '' AND target = ''
-UNION ALL SELECT project_id, 'CONSISTENCY_REVENUE_001' FROM p WHERE revenue AND NOT {_has('FINANCIAL_PLAN')} AND NOT {_has('PROOF_MATERIAL')}"""
+SELECT project_id, 'CONSISTENCY_SOFT_001' AS issue_id, 'source_code' AS files FROM p WHERE {_has('SOURCE_CODE')} AND NOT {_has('BUILD_SYSTEM')} AND NOT {_has('DEPENDENCY_MANIFEST')}
+UNION ALL SELECT project_id, 'CONSISTENCY_BIZ_001', 'financial_plan' FROM p WHERE {_has('FINANCIAL_PLAN')} AND NOT {_has('BUSINESS_PLAN')}
+UNION ALL SELECT project_id, 'CONSISTENCY_MARKET_001', CASE WHEN {_has('MARKET_RESEARCH')} THEN 'market_research' ELSE '' END FROM p WHERE market <> '' AND target = ''
+UNION ALL SELECT project_id, 'CONSISTENCY_REVENUE_001', '' FROM p WHERE revenue AND NOT {_has('FINANCIAL_PLAN')} AND NOT {_has('PROOF_MATERIAL')}"""
 )
 def consistency_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(CHECKED, "project_id string, roles array<string>, market_analysis string, target_user string, revenue boolean")
     assets = rows.select("project_id", F.explode("roles").alias("role")).withColumn("path", F.lower("role"))
     stated = rows.where("revenue").select("project_id", F.lit("CLM-001").alias("claim_id"), F.lit("Revenue").alias("claim_type"))
-    return consistency.check_consistency(assets, rows, stated).select("project_id", "issue_id")
+    found = consistency.check_consistency(assets, rows, stated)
+    return found.select("project_id", "issue_id", F.array_join("affected_files", ",").alias("files"))
 
 
 CAP_SQL = " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DIMENSIONS))
@@ -426,13 +457,18 @@ def deferred_anti_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT source AS project_id, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY lpad(doc_id::VARCHAR, 9, '0')) AS n FROM documents)
-SELECT project_id, CASE WHEN n_chars > 4000 THEN 'LARGE_BINARY_DEFERRED' END AS reason, count(*) AS files FROM p WHERE n <= 40 GROUP BY 1, 2"""
+    """WITH RECURSIVE p AS (SELECT source AS project_id, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY lpad(doc_id::VARCHAR, 9, '0')) AS n FROM documents),
+f AS (SELECT *, CASE WHEN n > 100000 THEN 'FILE_COUNT_DEFERRED' WHEN n_chars > 67108864 THEN 'LARGE_BINARY_DEFERRED' END AS early FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n) AS k FROM f WHERE early IS NULL),
+g AS (SELECT project_id, k, n_chars <= 536870912 AS kept, CASE WHEN n_chars <= 536870912 THEN n_chars ELSE 0 END AS used FROM r WHERE k = 1
+  UNION ALL SELECT r.project_id, r.k, g.used + r.n_chars <= 536870912, g.used + CASE WHEN g.used + r.n_chars <= 536870912 THEN r.n_chars ELSE 0 END FROM g JOIN r ON r.project_id = g.project_id AND r.k = g.k + 1)
+SELECT project_id, reason, count(*) AS files FROM (
+  SELECT project_id, early AS reason FROM f WHERE early IS NOT NULL UNION ALL SELECT project_id, CASE WHEN NOT kept THEN 'COPY_BUDGET_DEFERRED' END FROM g) GROUP BY 1, 2"""
 )
 def import_deferrals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files, under the limits that an import has."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("project_id"), F.format_string("%09d.md", "doc_id").alias("path"), F.col("n_chars").alias("size_bytes"))
-    plan = files.import_plan(docs, files.ImportLimits(files=40, file_bytes=4000, total_bytes=1 << 40))
-    return plan.groupBy("project_id", "reason").agg(F.count("path").alias("files"))
+    return files.import_plan(docs).groupBy("project_id", "reason").agg(F.count("path").alias("files"))
 
 
 YAML = [(1, "# note\nname: demo\n\nports:\n  - 80\nurl: http://x:1\n: odd\nplain"), (2, ""), (3, "a:\nb: 2\n")]
@@ -454,11 +490,9 @@ b AS (SELECT *, lag(trim(line) = '') OVER (PARTITION BY doc_id ORDER BY pos) AS
 SELECT doc_id, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM b WHERE NOT (trim(line) = '' AND coalesce(after, FALSE)) GROUP BY 1"""
 )
 def markdown_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    lines = docs.withColumn("line", text.normal_markdown(F.col("raw")))
-    kept = histories.without_double_blanks(lines, ["doc_id"], "pos", "line")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line)
-    return kept.groupBy("doc_id").agg(F.count("pos").alias("lines"), F.md5(F.array_join(listed, "\n").cast("binary")).alias("digest"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    lines = docs.select("doc_id", text.normal_lines(F.col("text")).alias("kept"))
+    return lines.select("doc_id", F.size("kept").cast("long").alias("lines"), F.md5(F.array_join("kept", "\n").cast("binary")).alias("digest"))
 
 
 TOOLS = [("view", "READ", True), ("click", "READ", True), ("purchase", "WRITE", False), ("signup", "WRITE", False)]

@@ -29,10 +29,13 @@ def build_session(app: str = "dossierlake", master: str = "local[*]", **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (as in tests on one machine) a temporary folder is made, one an application.
+    Only on one machine (a local master), where the session has none, a temporary folder is made, one an application. On a
+    cluster no such folder is shared, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         application = spark.sparkContext.applicationId
         if application not in _OWN:
             _OWN[application] = "file://" + tempfile.mkdtemp(prefix="dossierlake-")

@@ -1,12 +1,13 @@
 """Outcomes of the audit's rules on small tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.functions import messages, redaction, text
-from dossierlake.operators import claims, diff, evidence, fixes, histories, profile, rules, scoring, search, trust, workspace
+from dossierlake.operators import claims, diff, evidence, fixes, histories, profile, report, rules, scoring, search, trust, workspace
 from dossierlake.plans.audit import AuditFrames, AuditOptions
 
 ASSETS = "project_id string, path string, role string, auditable boolean, sensitive boolean, generated boolean, vendored boolean"
@@ -119,12 +120,14 @@ def test_bad_packs_are_refused(changes):
 
 
 def test_packs_are_read_by_spark(spark, tmp_path):
-    (tmp_path / "a.json").write_text(rule(severity="odd"))
+    (tmp_path / "a.json").write_text(rule(severity="Warning"))
     (tmp_path / "b.json").write_text('{"rules": ' + rule(rule_id="X_2") + "}")
     got = rules.load_packs(spark, [f"{tmp_path}/*.json"])
     assert {r.rule_id: r.severity for r in got} == {"X_1": "WARNING", "X_2": "BLOCKER"}
-    with pytest.raises(rules.RulePackError):
-        rules.parse_pack("nope")
+    for bad in ("nope", rule(severity="odd"), rule(condition={"required_asset": ["SOURCE_CODE"]}), rule(condition={"required_assets": "SOURCE_CODE"})):
+        with pytest.raises(rules.RulePackError):
+            rules.parse_pack(bad)
+    assert rules.parse_pack(rule(condition={"required_claim_evidence": ["MARKETSCALE"]}))
 
 
 def test_ledger_takes_no_more_than_there_is(spark):
@@ -158,7 +161,7 @@ def test_tasks_of_one_material_are_one(spark):
     assert plan.markdown.startswith("- [P0] FIX-001 t") and "+- [P0] FIX-002" in plan.diff_text
 
 
-def test_whole_audit(spark):
+def test_whole_audit(spark, tmp_path):
     assets = assets_of(spark, [("README.md", "PROJECT_DECLARATION"), ("src/main.cpp", "SOURCE_CODE"), ("财务预测.md", "FINANCIAL_PLAN"), (".env", "SECRET_RISK")])
     corpus = corpus_of(spark, [("README.md", GOOD, "# 演示\n已实现营收 50 万元\n市场规模：约为 10 亿\n软件系统 技术架构\n"), ("财务预测.md", GOOD, "预计营收 50 万元"), ("src/main.cpp", "EMPTY_OR_UNREADABLE", "")])
     audit = AuditFrames(assets, corpus, AuditOptions())
@@ -168,7 +171,18 @@ def test_whole_audit(spark):
     assert {"COMMON_SECRET_001", "COMMON_CONSISTENCY_001", "TEXT_EXTRACTION_REVIEW_1"} <= set(found)
     assert {r.issue_id for r in audit.issues.collect()} == {"CONSISTENCY_SOFT_001", "CONSISTENCY_BIZ_001", "CONSISTENCY_MARKET_001"}
     body = json.loads(audit.json.first().json)
-    assert body["schema_version"] == "2" and len(body["inventory"]) == 4 and body["claims"]
+    assert list(body) == ["report_schema_version", *report.SECTIONS] and body["report_schema_version"] == 2
+    assert len(body["inventory"]) == 4 and body["claims"] and body["audit_diff"] is None
+    assert body["summary"]["total_score"] == score.total_score and body["role_counts"]["role_counts"]["SOURCE_CODE"] == 1
+    assert body["cpir"]["project_name"] == "演示" and body["cpir"]["competition_reason"]
+    assert body["text_corpus"][0]["text_size"] > 0 and body["repair_plan"]["diff"].startswith("--- /dev/null")
+    report.write_package(audit.parts, f"{tmp_path}/package")
+    assert spark.read.text(f"{tmp_path}/package/project_id=p/section=inventory").count() == 4
+    (tmp_path / "p.json").write_text(audit.json.first().json)
+    (tmp_path / "broken.json").write_text("{")
+    stored = report.read_metrics(spark, [f"{tmp_path}/*.json"])
+    assert stored.count() == 2
+    assert diff.audit_diff(stored, audit.metrics).first().old_score == score.total_score
     assert "## 修改任务" in audit.markdown.first().markdown
     assert diff.audit_diff(audit.metrics, audit.metrics).first().old_score == score.total_score
     assert [n for n, _ in audit.stages()][0] == "assets"
@@ -191,6 +205,22 @@ def test_budgets_and_runs(spark):
     assert [(r.turn, r.kept_bytes) for r in got] == [(0, 8), (6, 4), (7, 8)]
 
 
+@pytest.mark.parametrize(("small", "seed"), [(0, 1), (3, 2), (50, 3)])
+def test_greedy_budgets_in_rounds(spark, small, seed):
+    rng = random.Random(seed)
+    rows = [(f"p{rng.randrange(3)}" if rng.random() < 0.9 else None, i, rng.choice([1, 2, 5, 9, 30, 200, None])) for i in range(120)]
+    files = spark.createDataFrame(rows, "project_id string, n int, size int")
+    got = {r.n: r.kept for r in histories.greedy_budget(files, "project_id", "n", "size", 100, small=small).collect()}
+    room, want = {}, {}
+    for key, n, size in rows:
+        left = room.setdefault(key, 100)
+        want[n] = (size or 0) <= left
+        room[key] -= (size or 0) if want[n] else 0
+    assert got == want
+    totals = {r.n: r.before for r in histories.running_total(files, "project_id", "n", "size").collect()}
+    assert totals == {n: sum(s or 0 for k, m, s in rows if k == key and m < n) for key, n, _ in rows}
+
+
 def test_search_leaves_out_sensitive_files(spark):
     assets = assets_of(spark, [("a.md", "PROJECT_DECLARATION"), (".env", "SECRET_RISK")])
     corpus = corpus_of(spark, [("a.md", GOOD, "One\nneedle here\nNEEDLE two\n"), (".env", GOOD, "needle")])
