@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What the contracts call a word: a run of anything but space and the controls 09 to 0D.
@@ -53,3 +53,11 @@ def parts_of(column: pa.Array, rows: int = 500) -> Iterator[list]:
     """A column's values as short lists, for the same reason."""
     for at in range(0, len(column), rows):
         yield column.slice(at, rows).to_pylist()
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, so that helpers never meet a user's column of their name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossierlake.llm.common import free_name
 from dossierlake.workspace import materialize
 
 #: A digit's bits bound what a source's histogram has: 1024 rows at every step.
@@ -111,20 +112,28 @@ def source_thresholds(
 
 
 def mix_sources(
-    docs: DataFrame, size: Column, id_column: str = "doc_id", source_column: str = "source", copies: str = "copies", **how
+    docs: DataFrame,
+    size: Column,
+    id_column: str = "doc_id",
+    source_column: str = "source",
+    copies: str = "copies",
+    details: bool = True,
+    **how,
 ) -> DataFrame:
-    """``docs`` with source_size, target and a column of how often the mix takes each document.
+    """``docs`` with a column ``copies`` of how often the mix takes each document and, with details, source_size and target.
 
     Documents meet one small row of their source; nothing is joined on ids, so repeated and null ids do no harm.
-    Columns of ``docs`` with a name of the result's are replaced.
+    Columns of ``docs`` with the name of one of these are replaced; all others stay, whatever their names.
     """
     found = source_thresholds(docs, size, id_column, source_column, **how)
-    taken = F.col("whole") + (id_hash(id_column) <= F.col("threshold")).cast("long")
-    taken = F.least(taken, F.lit(math.floor(how.get("most", MOST))).cast("long"))
-    added = ("mix_source", "source_size", "target", "whole", "threshold", copies)
+    added = [copies, *(("source_size", "target") if details else ())]
     plain = docs.drop(*[c for c in added if c not in (id_column, source_column)])
-    joined = plain.join(found, F.col(source_column).eqNullSafe(F.col("mix_source")))
-    return joined.withColumn(copies, taken).drop("mix_source", "whole", "threshold")
+    names = {c: free_name(plain, f"__mix_{c}") for c in ("mix_source", "whole", "threshold")}
+    found = found.select(*[F.col(c).alias(n) for c, n in names.items()], *(("source_size", "target") if details else ()))
+    joined = plain.join(found, F.col(source_column).eqNullSafe(F.col(names["mix_source"])))
+    taken = F.col(names["whole"]) + (id_hash(id_column) <= F.col(names["threshold"])).cast("long")
+    taken = F.least(taken, F.lit(math.floor(how.get("most", MOST))).cast("long"))
+    return joined.withColumn(copies, taken).drop(*names.values())
 
 
 def _refine(sizes: DataFrame, state: DataFrame, shift: int) -> DataFrame:

@@ -6,6 +6,11 @@ corpus) is all that reaches the driver. There a linear program chooses how often
 columns are priced by a knapsack dynamic program over the classes' dual values until none would lower the number of
 sequences. Counts are rounded down, and the few rests left over are placed first-fit by decreasing length. Documents
 are ranked within their class on Spark, and the rank gives the sequence.
+
+Rests of one length are ranked by their piece's number, which follows the order in which the table is read: a rerun may
+give equal rests each other's places, but never other sequences. A null or empty text is its end id alone, a repeated
+row a document of its own, and an empty table has no sequences. A very long text is encoded piece by piece, in memory at
+about 5 bytes a character. Other columns, whatever their names, don't come along.
 """
 
 from __future__ import annotations

@@ -17,9 +17,8 @@ surrogates and all entities of the corpus; an entity makes several draws a round
 so different entities stay different and no surrogate is a real entity. Texts are searched once; documents with mentions
 are shuffled by row.
 
-Null and empty texts have no mentions and stay as they are; so do all other columns and repeated rows. Columns whose
-names begin with "__pii_" are for the operator's own use; others may have any name. An empty table stays empty. A very
-long text is searched as a whole in time that follows its length; a form of numbers of which 97 in 100 are taken is an
+Null and empty texts have no mentions and stay as they are; so do all other columns, whatever their names, and repeated
+rows. An empty table stays empty. A very long text is searched as a whole in time that follows its length; a form of numbers of which 97 in 100 are taken is an
 error.
 """
 
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossierlake.llm.common import parts_of, text_batches
+from dossierlake.llm.common import free_name, parts_of, text_batches
 from dossierlake.workspace import materialize
 
 # Common given names by gender and script, forms of address by gender, and syllables of made-up surnames.
@@ -366,7 +365,7 @@ def replace_entities(
     text_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c != counted]
     docs = docs.select(*columns)
-    row, mentions, known = "__pii_row", "__pii_mentions", "__pii_known"
+    row, mentions, known = (free_name(docs, n) for n in ("__pii_row", "__pii_mentions", "__pii_known"))
 
     @F.arrow_udf(SPANS)
     def found(texts: pa.Array) -> pa.Array:

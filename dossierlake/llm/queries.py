@@ -21,9 +21,13 @@ from dossierlake.llm.common import held_out, tokenizer_path, word_count
 from dossierlake.workspace import spread_table, table
 
 
+#: Words of an n-gram at most.
+LM_ORDER = 2
+
+
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_table(spark, sf_dir, "documents")
-    scored = lm_scoring.score_documents(docs, train_on=~held_out("doc_id", 10))
+    scored = lm_scoring.score_documents(docs, train_on=~held_out("doc_id", 10), order=LM_ORDER)
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

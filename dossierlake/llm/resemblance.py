@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierlake.llm.common import slices, text_batches
+from dossierlake.llm.common import free_name, slices, text_batches
 from dossierlake.llm.components import connected_components
 from dossierlake.llm.simhash import SEED, fingerprint_of, shingle_hashes
 from dossierlake.llm.simhash import links as fingerprint_links
@@ -189,10 +189,11 @@ def compare_group(group: pd.DataFrame, words: int) -> pd.DataFrame:
 def one_of_each(docs: DataFrame, words: int = 5, text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each group that links join: the first as the table stands when it is written down.
 
-    Texts without words are one group. Rows get keys of their own, so null and repeated ids do no harm.
+    Texts without words are one group. Rows get keys of their own, so null and repeated ids do no harm. Other columns may
+    have any name. An empty table stays empty. A very long text is compared as a whole, in memory at about 100 bytes a word.
     """
     text_batches(docs.sparkSession)
-    key = "__row"
+    key = free_name(docs, "__row")
     keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     rows = keyed.select(F.col(key).alias("row"), F.col(text_column).alias("text"))
     marked = materialize(sketches(rows, words), "sketches")

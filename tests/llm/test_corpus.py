@@ -454,31 +454,135 @@ def test_nothing_to_mix(spark):
     assert [r.copies for r in mixing.mix_sources(zero, word_count(F.col("text"))).collect()] in ([0], [1])
 
 
-def test_pipeline_stages_on_small_tables(spark, tmp_path):
-    import corpus_pipeline
+PIPE = "doc_id long, text string, lang string, source string, n_chars long, __quality string, __row int, __copies int, target double, whole int, __pii_row string, row int"
+EXTRA = ("keep", 1, 2, 3.0, 4, "own", 5)
+
 
+def pipeline_documents(spark, tmp_path):
     rows, labels = labelled(np.random.default_rng(5), 200)
     rows += [(500 + i, rows[1][1]) for i in range(40)]  # exact copies
-    rows += [(600, "Mail me at jo.do@mail1.example.com about the river stone light paper walks under light river."), (601, None), (602, "")]
-    columns = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in rows], columns)
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    words = "every reader of this page finds the same forty words in it save for one that differs a little from copy to copy so that shingles of five words agree in most places and the pair is well above the bar of similarity that links two".split()
+    rows += [(560 + i, " ".join([*words[:20], f"odd{i}", *words[20:], *words[5:30], *words[12:40]])) for i in range(3)]
+    rows += [(600, "Mail me at jo.do@mail1.example.com about the river stone light paper walks under light river."), (601, None), (602, ""), (None, "a text without an id"), (7, rows[7][1])]
+    docs = [(i, t, "en", None if k % 11 == 0 else f"s{k % 3}", len(t or ""), *EXTRA) for k, (i, t) in enumerate(rows)]
+    frame = spark.createDataFrame(docs, PIPE)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels, (None, 1), (500, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    return frame, docs, labels
+
+
+def shingles(text):
+    found = WORD.findall((text or "").lower().encode())
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
+def plain_groups(texts):
+    """Groups that links of similarity 0.8 or more join, by comparing all pairs."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, rows, labels = pipeline_documents(spark, tmp_path)
     sf_dir = str(tmp_path)
+    plain = lambda df: sorted((repr(tuple(r)) for r in df.collect()))
     kept = corpus_pipeline.keep_quality(spark, docs, sf_dir)
     assert kept.columns == docs.columns
+    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", ~held_out("doc_id", 5))
+    assert plain(kept) == sorted(repr(r) for r in rows if plain_quality(net, r[1]) >= 0.3)
     good = {i for i, q in labels if q}
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert len(ids & good) > 0.95 * len(good) and len(ids & {i for i, q in labels if not q}) < 5
+
     single = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
-    left = [r.text for r in single.collect()]
-    assert left.count(rows[1][1]) == 1
-    clean = corpus_pipeline.replace_personal_data(spark, docs, sf_dir).collect()
-    assert len(clean) == len(rows) and not any("jo.do@" in (r.text or "") for r in clean)
+    assert single.columns == docs.columns
+    groups = plain_groups([r[1] for r in rows])
+    left = [tuple(r) for r in single.collect()]
+    by_row = defaultdict(list)
+    for r, g in zip(rows, groups):
+        by_row[r].append(g)
+    assert len(left) == len(set(groups)) and sorted(by_row[r][0] for r in left) == sorted(set(groups))
+    assert len({g for r, g in zip(rows, groups) if r[0] in (560, 561, 562)}) == 1
+
+    clean = corpus_pipeline.replace_personal_data(spark, docs, sf_dir)
+    assert clean.columns == docs.columns
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert clean.count() == len(rows) and not any("jo.do@" in (t or "") for t in texts.values())
+    once = [(i, t) for i, t in {r[0]: r[1] for r in rows}.items()]
+    check_replaced([t for _, t in once], [texts[i] for i, _ in once], corpus_pipeline.SURROGATE_KEY)
+
     mixed = corpus_pipeline.mix_to_weights(spark, docs, sf_dir)
-    assert mixed.columns == docs.columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 2
-    packed = corpus_pipeline.run(spark, sf_dir).collect()
-    assert packed and all(len(r.ids) == 2 * r.length for r in packed)
+    assert mixed.columns == docs.columns
+    size = lambda t: len(WORD.findall((t or "").encode()))
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += size(r[1])
+    many = Counter(tuple(r) for r in mixed.collect())
+    assert set(many) <= set(rows) and max(many[r] / rows.count(r) for r in many) <= 2
+    for r, n in many.items():
+        taken[r[3]] += n * size(r[1])
+    for s, target in plain_targets(sizes).items():
+        assert abs(taken[s] - target) <= 2 * max(size(r[1]) for r in rows)
+
+    pieces = [r.asDict() for r in corpus_pipeline.pack_sequences(spark, docs, sf_dir).collect()]
+    check_packed(rows, pieces)
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def check_packed(rows, pieces):
+    """Every id of every document is in exactly one piece, and sequences have no gaps and at most 2048 ids."""
+    from tokenizers import Tokenizer
+
+    from dossierlake.llm.common import tokenizer_path
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = Counter((r[0], tuple([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 50256])) for r in rows)
+    by_doc = defaultdict(list)
+    for p in pieces:
+        own = np.frombuffer(bytes(p["ids"]), "<u2").tolist()
+        assert len(own) == p["length"]
+        by_doc[p["doc_id"]].append((p["start"], p["doc_tokens"], own))
+    for i, own in by_doc.items():
+        n = sum(c for (d, _), c in want.items() if d == i)
+        if n == 1:
+            whole = [x for _, _, ids in sorted(own) for x in ids]
+            assert want[i, tuple(whole)] == 1 and all(t == len(whole) for _, t, _ in own)
+    assert sum(p["length"] for p in pieces) == sum(len(t) * c for (_, t), c in want.items())
+    sequences = defaultdict(list)
+    for p in pieces:
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+    for own in sequences.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 2048
+
+
+def test_pipeline_stages_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], PIPE)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns and found.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 @pytest.mark.parametrize(
