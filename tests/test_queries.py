@@ -3,7 +3,22 @@
 import pytest
 from oracle import SMALL, same
 
-from dossierlake.plans import registry
+from dossierlake.plans import file_queries, registry, whole_audit
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shared_audit():
+    """The queries of the whole audit take their stages from one run here."""
+    found, own = {}, whole_audit.driver_audit
+
+    def shared(spark, sf_dir):
+        if sf_dir not in found:
+            found[sf_dir] = own(spark, sf_dir)
+        return found[sf_dir]
+
+    whole_audit.driver_audit = file_queries.driver_audit = shared
+    yield
+    whole_audit.driver_audit = file_queries.driver_audit = own
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
