@@ -72,17 +72,17 @@ def running_total(rows: DataFrame, key: str, order: str, size: str, name: str =
     Rows are dealt to ranges of (key, order), so a key that holds a third of all rows is spread over many tasks: sums
     within a range come from a window, those of whole ranges from a table of one row a key and range.
     """
-    place = f"__{name}_range"
+    place, owner, at, sum_, ahead = (f"__{name}_{x}" for x in ("range", "key", "at", "sum", "ahead"))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(tasks, key, order).withColumn(place, F.spark_partition_id())
     ranged = materialize(ranged, "ranges")
-    sums = ranged.groupBy(key, place).agg(F.sum(size).alias("__sum"))
-    ahead = Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(key).alias("__key"), F.col(place).alias("__place"), F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"))
-    joined = ranged.join(sums, F.col(key).eqNullSafe(F.col("__key")) & (F.col(place) == F.col("__place")))
+    sums = ranged.groupBy(key, place).agg(F.sum(size).alias(sum_))
+    earlier = Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(key).alias(owner), F.col(place).alias(at), F.coalesce(F.sum(sum_).over(earlier), F.lit(0)).alias(ahead))
+    joined = ranged.join(sums, F.col(key).eqNullSafe(F.col(owner)) & (F.col(place) == F.col(at)))
     inner = Window.partitionBy(key, place).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.col("__ahead") + F.coalesce(F.sum(size).over(inner), F.lit(0))
-    return joined.withColumn(name, total.cast("long")).drop(place, "__key", "__place", "__ahead")
+    total = F.col(ahead) + F.coalesce(F.sum(size).over(inner), F.lit(0))
+    return joined.withColumn(name, total.cast("long")).drop(place, owner, at, ahead)
 
 
 def greedy_budget(files: DataFrame, key: str, order: str, size: str, total: int, small: int = 50_000) -> DataFrame:

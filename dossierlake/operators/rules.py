@@ -1,16 +1,17 @@
-"""Declarative rule packs: JSON validated on the driver and compiled to column expressions over project facts."""
+"""Declarative rule packs: JSON validated on the driver, whose demands are rows that meet the facts of projects."""
 
 from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierlake.functions.lexicon import CLAIM_TYPES, PROFILE_LABELS
+from dossierlake.operators.histories import running_total
 from dossierlake.operators.trust import needs_review
 
 PACK_BYTES, RULES, FIELD_BYTES = 1 << 20, 10_000, 8192
@@ -194,92 +195,111 @@ def project_facts(assets: DataFrame, profile: DataFrame, claims: DataFrame, evid
     return facts.withColumns({c: F.coalesce(c, nothing) for c in ("roles", "claimed", "proved", "unproved")})
 
 
-def compile_condition(condition: dict) -> tuple[Column, Column]:
-    """(missing, roles): what the project lacks and the roles whose files stand against it; a rule fails if there is a fault.
+@dataclass
+class Demands:
+    """What a rule's condition asks of a project's row. All of it has to hold; what doesn't is what the project lacks."""
 
-    A condition's faults add up: one array of texts, empty where the condition holds.
-    """
-    has = lambda role: F.array_contains("roles", role)
-    field = lambda name: F.array_contains("filled", name)
-    fault = lambda test, text: F.when(test, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    roles: list[str] = field(default_factory=list)
+    any_roles: list[str] = field(default_factory=list)
+    forbidden: list[str] = field(default_factory=list)
+    fields: list[str] = field(default_factory=list)
+    claims: list[str] = field(default_factory=list)
+    proofs: list[str] = field(default_factory=list)
+    assets: int = 0
+    consistent: bool = False
+    built: bool = False
+    ratio: float | None = None
+
+
+DEMANDS = "roles array<string>, any_roles array<string>, forbidden array<string>, fields array<string>, claims array<string>, proofs array<string>, assets_least long, consistent boolean, built boolean, ratio double"
+
+
+def demands_of(condition: dict) -> Demands:
     types = {k.name.lower(): k.name for k in CLAIM_TYPES}
-    missing: list[Column] = [F.array().cast("array<string>")]
-    evidence: list[Column] = [F.array().cast("array<string>")]
+    out = Demands()
     for key, value in condition.items():
         if key in ("required_asset", "required_assets", "missing_asset", "missing_assets"):
-            missing += [fault(~has(r), r) for r in _texts(key, value)]
+            out.roles += _texts(key, value)
         elif key == "required_any_assets":
-            wanted = _texts(key, value)
-            none = ~F.arrays_overlap("roles", F.array(*map(F.lit, wanted)))
-            missing += [fault(none, r) for r in wanted]
+            out.any_roles += _texts(key, value)
         elif key == "minimum_asset_count":
-            missing.append(fault(F.col("assets") < int(value), f"at least {int(value)} assets"))
+            out.assets = int(value)
         elif key == "forbidden_roles":
-            for r in _texts(key, value):
-                missing.append(fault(has(r), f"no {r}"))
-                evidence.append(fault(has(r), r))
-        elif key == "forbidden_sensitive_file" and value:
-            missing.append(fault(has("SECRET_RISK"), "no SECRET_RISK"))
-            evidence.append(fault(has("SECRET_RISK"), "SECRET_RISK"))
+            out.forbidden += _texts(key, value)
         elif key == "required_claim_evidence":
-            for t in (types[t.lower()] for t in _texts(key, value)):
-                missing.append(fault(~F.array_contains("claimed", t) | F.array_contains("unproved", t), t))
+            out.claims += [types[t.lower()] for t in _texts(key, value)]
         elif key == "required_cpir_fields":
-            missing += [fault(~field(f), f) for f in _texts(key, value)]
-        elif key == "consistency_check" and value:
-            missing.append(fault(F.col("issues") > 0, "consistent materials"))
-        elif key == "doc_code_support" and value:
-            missing.append(fault(has("SOURCE_CODE") & ~has("BUILD_SYSTEM") & ~has("DEPENDENCY_MANIFEST"), "BUILD_SYSTEM"))
-        elif key == "business_model_completeness" and value:
-            missing += [fault(~field(f), f) for f in ("target_user", "business_model", "financial_projection")]
-            missing += [fault(~has(r), r) for r in ("BUSINESS_PLAN", "FINANCIAL_PLAN")]
-        elif key == "technical_route_completeness" and value:
-            missing.append(fault(~field("technical_route"), "technical_route"))
-            missing += [fault(~has(r), r) for r in ("SOURCE_CODE", "DEPLOYMENT_DOC")]
-        elif key == "research_reproducibility" and value:
-            missing.append(fault(~has("EXPERIMENT_DATA"), "EXPERIMENT_DATA"))
-            missing.append(fault(~F.array_contains("proved", "ResearchResult"), "ResearchResult"))
-        elif key == "social_impact_evidence" and value:
-            missing.append(fault(~has("SOCIAL_PRACTICE_PROOF"), "SOCIAL_PRACTICE_PROOF"))
-            missing.append(fault(~F.array_contains("proved", "SocialImpact"), "SocialImpact"))
-        elif key == "vendor_generated_ratio" and value:
-            most = float(condition.get("max_ratio", 0.4))
-            over = F.when(F.col("assets") > 0, F.col("foreign") / F.col("assets")) > most
-            missing.append(fault(F.coalesce(over, F.lit(False)), "own files"))
-            evidence += [fault(F.coalesce(over, F.lit(False)), r) for r in ("GENERATED", "VENDORED")]
-    unique = lambda parts: F.array_sort(F.array_distinct(F.concat(*parts)))
-    return unique(missing), unique(evidence)
-
-
-def applies(rule: Rule) -> Column:
-    types = [t for t, tracks in TRACKS.items() if rule.track in tracks]
-    return F.lit(True) if rule.track == "common" else F.col("type").isin(*types)
+            out.fields += _texts(key, value)
+        elif value is not True:
+            continue
+        elif key == "forbidden_sensitive_file":
+            out.forbidden.append("SECRET_RISK")
+        elif key == "consistency_check":
+            out.consistent = True
+        elif key == "doc_code_support":
+            out.built = True
+        elif key == "business_model_completeness":
+            out.fields += ["target_user", "business_model", "financial_projection"]
+            out.roles += ["BUSINESS_PLAN", "FINANCIAL_PLAN"]
+        elif key == "technical_route_completeness":
+            out.fields.append("technical_route")
+            out.roles += ["SOURCE_CODE", "DEPLOYMENT_DOC"]
+        elif key == "research_reproducibility":
+            out.roles.append("EXPERIMENT_DATA")
+            out.proofs.append("ResearchResult")
+        elif key == "social_impact_evidence":
+            out.roles.append("SOCIAL_PRACTICE_PROOF")
+            out.proofs.append("SocialImpact")
+        elif key == "vendor_generated_ratio":
+            out.ratio = float(condition.get("max_ratio", 0.4))
+    return out
+
+
+def lacking() -> tuple[Column, Column]:
+    """(what a project lacks, the roles whose files stand against it) of a row with facts and a rule's demands as ``d``.
+
+    One expression for all rules, whose demands are data: plans don't grow with the number of rules.
+    """
+    d = F.col("d")
+    nothing = F.array().cast("array<string>")
+    has = lambda role: F.array_contains("roles", role)
+    fault = lambda test, text: F.when(test, F.array(text)).otherwise(nothing)
+    over = F.coalesce(F.when(F.col("assets") > 0, F.col("foreign") / F.col("assets")) > d.ratio, F.lit(False))
+    refused = F.array_intersect(d.forbidden, F.col("roles"))
+    parts = [
+        F.array_except(d.roles, F.col("roles")),
+        F.when(~F.arrays_overlap(d.any_roles, F.col("roles")), d.any_roles).otherwise(nothing),
+        F.transform(refused, lambda r: F.concat(F.lit("no "), r)),
+        F.array_except(d.fields, F.col("filled")),
+        F.filter(d.claims, lambda t: ~F.array_contains("claimed", t) | F.array_contains("unproved", t)),
+        F.array_except(d.proofs, F.col("proved")),
+        fault(F.col("assets") < d.assets_least, F.concat(F.lit("at least "), d.assets_least.cast("string"), F.lit(" assets"))),
+        fault(d.consistent & (F.col("issues") > 0), F.lit("consistent materials")),
+        fault(d.built & has("SOURCE_CODE") & ~has("BUILD_SYSTEM") & ~has("DEPENDENCY_MANIFEST"), F.lit("BUILD_SYSTEM")),
+        fault(over, F.lit("own files")),
+    ]
+    foreign = F.array_intersect(F.array(F.lit("GENERATED"), F.lit("VENDORED")), F.col("roles"))
+    return F.array_sort(F.array_distinct(F.concat(*parts))), F.concat(refused, F.when(over, foreign).otherwise(nothing))
 
 
 def evaluate(facts: DataFrame, rules: list[Rule], assets: DataFrame) -> DataFrame:
     """project_id, seq, rule_id, severity, title, reason, evidence, missing_evidence, fix_suggestion of failed rules.
 
-    All rules are one projection over a project's row, whatever the number of rules. Only the failed ones that speak of
-    files meet the assets (project_id, path, role), to list them.
+    Rules are rows of a literal table that meets projects by their type. Only the failed ones that speak of files meet the
+    assets (project_id, path, role), to list them.
     """
-    found = []
-    for seq, rule in enumerate(rules):
-        missing, evidence = compile_condition(rule.condition)
-        found.append(
-            F.struct(
-                F.lit(seq).alias("seq"),
-                F.lit(rule.rule_id).alias("rule_id"),
-                F.lit(rule.severity).alias("severity"),
-                F.lit(rule.name).alias("title"),
-                F.lit(rule.fail_reason or rule.description).alias("reason"),
-                evidence.alias("against"),
-                missing.alias("missing_evidence"),
-                F.lit(rule.fix_task).alias("fix_suggestion"),
-                applies(rule).alias("applies"),
-            )
-        )
-    every = facts.select("project_id", F.explode(F.array(*found)).alias("r")).where("r.applies and size(r.missing_evidence) > 0")
-    failed = every.select("project_id", "r.*").drop("applies")
+    rows = []
+    for seq, r in enumerate(rules):
+        d = demands_of(r.condition)
+        own = (d.roles, d.any_roles, d.forbidden, d.fields, d.claims, d.proofs, d.assets, d.consistent, d.built, d.ratio)
+        types = [t for t, tracks in TRACKS.items() if r.track == "common" or r.track in tracks]
+        rows += [(t, seq, r.rule_id, r.severity, r.name, r.fail_reason or r.description, r.fix_task, own) for t in types]
+    schema = f"type string, seq int, rule_id string, severity string, title string, reason string, fix_suggestion string, d struct<{DEMANDS.replace(' ', ':').replace(',:', ',')}>"
+    table = facts.sparkSession.createDataFrame(rows, schema)
+    missing, against = lacking()
+    every = facts.join(F.broadcast(table), "type").withColumn("missing_evidence", missing).withColumn("against", against)
+    columns = ["project_id", "seq", "rule_id", "severity", "title", "reason", "missing_evidence", "fix_suggestion"]
+    failed = every.where(F.size("missing_evidence") > 0).select(*columns, "against")
     listed = (
         failed.select("project_id", "seq", F.explode("against").alias("role"))
         .join(assets.select("project_id", "role", "path"), ["project_id", "role"])
@@ -288,7 +308,7 @@ def evaluate(facts: DataFrame, rules: list[Rule], assets: DataFrame) -> DataFram
     )
     found = failed.join(listed, ["project_id", "seq"], "left")
     evidence = F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence")
-    return found.select("project_id", "seq", "rule_id", "severity", "title", "reason", evidence, "missing_evidence", "fix_suggestion")
+    return found.select(*columns[:6], evidence, *columns[6:])
 
 
 def applicable(types: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -314,12 +334,11 @@ KEY_ROLES = ("PROJECT_DECLARATION", "BUSINESS_PLAN", "RESEARCH_PAPER", "PROOF_MA
 
 def text_findings(corpus: DataFrame, assets: DataFrame, after: int) -> DataFrame:
     """Findings for documents that have to be read by someone, numbered by path, behind ``after`` rules."""
-    from pyspark.sql import Window
-
     joined = corpus.where(needs_review(F.col("status"))).join(
         assets.where(~F.col("sensitive") & ~F.col("generated") & ~F.col("vendored")).select("project_id", "path", "role"), ["project_id", "path"]
     )
-    n = F.row_number().over(Window.partitionBy("project_id").orderBy("path"))
+    joined = running_total(joined.select("project_id", "path", "status", "role", F.lit(1).alias("one")), "project_id", "path", "one", "n")
+    n = F.col("n") + 1
     text = lambda k: reduce(lambda rest, row: F.when(F.col("status").contains(row[0]), F.lit(row[k])).otherwise(rest), reversed(TEXT_REVIEW), F.lit(""))
     return joined.withColumn("n", n).select(
         "project_id",

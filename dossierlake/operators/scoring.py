@@ -56,11 +56,16 @@ def saturate(entries: DataFrame, caps: dict[str, int] | None = None) -> DataFram
     caps = caps or DIMENSIONS
     place = F.struct("part", "seq", "rule_id")
     once = Window.partitionBy("project_id", "rule_id").orderBy("part", "seq", "dimension")
-    before = Window.partitionBy("project_id", "dimension").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    rows = Window.partitionBy("project_id", "dimension").orderBy(place)
     cap = points_of(F.col("dimension"), caps)
     counted = entries.where("points > 0").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-    left = cap - F.coalesce(F.sum("points").over(before), F.lit(0))
-    return counted.withColumn("actual", F.least(F.col("points"), F.greatest(left, F.lit(0))).cast("long"))
+    # each entry has a point at least, so none behind the first few of a dimension can take anything; that limit is on the
+    # rank, before the shuffle as well, so a project with millions of entries is no long task
+    first = counted.withColumn("__n", F.row_number().over(rows)).where(F.col("__n") <= max(caps.values()))
+    left = cap - F.coalesce(F.sum("points").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.select("project_id", "rule_id", F.least(F.col("points"), F.greatest(left, F.lit(0))).cast("long").alias("actual"))
+    joined = counted.join(first, ["project_id", "rule_id"], "left").withColumn("actual", F.coalesce("actual", F.lit(0).cast("long")))
+    return joined.select(*counted.columns, "actual")
 
 
 def trust_scores(projects: DataFrame, penalties: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:

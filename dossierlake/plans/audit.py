@@ -56,7 +56,7 @@ class AuditFrames:
     @cached_property
     def findings(self) -> DataFrame:
         packs = list(self.options.rules)
-        facts = rules.project_facts(self.assets, self.profile, self.claims, self.evidence, self.issues)
+        facts = materialize(rules.project_facts(self.assets, self.profile, self.claims, self.evidence, self.issues), "facts")
         by_text = rules.text_findings(self.corpus, self.assets, len(packs))
         return materialize(rules.evaluate(facts, packs, self.assets).unionByName(by_text), "findings")
 
