@@ -167,11 +167,12 @@ def levels_of(stream: np.ndarray, starts: np.ndarray, words: np.ndarray, order:
     for _ in range(1, order):
         below = levels[-1]
         ends = inner[below.at[inner - 1] >= 0]
-        found, inverse = np.unique(below.at[ends - 1] * len(words) + stream[ends], return_inverse=True)
-        at = np.full(len(stream), -1, dtype=np.int64)
+        found, inverse = np.unique(below.at[ends - 1].astype(np.int64) * len(words) + stream[ends], return_inverse=True)
+        # places in a chunk fit into four bytes
+        at = np.full(len(stream), -1, dtype=np.int32)
         at[ends] = inverse
-        prefix, word = found // len(words), found % len(words)
-        suffix = np.zeros(len(found), dtype=np.int64)
+        prefix, word = (found // len(words)).astype(np.int32), (found % len(words)).astype(np.int32)
+        suffix = np.zeros(len(found), dtype=np.int32)
         suffix[inverse] = below.at[ends]
         mixed = (below.hashes[prefix] ^ (below.hashes[prefix] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed = (mixed + words[word]) * np.uint64(0x94D049BB133111EB)
@@ -350,12 +351,13 @@ def score_documents(
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        answered = right.to_pylist()
         for row in left.to_pylist():
             stream, starts, lengths, train, words = _decoded(row)
             levels = levels_of(stream, starts, words, order)
             counts = []
             for k, level in enumerate(levels):
-                own = sorted((r["place"], r["totals"]) for r in right.to_pylist() if r["level"] == k)
+                own = sorted((r["place"], r["totals"]) for r in answered if r["level"] == k)
                 totals = np.empty(len(level.hashes), dtype=np.float64)
                 totals[np.argsort(level.hashes)] = np.concatenate([unpack(x, "<u8") for _, x in own])
                 counts.append(totals)

@@ -22,7 +22,7 @@ from dossierlake.workspace import spread_table, table
 
 
 #: Words of an n-gram at most.
-LM_ORDER = 2
+LM_ORDER = 3
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
