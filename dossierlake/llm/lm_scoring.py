@@ -213,10 +213,13 @@ class BackoffAutomaton:
         self.unigram_next = state
         self.weight, self.fail = np.concatenate(weights), np.concatenate(fails)
         merged = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+        keys.clear()
         order = np.argsort(merged)
         self.keys = merged[order]
-        self.log = np.concatenate(logs)[order] if keys else np.zeros(0)
-        self.next = np.concatenate(follow)[order] if keys else np.zeros(0, dtype=np.int64)
+        del merged
+        self.log = np.concatenate(logs)[order] if logs else np.zeros(0)
+        logs.clear()
+        self.next = np.concatenate(follow)[order].astype(np.int32) if follow else np.zeros(0, dtype=np.int32)
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of the word after each state, and the next state."""
@@ -351,7 +354,8 @@ def score_documents(
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        answered = right.to_pylist()
+        answered = right.select(["level", "place", "totals"]).to_pylist()
+        del right
         for row in left.to_pylist():
             stream, starts, lengths, train, words = _decoded(row)
             levels = levels_of(stream, starts, words, order)
@@ -361,12 +365,15 @@ def score_documents(
                 totals = np.empty(len(level.hashes), dtype=np.float64)
                 totals[np.argsort(level.hashes)] = np.concatenate([unpack(x, "<u8") for _, x in own])
                 counts.append(totals)
+                # two workers share an executor, so what isn't needed any more goes at once
+                level.hashes = level.at = None
+            seen = counts[0][stream] > 0
+            seen[starts] = False
             automaton = BackoffAutomaton(levels, counts, tokens, types)
+            del levels, counts
             score = automaton.traverse(stream, starts, lengths)
             each = automaton.base[stream]
             each[starts] = 0
-            seen = counts[0][stream] > 0
-            seen[starts] = False
             out.append(
                 pa.table(
                     {
