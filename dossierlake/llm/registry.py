@@ -15,10 +15,12 @@ QUERIES = {
     "op8_exact_search": queries.op8_exact_search,
     "op9_nearest": queries.op9_nearest,
     "op10_token_records": queries.op10_token_records,
+    "op13_fill_middle": queries.op13_fill_middle,
 }
 
 ORACLE_SQL = {
     "op5_mix_sources": queries.OP5_SQL,
     "op6_license_scan": queries.OP6_SQL,
     "op8_exact_search": queries.OP8_SQL,
+    "op13_fill_middle": queries.OP13_SQL,
 }

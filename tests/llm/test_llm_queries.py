@@ -22,7 +22,7 @@ def test_one_query_for_each_operator():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert [n for n in range(1, 11) if sum(x.startswith(f"op{n}_") for x in names) != 1] == []
+    assert [n for n in range(1, 14) if sum(x.startswith(f"op{n}_") for x in names) != 1] == []
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
