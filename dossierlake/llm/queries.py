@@ -17,6 +17,7 @@ from dossierlake.llm import (
     quality,
     record_files,
     simhash,
+    whitening,
 )
 from dossierlake.llm.common import held_out, tokenizer_path, word_count
 from dossierlake.workspace import spread_table, table
@@ -226,6 +227,10 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32).drop("eigenvalue")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fill_middle.fill_in_middle(spread_table(spark, sf_dir, "documents").select("doc_id", "text"))
     parts = done.select("doc_id", "fim.*")
