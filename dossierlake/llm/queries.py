@@ -17,6 +17,7 @@ from dossierlake.llm import (
     quality,
     record_files,
     simhash,
+    site_tree,
     whitening,
 )
 from dossierlake.llm.common import held_out, tokenizer_path, word_count
@@ -227,6 +228,11 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_site_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site_tree.extract_text(spread_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32).drop("eigenvalue")
 

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_search": queries.op8_exact_search,
     "op9_nearest": queries.op9_nearest,
     "op10_token_records": queries.op10_token_records,
+    "op11_site_text": queries.op11_site_text,
     "op12_whitening": queries.op12_whitening,
     "op13_fill_middle": queries.op13_fill_middle,
 }
