@@ -116,8 +116,9 @@ def normal_markdown(line: Column) -> Column:
 
 
 def normal_lines(text: Column) -> Column:
-    """Normal lines of a text, without those blank ones that follow a blank one."""
+    """Normal lines of a text, without those blank ones that follow a blank one; work follows the text's length."""
     lines = F.transform(F.split(text, "\n"), normal_markdown)
-    blank = F.transform(lines, lambda x: trimmed(x) == "")
-    after = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (F.get(blank, i) & (i > 0) & F.coalesce(F.get(blank, i - 1), F.lit(False))).alias("out")))
-    return F.transform(F.filter(after, lambda x: ~x.out), lambda x: x.line)
+    before = F.concat(F.array(F.lit("-")), F.slice(lines, 1, F.size(lines) - 1))
+    pairs = F.zip_with(lines, before, lambda line, ahead: F.struct(line.alias("line"), ahead.alias("ahead")))
+    kept = F.filter(pairs, lambda x: (trimmed(x.line) != "") | (trimmed(x.ahead) != ""))
+    return F.transform(kept, lambda x: x.line)

@@ -48,12 +48,8 @@ def trusted_lines(corpus: DataFrame, assets: DataFrame, source: Column) -> DataF
     return documents.join(trusted, ["project_id", "path"]).select("project_id", "path", "role", lines)
 
 
-def first_claims(lines: DataFrame, lexicon: Lexicon = DEFAULT, most: int = CLAIMS) -> DataFrame:
-    """project_id, claim_id, claim_text, claim_type, path, line_no, confidence, initial_risk.
-
-    Of lines with one kind and key the first by path and place counts: a minimum that is taken before the shuffle as
-    well as after. Only then are the first ``most`` of a project numbered.
-    """
+def stated_lines(lines: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """``lines`` that state something, trimmed, with claim_type and key."""
     line = trimmed(F.col("line"))
     stated = (
         lines.withColumn("line", line)
@@ -65,7 +61,19 @@ def first_claims(lines: DataFrame, lexicon: Lexicon = DEFAULT, most: int = CLAIM
     )
     order = {kind.name: str(i) for i, kind in enumerate(lexicon.claim_types)}
     prefix = F.element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), F.col("claim_type"))
-    stated = stated.where(byte_length(prefix) + 1 + byte_length(F.col("key")) >= 8)
+    return stated.where(byte_length(prefix) + 1 + byte_length(F.col("key")) >= 8)
+
+
+def first_claims(lines: DataFrame, lexicon: Lexicon = DEFAULT, most: int = CLAIMS) -> DataFrame:
+    return numbered_claims(stated_lines(lines, lexicon), most)
+
+
+def numbered_claims(stated: DataFrame, most: int = CLAIMS) -> DataFrame:
+    """project_id, claim_id, claim_text, claim_type, path, line_no, confidence, initial_risk.
+
+    Of lines with one kind and key the first by path and place counts: a minimum that is taken before the shuffle as
+    well as after. Only then are the first ``most`` of a project numbered.
+    """
     place = F.struct("path", "line_no", "line", "role")
     once = stated.groupBy("project_id", "claim_type", "key").agg(F.min(place).alias("first"))
     number = F.row_number().over(Window.partitionBy("project_id").orderBy("first.path", "first.line_no"))

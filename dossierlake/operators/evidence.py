@@ -73,18 +73,28 @@ def candidate_roles(claims: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     return claims.sparkSession.createDataFrame(rows, "claim_type string, role string, proves boolean")
 
 
-def judged_pairs(claims: DataFrame, assets: DataFrame, corpus: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """project_id, claim_id, path, outcome (review, conflict, relevant, null), strong for each claim and candidate file."""
+def partner_names(claims: DataFrame) -> DataFrame:
+    """project_id, partners: the names that a project's claims give."""
+    named = claims.select("project_id", partner_name(F.col("claim_text")).alias("partner")).where("partner is not null")
+    return named.groupBy("project_id").agg(F.collect_set("partner").alias("partners"))
+
+
+def judged_pairs(claims: DataFrame, assets: DataFrame, corpus: DataFrame, lexicon: Lexicon = DEFAULT, features: DataFrame | None = None) -> DataFrame:
+    """project_id, claim_id, path, outcome (review, conflict, relevant, null), strong for each claim and candidate file.
+
+    ``features``: what document_features finds in the corpus, where it is known.
+    """
     numbered = claims.withColumn("numbers", telling_numbers(numbers_in(F.col("claim_text")))).withColumn(
         "partner", partner_name(F.col("claim_text"))
     )
     numbered = numbered.withColumn("words", latin_words(lower_ascii(F.col("claim_text")), STOP_WORDS))
     asking = numbered.select("project_id", "claim_id", "claim_type", F.col("path").alias("source"), "numbers", "partner", "words")
-    partners = asking.where("partner is not null").groupBy("project_id").agg(F.collect_set("partner").alias("partners"))
+    if features is None:
+        features = document_features(corpus, partner_names(claims), lexicon)
     files = (
         assets.where(own_file())
         .select("project_id", "path", "role", "auditable")
-        .join(document_features(corpus, partners, lexicon), ["project_id", "path"], "left")
+        .join(features, ["project_id", "path"], "left")
     )
     roles = F.broadcast(candidate_roles(claims, lexicon))  # a literal table
     pairs = asking.join(roles, "claim_type").join(files, ["project_id", "role"])
@@ -111,12 +121,12 @@ def judged_pairs(claims: DataFrame, assets: DataFrame, corpus: DataFrame, lexico
     return pairs.select("project_id", "claim_id", "path", outcome.alias("outcome"), F.coalesce(strong, F.lit(False)).alias("strong"))
 
 
-def match_evidence(claims: DataFrame, assets: DataFrame, corpus: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+def match_evidence(claims: DataFrame, assets: DataFrame, corpus: DataFrame, lexicon: Lexicon = DEFAULT, features: DataFrame | None = None) -> DataFrame:
     """project_id, claim_id, status, evidence_files, missing_evidence, reason: one row a claim.
 
     The lists are cut at 24 files; the verdict looks at all of them.
     """
-    pairs = judged_pairs(claims, assets, corpus, lexicon).where("outcome is not null")
+    pairs = judged_pairs(claims, assets, corpus, lexicon, features).where("outcome is not null")
     # by strength as well, so that a strong file stays whatever its place
     rank = F.row_number().over(Window.partitionBy("project_id", "claim_id", "outcome", "strong").orderBy("path"))
     pairs = pairs.withColumn("rank", rank).where(F.col("rank") <= FILES)

@@ -99,10 +99,8 @@ def labels_found(line: Column, labels: dict[str, tuple[str, ...]]) -> Column:
     return F.array_distinct(F.transform(F.filter(F.array(*rows), found), lambda x: x.field))
 
 
-def profile_fields(corpus: DataFrame, assets: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """project_id, title and the fields: of each the first fitting line by path and place, '' if none."""
-    documents = trusted_documents(corpus, assets, lexicon)
-    lines = documents.select("project_id", "path", F.posexplode(lines_of(F.col("text"))).alias("line_no", "raw"))
+def field_lines(lines: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """project_id, path, line_no, value, field of ``lines`` (with a column raw) that give a title or fill a field."""
     lines = lines.withColumn("head", trimmed(F.col("raw"))).withColumn("line", without_markdown(F.col("head")))
     usable = byte_length(F.col("line")).between(4, 300) & ~contains_any(lower_ascii(F.col("line")), EMPTY_WORDS)
     title = F.col("head").startswith("# ") & (byte_length(F.col("head")) > 2) & (byte_length(F.col("head")) <= 120)
@@ -113,9 +111,20 @@ def profile_fields(corpus: DataFrame, assets: DataFrame, lexicon: Lexicon = DEFA
     )
     each = lines.select("project_id", "path", "line_no", "head", "line", F.explode(names).alias("field"))
     value = F.when(F.col("field") == "title", trimmed(F.substring("head", 3, 1_000_000))).otherwise(F.col("line"))
-    firsts = each.groupBy("project_id", "field").agg(F.min(F.struct("path", "line_no", value.alias("value"))).alias("first"))
+    return each.select("project_id", "path", "line_no", value.alias("value"), "field")
+
+
+def profile_fields(corpus: DataFrame, assets: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    documents = trusted_documents(corpus, assets, lexicon)
+    lines = documents.select("project_id", "path", F.posexplode(lines_of(F.col("text"))).alias("line_no", "raw"))
+    return first_fields(field_lines(lines, lexicon), documents.select("project_id"), lexicon)
+
+
+def first_fields(each: DataFrame, projects: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """project_id, title and the fields: of each the first fitting line by path and place, '' if none."""
+    firsts = each.groupBy("project_id", "field").agg(F.min(F.struct("path", "line_no", "value")).alias("first"))
     found = firsts.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "first.value"))).alias("found"))
-    wide = documents.select("project_id").distinct().join(found, "project_id", "left")
+    wide = projects.distinct().join(found, "project_id", "left")
     value_of = lambda name: F.coalesce(F.try_element_at("found", F.lit(name)), F.lit("")).alias(name)
     return wide.select("project_id", value_of("title"), *map(value_of, lexicon.profile_labels))
 
@@ -130,12 +139,12 @@ def fallback_name(assets: DataFrame) -> DataFrame:
     return assets.groupBy("project_id").agg(F.coalesce(named, shared, F.lit("未命名项目")).alias("name"))
 
 
-def build_profile(corpus: DataFrame, assets: DataFrame, types: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """One row a project: name, type, fields, missing_fields, risk_items."""
+def build_profile(corpus: DataFrame, assets: DataFrame, types: DataFrame, lexicon: Lexicon = DEFAULT, found: DataFrame | None = None) -> DataFrame:
+    """One row a project: name, type, fields, missing_fields, risk_items. ``found``: fields, where they are known."""
     fields = list(lexicon.profile_labels)
     unread = corpus.where(needs_review(F.col("status")) & ~excluded_path(F.col("path"))).groupBy("project_id").agg(F.count("path").alias("unread"))
     wide = (
-        types.join(profile_fields(corpus, assets, lexicon), "project_id", "left")
+        types.join(profile_fields(corpus, assets, lexicon) if found is None else found, "project_id", "left")
         .join(fallback_name(assets), "project_id", "left")
         .join(unread, "project_id", "left")
         .fillna("", ["title", *fields])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossierlake.plans import audit_queries, file_queries, fixture_queries, whole_audit
+from dossierlake.plans import audit_queries, extended_queries, file_queries, fixture_queries, whole_audit
 
-QUERIES = audit_queries.QUERIES | fixture_queries.QUERIES | whole_audit.QUERIES | file_queries.QUERIES
-ORACLE_SQL = audit_queries.ORACLE_SQL | fixture_queries.ORACLE_SQL | whole_audit.ORACLE_SQL | file_queries.ORACLE_SQL
+QUERIES = audit_queries.QUERIES | fixture_queries.QUERIES | whole_audit.QUERIES | file_queries.QUERIES | extended_queries.QUERIES
+ORACLE_SQL = audit_queries.ORACLE_SQL | fixture_queries.ORACLE_SQL | whole_audit.ORACLE_SQL | file_queries.ORACLE_SQL | extended_queries.ORACLE_SQL
