@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossierlake.operators import intervals, text_index
 from dossierlake.plans import reaudit
 from dossierlake.plans.audit import AuditOptions
-from dossierlake.plans.driver import BASE, PROSE, driver_corpus
+from dossierlake.plans.driver import BASE, LOW, PROSE, driver_corpus, sql_text
 from dossierlake.plans.whole_audit import PENALTIES, STAGES, TRACK, driver_inventory
-from dossierlake.workspace import materialize
+from dossierlake.streaming import sessions as streams
+from dossierlake.workspace import materialize, shared_dir, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -71,3 +74,118 @@ def reaudit_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("claims", F.lit(0)).cast("long").alias("claims"), F.coalesce("texts", F.lit("")).alias("texts"),
         F.coalesce("verdicts", F.lit("")).alias("verdicts"), F.coalesce("hit", F.lit(False)).alias("touched"),
     )
+
+
+@query("""SELECT event_id, coalesce(click.event_id, -1) AS click_id, coalesce(epoch_us(ts) - epoch_us(click.ts), -1) AS since FROM (
+  SELECT event_id, ts, max({'ts': ts, 'event_id': event_id}) FILTER (event_type = 'click') OVER (
+    PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '1 microsecond' PRECEDING) AS click FROM events)""")
+def events_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's last click before it."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    found = intervals.last_before(events, clicks, "user_id", "ts", "event_id", "click")
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("click.ts").cast("timestamp"))
+    return found.select("event_id", F.coalesce("click.event_id", F.lit(-1)).alias("click_id"), F.coalesce(since, F.lit(-1)).alias("since"))
+
+
+DAY = 86_400_000_000
+
+
+def micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+@query("""SELECT o.o_orderkey, count(p.o_orderkey) AS n, coalesce(max(p.o_orderkey), -1) AS last_key
+FROM orders o LEFT JOIN orders p ON p.o_custkey = o.o_custkey AND p.o_orderkey <> o.o_orderkey
+  AND p.o_orderdate BETWEEN o.o_orderdate AND o.o_orderdate + to_days([1, 30, 400][(o.o_orderkey % 3 + 1)::INT])
+GROUP BY o.o_orderkey""")
+def orders_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each order, its customer's further orders in the days after it: windows of 1, 30 and 400 days in one join."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    days = F.element_at(F.array(*map(F.lit, (1, 30, 400))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    start = micros("o_orderdate")
+    pairs = intervals.points_in_intervals(orders, orders, start, start + days * DAY, start, base=DAY, keys=("o_custkey",))
+    others = pairs.where("interval.o_orderkey <> point.o_orderkey").groupBy(F.col("interval.o_orderkey").alias("o_orderkey"))
+    counted = others.agg(F.count(F.lit(1)).alias("n"), F.max("point.o_orderkey").alias("last_key"))
+    all_orders = orders.select("o_orderkey").join(counted, "o_orderkey", "left")
+    return all_orders.fillna(0, ["n"]).fillna(-1, ["last_key"])
+
+
+@query("""SELECT e.event_id, count(c.event_id) AS n, coalesce(min(c.event_id), -1) AS first_id
+FROM (FROM events WHERE event_type = 'error') e LEFT JOIN (FROM events WHERE event_type = 'click') c
+  ON c.ts BETWEEN e.ts - INTERVAL '10 minutes' AND e.ts + to_minutes((e.event_id % 7) * 30)
+GROUP BY e.event_id""")
+def clicks_around_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each error, clicks of any user around it; no key but time."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    errors, clicks = events.where("event_type = 'error'"), events.where("event_type = 'click'")
+    minute = DAY // 1440
+    pairs = intervals.points_in_intervals(errors, clicks, micros("ts") - 10 * minute, micros("ts") + (F.col("event_id") % 7) * 30 * minute, micros("ts"), base=10 * minute)
+    counted = pairs.groupBy(F.col("interval.event_id").alias("event_id")).agg(F.count(F.lit(1)).alias("n"), F.min("point.event_id").alias("first_id"))
+    return errors.select("event_id").join(counted, "event_id", "left").fillna(0, ["n"]).fillna(-1, ["first_id"])
+
+
+SESSION_HOURS, LATE_HOURS = 6, 24
+_HOUR = 3_600_000_000
+_ISLANDS = """SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, CASE WHEN us <= lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) + {gap} THEN 0 ELSE 1 END AS new FROM {rows})"""
+_SESSIONS = f"""WITH timed AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL),
+halves AS (SELECT *, us < (SELECT min(us) + (max(us) - min(us)) // 2 FROM timed) AND event_id % 50 <> 7 AS early FROM timed),
+mark AS (SELECT max(us) // 1000 * 1000 - {LATE_HOURS * _HOUR} AS wm FROM halves WHERE early),
+early AS (SELECT event_id, user_id, event_type, us FROM halves WHERE early),
+one AS ({_ISLANDS.format(gap=SESSION_HOURS * _HOUR, rows="early")}),
+ends AS (SELECT *, max(us) OVER (PARTITION BY user_id, island) + {SESSION_HOURS * _HOUR} AS ended FROM one),
+closed AS (SELECT user_id, island, event_type, us FROM ends WHERE ended <= coalesce((SELECT wm FROM mark), -9e18)),
+rest AS (
+  SELECT event_id, user_id, event_type, us FROM ends WHERE ended > (SELECT wm FROM mark)
+  UNION ALL
+  SELECT event_id, user_id, event_type, us FROM halves WHERE NOT early AND us + {SESSION_HOURS * _HOUR} > coalesce((SELECT wm FROM mark), -9e18)),
+two AS ({_ISLANDS.format(gap=SESSION_HOURS * _HOUR, rows="rest")}),
+rows AS (SELECT user_id, 'early' AS part, island, event_type, us FROM closed UNION ALL SELECT user_id, 'late', island, event_type, us FROM two)
+SELECT user_id, min(us) AS begin_us, max(us) + {SESSION_HOURS * _HOUR} AS ended_us, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks
+FROM rows GROUP BY user_id, part, island"""
+
+
+@query(_SESSIONS)
+def sessions_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the events table as a stream that comes in two drops, with a restart between.
+
+    The first drop is the first half of the time, but for one event in fifty: those come late, with the second drop,
+    and count only where the watermark hasn't passed their session yet.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    middle = events.agg(F.expr("min(unix_micros(ts)) + (max(unix_micros(ts)) - min(unix_micros(ts))) div 2")).first()[0]
+    marked = events.withColumn("early", (F.unix_micros("ts") < F.lit(middle)) & (F.col("event_id") % 50 != 7))
+    root = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    late = marked.where(~F.coalesce("early", F.lit(False))).select(*events.columns)
+    end = streams.closing_row(events, "user_id", "ts", f"{SESSION_HOURS + LATE_HOURS + 1} hours")
+    make = lambda rows: streams.sessions(
+        rows, "user_id", "ts", f"{SESSION_HOURS} hours", f"{LATE_HOURS} hours", F.count_if(F.col("event_type") == "click").alias("clicks")
+    )
+    for drop in (marked.where("early").select(*events.columns), late.unionByName(end)):
+        drop.write.mode("append").parquet(f"{root}/events")
+        streams.run_available(f"{root}/events", events.schema, make, f"{root}/sessions", f"{root}/checkpoint")
+    found = spark.read.parquet(f"{root}/sessions")
+    return found.select("user_id", F.unix_micros("begin").alias("begin_us"), F.unix_micros("ended").alias("ended_us"), "n", "clicks")
+
+
+#: Needles of the search besides a part of each benchmark item: words, marks, and ones of a letter or two.
+NEEDLES = ("a", "z", "|", "é", "zq", "Th", "!!", "und", "ß ", "RELEASED", "no such words at all")
+
+
+@query(f"""WITH {BASE}, needles AS (
+  SELECT DISTINCT needle FROM (SELECT substr(text, 5, 3 + (item_id % 11)::INT) AS needle FROM benchmark
+    UNION ALL SELECT unnest([{", ".join(map(sql_text, NEEDLES))}])) WHERE needle <> ''),
+lines AS (
+  SELECT c.project_id, c.path, t.pos AS line_no, {LOW.format("t.line")} AS low
+  FROM corpus c, unnest(string_split(c.text, chr(10))) WITH ORDINALITY AS t(line, pos))
+SELECT needle, project_id, path, count(*) AS lines, min(line_no)::BIGINT AS first, max(line_no)::BIGINT AS last
+FROM needles n JOIN lines l ON contains(l.low, {LOW.format("n.needle")}) GROUP BY ALL""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some fifty needles in all texts, through an index of grams; no text is read once it is built."""
+    folder = f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}"
+    text_index.build_index(driver_corpus(spark, sf_dir), folder)
+    parts = table(spark, sf_dir, "benchmark").select(F.expr("substr(text, 5, cast(3 + item_id % 11 as int))").alias("needle")).where("needle <> ''")
+    needles = sorted({*(r.needle for r in parts.distinct().collect()), *NEEDLES})  # a stated query set
+    found = text_index.find_lines(spark, folder, needles)
+    return found.select("needle", "project_id", "path", F.size("lines").cast("long").alias("lines"), F.array_min("lines").alias("first"), F.array_max("lines").alias("last"))
