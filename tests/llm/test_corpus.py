@@ -216,12 +216,16 @@ LICENSES = [
 ]
 
 
+def template_of(name):
+    return max((t for i, t in license_scan.TEMPLATES if i == name), key=len)
+
+
 MORE_LICENSES = [
     (20, "Copyright 2020 Foo Corp. All rights reserved. Made in Norway."),
-    (21, "word " * 3000 + " ".join(license_scan.TEMPLATES[18][1].split()) + " and more words on the same line " * 40),
+    (21, "word " * 3000 + " ".join(template_of("MIT").split()) + " and more words on the same line " * 40),
     (22, "A, B; this work is licensed under the\nGNU General Public License,\n\nversion 3, says the page"),
-    (23, license_scan.TEMPLATES[0][1] + " " + "x " * 50 + license_scan.TEMPLATES[15][1]),
-    (24, license_scan.TEMPLATES[0][1]),
+    (23, template_of("AGPL-3.0") + " " + "x " * 50 + template_of("GPL-3.0")),
+    (24, template_of("AGPL-3.0")),
     (25, "all rights all rights reserved reserved"),
     (26, "license " * 500),
 ]
@@ -639,3 +643,36 @@ def test_more_names(text, names):
 )
 def test_what_isnt_personal_data(text):
     assert pii.detect(text) == []
+
+
+#: Notices as files have them, and what they must be taken for: siblings of other templates among them.
+NOTICES = [
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This file is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("BSL-1.0", "// Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+]
+
+
+def test_notices_are_not_taken_for_their_siblings(spark):
+    rows = [(k, f"word {k} before {notice} and after\n" * n) for k, (_, notice) in enumerate(NOTICES) for n in (1, 2)]
+    found = license_scan.scan(spark.createDataFrame(rows, "k int, text string")).collect()
+    assert [(r.k, sorted({m.license for m in r.matches})) for r in found] == [(k, [NOTICES[k][0]]) for k, _ in rows]
+    whole = license_scan.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(license_scan.TEMPLATES)], "k int, text string")).collect()
+    assert all(license_scan.TEMPLATES[r.k][0] in {m.license for m in r.matches} for r in whole)
+
+
+def test_one_text_of_anchor_words_takes_time_by_its_length(spark):
+    mit = next(t for i, t in license_scan.TEMPLATES if i == "MIT" and len(t) > 100)
+    for text, licenses in (("license copyright software " * 37_000, []), (mit * 2300, ["MIT"]), ("the software " * 77_000, [])):
+        began = time.time()
+        [row] = license_scan.scan(spark.createDataFrame([(text,)], "text string")).collect()
+        assert [m.license for m in row.matches] == licenses and time.time() - began < 10
