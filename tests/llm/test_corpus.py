@@ -341,18 +341,24 @@ def test_crowded_forms_stay_distinct(spark):
 
 def check_replaced(rows, got, key):
     """``got`` (text by place) is ``rows`` with one surrogate an entity, all different, none an entity, the rest kept."""
-    surrogates = {}
-    real = {e for text in rows for _, _, k, c in pii.detect(text) for e in pii.entities(k, c)}
+    surrogates, genders = {}, defaultdict(set)
+    real = {(pii.entity_kind(k), c) for text in rows for _, _, kind, canonical in pii.detect(text) for k, c in pii.entities(kind, canonical)}
+    for text in rows:
+        for _, _, kind, canonical in pii.detect(text):
+            genders[pii.entity_kind(kind), canonical].add(kind.partition(".")[2])
     for text, new in zip(rows, got, strict=True):
         at = back = 0
-        for begin, stop, kind, canonical in pii.detect(text):
+        for begin, stop, told, canonical in pii.detect(text):
+            kind = pii.entity_kind(told)
+            seen = genders[kind, canonical] - {"n"}
+            form = kind if kind != "given" else f"given.{min(seen) if len(seen) == 1 else 'n'}"
             kept = text[at:begin]
             assert new[back : back + len(kept)] == kept
             back += len(kept)
             following = text[stop : stop + 1]
             mention = text[begin:stop]
             known = surrogates.get((kind, canonical))
-            options = [known] if known else [pii.draw(key, kind, canonical, n) for n in range(24)]
+            options = [known] if known else [pii.draw(key, form, canonical, n) for n in range(24)]
             if kind == "email":
                 local, _, domain = canonical.rpartition("@")
                 domains = [surrogates["domain", domain]] if ("domain", domain) in surrogates else [pii.draw(key, "domain", domain, n) for n in range(24)]
@@ -366,6 +372,8 @@ def check_replaced(rows, got, key):
             at = stop
         assert new is None if text is None else new[back:] == text[at:]
     assert not {(k, s) for (k, _), s in surrogates.items()} & real
+    names = [s for (k, _), s in surrogates.items() if pii.is_name(k)]
+    assert len(set(names)) == len(names)
     for kind in {k for k, _ in surrogates}:
         own = [s for (k, _), s in surrogates.items() if k == kind]
         assert len(set(own)) == len(own)
@@ -385,7 +393,7 @@ def test_surrogates_against_brute_force(spark):
     rows = {r.doc_id: r for r in pii.replace_entities(docs, b"key").collect()}
     found = check_replaced(texts, [rows[i].text for i in range(len(texts))], b"key")
     assert all(rows[i].n_entities == len(pii.detect(t)) for i, t in enumerate(texts))
-    assert not any("-" in s for (k, c), s in found.items() if k == "given.m" and "-" not in c)
+    assert not any("-" in s for (k, c), s in found.items() if k == "given" and "-" not in c)
     for (kind, canonical), new in found.items():
         if kind == "surname" or kind.startswith("given"):
             assert pii.script_of(new) == pii.script_of(canonical)
@@ -676,3 +684,46 @@ def test_one_text_of_anchor_words_takes_time_by_its_length(spark):
         began = time.time()
         [row] = license_scan.scan(spark.createDataFrame([(text,)], "text string")).collect()
         assert [m.license for m in row.matches] == licenses and time.time() - began < 10
+
+
+def test_one_person_whatever_the_form_of_address(spark):
+    texts = ["Prof. Kim Weber spoke.", "Mr Kim Weber left.", "Mrs Robin Weber", "Mr Robin Weber", "Kelly Weber and Dr. Kelly Weber"]
+    rows = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), b"key").collect()
+    new = {r.doc_id: r.text for r in rows}
+    assert new[0].removeprefix("Prof. ").removesuffix(" spoke.") == new[1].removeprefix("Mr ").removesuffix(" left.")
+    assert new[2].removeprefix("Mrs ") == new[3].removeprefix("Mr ") and new[4].split(" and Dr. ")[0] == new[4].split(" and Dr. ")[1]
+    kim = new[1].split()[1].lower()
+    assert kim.endswith(tuple(pii.ENDINGS["latin"]["m"])) and len({new[k].split()[1] for k in (1, 3)}) == 2
+
+
+def test_ten_thousand_names_stay_apart(spark):
+    letters = [chr(97 + i) for i in range(26)]
+    names = [f"Q{a}{b}{c}x" for a in letters for b in letters for c in letters][:10_000]
+    texts = [f"{('Mr', 'Mrs', 'Dr.')[i % 3]} {n} {n}son" for i, n in enumerate(names)]
+    rows = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), b"key").collect()
+    words = [w for r in rows for w in r.text.split()[1:]]
+    assert len(words) == len(set(words)) == 20_000
+
+
+def test_forms_that_are_used_up_get_marks(spark):
+    frame = spark.createDataFrame([("ssn", f"{i:03d}")for i in range(1000)] + [("phone", "+15"), ("phone", "+16")], "kind string, canonical string")
+    rows = pii.assign(frame, b"key", rounds=2).collect()
+    assert len(rows) == 1002 and len({r.surrogate for r in rows}) == 1002
+    assert all(r.surrogate.startswith("<ssn-") for r in rows if r.kind == "ssn")
+    assert pii.lay_out("123", "ssn", {("ssn", "123"): "<ssn-1>"}, "123") == "<ssn-1>"
+
+
+@pytest.mark.parametrize(
+    ("text", "mentions"),
+    [
+        ("联系人：王小明，电话 13800138000。王小明说", ["王小明", "13800138000", "王小明"]),
+        ("昨天李雷先生来了", ["李雷"]),
+        ("Mrs 田中 and 鈴木さん", ["田中", "鈴木"]),
+        ("김민수 씨", ["김민수"]),
+        ("今天天气很好，我们去公园。", []),
+    ],
+)
+def test_names_of_the_east(spark, text, mentions):
+    assert [text[a:b] for a, b, _, _ in pii.detect(text)] == mentions
+    [row] = pii.replace_entities(spark.createDataFrame([(1, text)], "doc_id int, text string"), b"key").collect()
+    assert row.n_entities == len(mentions) and not any(m in row.text for m in mentions)
