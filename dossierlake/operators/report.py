@@ -168,3 +168,20 @@ def report_markdown(profile: DataFrame, scores: DataFrame, claims: DataFrame, ev
         text("tasks_md"),
     )
     return wide.select("project_id", body.alias("markdown"))
+
+
+def finding_sums(findings: DataFrame, assets: DataFrame) -> DataFrame:
+    """project_id, role, severity, level, findings, rules: counts of findings and files, and their sums upwards.
+
+    ``level`` tells what was summed over (4 project, 2 role, 1 severity), so that a null role, which is that of a finding
+    without files, isn't taken for a sum. A finding counts once for each of its files. All levels come from one pass.
+    """
+
+    files = findings.select("project_id", "rule_id", "severity", F.explode_outer("evidence").alias("path"))
+    roles = assets.select("project_id", "path", "role")
+    rows = files.join(roles, ["project_id", "path"], "left")
+    project, role, severity = (F.col(c) for c in ("project_id", "role", "severity"))
+    sets = [[project, role, severity], [project, role], [role, severity], [project], [role], []]
+    return rows.groupingSets(sets, project, role, severity).agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("findings"), F.count_distinct("rule_id").alias("rules")
+    )

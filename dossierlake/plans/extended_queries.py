@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.operators import intervals, text_index
+from dossierlake.operators import frames, intervals, report, sketches, text_index
 from dossierlake.plans import reaudit
 from dossierlake.plans.audit import AuditOptions
 from dossierlake.plans.driver import BASE, LOW, PROSE, driver_corpus, sql_text
-from dossierlake.plans.whole_audit import PENALTIES, STAGES, TRACK, driver_inventory
+from dossierlake.plans.whole_audit import FINDINGS, PENALTIES, STAGES, TRACK, driver_audit, driver_inventory, whole
+from dossierlake.sources import variants
 from dossierlake.streaming import sessions as streams
 from dossierlake.workspace import materialize, shared_dir, table
 
@@ -189,3 +190,98 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     needles = sorted({*(r.needle for r in parts.distinct().collect()), *NEEDLES})  # a stated query set
     found = text_index.find_lines(spark, folder, needles)
     return found.select("needle", "project_id", "path", F.size("lines").cast("long").alias("lines"), F.array_min("lines").alias("first"), F.array_max("lines").alias("last"))
+
+
+@query(
+    """SELECT event_id, string_agg('key: ' || k || chr(10) || k || ': ' || json_extract_string(props, '$.' || k) || chr(10), '' ORDER BY k) AS text
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) GROUP BY event_id"""
+)
+def variant_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties as VARIANT, flattened on the JVM."""
+    return variants.flattened(table(spark, sf_dir, "events"), "event_id", F.col("props"))
+
+
+@query("""SELECT conv_id, md5('key: about' || chr(10) || 'key: about.conv' || chr(10) || 'about.conv: c' || conv_id || chr(10) || 'key: about.turns' || chr(10) || 'about.turns: ' || count(*) || chr(10)
+  || 'key: turns' || chr(10) || string_agg('key: turns[' || i || '].role' || chr(10) || coalesce('turns[' || i || '].role: ' || role || chr(10), '')
+  || 'key: turns[' || i || '].text' || chr(10) || coalesce('turns[' || i || '].text: ' || text || chr(10), ''), '' ORDER BY i)) AS digest
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations) GROUP BY conv_id""")
+def variant_flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one JSON document with an array of objects, flattened."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    about = F.struct(F.concat(F.lit("c"), F.col("conv_id")).alias("conv"), F.size("turns").alias("turns"))
+    each = F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text")))
+    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    documents = grouped.select("conv_id", F.to_json(F.struct(each.alias("turns"), about.alias("about")), {"ignoreNullFields": "false"}).alias("json"))
+    found = variants.flattened(documents, "conv_id", F.col("json"))
+    return found.select("conv_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_CUBE = """SELECT g.project_id, g.role, g.severity, grouping(g.project_id) * 4 + grouping(g.role) * 2 + grouping(g.severity) AS level, count(*) AS findings, count(DISTINCT rule_id) AS rules
+FROM (SELECT f.project_id, i.role, f.severity, f.rule_id FROM (SELECT project_id, rule_id, severity, unnest(CASE WHEN files = '' THEN [NULL] ELSE string_split(files, ',') END) AS path FROM findings) f
+  LEFT JOIN inventory i ON i.project_id = f.project_id AND i.path = f.path) g
+GROUP BY GROUPING SETS ((g.project_id, g.role, g.severity), (g.project_id, g.role), (g.role, g.severity), (g.project_id), (g.role), ())"""
+
+
+@query(whole(FINDINGS, _CUBE))
+def finding_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by project, role and severity and their sums; a finding without files has a null role, which isn't a sum."""
+    audit = driver_audit(spark, sf_dir)
+    return report.finding_sums(audit.findings, audit.assets)
+
+
+@query("""SELECT event_id, CAST(sum(cents) OVER w AS BIGINT) AS hour_cents, count(*) OVER w AS hour_events,
+  row_number() OVER o AS place, percent_rank() OVER o AS percent_rank, ntile(7) OVER o AS ntile,
+  coalesce(last_value(CASE WHEN event_type = 'purchase' OR event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS last_error
+FROM (SELECT *, epoch_us(ts) AS us, CAST(round(value * 100) AS BIGINT) AS cents, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS owner FROM events)
+WINDOW w AS (PARTITION BY owner ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW), o AS (PARTITION BY owner ORDER BY us, event_id)""")
+def events_range_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames over the events of each owner, one of whom has a third of them: sums of the last hour, ranks, last known values."""
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", micros("ts").alias("us"), F.round(F.col("value") * 100).cast("long").alias("cents"),
+        F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("owner"),
+        F.when(F.col("event_type").isin("purchase", "error"), F.col("event_id")).alias("bad"),
+    )
+    events = materialize(events.withColumn("one", F.lit(1).cast("long")), "events")
+    hour = DAY // 24
+    sums = frames.range_sums(events, "owner", "us", "event_id", "cents", hour, "hour_cents").select("event_id", "hour_cents")
+    counts = frames.range_sums(events, "owner", "us", "event_id", "one", hour, "hour_events").select("event_id", "hour_events")
+    ranked = frames.places(events.withColumn("order", F.struct("us", "event_id")), "owner", "order", 7)
+    known = frames.last_known(events, "user_id", "us", "event_id", "bad", "last_error").select("event_id", F.coalesce("last_error", F.lit(-1)).alias("last_error"))
+    return ranked.select("event_id", "place", "percent_rank", "ntile").join(sums, "event_id").join(counts, "event_id").join(known, "event_id")
+
+
+_SKETCHES = f"""WITH each AS (
+  SELECT o_custkey % 25 AS nation, o_orderpriority, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
+SELECT coalesce(CAST(nation AS VARCHAR), 'all') AS nation, coalesce(o_orderpriority, 'all') AS priority, count(*) AS rows, count(DISTINCT o_custkey) AS customers,
+  TRUE AS distinct_within, TRUE AS quartiles_within
+FROM each GROUP BY ROLLUP (nation, o_orderpriority)"""
+
+
+@query(_SKETCHES)
+def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and quartiles of prices by nation and priority, merged upwards from sketches, within their bounds of the
+    exact counts: four standard errors of a distinct count, three rank errors of a quartile."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("nation"), "o_orderpriority", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    fine = materialize(sketches.sketches(orders, ["nation", "o_orderpriority"], F.col("o_custkey"), F.col("cents")), "sketches")
+    middle = sketches.merged(fine, ["nation"]).withColumn("o_orderpriority", F.lit(None).cast("string"))
+    total = sketches.merged(middle, []).withColumn("nation", F.lit(None).cast("long")).withColumn("o_orderpriority", F.lit(None).cast("string"))
+    told = sketches.estimates(fine.unionByName(middle).unionByName(total), ["nation", "o_orderpriority"])
+    n, p = F.col("nation"), F.col("o_orderpriority")
+    exact = orders.groupingSets([[n, p], [n], []], n, p).agg(F.count_distinct("o_custkey").alias("customers")).withColumnsRenamed({"nation": "n", "o_orderpriority": "p"})
+    both = materialize(told.join(exact, F.col("nation").eqNullSafe(F.col("n")) & F.col("o_orderpriority").eqNullSafe(F.col("p"))), "estimates")
+    # the ranks that the quartiles really have, in one pass over the orders
+    small = F.broadcast(both.select("n", "p", "quantiles"))  # one row a nation and priority
+    at = orders.join(small, (F.col("nation") == F.col("n")) & (F.col("o_orderpriority") == F.col("p")))
+    top = both.where("n is null").first()
+    everything = orders.select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("p"), F.array(*map(F.lit, top.quantiles)).alias("quantiles"))
+    at = at.unionByName(orders.join(small, (F.col("nation") == F.col("n")) & F.col("p").isNull())).unionByName(everything)
+    below = [F.count_if(F.col("cents") < F.col("quantiles")[i]).alias(f"under{i}") for i in range(3)] + [F.count_if(F.col("cents") <= F.col("quantiles")[i]).alias(f"upto{i}") for i in range(3)]
+    ranks = at.groupBy("n", "p").agg(*below).withColumnsRenamed({"n": "n2", "p": "p2"})
+    found = both.join(ranks, F.col("n").eqNullSafe(F.col("n2")) & F.col("p").eqNullSafe(F.col("p2")))
+    slack = 3 * sketches.RANK_ERROR
+    fits = [(F.col(f"under{i}") / F.col("rows") <= q + slack) & (F.col(f"upto{i}") / F.col("rows") >= q - slack) for i, q in enumerate((0.25, 0.5, 0.75))]
+    near = F.abs(F.col("distinct") - F.col("customers")) <= F.greatest(4 * sketches.DISTINCT_ERROR * F.col("customers"), F.lit(0.5))
+    return found.select(
+        F.coalesce(F.col("nation").cast("string"), F.lit("all")).alias("nation"), F.coalesce("o_orderpriority", F.lit("all")).alias("priority"),
+        "rows", "customers", near.alias("distinct_within"), (fits[0] & fits[1] & fits[2]).alias("quartiles_within"),
+    )
