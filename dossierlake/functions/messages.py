@@ -134,3 +134,21 @@ def schema_faults(value: object, schema: dict, where: str = "") -> list[str]:
             out += [f"{k}: unknown" for k in value if k not in fields]
         out += [f for k, v in value.items() if k in fields for f in schema_faults(v, fields[k], f"{where}.{k}".lstrip("."))]
     return out
+
+
+def input_faults(given: str, schema: dict) -> Column:
+    """Faults of a column's JSON as a tool's input, in order and joined by semicolons; '' for none, null for null."""
+
+    @F.pandas_udf("string")
+    def checked(inputs: pd.Series) -> pd.Series:
+        def faults(raw: str | None) -> str | None:
+            if raw is None:
+                return None
+            try:
+                return ";".join(schema_faults(json.loads(raw), schema))
+            except ValueError:
+                return "input: not JSON"
+
+        return inputs.map(faults)
+
+    return checked(given)

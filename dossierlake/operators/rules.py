@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -351,3 +352,21 @@ def text_findings(corpus: DataFrame, assets: DataFrame, after: int) -> DataFrame
         F.array(F.lit("可完整读取的文本")).alias("missing_evidence"),
         text(2).alias("fix_suggestion"),
     )
+
+
+def sound_pack(pack: str) -> Column:
+    """Whether a column's JSON is a rule pack that may be used; null for null. A pack is at most 1 MiB, so a row is small."""
+
+    @F.pandas_udf("boolean")
+    def checked(packs: pd.Series) -> pd.Series:
+        def sound(raw: str | None) -> bool | None:
+            if raw is None:
+                return None
+            try:
+                return bool(parse_pack(raw))
+            except RulePackError:
+                return False
+
+        return packs.map(sound)
+
+    return checked(pack)

@@ -518,11 +518,16 @@ def _own_rules_sql() -> str:
     return f"WITH facts(project_id, type, roles, assets, foreign_files, issues, filled, claimed, proved, unproved) AS (VALUES {sql_rows(FACTS)}) SELECT * FROM ({each}) WHERE missing <> ''"
 
 
+def own_rules() -> list[rules.Rule]:
+    """Two packs put together as one."""
+    rows = [{"rule_id": i, "name": i, "track": "common", "severity": "warning", "target": "t", "condition": c, "fail_reason": "f", "fix_task": "x"} for i, c in OWN_RULES]
+    return rules.validate([*rules.parse_pack(json.dumps(rows[:3])), *rules.parse_pack(json.dumps({"rules": rows[3:]}))])
+
+
 @query(_own_rules_sql())
 def rule_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions that no pack of the audit's own uses; two packs are put together as one."""
-    rows = [{"rule_id": i, "name": i, "track": "common", "severity": "warning", "target": "t", "condition": c, "fail_reason": "f", "fix_task": "x"} for i, c in OWN_RULES]
-    both = rules.validate([*rules.parse_pack(json.dumps(rows[:3])), *rules.parse_pack(json.dumps({"rules": rows[3:]}))])
+    both = own_rules()
     schema = "project_id string, type string, roles array<string>, assets long, foreign long, issues long, filled array<string>, claimed array<string>, proved array<string>, unproved array<string>"
     facts = spark.createDataFrame(FACTS, schema)
     assets = facts.select("project_id", F.explode("roles").alias("role")).withColumn("path", F.lower("role"))

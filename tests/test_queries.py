@@ -26,6 +26,12 @@ def test_query_matches_its_sql(spark, name):
     same(registry.QUERIES[name], registry.ORACLE_SQL[name], spark)
 
 
+@pytest.mark.parametrize("name", sorted(registry.LITERAL))
+def test_literal_rows(spark, name):
+    module = registry.LITERAL[name]
+    same(module.QUERIES[name], module.ORACLE_SQL[name], spark)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
     assert registry.QUERIES[name](spark, SMALL).count() > 0
