@@ -378,8 +378,8 @@ def derived_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT path, form, filled, CASE form WHEN 0 THEN text WHEN 7 THEN text WHEN 1 THEN CASE WHEN filled THEN words || ' ' || chr(10) ELSE '' END
     WHEN 2 THEN 'key: list' || chr(10) || 'list[0]: 1' || chr(10) || 'key: list[1].two' || chr(10) || 'list[1].two: ' || substr(words, 1, 10) || chr(10) || 'key: words' || chr(10) || 'words: ' || words || chr(10)
     WHEN 3 THEN 'key: words' || chr(10) || CASE WHEN filled THEN 'words: ' || trim(words) || chr(10) ELSE '' END || 'key: list' || chr(10) || trim('- ' || words) || chr(10)
-    WHEN 4 THEN words WHEN 5 THEN 'slide ' || words || ' ' || chr(10) || words || ' end ' || chr(10) END AS body FROM told WHERE form <> 6)
-SELECT path, md5(body) AS digest, CASE WHEN body = '' AND form IN (0, 7) THEN 'EMPTY_OR_UNREADABLE' WHEN form IN (0, 7) THEN 'EXTRACTED_TEXT' WHEN form = 2 THEN 'EXTRACTED_STRUCTURED_JSON'
+    WHEN 4 THEN CASE WHEN filled THEN words ELSE '' END WHEN 5 THEN 'slide ' || words || ' ' || chr(10) || words || ' end ' || chr(10) END AS body FROM told WHERE form <> 6)
+SELECT path, md5(body) AS digest, CASE WHEN NOT filled AND form = 4 THEN 'NEED_REVIEW_PDF_TEXT_EXTRACTION_LIMITED' WHEN NOT filled AND form = 1 THEN 'NEED_REVIEW_OPENXML_TEXT_EXTRACTION_LIMITED' WHEN body = '' AND form IN (0, 7) THEN 'EMPTY_OR_UNREADABLE' WHEN form IN (0, 7) THEN 'EXTRACTED_TEXT' WHEN form = 2 THEN 'EXTRACTED_STRUCTURED_JSON'
   WHEN form = 3 THEN 'EXTRACTED_STRUCTURED_YAML' WHEN form = 4 THEN 'EXTRACTED_PDF' ELSE 'EXTRACTED_OPENXML' END AS status FROM bodies"""
 )
 def text_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,14 +77,14 @@ def tar_of(content: bytes, most: int) -> tarfile.TarFile | None:
     return None if stream is not None and archive.firstmember is None else archive
 
 
-def entries_of(content: bytes, name: str, most: int = 100_000, expanded: int = ImportLimits.expanded_bytes) -> Iterator[tuple]:
-    """(path, directory, symlink, size, compressed size, method, encrypted) of the first entries.
+def entries_of(content: bytes, name: str, expanded: int = ImportLimits.expanded_bytes) -> Iterator[tuple]:
+    """(path, directory, symlink, size, compressed size, method, encrypted) of all entries, as many as an archive's bytes hold.
 
     Streams are decompressed piece by piece and counted. A tar's entries share the archive's bytes by size.
     """
     if zipfile.is_zipfile(io.BytesIO(content)):
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            for info in archive.infolist()[:most]:
+            for info in archive.infolist():
                 link = stat.S_ISLNK(info.external_attr >> 16)
                 yield info.filename, info.is_dir(), link, info.file_size, info.compress_size, info.compress_type, bool(info.flag_bits & 1)
         return
@@ -96,11 +96,7 @@ def entries_of(content: bytes, name: str, most: int = 100_000, expanded: int = I
         yield inner_name(name), False, False, size, len(content), 8, False
         return
     with archive:
-        found = []
-        for info in archive:
-            found.append((info.name, info.isdir(), info.issym() or info.islnk(), info.size))
-            if len(found) == most:
-                break
+        found = [(info.name, info.isdir(), info.issym() or info.islnk(), info.size) for info in archive]
     total = sum(size for *_, size in found)
     for path, folder, link, size in found:
         yield path, folder, link, size, -(-size * len(content) // total) if total else 0, 0, False
@@ -128,7 +124,7 @@ def list_entries(files: DataFrame, limits: ImportLimits | None = None) -> DataFr
                     rows.append((project, path, 0, "", False, False, len(content), len(content), 0, False, "ARCHIVE_TOO_LARGE_FOR_INDEXING"))
                     continue
                 try:
-                    for n, entry in enumerate(entries_of(bytes(content), path, limits.files, limits.expanded_bytes)):
+                    for n, entry in enumerate(entries_of(bytes(content), path, limits.expanded_bytes)):
                         rows.append((project, path, n, *entry, None))
                 except Exception as error:  # noqa: BLE001  whatever a damaged archive raises is its row's error
                     rows.append((project, path, 0, "", False, False, 0, 0, 0, False, type(error).__name__))
@@ -177,21 +173,23 @@ def archive_verdicts(entries: DataFrame) -> DataFrame:
 
 
 def extraction_plan(entries: DataFrame, limits: ImportLimits | None = None) -> DataFrame:
-    """project_id, archive, path, size_bytes, reason (null: unpacked) of the first files of each archive."""
+    """project_id, archive, path, size_bytes, reason (null: unpacked) of each file; those beyond an archive's first
+    ``limits.files`` are deferred as FILE_COUNT_DEFERRED."""
     limits = limits or ImportLimits()
     files = entries.where("error is null and not directory").withColumn("owner", F.concat_ws("\0", "project_id", "archive"))
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("owner").orderBy("entry_seq"))
     early = (
-        F.when(F.size(path_parts(F.col("path"))) > limits.depth, "PATH_DEPTH_LIMIT")
+        F.when(F.col("n") > limits.files, "FILE_COUNT_DEFERRED")
+        .when(F.size(path_parts(F.col("path"))) > limits.depth, "PATH_DEPTH_LIMIT")
         .when(F.col("symlink"), "SYMLINK_DEFERRED")
         .when(is_archive_path(F.col("path")), "NESTED_ARCHIVE_DEFERRED")
         .when(F.col("encrypted"), "ENCRYPTED_ENTRY_DEFERRED")
         .when(~F.col("method").isin(*KNOWN_METHODS), "UNSUPPORTED_COMPRESSION_DEFERRED")
         .when(F.col("size_bytes") > limits.file_bytes, "LARGE_BINARY_DEFERRED")
     )
-    marked = files.withColumn("n", place).where(F.col("n") <= limits.files).withColumn("reason", early)
+    marked = files.withColumn("n", place).withColumn("reason", early)
     room = min(limits.expanded_bytes, limits.total_bytes)
     fits = greedy_budget(marked.where("reason is null"), "owner", "n", "size_bytes", room).select("owner", "n", "kept")
     joined = marked.join(fits, ["owner", "n"], "left")

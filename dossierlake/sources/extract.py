@@ -115,7 +115,8 @@ def openxml_text(content: bytes, extension: str) -> tuple[str, str]:
 SHOWN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>", re.DOTALL)
 #: How far before a stream its dictionary is looked for.
 HEAD_BYTES = 64 * 1024
-MARK = re.compile(rb"\b(?:BT|ET)\b")
+#: The marks of a text block, and strings, in which they mean nothing.
+MARK = re.compile(rb"\((?:[^()\\]|\\.)*+\)|\b(?:BT|ET)\b", re.DOTALL)
 ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.DOTALL)
 ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
 

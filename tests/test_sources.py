@@ -118,7 +118,7 @@ def test_archives_are_listed_checked_and_unpacked(spark):
     plan = archives.extraction_plan(listed.where("archive = 'ok.zip'"), files.ImportLimits(file_bytes=32))
     assert {r.path: r.reason for r in plan.collect()} == {"readme.txt": None, "payload.bin": "LARGE_BINARY_DEFERRED", "in.zip": "NESTED_ARCHIVE_DEFERRED"}
     small = archives.extraction_plan(listed.where("archive = 'ok.zip'"), files.ImportLimits(files=2, total_bytes=100))
-    assert {r.path: r.reason for r in small.collect()} == {"readme.txt": None, "payload.bin": "COPY_BUDGET_DEFERRED"}
+    assert {r.path: r.reason for r in small.collect()} == {"readme.txt": None, "payload.bin": "COPY_BUDGET_DEFERRED", "in.zip": "FILE_COUNT_DEFERRED"}
     unpacked = archives.unpack(data, plan).collect()
     assert [(r.path, bytes(r.content)) for r in unpacked] == [("ok.zip/readme.txt", b"7 bytes")]
 
@@ -173,3 +173,17 @@ def test_windowed_counts(spark, tmp_path):
     query = incremental.windowed_counts(stream, "ts", "kind").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r.n for r in spark.table("counts").select(F.col("n")).collect()) == [1, 2]
+
+
+def test_entries_past_the_limit_are_deferred_by_name(spark):
+    from dossierlake.sources import archives
+    from dossierlake.sources.files import ImportLimits
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for i in range(5):
+            archive.writestr(f"{i}.txt", "x")
+    rows = spark.createDataFrame([("p", "a.zip", out.getvalue())], "project_id string, path string, content binary")
+    unpacked, deferred = archives.open_archive(rows, ImportLimits(files=3))
+    assert sorted(r.path for r in unpacked.collect()) == ["a.zip/0.txt", "a.zip/1.txt", "a.zip/2.txt"]
+    assert sorted((r.path, r.reason) for r in deferred.collect()) == [("a.zip/3.txt", "FILE_COUNT_DEFERRED"), ("a.zip/4.txt", "FILE_COUNT_DEFERRED")]
