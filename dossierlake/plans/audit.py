@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions.lexicon import DEFAULT, Lexicon
 from dossierlake.operators import claims, consistency, diff, evidence, fixes, inventory, profile, report, rules, scoring
-from dossierlake.workspace import materialize
+from dossierlake.workspace import counted, job_tag, materialize, row_counts
 
 
 @dataclass(frozen=True)
@@ -106,6 +106,17 @@ class AuditFrames:
         for name in ("assets", "corpus", "types", "profile", "claims", "evidence", "issues", "findings", "scores", "tasks", "plan"):
             yield name, getattr(self, name)
 
+    def observed(self, run: str) -> dict[str, int]:
+        """Rows of every stage from one run, seen by the jobs that write them; the jobs carry ``run`` as their tag."""
+        spark, found = self.assets.sparkSession, {}
+        with job_tag(spark, run), row_counts() as written:
+            for name, stage in self.stages():
+                if name not in written:  # a stage that is no table of its own is read through once
+                    seen, stage = counted(stage)
+                    stage.write.format("noop").mode("overwrite").save()
+                    found[name] = seen.get["rows"]
+        return {name: written.get(name, found.get(name)) for name, _ in self.stages()}
+
     def checked(self) -> DataFrame:
         """The scores, with an error in place of a score outside 0 to 100."""
         ok = F.col("total_score").between(0, 100)

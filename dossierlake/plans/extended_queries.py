@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.operators import frames, intervals, report, sketches, text_index
+from dossierlake.operators import frames, intervals, report, sketches, text_index, versions
 from dossierlake.plans import reaudit
 from dossierlake.plans.audit import AuditOptions
 from dossierlake.plans.driver import BASE, LOW, PROSE, driver_corpus, sql_text
-from dossierlake.plans.whole_audit import FINDINGS, PENALTIES, STAGES, TRACK, driver_audit, driver_inventory, whole
+from dossierlake.plans.whole_audit import COVERED, FINDINGS, PENALTIES, STAGES, TRACK, driver_audit, driver_inventory, whole
 from dossierlake.sources import variants
 from dossierlake.streaming import sessions as streams
 from dossierlake.workspace import materialize, shared_dir, table
@@ -285,3 +285,39 @@ def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("nation").cast("string"), F.lit("all")).alias("nation"), F.coalesce("o_orderpriority", F.lit("all")).alias("priority"),
         "rows", "customers", near.alias("distinct_within"), (fits[0] & fits[1] & fits[2]).alias("quartiles_within"),
     )
+
+
+_COUNTED = ("assets", "corpus", "profiles", "profiles", "claims", "evidence", "issues", "findings", "scores", "tasks")
+_STAGE_ROWS = " UNION ALL ".join(
+    f"SELECT '{name}' AS stage, count(*) AS rows FROM {of}"
+    for name, of in zip(("assets", "corpus", "types", "profile", "claims", "evidence", "issues", "findings", "scores", "tasks"), _COUNTED, strict=True)
+) + " UNION ALL SELECT 'plan', count(DISTINCT project_id) FROM tasks"
+
+
+@query(whole(COVERED, _STAGE_ROWS))
+def audit_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the audit's eleven stages, counted by one run's own jobs."""
+    found = driver_audit(spark, sf_dir).observed(f"audit-{uuid.uuid4().hex}")
+    return spark.createDataFrame(list(found.items()), "stage string, rows long")
+
+
+_SCORES_OF = f"WITH BASE_OF, {','.join(STAGES[1 : STAGES.index(PENALTIES) + 1])} SELECT project_id, total_score FROM scores"
+
+
+@query(f"SELECT a.project_id, a.total_score AS before, b.total_score AS after FROM ({_SCORES_OF.replace('BASE_OF', BASE)}) a JOIN ({_SCORES_OF.replace('BASE_OF', _EDITED_BASE)}) b USING (project_id)")
+def session_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit and its re-audit as two versions of a session, read side by side; a write from the old version is refused."""
+    options = AuditOptions(lexicon=PROSE, track=TRACK)
+    assets = materialize(driver_inventory(spark, sf_dir), "inventory")
+    corpus = driver_corpus(spark, sf_dir)
+    stored = versions.Sessions(spark, f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}")
+    first = reaudit.first_audit(assets, corpus, options)
+    start = stored.commit({"scores": first.scores, "claims": first.claims, "evidence": first.evidence})
+    after, _ = reaudit.reaudit(first, assets, _edited_files(corpus), options)
+    stored.commit({"scores": after.scores, "claims": after.claims, "evidence": after.evidence}, base=start)
+    try:
+        stored.commit({"scores": first.scores}, base=start)
+    except versions.Conflict:
+        pass
+    old, new = stored.read(start)["scores"], stored.read()["scores"]
+    return old.select("project_id", F.col("total_score").alias("before")).join(new.select("project_id", F.col("total_score").alias("after")), "project_id")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Folders of applications without a shared one.
@@ -51,8 +55,49 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    seen, schema = None, df.schema
+    if (counts := _COUNTS.get()) is not None:
+        seen, df = counted(df)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if seen is not None:
+        counts[name] = counts.get(name, 0) + seen.get["rows"]
+    return spark.read.schema(schema).parquet(path)
+
+
+#: Rows written by ``materialize`` by table name, where someone counts them.
+_COUNTS: ContextVar[dict[str, int] | None] = ContextVar("counts", default=None)
+
+
+def counted(df: DataFrame) -> tuple[Observation, DataFrame]:
+    """``df`` with its rows counted by whatever job reads it first: no job of its own."""
+    seen = Observation()
+    return seen, df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+
+@contextmanager
+def row_counts() -> Iterator[dict[str, int]]:
+    """Rows of each table that is materialized within, by its name, as the writing jobs see them."""
+    counts: dict[str, int] = {}
+    token = _COUNTS.set(counts)
+    try:
+        yield counts
+    finally:
+        _COUNTS.reset(token)
+
+
+@contextmanager
+def job_tag(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs started within (in this thread) carry ``tag``, so that ``stop_jobs`` can end them from elsewhere."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def stop_jobs(spark: SparkSession, tag: str) -> None:
+    """End all running jobs with ``tag``; their callers get an error. Tables that were committed before stay."""
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
