@@ -6,8 +6,9 @@ by digit: sizes are summed by source and hash bucket, the bucket in which the bu
 bucket is looked at again in finer buckets.
 
 Nulls: a null source is a source of its own, last in order; a null id hashes as the empty text; a null size counts 0.
-Rows with one id (repeats) share a hash and are taken together, so where one id holds much of a source, its target is
-missed by as much. No document is taken more than ``most`` times, empty ones included. An empty table gives an empty
+Rows with one id (repeats, also with different texts) share a hash. Where a source's budget ends within such rows, they are
+taken one by one, in order of a hash of all their columns, so a source comes near its target also where one id holds most
+of it; rows that are alike in every column are the same to a mix. No document is taken more than ``most`` times, empty ones included. An empty table gives an empty
 result. A very long text is one size.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierlake.llm.common import free_name
+from dossierlake.operators.histories import running_total
 from dossierlake.workspace import materialize
 
 #: A digit's bits bound what a source's histogram has: 1024 rows at every step.
@@ -78,11 +80,12 @@ def source_thresholds(
     most: float = MOST,
     weights: tuple[int, ...] = WEIGHTS,
 ) -> DataFrame:
-    """mix_source, source_size, target, whole, threshold: one row a source.
+    """mix_source, source_size, target, whole, threshold, edge, room: one row a source.
 
     A source whose target is k times its size and a rest takes every document k (``whole``) times, and those with a
     hash up to its threshold once more. The document at the threshold is in if that brings the source nearer to its
-    target.
+    target. Where several rows have the hash at which the budget ends, that is the ``edge`` (else null): those below it are
+    in, and of its rows as many as ``room`` has words for.
     """
     sizes = docs.select(
         F.col(source_column).alias("source"),
@@ -106,8 +109,13 @@ def source_thresholds(
     threshold = F.when(F.col("own").isNull(), F.lit((1 << HASH_BITS) - 1)).otherwise(
         F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1)
     )
-    return state.select(
-        F.col("source").alias("mix_source"), "source_size", "target", "whole", threshold.cast("long").alias("threshold")
+    edges = state.where(F.col("own").isNotNull()).select(F.col("source").alias("of"), F.col("prefix").alias("at"))
+    shared = sizes.join(edges, F.col("source").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("at")))
+    several = shared.groupBy("of", "at").count().where("count > 1").select("of", F.col("at").alias("edge"))
+    found = state.withColumn("threshold", threshold.cast("long")).join(several, F.col("source").eqNullSafe(F.col("of")), "left")
+    below_edge = F.when(F.col("edge").isNull(), F.col("threshold")).otherwise(F.col("edge") - 1)
+    return found.select(
+        F.col("source").alias("mix_source"), "source_size", "target", "whole", below_edge.alias("threshold"), "edge", (F.col("rest") - F.col("below")).alias("room")
     )
 
 
@@ -125,15 +133,28 @@ def mix_sources(
     Documents meet one small row of their source; nothing is joined on ids, so repeated and null ids do no harm.
     Columns of ``docs`` with the name of one of these are replaced; all others stay, whatever their names.
     """
-    found = source_thresholds(docs, size, id_column, source_column, **how)
+    found = materialize(source_thresholds(docs, size, id_column, source_column, **how), "mix-thresholds")
     added = [copies, *(("source_size", "target") if details else ())]
     plain = docs.drop(*[c for c in added if c not in (id_column, source_column)])
-    names = {c: free_name(plain, f"__mix_{c}") for c in ("mix_source", "whole", "threshold")}
+    names = {c: free_name(plain, f"__mix_{c}") for c in ("mix_source", "whole", "threshold", "edge", "room")}
     found = found.select(*[F.col(c).alias(n) for c, n in names.items()], *(("source_size", "target") if details else ()))
     joined = plain.join(found, F.col(source_column).eqNullSafe(F.col(names["mix_source"])))
-    taken = F.col(names["whole"]) + (id_hash(id_column) <= F.col(names["threshold"])).cast("long")
-    taken = F.least(taken, F.lit(math.floor(how.get("most", MOST))).cast("long"))
-    return joined.withColumn(copies, taken).drop(*names.values())
+    bound = F.lit(math.floor(how.get("most", MOST))).cast("long")
+
+    def taken(rows: DataFrame, once_more: Column) -> DataFrame:
+        return rows.withColumn(copies, F.least(F.col(names["whole"]) + once_more.cast("long"), bound)).select(*plain.columns, copies, *added[1:])
+
+    up_to = id_hash(id_column) <= F.col(names["threshold"])
+    if found.where("edge is not null").isEmpty():
+        return taken(joined, up_to)
+    at_edge = F.coalesce(id_hash(id_column) == F.col(names["edge"]), F.lit(False))
+    order, own, before = (free_name(joined, f"__mix_{c}") for c in ("order", "own", "before"))
+    alike = F.xxhash64(*(F.col(f.name) for f in plain.schema if not f.dataType.simpleString().startswith(("map", "variant"))))
+    edge = joined.where(at_edge).withColumn(order, F.struct(alike.alias("hash"), F.expr("uuid()").alias("row")))
+    edge = edge.withColumn(own, F.coalesce(size.cast("long"), F.lit(0).cast("long")))
+    placed = running_total(edge, names["mix_source"], order, own, before)
+    fits = 2 * F.col(before) + F.col(own) < 2 * F.col(names["room"])
+    return taken(joined.where(~at_edge), up_to).unionByName(taken(placed, fits))
 
 
 def _refine(sizes: DataFrame, state: DataFrame, shift: int) -> DataFrame:

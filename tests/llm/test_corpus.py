@@ -727,3 +727,17 @@ def test_names_of_the_east(spark, text, mentions):
     assert [text[a:b] for a, b, _, _ in pii.detect(text)] == mentions
     [row] = pii.replace_entities(spark.createDataFrame([(1, text)], "doc_id int, text string"), b"key").collect()
     assert row.n_entities == len(mentions) and not any(m in row.text for m in mentions)
+
+
+def test_rows_of_one_id_are_taken_one_by_one(spark):
+    rows = [("a", 1, "w " * 10)] * 300 + [("a", 1, "x " * (i % 30)) for i in range(300)] + [("a", i, "y") for i in range(2, 40)]
+    rows += [("b", i, "w " * 5) for i in range(200)] + [("c", None, "z " * 7)] * 100 + [(None, 1, "q " * 3)] * 150
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "source string, doc_id long, text string, __mix_edge int")
+    words = word_count(F.col("text"))
+    for _ in range(2):
+        mixed = mixing.mix_sources(docs, words).withColumn("size", word_count(F.col("text"))).collect()
+        assert sorted((str(r.source), str(r.doc_id), r.text) for r in mixed) == sorted((str(s), str(i), t) for s, i, t in rows)
+        for source in ("a", "b", "c", None):
+            own = [r for r in mixed if r.source == source]
+            assert {r.copies for r in own} <= {0, 1, 2}
+            assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= max(r.size for r in own)
