@@ -16,6 +16,7 @@ from dossierlake.llm import (
     pii,
     quality,
     record_files,
+    record_source,
     simhash,
     site_tree,
     whitening,
@@ -198,11 +199,11 @@ OP8_SQL = """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS code
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 asked AS (SELECT DISTINCT vec_id, code FROM usable WHERE vec_id % 20 = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.code, c.code)::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.code, c.code), lambda p: p[1] * p[2])), 0)::BIGINT AS score
   FROM asked q JOIN usable c ON q.vec_id <> c.vec_id),
 ranked AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
@@ -228,6 +229,24 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def read_records_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second quarter of all records by place, through the data source: no other record is read."""
+    folder = record_files.new_folder(spark)
+    docs = spread_table(spark, sf_dir, "documents")
+    files = record_files.write_token_files(docs, folder, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    count = files.agg(F.sum("records")).first()[0] or 0
+    place = F.col("place")
+    found = record_source.records(spark, folder, files).where((place >= count // 4) & (place < count // 2))
+    return found.select("place", "doc_id", (F.octet_length("ids") > 0).alias("filled"))
+
+
+RECORDS_BY_RANGE_SQL = """
+SELECT place, doc_id, TRUE AS filled FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM documents)
+WHERE place >= n // 4 AND place < n // 2
+"""
+
+
 def op11_site_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = site_tree.extract_text(spread_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
