@@ -48,7 +48,7 @@ NOISE_TAGS = frozenset(
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status tooltip".split())
 NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored promo promos promotion "
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adunit adbox leaderboard outbrain taboola sponsor sponsored promo promos promotion "
     "nav navbar navigation menu submenu breadcrumb breadcrumbs crumbs toc topnav pagination pager skip skiplink "
     "masthead topbar toolbar logo footer bottombar copyright colophon sidebar aside rail widget widgets "
     "related recommended recommendations teaser teasers banner cookie cookies consent gdpr notice notices notification "
@@ -95,12 +95,18 @@ BODY, MAIN, ARTICLE, NOISY = 0, 1, 2, 3
 NONE, HEADER, WORDS, SURE = 0, 1, 2, 3
 
 
-def noise_of(names: list[str]) -> int:
+def noise_of(names: list[str], container: bool) -> int:
+    """What classes and ids say. Of an article or main part itself only a name's first word counts: further ones are of
+    its topics or settings ("category-advertising", "comments-open")."""
     found = NONE
     for name in names:
         parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_a-zA-Z]+", name)]
         if not ABOUT.isdisjoint(parts):
             continue
+        if container:
+            if parts and parts[0] in NOISE_WORDS and parts[-1] not in ("open", "closed"):
+                return WORDS
+            continue
         if not NOISE_WORDS.isdisjoint(parts) or NOISE_PARTS.search(name.lower()):
             return WORDS
         if not HEADER_WORDS.isdisjoint(parts):
@@ -127,11 +133,16 @@ def element(tag: str, source: str) -> Element:
         if "display:none" in style or "visibility:hidden" in style or NOISE_TYPES.search(told.get("itemtype", "")):
             noise = SURE
         if tag not in ("body", "html"):
-            noise = max(noise, noise_of(names))
+            noise = max(noise, noise_of(names, bool(region)))
     plain = sorted({re.sub(r"\d+", "", n) for n in names})[:6]
     return Element(tag, " ".join([tag, *plain]), noise, region, bool(names))
 
 
+def told_noise(tag: str, source: str) -> bool:
+    """Whether a loose inline element names itself as noise, so that it has to be followed to its end."""
+    return bool(TOLD.search(source)) and element(tag, source).noise >= WORDS
+
+
 def skipped(source: str, at: int, memory: dict[str, int]) -> int:
     """Behind a comment, declaration or the like at ``at``; what isn't closed takes the rest of the page."""
     if source.startswith("<!--", at):
@@ -276,7 +287,7 @@ def read(source: str | None, site: str) -> Reader:
         if tag[1]:
             if name == "br":
                 reader.text(" ")
-            elif name not in LOOSE and name not in VOID:
+            elif name not in VOID and (name not in LOOSE or reader.count[name]):
                 reader.end(name)
         elif name in RAW:
             key = f"</{name}"
@@ -287,7 +298,7 @@ def read(source: str | None, site: str) -> Reader:
             reader.text(" ")
         elif name == "hr":
             reader.flush()
-        elif name not in LOOSE and name not in VOID:
+        elif name not in VOID and (name not in LOOSE or told_noise(name, tag[3])):
             reader.open(name, tag[3])
             if tag[3].endswith("/") and name in ("svg", "path", "circle", "rect", "use", "g"):
                 reader.pop()

@@ -49,6 +49,9 @@ def test_query_against_the_articles_of_the_pages(spark):
         ("<article></article><div>out</div>", ""),
         ('<div class="related"><article>only</article></div>', "only"),
         ("<p>x</p><script>never closed <p>b</p>", "x"),
+        ('<article class="post category-advertising tag-cookies comments-open"><h1>T</h1><p>A <small class="ad">no</small>b<i>c</i></p></article>', "T A bc"),
+        ('<article class="teaser">t</article><article>x</article>', "x"),
+        ("<p>a<b>b<i class='ad'>no</i>c</b>d", "abcd"),
     ],
 )
 def test_one_page(source, want):
