@@ -98,3 +98,24 @@ def with_session_id(rows: DataFrame, name: str = "session_id") -> DataFrame:
     """A new id a row; another one each time it is computed, so write it down before it's used twice."""
     millis = F.unix_millis(F.current_timestamp()).cast("string")
     return rows.withColumn(name, F.concat(F.lit("session-"), millis, F.lit("-"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)))
+
+
+def stage_status(rows: DataFrame, key: str, order: str, active: Column) -> DataFrame:
+    """``rows`` with stage (place in its key) and status: done before its key's last active row, running there, waiting
+    behind it; waiting all along in a key without one."""
+    own = Window.partitionBy(key)
+    last = F.max(F.when(active, F.col(order))).over(own)
+    status = F.when(F.col(order) < last, "done").when(F.col(order) == last, "running").otherwise("waiting")
+    return rows.withColumn("stage", F.row_number().over(own.orderBy(order))).withColumn("status", status)
+
+
+def tool_calls(calls: DataFrame, tools: DataFrame, tool: str) -> DataFrame:
+    """``tool``, calls, allowed of each tool that is called; calls of unknown tools and of those without a grant aren't allowed.
+
+    ``tools``: one row a tool, with granted. It is joined as Spark sees fit: counts of calls are taken first, so a tool that
+    everyone calls is one row.
+    """
+    counted = calls.groupBy(tool).agg(F.count(F.lit(1)).alias("calls"))
+    known = tools.select(F.col(tool).alias("__tool"), "granted")
+    joined = counted.join(known, F.col(tool) == F.col("__tool"), "left").drop("__tool")
+    return joined.select(tool, "calls", F.when(F.coalesce("granted", F.lit(False)), F.col("calls")).otherwise(0).cast("long").alias("allowed"))

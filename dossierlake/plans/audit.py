@@ -121,3 +121,8 @@ class AuditFrames:
         """The scores, with an error in place of a score outside 0 to 100."""
         ok = F.col("total_score").between(0, 100)
         return self.scores.withColumn("total_score", F.when(ok, F.col("total_score")).otherwise(F.raise_error(F.lit("score out of range")).cast("long")))
+
+    def checked_findings(self) -> DataFrame:
+        """The findings, with an error in place of a missing rule id."""
+        named = F.coalesce(F.col("rule_id"), F.lit("")) != ""
+        return self.findings.withColumn("rule_id", F.when(named, F.col("rule_id")).otherwise(F.raise_error(F.lit("finding without a rule id")).cast("string")))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text
 from dossierlake.functions.lexicon import DEFAULT, DIMENSIONS, PROJECT_TYPES
-from dossierlake.operators import claims, consistency, diff, evidence, histories, inventory, profile, rules, scoring, search
+from dossierlake.operators import claims, consistency, diff, evidence, histories, inventory, profile, rules, scoring, search, sessions
 from dossierlake.plans.driver import LOW, TRIM, sql_any, sql_claim_type, sql_rows
 from dossierlake.sources import archives, extract, files, formats
 from dossierlake.workspace import table
@@ -504,8 +504,7 @@ SELECT e.event_type AS tool, count(*) AS calls, count(*) FILTER (t.granted) AS a
 )
 def observation_tool_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools = spark.createDataFrame(TOOLS, "event_type string, permission string, granted boolean")
-    calls = table(spark, sf_dir, "events").join(F.broadcast(tools), "event_type", "left")  # a literal table
-    return calls.groupBy(F.col("event_type").alias("tool")).agg(F.count("event_id").alias("calls"), F.count_if(F.coalesce("granted", F.lit(False))).alias("allowed"))
+    return sessions.tool_calls(table(spark, sf_dir, "events"), tools, "event_type").withColumnRenamed("event_type", "tool")
 
 
 @query(
@@ -527,7 +526,5 @@ FROM (SELECT *, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS
 )
 def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps before, at and after the active one, which is a conversation's last user message."""
-    rows = Window.partitionBy("conv_id")
-    active = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(rows)
-    status = text.first_match([(F.col("turn") < active, "done"), (F.col("turn") == active, "running")], "waiting")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(rows.orderBy("turn")).alias("stage"), status.alias("status"))
+    staged = sessions.stage_status(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user")
+    return staged.select("conv_id", "turn", "stage", "status")

@@ -194,7 +194,7 @@ def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(whole(FINDINGS, "SELECT project_id, seq::BIGINT AS seq, rule_id, severity, missing, md5(files) AS files, title, reason, fix FROM findings"))
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return driver_audit(spark, sf_dir).findings.select(
+    return driver_audit(spark, sf_dir).checked_findings().select(
         "project_id",
         F.col("seq").cast("long").alias("seq"),
         "rule_id",

@@ -267,3 +267,15 @@ def test_secrets_behind_the_sample_are_found_in_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {n: {r.doc_id for r in QUERIES[n](spark, str(tmp_path)).where("sensitive").collect()} for n in ("sensitive_files", "sensitive_whole_texts")}
     assert found == {"sensitive_files": {3}, "sensitive_whole_texts": {1, 3}}
+
+
+def test_a_finding_without_a_rule_id_is_an_error(spark):
+    from dossierlake.plans.audit import AuditFrames
+
+    audit = AuditFrames(None, None)
+    audit.__dict__["findings"] = spark.createDataFrame([("p", "R1")], "project_id string, rule_id string")
+    assert [r.rule_id for r in audit.checked_findings().collect()] == ["R1"]
+    for bad in ("", None):
+        audit.__dict__["findings"] = spark.createDataFrame([("p", "R1"), ("p", bad)], "project_id string, rule_id string")
+        with pytest.raises(Exception, match="without a rule id"):
+            audit.checked_findings().collect()
