@@ -56,6 +56,23 @@ def test_content_decides_over_names(spark):
         assert got[good].risk_flags == [], good
 
 
+def test_a_character_at_the_end_of_the_sample_is_no_fault(spark):
+    cut = b"x" * (formats.SAMPLE - 1)
+    rows = [("a.md", cut + "é".encode() + b"more"), ("b.md", cut[:-2] + "😀".encode()), ("c.md", cut + b"\xc3\x28 more"), ("d.md", cut + b"\xff")]
+    got = {r.path: r.format for r in formats.detect_formats(contents(spark, rows)).collect()}
+    assert got == {"a.md": "md", "b.md": "md", "c.md": "binary", "d.md": "binary"}
+
+
+def test_a_table_of_part_files_is_one_table(spark, tmp_path):
+    from dossierlake.plans import file_queries
+
+    for name in ("nation.parquet", "documents.parquet/part-0.parquet", "documents.parquet/part-1.parquet", "notes.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = sorted(map(tuple, file_queries.folder_scan(spark, str(tmp_path)).collect()))
+    assert got == [("documents.parquet", "documents.parquet", True), ("nation.parquet", "nation.parquet", True)]
+
+
 def test_scan_prunes_and_defers(spark, tmp_path):
     for name, size in (("p1/a.txt", 10), ("p1/b.txt", 15), ("p1/c.txt", 5), ("p1/node_modules/x.js", 3), ("p1/deep/er/d.txt", 1), ("p1/big.bin", 99), ("p2/z.txt", 1)):
         target = tmp_path / "in" / name
