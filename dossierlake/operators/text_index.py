@@ -1,17 +1,20 @@
 """Search in texts through an index of three-byte grams with their places.
 
-A posting is a gram, a file, and the places (bytes, in A-Z lower case) where the gram stands in it. Two zero bytes behind
-each text make every byte begin a gram. Postings lie in Parquet in order of (gram, file), so a search reads the row
-groups of its grams and no text: a needle's grams at every third byte, and its last one, stand at places that differ by
-their offsets exactly where the needle stands. Needles of one or two bytes are a range of grams. Line numbers come from
-the postings of the line feed. A gram that every file has is spread over row groups and files by its file.
+Texts are indexed in blocks of some megabytes, each where it is read: nothing is shuffled, so the index is all that lies
+on disks. A posting is a gram, a block, and the places (bytes, in A-Z lower case) where the gram stands in the block, as
+differences in bytes of seven bits; a block's files are a posting of the gram ``FILES``. Two zero bytes behind each text
+make every byte begin a gram. Postings of a block lie in Parquet in order of gram, so a search reads the row groups of its
+grams and no text: a needle's grams at every third byte, and its last one, stand at places that differ by their offsets
+exactly where the needle stands. Needles of one or two bytes are a range of grams. Line numbers come from the postings of
+the line feed. A file is never cut, so all that a search says of it comes from one block.
 
 Texts of null are empty; repeated files have repeated postings, so they are not allowed, as anywhere in the audit. Other
-columns don't come along. A very long text is read in memory of some 20 bytes a byte.
+columns don't come along. A block, or a very long text, is read in memory of some 30 bytes a byte.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,42 +22,105 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.functions.text import lower_ascii
-
 FEED = 0x0A
-#: Bytes of a row group: what a search reads at least for a gram.
-ROW_GROUP = 4 << 20
+#: The gram of the row that lists a block's files.
+FILES = -1
+#: Bytes of text that are indexed together.
+BLOCK = 4 << 20
+#: Bytes of a row group: what a search reads at least for a gram of a block.
+ROW_GROUP = 1 << 20
 #: Grams that are looked for one by one in the files' statistics; more are looked for by ranges.
 POINTS = 400
 
 
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers as bytes of seven bits, the last of each without its high bit; and how many each takes."""
+    sizes = 1 + (values >= 1 << 7).astype(np.int64) + (values >= 1 << 14) + (values >= 1 << 21) + (values >= 1 << 28)
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    for k in range(5):
+        has = sizes > k
+        last = sizes[has] == k + 1
+        out[ends[has] - sizes[has] + k] = (values[has] >> 7 * k & 0x7F) | np.where(last, 0, 0x80)
+    return out, sizes
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(data < 0x80)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    values = np.zeros(len(ends), dtype=np.int64)
+    for k in range(5):
+        has = starts + k <= ends
+        values[has] |= (data[starts[has] + k].astype(np.int64) & 0x7F) << 7 * k
+    return values
+
+
+def block_postings(texts: list[bytes]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(grams, rising; places of each; where each text starts) of texts that are laid one behind another."""
+    data = np.frombuffer(b"".join(t + b"\0\0" for t in texts), dtype=np.uint8).astype(np.int32)
+    data[(data >= 65) & (data <= 90)] += 32
+    lengths = np.array([len(t) + 2 for t in texts], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    own = np.ones(len(data), dtype=bool)
+    own[starts + lengths - 1] = own[starts + lengths - 2] = False
+    at = np.flatnonzero(own)
+    codes = data[at] << 16
+    codes |= data[at + 1] << 8
+    codes |= data[at + 2]
+    both = codes.astype(np.int64) << 32 | at
+    del data, codes, at
+    both.sort()
+    grams, places = (both >> 32).astype(np.int32), both & 0xFFFFFFFF
+    del both
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+    steps = np.diff(places, prepend=0)
+    steps[first] = places[first]
+    content, sizes = packed(steps)
+    bounds = np.append(np.append(0, np.cumsum(sizes))[first], len(content)).astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(content)])
+    return pa.array(grams[first]), kept, starts
+
+
 def postings(corpus: DataFrame) -> DataFrame:
-    """project_id, path, gram, places."""
-    kinds = {f.name: f.dataType.simpleString() for f in corpus.schema}
+    """block, gram, places, files; the rows of a block in order of gram."""
+    rows = corpus.select("project_id", "path", "text")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, texts, size = [], [], 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            grams, places, starts = block_postings(texts)
+            columns = [pa.concat_arrays([n.column(c) for n in names]) for c in ("project_id", "path")]
+            files = pa.StructArray.from_arrays([*columns, pa.array(starts)], names=["project_id", "path", "start"])
+            name = uuid.uuid4().hex
+            for g, p, f in ((pa.array([FILES], pa.int32()), pa.array([b""]), pa.ListArray.from_arrays(pa.array([0, len(files)], pa.int32()), files)), (grams, places, None)):
+                f = pa.nulls(len(g), pa.list_(files.type)) if f is None else f
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), g, p, f], names=["block", "gram", "places", "files"])
+
         for batch in batches:
             for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                data = np.frombuffer((one.column("low")[0].as_py() or "").encode() + b"\0\0", dtype=np.uint8).astype(np.int32)
-                if len(data) == 2:
-                    continue
-                codes = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
-                order = np.argsort(codes, kind="stable").astype(np.int32)
-                grams, starts = np.unique(codes[order], return_index=True)
-                places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(codes)).astype(np.int32)), pa.array(order))
-                same = [pa.array([one.column(c)[0].as_py()] * len(grams), one.column(c).type) for c in ("project_id", "path")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(grams), places], names=["project_id", "path", "gram", "places"])
+                text = (batch.column("text")[at].as_py() or "").encode()
+                if size and size + len(text) > BLOCK:
+                    yield from block()
+                    names, texts, size = [], [], 0
+                names.append(batch.slice(at, 1))
+                texts.append(text)
+                size += len(text) + 2
+        if size:
+            yield from block()
 
-    rows = corpus.select("project_id", "path", lower_ascii(F.col("text")).alias("low"))
-    return rows.mapInArrow(indexed, f"project_id {kinds['project_id']}, path {kinds['path']}, gram int, places array<int>")
+    return rows.mapInArrow(indexed, f"block string, gram int, places binary, files array<struct<project_id:{kinds['project_id']},path:{kinds['path']},start:bigint>>")
 
 
 def build_index(corpus: DataFrame, folder: str, row_group: int = ROW_GROUP) -> None:
-    """Write the postings of a corpus (project_id, path, text) to ``folder`` in order of gram."""
-    order = ["gram", "project_id", "path"]
-    sorted_ = postings(corpus).repartitionByRange(*order).sortWithinPartitions(*order)
-    sorted_.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(folder)
+    """Write the postings of a corpus (project_id, path, text) to ``folder``, each block in order of gram.
+
+    Where texts are too few for a block a task, fewer tasks take them.
+    """
+    size = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    made = postings(corpus.coalesce(size // BLOCK + 1))
+    made.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(folder)
 
 
 def needle_parts(needle: str) -> list[tuple[int, int, int]]:
@@ -77,7 +143,7 @@ def grams_within(ranges: Iterable[tuple[int, int]]) -> Column:
             merged[-1][1] = max(high, merged[-1][1])
         else:
             merged.append([low, high])
-    while len(merged) > POINTS:  # the nearest neighbours become one range; the join leaves out what is between them
+    while len(merged) > POINTS:  # the nearest neighbours become one range; the search leaves out what is between them
         k = min(range(len(merged) - 1), key=lambda i: merged[i + 1][0] - merged[i][1])
         merged[k : k + 2] = [[merged[k][0], merged[k + 1][1]]]
     test = F.lit(False)
@@ -90,45 +156,63 @@ def read_grams(spark: SparkSession, folder: str, ranges: Iterable[tuple[int, int
     return spark.read.parquet(folder).where(grams_within(ranges))
 
 
+def places_in_block(grams: np.ndarray, places: pa.Array, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """Rising places where all ``parts`` of a needle stand; ``grams`` rise."""
+    found = None
+    for low, high, offset in parts:
+        own = range(*np.searchsorted(grams, [low, high + 1]))
+        each = [np.cumsum(unpacked(np.frombuffer(places[k].as_py(), dtype=np.uint8))) for k in own]
+        here = np.sort(np.concatenate(each)) - offset if each else np.zeros(0, dtype=np.int64)
+        found = here if found is None else np.intersect1d(found, here, assume_unique=True)
+        if not len(found):
+            break
+    return found
+
+
+def _search(spark: SparkSession, folder: str, needles: list[str], as_lines: bool) -> DataFrame:
+    """A block's postings of all needles meet in one group, which is no larger than the block."""
+    parts = {n: needle_parts(n) for n in needles}
+    feeds = [(FEED << 16, (FEED + 1 << 16) - 1, 0)]
+    ranges = [(low, high) for own in [*parts.values(), feeds if as_lines else []] for low, high, _ in own]
+    rows = read_grams(spark, folder, [(FILES, FILES), *ranges])
+    each = rows.schema["files"].dataType.elementType
+    name = "lines" if as_lines else "places"
+    schema = f"needle string, project_id {each['project_id'].dataType.simpleString()}, path {each['path'].dataType.simpleString()}, {name} array<{'long' if as_lines else 'int'}>"
+    kind = pa.int64() if as_lines else pa.int32()
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(batches).sort_by("gram").combine_chunks()
+        grams = block.column("gram").to_numpy()
+        files = block.column("files").chunk(0)[0].values
+        places, starts = block.column("places").chunk(0), files.field("start").to_numpy()
+        ends = places_in_block(grams, places, feeds) if as_lines else None
+        for needle, own in parts.items():
+            found = places_in_block(grams, places, own)
+            if not len(found):
+                continue
+            at = np.searchsorted(starts, found, "right") - 1
+            if as_lines:
+                values = np.searchsorted(ends, found, "right") - np.searchsorted(ends, starts, "left")[at] + 1
+                new = np.append(True, (at[1:] != at[:-1]) | (values[1:] != values[:-1]))
+                at, values = at[new], values[new]
+            else:
+                values = found - starts[at]
+            which, first = np.unique(at, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(values, kind))
+            told = files.take(pa.array(which))
+            yield pa.RecordBatch.from_arrays([pa.array([needle] * len(which)), told.field("project_id"), told.field("path"), lists], names=["needle", "project_id", "path", name])
+
+    return rows.groupBy("block").applyInArrow(searched, schema)
+
+
 def find_places(spark: SparkSession, folder: str, needles: list[str]) -> DataFrame:
     """needle, project_id, path, places (bytes, rising) of every file that holds a needle, whatever the case of A-Z.
 
-    ``needles`` is a stated list of distinct texts. An exact intersection: a file's postings of one needle meet in one row,
-    no larger than the file itself.
+    ``needles`` is a stated list of distinct texts. An exact intersection.
     """
-    parts = [(n, low, high, offset) for n in needles for low, high, offset in needle_parts(n)]
-    wanted = spark.createDataFrame([(n, low, offset, len(needle_parts(n))) for n, low, high, offset in parts if low == high], "needle string, gram int, offset int, parts int")
-    short = spark.createDataFrame([(n, low, high) for n, low, high, _ in parts if low != high], "needle string, low int, high int")
-    rows = read_grams(spark, folder, [(low, high) for _, low, high, _ in parts])
-    met = rows.join(F.broadcast(wanted), "gram")  # a few rows a needle
-    shifted = F.transform("places", lambda p: p - F.col("offset"))
-    gathered = met.groupBy("needle", "project_id", "path").agg(F.collect_list(shifted).alias("each"), F.max("parts").alias("parts"))
-    common = F.aggregate(F.slice("each", 2, F.greatest(F.size("each") - 1, F.lit(0))), F.col("each")[0], F.array_intersect)
-    long = gathered.where(F.size("each") == F.col("parts")).select("needle", "project_id", "path", F.array_sort(common).alias("places"))
-    # a short needle's grams are one range of a literal list: each posting finds its needles there
-    listed = F.array(*(F.struct(F.lit(r.needle).alias("needle"), F.lit(r.low).alias("low"), F.lit(r.high).alias("high")) for r in short.collect()))
-    none = F.array().cast("array<struct<needle:string,low:int,high:int>>")
-    own = F.filter(listed if short.count() else none, lambda s: F.col("gram").between(s.low, s.high))
-    hits = rows.select("project_id", "path", "places", F.explode(own).alias("s"))
-    brief = hits.groupBy(F.col("s.needle").alias("needle"), "project_id", "path").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
-    return long.where(F.size("places") > 0).unionByName(brief)
+    return _search(spark, folder, needles, as_lines=False)
 
 
 def find_lines(spark: SparkSession, folder: str, needles: list[str]) -> DataFrame:
     """needle, project_id, path, lines: the numbers, from 1, of a file's lines that hold the needle."""
-    found = find_places(spark, folder, [n for n in needles if "\n" not in n])
-    feeds = read_grams(spark, folder, [(FEED << 16, (FEED + 1 << 16) - 1)]).groupBy("project_id", "path").agg(F.flatten(F.collect_list("places")).alias("feeds"))
-    files = found.select("project_id", "path").distinct()
-    rows = found.join(feeds.join(files, ["project_id", "path"], "left_semi"), ["project_id", "path"], "left")
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("needle", "project_id", "path"))
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lines = []
-            for at in range(b.num_rows):
-                feeds = b.column("feeds")[at].values
-                ends = np.sort(feeds.to_numpy()) if feeds is not None else np.zeros(0, dtype=np.int32)
-                lines.append(np.unique(np.searchsorted(ends, b.column("places")[at].values.to_numpy(), "right") + 1))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("needle", "project_id", "path")), pa.array(lines, pa.list_(pa.int64()))], names=["needle", "project_id", "path", "lines"])
-
-    return rows.select("needle", "project_id", "path", "places", "feeds").mapInArrow(numbered, f"{kinds}, lines array<long>")
+    return _search(spark, folder, [n for n in needles if "\n" not in n], as_lines=True)

@@ -66,3 +66,22 @@ def test_needles_that_cannot_be_searched_and_many_ranges(spark):
             text_index.needle_parts(bad)
     test = str(text_index.grams_within([(3 * k, 3 * k) for k in range(2000)]))
     assert test.count("gram") <= 2 * text_index.POINTS
+
+
+def test_an_index_has_a_posting_a_gram_and_block_and_not_a_file(spark, tmp_path):
+    words = [f"word{k}" for k in range(50)]
+    rows = [("p", f"{i}", " ".join(random.Random(i).choices(words, k=200))) for i in range(400)]
+    text_index.build_index(spark.createDataFrame(rows, "project_id string, path string, text string"), f"file://{tmp_path}/index")
+    grams = {t[i : i + 3] for *_, t in rows for i in range(len(t))}
+    assert spark.read.parquet(f"file://{tmp_path}/index").count() <= 2 * len(grams)
+
+
+@pytest.mark.parametrize("block", [1, 500])
+def test_files_of_many_blocks_are_found(monkeypatch, block):
+    monkeypatch.setattr(text_index, "BLOCK", block)
+    values = text_index.np.array([0, 1, 127, 128, 16383, 16384, 1 << 21, (1 << 28) - 1, 1 << 28, 1 << 31])
+    assert text_index.unpacked(text_index.packed(values)[0]).tolist() == values.tolist()
+    grams, places, starts = text_index.block_postings([b"Abab", b"", "né".encode() * block, b"b"])
+    assert starts.tolist() == [0, 6, 8, 10 + 3 * block]
+    found = text_index.places_in_block(grams.to_numpy(), places, text_index.needle_parts("b"))
+    assert found.tolist() == [1, 3, 10 + 3 * block]
