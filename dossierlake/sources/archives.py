@@ -19,9 +19,11 @@ from dossierlake.functions.text import lower_ascii, path_parts, safe_path
 from dossierlake.operators.histories import greedy_budget
 from dossierlake.sources.files import ImportLimits
 from dossierlake.sources.formats import is_archive_path
-from dossierlake.workspace import materialize
+from dossierlake.workspace import TEXT_ROWS, materialize, text_batches
 
 ENTRIES = "project_id string, archive string, entry_seq int, path string, directory boolean, symlink boolean, size_bytes long, compressed_bytes long, method int, encrypted boolean, error string"
+#: Bytes of unpacked entries that go back from Python at once; one entry may have more.
+OPENED_BYTES = 8 << 20
 #: ZIP's methods for stored and deflated data.
 KNOWN_METHODS = (0, 8)
 
@@ -114,6 +116,7 @@ def list_entries(files: DataFrame, limits: ImportLimits | None = None) -> DataFr
     Archives above ``limits.archive_bytes`` are listed as too large.
     """
     limits = limits or ImportLimits()
+    text_batches(files.sparkSession)
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in ENTRIES.split(", ")]
@@ -208,20 +211,32 @@ def unpack(files: DataFrame, plan: DataFrame, limits: ImportLimits | None = None
     wanted = plan.where("reason is null").groupBy("project_id", F.col("archive").alias("path")).agg(F.collect_list(F.col("path")).alias("entries"))
     names = ["project_id", "path", "content", "error"]
 
+    def entries_in(row: tuple) -> Iterator[tuple]:
+        left = limits.expanded_bytes
+        try:
+            for name, data in contents_of(bytes(row.content), row.path, set(row.entries), limits):
+                left -= len(data)
+                error = "RUNTIME_COPY_BUDGET_DEFERRED" if left < 0 else "RUNTIME_SINGLE_FILE_LIMIT_DEFERRED" if len(data) > limits.file_bytes else None
+                yield row.project_id, f"{row.path}/{name}", None if error else data, error
+                if left < 0:
+                    break
+        except Exception as error:  # noqa: BLE001  whatever a damaged archive raises is its row's error
+            yield row.project_id, row.path, None, type(error).__name__
+
     def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for frame in frames:
             for row in frame.itertuples(index=False):
-                left = limits.expanded_bytes
-                try:
-                    for name, data in contents_of(bytes(row.content), row.path, set(row.entries), limits):
-                        left -= len(data)
-                        error = "RUNTIME_COPY_BUDGET_DEFERRED" if left < 0 else "RUNTIME_SINGLE_FILE_LIMIT_DEFERRED" if len(data) > limits.file_bytes else None
-                        yield pd.DataFrame([(row.project_id, f"{row.path}/{name}", None if error else data, error)], columns=names)
-                        if left < 0:
-                            break
-                except Exception as error:  # noqa: BLE001  whatever a damaged archive raises is its row's error
-                    yield pd.DataFrame([(row.project_id, row.path, None, type(error).__name__)], columns=names)
+                for entry in entries_in(row):
+                    rows.append(entry)
+                    size += len(entry[2] or b"")
+                    if size >= OPENED_BYTES or len(rows) >= TEXT_ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
+    text_batches(files.sparkSession)
     return files.join(wanted, ["project_id", "path"]).select("project_id", "path", "content", "entries").mapInPandas(
         opened, "project_id string, path string, content binary, error string"
     )

@@ -279,3 +279,15 @@ def test_a_finding_without_a_rule_id_is_an_error(spark):
         audit.__dict__["findings"] = spark.createDataFrame([("p", "R1"), ("p", bad)], "project_id string, rule_id string")
         with pytest.raises(Exception, match="without a rule id"):
             audit.checked_findings().collect()
+
+
+def test_a_budget_of_many_keys_is_no_group_a_key(spark):
+    files = spark.range(3000).select((F.col("id") % 1000).cast("string").alias("k"), F.col("id").alias("n"), (F.col("id") % 7).alias("size"))
+    kept = histories.greedy_budget(files, "k", "n", "size", 8)
+    assert "FlatMapGroupsInPandas" not in kept._jdf.queryExecution().executedPlan().toString()
+    want, room = {}, {}
+    for n in range(3000):
+        left = room.setdefault(n % 1000, 8)
+        want[n] = n % 7 <= left
+        room[n % 1000] = left - (n % 7 if want[n] else 0)
+    assert {r.n: r.kept for r in kept.collect()} == want

@@ -204,3 +204,13 @@ def test_entries_past_the_limit_are_deferred_by_name(spark):
     unpacked, deferred = archives.open_archive(rows, ImportLimits(files=3))
     assert sorted(r.path for r in unpacked.collect()) == ["a.zip/0.txt", "a.zip/1.txt", "a.zip/2.txt"]
     assert sorted((r.path, r.reason) for r in deferred.collect()) == [("a.zip/3.txt", "FILE_COUNT_DEFERRED"), ("a.zip/4.txt", "FILE_COUNT_DEFERRED")]
+
+
+def test_many_archives_are_opened_in_small_batches(spark):
+    rows = [(f"{i}.zip", zipped([("a.txt", f"text {i}"), ("b.txt", "x" * i)], zipfile.ZIP_STORED)) for i in range(30)]
+    data = contents(spark, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    unpacked, deferred = archives.open_archive(data)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert {r.path: len(r.content) for r in unpacked.collect()} == {f"{i}.zip/{n}": s for i in range(30) for n, s in (("a.txt", len(f"text {i}")), ("b.txt", i))}
+    assert deferred.count() == 0
