@@ -66,3 +66,35 @@ def test_partners_and_types_come_from_given_texts(spark):
         reaudit.FactAudit(assets, facts, AuditOptions(lexicon=DEFAULT, track=TRACK)).evidence
     with pytest.raises(ValueError, match="track"):
         reaudit.FactAudit(assets, facts, options).types
+
+
+def test_no_text_goes_into_a_join(spark):
+    """The facts of texts that come without statuses: joins stand above the lines, so no text is in one."""
+    from dossierlake.plans.driver import driver_statuses, driver_texts
+
+    assets, texts, statuses = driver_inventory(spark, SMALL), driver_texts(spark, SMALL), driver_statuses(spark, SMALL)
+    facts, whole = reaudit.facts_of(texts, assets, PROSE, statuses), reaudit.facts_of(driver_corpus(spark, SMALL), assets, PROSE)
+    for part in ("files", "statements", "fields", "features"):
+        same(getattr(facts, part), getattr(whole, part))
+        if part in ("statements", "fields"):
+            above, _, below = getattr(facts, part)._jdf.queryExecution().optimizedPlan().toString().partition("posexplode(")
+            assert below and "Join" in above and "Join" not in below.split("Relation")[0]
+
+
+@pytest.mark.parametrize("lexicon", [PROSE, DEFAULT])
+def test_the_first_look_at_a_line_leaves_none_out(spark, lexicon):
+    import random
+
+    from dossierlake.functions.text import trimmed, without_markdown
+    from dossierlake.operators import claims, profile
+
+    rng = random.Random(3)
+    words = [w for k in lexicon.claim_types for w in k.topics + k.signs] + [w for own in lexicon.profile_labels.values() for w in own]
+    words = [*words, *map(str.upper, words), ":", "：", "是", " ", "# ", "- ", "7", "x", "é", "\t"]
+    rows = [("".join(rng.choice(words) for _ in range(rng.randint(0, 5))),) for _ in range(3000)]
+    lines = spark.createDataFrame(rows, "raw string").select("raw", trimmed(F.col("raw")).alias("head"))
+    lines = lines.withColumn("line", without_markdown(F.col("head")))
+    stated = lines.where(claims.claim_type(F.col("head"), lexicon).isNotNull())
+    assert stated.count() > 50 and stated.where(~claims.may_state(F.col("raw"), lexicon)).count() == 0
+    filled = lines.where((F.size(profile.labels_found(F.col("line"), lexicon.profile_labels)) > 0) | F.col("head").startswith("# "))
+    assert filled.count() > 50 and filled.where(~profile.may_fill(F.col("raw"), lexicon.profile_labels)).count() == 0
