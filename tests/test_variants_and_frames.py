@@ -57,3 +57,18 @@ def test_a_sum_isnt_taken_for_a_missing_role(spark):
     rows = {(r.role, r.severity, r.level): (r.findings, r.rules) for r in finding_sums(findings, assets).collect()}
     assert rows[None, None, 3] == (3, 2) and rows[None, None, 5] == (2, 2) and rows[None, None, 7] == (3, 2)
     assert rows["PLAN", "BLOCKER", 0] == (1, 1) and rows[None, "BLOCKER", 0] == (1, 1)
+
+
+def test_several_sums_from_one_pass(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["h"] * 6 + ["a", None]), rng.choice([*range(40), None]), rng.choice([1, 5, -2, None]), 1) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, k string, t long, size long, one long")
+    got = frames.range_sums(frame, "k", "t", "id", ["size", "one"], 10, ["total", "n"])
+    assert got.columns == [*frame.columns, "total", "n"]
+    for name, size in (("total", "size"), ("n", "one")):
+        alone = {r.id: r[name] for r in frames.range_sums(frame, "k", "t", "id", size, 10, name).collect()}
+        assert {r.id: r[name] for r in got.collect()} == alone
+    counts = {r.id: r.n for r in got.collect()}
+    for i, k, t, _, _ in rows:
+        want = None if k is None or t is None else sum(l == k and u is not None and t - 10 <= u <= t for _, l, u, _, _ in rows)
+        assert counts[i] == want
