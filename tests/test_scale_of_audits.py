@@ -1,14 +1,16 @@
 """What keeps an audit's work in proportion: classes of files, one look at a text, lengths before patterns."""
 
 import random
+import shutil
 import sys
 
+from oracle import SMALL
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as t
 from dossierlake.functions.lexicon import DEFAULT
-from dossierlake.operators import claims, evidence, profile
-from dossierlake.plans import reaudit
+from dossierlake.operators import claims, evidence, profile, trust
+from dossierlake.plans import reaudit, whole_audit
 from dossierlake.plans.driver import PROSE
 
 ASSET = "project_id string, path string, role string, auditable boolean, sensitive boolean, generated boolean, vendored boolean"
@@ -72,3 +74,49 @@ def test_lengths_leave_out_no_line_that_counts(spark):
     filled = lines.where(titled | (t.byte_length(bare).between(4, 300) & (F.size(profile.labels_found(bare, PROSE.profile_labels)) > 0)))
     want = {(r.path, r.line_no) for part in (stated, filled) for r in part.select("path", "line_no").collect()}
     assert len(want) > 40 and want <= kept < {(r.path, r.line_no) for r in lines.select("path", "line_no").collect()}
+
+
+def test_texts_are_read_once_and_by_nothing_later(spark, tmp_path):
+    for name in ("documents", "labels"):
+        shutil.copy(f"{SMALL}/{name}.parquet", tmp_path)
+    audit = whole_audit.driver_audit(spark, str(tmp_path))
+    (tmp_path / "documents.parquet").unlink()  # whatever still asks for a text fails
+    assert audit.evidence.count() > 0 and audit.scores.count() == 20
+    assert audit.corpus.where("text_size is null").count() == 0
+
+
+def test_facts_of_read_texts_are_those_of_lines_cut_by_spark(spark):
+    pads = ["", " " * 400, "\t\x0b", "#" * 400 + " ", "- * > ", "x" * 400]
+    values = ["token VERSION 3", "The answer", "und: du", "x y le： z", "# Title", "市场规模 达到 7", "已上线", "目标用户：学生", "专利 已申请", "暂无 专利 已申请", "Kelvin token =", "", "\n", "\n\n"]
+    rows = [("p", f"{i}-{j}-{k}.md", a + v + b + "\n" + v + b) for i, a in enumerate(pads) for j, v in enumerate(values) for k, b in enumerate(pads)]
+    rows += [("p", "null.md", None), ("p", "empty.md", "")]
+    texts = spark.createDataFrame(rows, "project_id string, path string, text string")
+    assets = texts.select("project_id", "path", F.lit("BUSINESS_PLAN").alias("role"), F.lit(True).alias("auditable"), *[F.lit(False).alias(c) for c in ("sensitive", "generated", "vendored")])
+    statuses = texts.select("project_id", "path", F.lit("EXTRACTED_TEXT").alias("status"))
+    for lexicon in (PROSE, DEFAULT):
+        old = reaudit.facts_of(texts, assets, lexicon, statuses)
+        read = reaudit.read_texts(texts, lexicon)
+        new = reaudit.facts_of_read(read, statuses, lexicon)
+        first = {"statements": reaudit._first_in_file(new.statements, ["claim_type", "key"], "line"), "fields": reaudit._first_in_file(new.fields, ["field"], "value"), "features": new.features}
+        for name, frame in first.items():
+            want = getattr(old, name)
+            got, want = ({repr(r.asDict()) for r in f.select(sorted(want.columns)).collect()} for f in (frame, want))
+            assert got == want and len(want) > 20, (name, got ^ want)
+        sizes = {r.path: r.text_size for r in read.collect()}
+        assert sizes == {p: len((x or "").encode()) for _, p, x in rows}
+
+
+def test_one_pattern_of_paths_excludes_what_their_parts_names_and_extensions_do(spark):
+    rng = random.Random(7)
+    parts = ["a", "Vendor", ".GIT", "out", "x.test.py", "A_MOCK.js", ".css", "b.CSS", "c.css\n", "d\n.css", "e.lock", "Cargo.lock", "yarn.lock", "test", "tests2", "", ".", "é.map", "ſ.leſs", "K.LESS", "f.css.md", "g.mock.", "h\r.map", "i .map"]
+    paths = {"/".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(1500)} | set(parts)
+    low = t.lower_ascii(F.col("path"))
+    name = t.file_name(low)
+    want = (
+        F.arrays_overlap(t.path_parts(low), F.array(*map(F.lit, trust.EXCLUDED_PARTS)))
+        | t.contains_any(name, trust.EXCLUDED_NAMES)
+        | t.extension_of(low).isin(*trust.STYLE_EXTENSIONS)
+        | name.isin(*trust.LOCK_NAMES)
+    )
+    frame = spark.createDataFrame([(p,) for p in sorted(paths)], "path string").select("path", trust.excluded_path(F.col("path")).alias("ours"), want.alias("theirs"))
+    assert [r.path for r in frame.where("not (ours <=> theirs)").collect()] == [] and 300 < frame.where("ours").count() < 1400
