@@ -1,5 +1,6 @@
 """What keeps an audit's work in proportion: classes of files, one look at a text, lengths before patterns."""
 
+import json
 import random
 import shutil
 import sys
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import text as t
 from dossierlake.functions.lexicon import DEFAULT
-from dossierlake.operators import claims, evidence, profile, trust
+from dossierlake.operators import claims, diff, evidence, profile, report, trust
 from dossierlake.plans import reaudit, whole_audit
 from dossierlake.plans.driver import PROSE
 
@@ -120,3 +121,18 @@ def test_one_pattern_of_paths_excludes_what_their_parts_names_and_extensions_do(
     )
     frame = spark.createDataFrame([(p,) for p in sorted(paths)], "path string").select("path", trust.excluded_path(F.col("path")).alias("ours"), want.alias("theirs"))
     assert [r.path for r in frame.where("not (ours <=> theirs)").collect()] == [] and 300 < frame.where("ours").count() < 1400
+
+
+def test_a_package_is_parsed_once_whatever_its_metrics_are_used_for(spark):
+    summary = {"total_score": 70, "trust_debt": 30, "blocker_count": 1, "warning_count": 2, "evidence_coverage": 12.5, "material_completeness": 9, "consistency_score": 8, "fix_task_count": 3}
+    whole = json.dumps({"report_schema_version": 2, "summary": summary, "claims": [{"summary": {"total_score": 1}}]})
+    texts = [whole, whole[:-1], "no JSON", "", None, "{}", "[]", '{"summary": null}', '{"summary": [1]}', '{"summary": {"total_score": 5}}', '{"other": 1, "summary": {"fix_task_count": "4", "trust_debt": 1e2}}']
+    documents = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "project_id string, json string")
+    got = report.metrics_of(documents)
+    names = {"score": "total_score", "blockers": "blocker_count", "warnings": "warning_count"}
+    want = documents.select("project_id", *[F.get_json_object("json", f"$.summary.{names.get(m, m)}").cast("double").alias(m) for m in diff.METRICS])
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    valid = got.where(diff.valid_metrics())
+    assert [r.project_id for r in valid.collect()] == ["0"]
+    plan = valid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json_tuple(json") == 1 and "get_json_object" not in plan
