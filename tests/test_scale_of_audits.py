@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import text as t
 from dossierlake.functions.lexicon import DEFAULT
-from dossierlake.operators import claims, diff, evidence, profile, report, trust
+from dossierlake.operators import claims, diff, evidence, histories, profile, report, trust
 from dossierlake.plans import reaudit, whole_audit
 from dossierlake.plans.driver import PROSE
 
@@ -136,3 +136,41 @@ def test_a_package_is_parsed_once_whatever_its_metrics_are_used_for(spark):
     assert [r.project_id for r in valid.collect()] == ["0"]
     plan = valid._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("json_tuple(json") == 1 and "get_json_object" not in plan
+
+
+def test_what_lines_say_is_found_where_they_are_cut(spark):
+    texts = spark.createDataFrame([("p", "a.md", "The answer\nx the: y\n# A\n# B\ntoken version 3\nTOKEN, version 3\nlicen=\n" + "x" * 400 + " token 3"), ("p", "b.md", None)], "project_id string, path string, text string")
+    said = {r.path: r.said for r in reaudit.read_texts(texts, PROSE).collect()}
+    assert said["b.md"].statements == said["b.md"].fields == []
+    assert [tuple(s) for s in said["a.md"].statements] == [("Revenue", "tokenversion3", 4, "token version 3"), ("Revenue", "tokenversion3", 5, "TOKEN, version 3")]
+    assert sorted(tuple(f) for f in said["a.md"].fields) == [("solution", 0, "The answer"), ("title", 2, "A")]
+
+
+def test_statuses_of_any_case_are_told_by_one_pattern(spark):
+    rng = random.Random(3)
+    parts = ["EXTRACTED", "extracted", "Need_Review", "need_re", "view", "TRUNCATED", "_TEXT", "EMPTY", "Limited", "ſ", "K", "İ", "é", "\n", " ", ""]
+    values = {"".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) for _ in range(1500)}
+    frame = spark.createDataFrame([(v,) for v in sorted(values)] + [(None,)], "status string")
+    low = t.lower_ascii(F.coalesce("status", F.lit("")))
+    review = (low == "") | t.contains_any(low, trust.REVIEW_WORDS)
+    reliable = ~review & t.lower_ascii(F.col("status")).startswith("extracted")
+    both = frame.select("status", (trust.needs_review(F.col("status")).eqNullSafe(review) & trust.reliable(F.col("status")).eqNullSafe(reliable)).alias("same"), reliable.alias("reliable"))
+    assert both.where("not same").count() == 0 and 20 < both.where("reliable").count() < 1400
+    plan = frame.select(trust.needs_review(F.col("status")), trust.reliable(F.col("status")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan
+
+
+def test_few_rows_are_few_ranges_and_fixed_tables_no_rows_of_python(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(histories, "materialize", lambda df, name: written.append(df) or df.localCheckpoint())
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(500).select((F.col("id") % 3).alias("k"), "id", F.lit(2).alias("size"))
+        totals = {(r.k, r.id): r.before for r in histories.running_total(rows, "k", "id", "size").collect()}
+        assert all(totals[k, i] == 2 * (i // 3) for k, i in totals) and len(totals) == 500
+        assert written[0].rdd.getNumPartitions() < 64
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    roles = evidence.candidate_roles(rows, DEFAULT)
+    assert {tuple(r) for r in roles.collect()} == {(k.name, r, r in k.proof_roles) for k in DEFAULT.claim_types for r in k.roles}
+    assert "RDD" not in roles._jdf.queryExecution().executedPlan().toString()
