@@ -8,6 +8,8 @@ import time
 import zipfile
 import zlib
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +216,17 @@ def test_many_archives_are_opened_in_small_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
     assert {r.path: len(r.content) for r in unpacked.collect()} == {f"{i}.zip/{n}": s for i in range(30) for n, s in (("a.txt", len(f"text {i}")), ("b.txt", i))}
     assert deferred.count() == 0
+
+
+def test_texts_wrapped_as_files_come_out_as_their_sql_says(spark, tmp_path):
+    from oracle import same
+
+    from dossierlake.plans import derived_queries
+
+    texts = [None, "", " ", "!!!", "日本語", "é 1", "BM first", "MZ", "%PDF-1.4 text", "BLENDER!!", "ID3", "PK\x03\x04", "x" * 4 + "ftyp", "a\0b", "\x01\x02\x03", "a\r\nb\n", "\ufeffa", "#", " a ",
+             "y" * 600_000, "é" * 300_000, "x" * (formats.SAMPLE - 1) + "é", "BT (a) ET", "legendstream x", "x" * 257 + "ustar ", "\x80"]
+    rows = [(8 * i + form, t) for i, t in enumerate(texts) for form in range(8)] + [(0, "again"), (None, "no id"), (2**40 + 4, "?")]
+    ids, bodies = zip(*rows, strict=True)
+    table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(bodies, pa.string()), "source": ["s"] * len(rows)})
+    pq.write_table(table, tmp_path / "documents.parquet")
+    same(derived_queries.QUERIES["text_extraction"], derived_queries.ORACLE_SQL["text_extraction"], spark, str(tmp_path))
