@@ -5,7 +5,9 @@ import random
 import shutil
 import sys
 
-from oracle import SMALL
+import pyarrow as pa
+import pyarrow.parquet as pq
+from oracle import SMALL, same
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as t
@@ -174,3 +176,48 @@ def test_few_rows_are_few_ranges_and_fixed_tables_no_rows_of_python(spark, monke
     roles = evidence.candidate_roles(rows, DEFAULT)
     assert {tuple(r) for r in roles.collect()} == {(k.name, r, r in k.proof_roles) for k in DEFAULT.claim_types for r in k.roles}
     assert "RDD" not in roles._jdf.queryExecution().executedPlan().toString()
+
+
+def test_any_number_of_claims_is_numbered_in_order(spark):
+    lines = {f"{i}.md": [f"注册用户达到 {i}{j:03d} 人" for j in range(600)] for i in range(2)}
+    corpus = spark.createDataFrame([("p", n, "EXTRACTED_TEXT", "\n".join(body)) for n, body in lines.items()], TEXT)
+    assets = spark.createDataFrame([("p", n, "BUSINESS_PLAN", True, False, False, False) for n in lines], ASSET)
+    got = {r.claim_id: r.claim_text for r in claims.extract_claims(corpus, assets, most=None).collect()}
+    assert got == {f"CLM-{n:03d}": line for n, line in enumerate(lines["0.md"] + lines["1.md"], 1)}
+    assert claims.extract_claims(corpus, assets).count() == 120
+
+
+def test_claims_that_meet_files_by_numbers_find_what_claims_of_classes_find(spark):
+    rng = random.Random(11)
+    parts = ["100", "7", "2024", "12345678", "市场规模", "行业年鉴", "专利号", "未授权", "营收", "发票号", "华星公司已", "盖章", "Kubernetes", "gateway", "无", ""]
+    kinds = [k.name for k in DEFAULT.claim_types]
+    roles = sorted({r for k in DEFAULT.claim_types for r in k.roles})
+    claim = [(f"p{i % 3}", f"CLM-{i:03d}", " ".join(["与华星公司已签署"] * (i % 4 == 1) + rng.choices(parts, k=4)), kinds[i % len(kinds)], f"{i % 90:03d}.md") for i in range(400)]
+    stated = spark.createDataFrame(claim, "project_id string, claim_id string, claim_text string, claim_type string, path string")
+    places = [(f"p{p}", f"{i:03d}.md") for p in range(3) for i in range(600)]
+    assets = spark.createDataFrame([(*at, rng.choice(roles), rng.random() < 0.9, False, False, False) for at in places], ASSET)
+    corpus = spark.createDataFrame([(*at, rng.choice(["EXTRACTED_TEXT"] * 9 + ["NEED_REVIEW_PDF"]), " ".join(rng.choices(parts, k=6))) for at in places if rng.random() < 0.9], TEXT)
+    found = {many: {r.project_id + r.claim_id: r for r in evidence.match_evidence(stated, assets, corpus, DEFAULT, many=many).collect()} for many in (False, True)}
+    assert found[True] == found[False] and len(found[True]) == 400
+    assert {r.status for r in found[True].values()} >= {"CONFLICTED", "SUPPORTED", "PARTIAL", "NEED_REVIEW"}
+    assert max(len(r.evidence_files) for r in found[True].values()) == 24
+
+
+def test_a_file_with_many_of_a_claims_numbers_hides_no_other_file(spark):
+    numbers = [str(100 + i) for i in range(40)]
+    claim = [("p", "CLM-001", "市场规模 " + " ".join(numbers), "MarketScale", "plan.md")]
+    stated = spark.createDataFrame(claim, "project_id string, claim_id string, claim_text string, claim_type string, path string")
+    bodies = {"00.md": "市场规模 " + " ".join(numbers)} | {f"{i + 1:02d}.md": f"市场规模 {n}" for i, n in enumerate(reversed(numbers))}
+    assets = spark.createDataFrame([("p", n, "MARKET_RESEARCH", True, False, False, False) for n in bodies], ASSET)
+    corpus = spark.createDataFrame([("p", n, "EXTRACTED_TEXT", b) for n, b in bodies.items()], TEXT)
+    assert evidence.match_evidence(stated, assets, corpus, DEFAULT, many=True).first().evidence_files == sorted(bodies)[:24]
+
+
+def test_a_repair_plan_counts_all_claims_of_a_project(spark, tmp_path):
+    texts = ["\n".join([f"token {1000 * i + j} item" for j in range(60)] + ["with mail 7", "worthless token version"][: i % 3]) for i in range(42)]
+    ids, source = pa.array(range(42), pa.int64()), ["a" if i < 35 else "b" for i in range(42)]
+    pq.write_table(pa.table({"doc_id": ids, "text": texts, "source": source}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": ids, "quality": [int(i % 5 > 0) for i in range(42)], "toxic": [int(i % 11 == 0) for i in range(42)]}), tmp_path / "labels.parquet")
+    assert whole_audit.whole_driver_audit(spark, str(tmp_path)).claims.where("project_id = 'a'").count() > 1000
+    assert "n <= 120" not in whole_audit.ORACLE_SQL["audit_repair_plan"] and "n <= 120" in whole_audit.ORACLE_SQL["audit_fix_tasks"]
+    same(whole_audit.QUERIES["audit_repair_plan"], whole_audit.ORACLE_SQL["audit_repair_plan"], spark, str(tmp_path))
